@@ -4,18 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import fingerprints, ngram_join, packing, secret_scan, toxicity, url_filter
 from .common import table
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, size=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels of the same number; a page is bad if it is toxic or of low quality."""
+    bad = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("quality") == 1, 0).alias("bad")
+    )
+    return url_filter.judge(table(spark, sf_dir, "pages"), bad).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon, factors = toxicity.learn(docs, labels.where(~toxicity.held_out_column(F.col("doc_id"))))
+    return toxicity.score(docs.select("doc_id", "text"), lexicon, factors).select(
+        "doc_id", toxicity.held_out_column(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def _written(kinds: tuple[str, ...] | None = None):
+    own = F.col("spans") if kinds is None else F.filter("spans", lambda s: s.kind.isin(*kinds))
+    return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(_written(("assign", "access", "hex")), 256).alias("base_sha256"), _written().alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_packing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
