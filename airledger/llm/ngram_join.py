@@ -5,19 +5,20 @@ of ``n`` shingles falls into a size band, and a partner at least as large may re
 past the band, so it is also sketched for the band below. In a band two sets that
 link differ in at most ``d`` shingles. Each shingle flips one bit of a sketch of
 ``d + 1 + slack`` words of 64 bits, so sketches differ in at most as many bits as
-the sets differ in shingles, and at least ``slack + 1`` words are equal. A pair that
-links therefore shares the key of a word that isn't zero, or both sets have more
-than ``slack`` zero words, and then these are keys too. Keys are joined, candidates
-are filtered by the sketches' Hamming distance, and the survivors are verified on
-the whole sets: no link is lost and none is wrong but for collisions of 64-bit
-hashes.
-
-Large groups of near copies: in each key the member that most others meet is the
-hub, and all others are verified against it first (as many pairs as members).
-Connected members are then one component; only keys whose members lie in several
-components are compared further, in blocks of bounded size, inside a task, which
-emits only pairs that pass the sketch filter. Exact copies never multiply, since
-classes and not documents are joined.
+the sets differ in shingles, and at least ``slack + 1`` words have the same content.
+
+Words are joined by key, the rarest first: of the keys that a class shares with any
+other, the ``slack`` most frequent may be left out, as a pair that links shares one
+more (prefix filtering; zero words count as left out). So words that hold nothing but
+common passages seldom meet. Whoever meets is compared inside the task by a second,
+smaller parity sketch, whose Hamming distance is a lower bound of the difference as
+well, and only pairs that pass are emitted and verified on the whole sets. No link is
+lost and none is wrong but for collisions of 64-bit hashes.
+
+Large groups of near copies: of a key with many members a hub is compared with all
+others (as many pairs as members). What this links is one component; keys whose
+members still lie in several components are compared further, in blocks of bounded
+size. Exact copies never multiply, since classes and not documents are joined.
 """
 
 from __future__ import annotations
@@ -28,16 +29,24 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, durable
+from .common import components, durable, shuffle_width
 
 #: Ratio of a band's ends.
 BAND_RATIO = 1.6
-#: Members of a block in the comparison of a key that several components share.
-BLOCK = 256
+#: Words beyond d + 1, as a share of d.
+SLACK = 0.2
+#: Bits of the small sketch for each shingle.
+SMALL_BITS = 0.75
+#: Up to so many members of a key are compared with each other at once; of more a hub is, and then blocks of BLOCK.
+FEW, BLOCK = 64, 256
+#: Members of a key that a task holds at once.
+HELD = 65_536
+#: A key's members are counted up to this.
+MANY = 1 << 20
 #: Up to so many classes are handed to the tasks as an array; more are joined.
 SMALL_IDS = 2_000_000
 U = np.uint64
@@ -50,7 +59,7 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
     out = [band_of(size)]
     while out[-1] and band_end(out[-1] - 1) * den // num >= size:  # as the larger partner of a set of the band below
         out.append(out[-1] - 1)
-    return [(k, d, 1 + d // 20) for k in out for d in [differ(band_end(k), num, den)] if d > 0]
+    return [(k, d, 1 + int(SLACK * d)) for k in out for d in [differ(band_end(k), num, den)] if d > 0]
 
 
 def band_end(k: int) -> int:
@@ -82,15 +91,11 @@ def sketch(own: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of all bands of one set, 44 bits each: equal words of a band at one place have equal keys."""
-    out = []
-    for band, d, slack in bands(len(own), num, den):
-        s = sketch(own, d + 1 + slack)
-        zero = s == 0
-        use = np.flatnonzero(~zero if zero.sum() <= slack else np.ones(len(s), bool))
-        out.append(wh.mix(s[use] ^ wh.mix(U(band << 32) + use.astype(U))) >> U(20))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+def small_sketch(own: np.ndarray, band: int) -> np.ndarray:
+    """One parity sketch of the whole set, of as many bits as the band asks for, as 64-bit words."""
+    bits = 64 * ceil(SMALL_BITS * band_end(band) / 64)
+    place = ((wh.mix(own ^ U(0x2545F4914F6CDD1D)) >> U(32)) * U(bits)) >> U(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def class_of(own: np.ndarray) -> int:
@@ -101,8 +106,11 @@ def class_of(own: np.ndarray) -> int:
     return int(wh.mix(both[:1] ^ wh.mix(both[1:] + U(len(own))))[0].astype(np.int64))
 
 
-def _sets(width: int, kind: str, num: int, den: int, wanted=None):
-    """A mapInArrow function over (doc_id, text): classes, keys or whole sets of the classes wanted."""
+SKETCHES = pa.schema([("cls", pa.int64()), ("band", pa.int32()), ("n", pa.int64()), ("slack", pa.int32()), ("words", pa.list_(pa.int64())), ("small", pa.list_(pa.int64()))])
+
+
+def _sets(width: int, wanted=None):
+    """A mapInArrow function over (doc_id, text): classes, or whole sets of the classes wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None if wanted is None else wanted.value
@@ -115,18 +123,15 @@ def _sets(width: int, kind: str, num: int, den: int, wanted=None):
                     cls = class_of(own)
                     if only is not None:
                         j = np.searchsorted(only, cls)
-                        if j == len(only) or only[j] != cls:
+                        if len(only) and (j == len(only) or only[j] != cls):
                             continue
+                        more.append(own.view(np.int64))
                     take.append(lo + i)
                     size.append(len(own))
                     name.append(cls)
-                    if kind == "keys":
-                        more.append(keys(own, num, den))
-                    elif kind == "sets":
-                        more.append(own.view(np.int64))
                 cols = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(size, pa.int64()), pa.array(name, pa.int64())]
                 names = ["doc_id", "n", "cls"]
-                if kind != "plain":
+                if only is not None:
                     ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
                     flat = np.concatenate(more) if more else np.zeros(0, np.int64)
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())))
@@ -136,49 +141,187 @@ def _sets(width: int, kind: str, num: int, den: int, wanted=None):
     return run
 
 
-def _blocks(num: int, den: int):
-    """Of one block pair of one key: pairs of different components whose sketches are near enough."""
+def _sketched(width: int, num: int, den: int):
+    """A mapInArrow function over (doc_id, text): a row for each band of each text's set."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.block == pdf.bi.iloc[0]].reset_index(drop=True)
-        right = pdf[pdf.block == pdf.bj.iloc[0]].reset_index(drop=True)
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            wide = {k: np.stack([np.asarray(x, np.int64).view(U) for x in f.words]) for k, f in (("l", left), ("r", right))}
-            sizes, comp, names = right.n.to_numpy(), right.comp.to_numpy(), right.cls.to_numpy()
-            same_block = pdf.bi.iloc[0] == pdf.bj.iloc[0]
-            for i in range(len(left)):
-                gap = np.bitwise_count(wide["l"][i] ^ wide["r"]).sum(axis=1)
-                n = int(left.n[i])
-                union2 = n + sizes + gap  # at least twice the union, as the gap is a lower bound
-                near = ((n + sizes - gap) * den >= num * union2) & (comp != left.comp[i])
-                if same_block:
-                    near &= names > left.cls[i]
-                for j in np.flatnonzero(near):
-                    out_a.append(min(left.cls[i], names[j]))
-                    out_b.append(max(left.cls[i], names[j]))
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in wh.chunks(batch.column(1)):
+                hashes, at = wh.words(data, offsets)
+                rows = []
+                for i in range(hi - lo):
+                    own = wh.shingles(hashes[at[i] : at[i + 1]], width)
+                    for band, d, slack in bands(len(own), num, den):
+                        rows.append((class_of(own), band, len(own), slack, sketch(own, d + 1 + slack).view(np.int64), small_sketch(own, band)))
+                cols = list(zip(*rows)) or [()] * len(SKETCHES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SKETCHES, strict=True)], schema=SKETCHES)
 
     return run
 
 
-def _sketches(num: int, den: int):
+def _runs(batches: Iterator[pa.RecordBatch], same: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """Batches cut where the first ``same`` columns change: (batch, starts of its runs, whether its first run goes on from before)."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(same)]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        first = tuple(c[0] for c in cols)
+        yield batch, np.flatnonzero(new), first == last
+        last = tuple(c[-1] for c in cols)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, cls, band) sorted by key, those whose key has company, with how many rows it has (at most MANY)."""
+    held: list[np.ndarray] = []
+    count = 0
+
+    def out(parts: list[np.ndarray], met: np.ndarray) -> pa.RecordBatch:
+        rows = np.concatenate(parts, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(met)], names=["key", "cls", "band", "met"])
+
+    for batch, starts, goes_on in _runs(batches, 1):
+        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+        ends = np.append(starts[1:], batch.num_rows)
+        if not goes_on:
+            if count > 1 and held:
+                yield out(held, np.full(sum(h.shape[1] for h in held), count))
+            held, count = [], 0
+        else:
+            held.append(rows[:, : ends[0]])
+            count = min(MANY, count + int(ends[0]))
+            if len(starts) > 1 or count == MANY:
+                if count > 1:
+                    yield out(held, np.full(sum(h.shape[1] for h in held), count))
+                held = []
+            starts, ends = starts[1:], ends[1:]
+        if len(starts):
+            sizes = ends - starts
+            met = np.repeat(sizes, sizes)
+            inner = rows[:, starts[0] : starts[-1]]
+            keep = met[: inner.shape[1]] > 1
+            if keep.any():
+                yield out([inner[:, keep]], met[: inner.shape[1]][keep])
+            held, count = [rows[:, starts[-1] :]], min(MANY, int(sizes[-1]))
+    if count > 1 and held:
+        yield out(held, np.full(sum(h.shape[1] for h in held), count))
+
+
+def _passes(num: int, den: int, n: int, small: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the others may link with a set of n shingles, by the bound of the small sketches."""
+    gap = np.bitwise_count((small ^ others).view(U)).sum(axis=1).astype(np.int64)  # of signed numbers it counts the absolute value's bits
+    return (n + sizes - gap) * den >= num * (n + sizes + gap)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+
+def _stars(num: int, den: int):
+    """Of rows (key, band, cls, n, small) sorted by key and band: pairs that may link, and the keys that have many members.
+
+    Few members are all compared; of many, a hub is: among 32 of the first ones held,
+    the one that may link with most.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {"cls": [], "n": [], "band": [], "words": []}
-            for cls, items in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.array(items.values.to_numpy(zero_copy_only=False), np.int64).view(U)
-                for band, d, slack in bands(len(own), num, den):
-                    for key, value in (("cls", cls), ("n", len(own)), ("band", band), ("words", sketch(own, d + 1 + slack).view(np.int64))):
-                        rows[key].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
+        left: list[int] = []
+        right: list[int] = []
+        keys: list[int | None] = []
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        hub: tuple[int, int, np.ndarray] | None = None
+        key = 0
+
+        def emit(x: int, others: np.ndarray) -> None:
+            for y in others.tolist():
+                pair = (x, y) if x < y else (y, x)
+                if x != y and pair not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(pair)
+                    left.append(pair[0])
+                    right.append(pair[1])
+                    keys.append(None)
+
+        def against_hub() -> None:
+            for cls, n, small in held:
+                emit(hub[0], cls[_passes(num, den, hub[1], hub[2], n, small)])
+            held.clear()
+
+        def end() -> None:
+            nonlocal hub
+            total = sum(len(h[0]) for h in held)
+            if hub is None and total > FEW:
+                choose()
+            if hub is not None:
+                against_hub()
+                hub = None
+            elif total > 1:
+                cls, n, small = (np.concatenate(x) for x in zip(*held))
+                for i in range(total - 1):
+                    emit(int(cls[i]), cls[i + 1 :][_passes(num, den, int(n[i]), small[i], n[i + 1 :], small[i + 1 :])])
+            held.clear()
+
+        def choose() -> None:
+            nonlocal hub
+            cls, n, small = (np.concatenate(x) for x in zip(*held))
+            best = max(np.argsort(cls, kind="stable")[:: max(1, len(cls) // 32)].tolist(), key=lambda i: (int(_passes(num, den, int(n[i]), small[i], n, small).sum()), int(cls[i])))
+            hub = int(cls[best]), int(n[best]), small[best]
+            left.append(0)
+            right.append(0)
+            keys.append(key)
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(keys, pa.int64())], schema=PAIRS)
+            left.clear()
+            right.clear()
+            keys.clear()
+            return out
+
+        for batch, starts, goes_on in _runs(batches, 2):
+            names, cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            column = batch.column(4)
+            flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for k, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], batch.num_rows))):
+                if k or not goes_on:
+                    end()
+                key = int(names[lo])
+                held.append((cls[lo:hi], n[lo:hi], flat[at[lo] : at[hi]].reshape(hi - lo, -1)))
+                if sum(len(h[0]) for h in held) > HELD:
+                    if hub is None:
+                        choose()
+                    against_hub()
+            if len(left) > 50_000:
+                yield batch_of()
+        end()
+        yield batch_of()
+
+    return run
+
+
+def _blocks(num: int, den: int):
+    """Of one pair of blocks of one key: pairs of different components that may link."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf.block == pdf.bi.iloc[0]]
+        right = pdf[pdf.block == pdf.bj.iloc[0]]
+        out: list[np.ndarray] = []
+        if len(left) and len(right):
+            small, sizes, comp, names = np.stack(list(right.small)), right.n.to_numpy(), right.comp.to_numpy(), right.cls.to_numpy()
+            for cls, n, own, part in zip(left.cls, left.n, left.small, left.comp):
+                near = names[_passes(num, den, int(n), own, sizes, small) & (comp != part)]
+                out.append(np.stack([np.minimum(near, cls), np.maximum(near, cls)], axis=1))
+        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
     return run
 
 
 def classes_of(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, cls) of every row; cls names the set of its shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_sets(width, "plain", 1, 1), "doc_id long, n long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, n long, cls long")
 
 
 def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -187,71 +330,70 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
     Two sets A and B link when ``den * |A and B| >= num * |A or B|``. Also returns
     ``(cls, label)`` for classes that have a link.
     """
-    spark = docs.sparkSession
+    parts = shuffle_width(docs.sparkSession)
     own = docs.select("doc_id", "text")
     by_class = durable(
-        own.mapInArrow(_sets(width, "keys", num, den), "doc_id long, n long, cls long, items array<long>")
-        .where("size(items) > 0")
-        .groupBy("cls")
-        .agg(F.any_value("items").alias("items"))
+        own.mapInArrow(_sketched(width, num, den), "cls long, band int, n long, slack int, words array<long>, small array<long>")
+        .groupBy("cls", "band").agg(F.any_value(F.struct("n", "slack", "words", "small")).alias("x"))
+        .withColumn("spare", F.greatest(F.lit(0), F.col("x.slack") - F.size(F.filter("x.words", lambda w: w == 0))))
+        .select("cls", "band", "x.n", "x.words", "x.small", "spare", F.expr("size(filter(x.words, w -> w = 0)) > x.slack").alias("all_words"))
     )
-    rows = by_class.select("cls", F.explode("items").alias("key"))
-    shared = (
-        rows.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("met"))
-        .where("lo < hi").select("key", "met")
+    rows = (
+        by_class.select("cls", "band", "all_words", F.posexplode("words").alias("at", "word")).where("word <> 0 or all_words")
+        .select(F.expr("xxhash64(band, at, word) & 17592186044415").alias("key"), "cls", "band")
     )
-    members = durable(rows.join(shared, "key"))
-    fame = members.groupBy("cls").agg(F.sum("met").alias("fame"))
-    members = durable(members.join(fame, "cls"))
-    hubs = members.groupBy("key").agg(F.max(F.struct("fame", "cls")).alias("top")).select("key", F.col("top.cls").alias("hub"))
-    first = (
-        members.join(hubs, "key").where("cls <> hub")
-        .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    members = durable(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, cls long, band int, met long"))
+    rarest = Window.partitionBy("cls", "band").orderBy(F.col("met").desc(), "key")
+    kept = (
+        members.withColumn("place", F.row_number().over(rarest))
+        .join(by_class.select("cls", "band", "n", "small", "spare"), ["cls", "band"]).where("place > spare")
+        .select("key", "band", "cls", "n", "small")
     )
-    first = durable(first)
-    ids = durable(fame.select("cls"))
-    sets = _sets_of(spark, own, ids, width)
-    linked = durable(_verified(first, sets, num, den))
-    labels = components(linked)
-
-    tagged = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "met", "cls", F.coalesce("label", "cls").alias("comp")
-    )
-    open_keys = (
-        tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    met = durable(kept.repartition(parts, "key").sortWithinPartitions("key", "band").mapInArrow(_stars(num, den), "a long, b long, key long"))
+    first = met.where("key is null").select("a", "b").distinct()
+    linked, labels = _connect(own, width, first, None, num, den)
+
+    many = met.where("key is not null").select("key").distinct()
+    tagged = members.join(many, "key").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "key", "band", "met", "cls", F.coalesce("label", "cls").alias("comp")
     )
-    rest = durable(tagged.where("met > 2").join(open_keys, "key"))
+    several = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = durable(tagged.join(several, "key"))
     if rest.isEmpty():
         return linked, labels.withColumnRenamed("node", "cls")
-    parity = durable(
-        sets.join(rest.select("cls").distinct(), "cls", "left_semi")
-        .mapInArrow(_sketches(num, den), "cls long, n long, band int, words array<long>")
-    )
     dealt = (
-        rest.join(parity, "cls")
+        rest.join(by_class.select("cls", "band", "n", "small"), ["cls", "band"])
         .withColumn("nb", F.ceil(F.col("met") / BLOCK))
         .withColumn("block", F.pmod(F.xxhash64("cls"), "nb"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select(
-            "key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-            "block", "cls", "n", "comp", "words",
-        )
+        .select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cls", "n", "comp", "small")
     )
     more = dealt.groupBy("key", "band", "bi", "bj").applyInPandas(_blocks(num, den), "a long, b long").distinct()
-    more = more.join(first, ["a", "b"], "left_anti")
-    linked = durable(linked.unionByName(_verified(durable(more), sets, num, den)))
-    return linked, components(linked).withColumnRenamed("node", "cls")
+    linked, labels = _connect(own, width, more.join(first, ["a", "b"], "left_anti"), linked, num, den)
+    return linked, labels.withColumnRenamed("node", "cls")
+
+
+def _connect(own: DataFrame, width: int, pairs: DataFrame, linked: DataFrame | None, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs verified on the whole sets, with the links before them, and the components of both."""
+    pairs = durable(pairs)
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    found = _verified(pairs, _sets_of(own, durable(ids), width), num, den)
+    found = durable(found if linked is None else found.unionByName(linked))
+    return found, components(found)
 
 
-def _sets_of(spark, own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _sets_of(own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(cls, items) once for each class of ``ids``."""
     kind = "doc_id long, n long, cls long, items array<long>"
     if (n := ids.count()) <= SMALL_IDS:
         # n long values, 16 MB at most
-        wanted = spark.sparkContext.broadcast(np.sort(ids.toPandas()["cls"].to_numpy(np.int64)) if n else np.zeros(0, np.int64))
-        found = own.mapInArrow(_sets(width, "sets", 1, 1, wanted), kind)
+        if not n:
+            return own.sparkSession.createDataFrame([], "cls long, items array<long>")
+        wanted = own.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["cls"].to_numpy(np.int64)))
+        found = own.mapInArrow(_sets(width, wanted), kind)
     else:
-        found = own.mapInArrow(_sets(width, "sets", 1, 1), kind).join(ids, "cls", "left_semi")
+        every = own.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64))
+        found = own.mapInArrow(_sets(width, every), kind).join(ids, "cls", "left_semi")
     return durable(found.groupBy("cls").agg(F.any_value("items").alias("items")))
 
 

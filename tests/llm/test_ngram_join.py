@@ -81,7 +81,7 @@ def test_empty_table(spark):
     assert nj.near_groups(docs).count() == 0
 
 
-def test_near_pairs_share_a_key():
+def test_linked_sets_share_more_than_slack_words():
     rng = np.random.default_rng(0)
     for num, den in ((9, 10), (8, 10)):
         for n in [*range(1, 40), 75, 130, 777]:
@@ -93,7 +93,28 @@ def test_near_pairs_share_a_key():
                 b = np.unique(np.append(keep, rng.integers(0, 2**64, most - cut, dtype=np.uint64)))
                 both = len(np.intersect1d(a, b))
                 if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert np.intersect1d(nj.keys(a, num, den), nj.keys(b, num, den)).size
+                    shared = {k: (d, s) for k, d, s in nj.bands(len(a), num, den)}.items() & {k: (d, s) for k, d, s in nj.bands(len(b), num, den)}.items()
+                    assert shared
+                    for band, (d, slack) in shared:
+                        assert (nj.sketch(a, d + 1 + slack) == nj.sketch(b, d + 1 + slack)).sum() > slack or min(len(a), len(b)) > nj.band_end(band)
+                        assert nj._passes(num, den, len(a), nj.small_sketch(a, band), np.array([len(b)]), nj.small_sketch(b, band)[None])[0]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One key with more members than FEW, several components among them, over tiny blocks."""
+    rng = np.random.default_rng(5)
+    text = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(text)
+        for j in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            own[int(j)] = f"z{rng.integers(3)}"
+        rows.append((i, " ".join(own)))
+    few, block, nj.FEW, nj.BLOCK = nj.FEW, nj.BLOCK, 8, 16
+    try:
+        assert result(nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)) == brute(rows, 3, 9, 10)
+    finally:
+        nj.FEW, nj.BLOCK = few, block
 
 
 def test_sketch_distance_is_a_lower_bound():
