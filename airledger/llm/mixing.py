@@ -37,7 +37,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temper: float, fact
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     terms = F.transform(F.sequence(F.lit(0), last), lambda j: F.exp(-F.col("rate") + j * F.log("rate") - _log_factorial(j)))
     start = F.array().cast("array<double>")
-    cdf = F.aggregate(terms, start, lambda acc, p: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + p)))
+    cdf = F.aggregate(terms, start, lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)))
     return share.select("source", "n", "rate", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0))).alias("cdf"))
 
 

@@ -426,3 +426,19 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """All columns of one document of each component: the one with the smallest doc_id.
+
+    Rows of one doc_id are one document, of which the smallest text is kept. Rows
+    without an id are kept unless a document with an id is reachable by links; texts
+    without words are kept.
+    """
+    far = near_groups(docs, width, num, den).where("component_id is not null and not doc_id <=> component_id")
+    gone = durable(far.select(F.col("doc_id").alias("_gone")).distinct())
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return (
+        docs.withColumn("_first", first).where("doc_id is null or _first = 1").drop("_first")
+        .join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, packing, secret_scan, toxicity, url_filter
+from . import chat_format, fingerprints, mixing, ngram_join, packing, quality, secret_scan, topk_search, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,11 +18,35 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's site is its source, its section the language there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return quality.score(docs, labels)
+
+
+#: The schema of the tool that turns_as_calls() names: field -> (type, whether it must be there).
+REPLY = {"reply": {"text": ("string", True), "n_chars": ("integer", True), "turn": ("integer", True)}}
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat_format.link(calls, results, REPLY)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, size=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), temper=0.5, factor=1.0)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -58,7 +82,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_packing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_chat_formatting, op4_packing, op5_exact_top_k, op6_source_mixing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
