@@ -1,12 +1,56 @@
-"""The corpus pipeline: STAGES applied to documents, one after the other."""
+"""The corpus pipeline: STAGES applied to documents, one after the other.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept
+and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from airledger.llm import mixing, ngram_join, packing, secret_scan, toxicity
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9. Labels of documents that are not held out are learnt from; rejected documents go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out_column(F.col("doc_id")))
+    lexicon, factors = toxicity.learn(docs, labels)
+    return toxicity.score(docs, lexicon, factors).where("score < 0.7").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1. One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.keep_one(docs, width=5, num=8, den=10)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10. Secret spans are replaced by a mark; all documents stay."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6. Sources are weighted by the square root of their size; as many rows as before are expected."""
+    return mixing.mix(docs, temper=0.5, factor=1.0).select(*docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4. Pieces of windows of 2048 ids."""
+    return packing.pack(docs, TOKENIZER, size=2048, end_id=1)
+
 
-from airledger.llm import ngram_join
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
 
-STAGES: list = []
+#: The stages learn from text, link by similarity and tokenize, which SQL can't express.
 ORACLE_SQL = None
 
 
