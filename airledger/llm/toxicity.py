@@ -24,14 +24,21 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordhash as wh
+from .common import durable
+
 #: Labelled documents of each class that are read for learning, at most.
 SAMPLE = 4000
 #: Stems and forms kept, at most.
 LEXICON = 20_000
+#: Likelihood ratio statistic that a form or stem must reach, and how many witnesses halve the shrinking of its weight.
+STANDOUT, FEW_WITNESSES = 12.0, 4.0
 #: Word lists of the grammar.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 HARM = ("kill", "hurt", "destroy", "beat", "burn", "crush", "töte", "töten", "schlagen", "tuer", "frapper", "matar", "golpear")
@@ -63,6 +70,7 @@ class Grammar:
     def __init__(self, lexicon: dict[str, float], factors: dict[str, float]) -> None:
         self.lexicon, self.factors = lexicon, factors
         self.known: dict[str, tuple[float, int]] = {}
+        self.hits: set[tuple[float, int]] = set()  # what read() says of insults and verbs of harm
         self.harm, self.targets, self.negators, self.saying = map(frozenset, (HARM, TARGETS, NEGATORS, SAYING))
 
     def read(self, word: str) -> tuple[float, int]:
@@ -74,15 +82,15 @@ class Grammar:
             weight = max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
             kind = 1 if word in self.harm else 2 if word in self.targets else 3 if word in self.negators else 4 if word in self.saying else 5 if word in STOPS else 6 if word in QUOTES else 0
             got = self.known[word] = weight, kind
+            if weight or kind == 1:
+                self.hits.add(got)
         return got
 
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """(kind of match, weight) of each matched clause of the text."""
         words = WORD.findall(text.lower())
-        read = self.known
-        for w in set(words) - read.keys():
-            self.read(w)
-        if not any(read[w][0] or read[w][1] == 1 for w in set(words)):
+        once, hits = set(words), self.hits
+        if not any([self.read(w) in hits for w in once]):
             return []
         out: list[tuple[str, float]] = []
         hit = 0.0
@@ -125,6 +133,27 @@ def sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     return by_hash(1).unionByName(by_hash(0))
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three min-hashes of the five-word shingles of each text; near copies share most of them."""
+    for batch in batches:
+        for lo, hi, data, offsets in wh.chunks(batch.column(1)):
+            hashes, at = wh.words(data, offsets)
+            least = np.zeros((3, hi - lo), np.int64)
+            for i in range(hi - lo):
+                own = wh.shingles(hashes[at[i] : at[i + 1]], 5)
+                for k in range(3 if len(own) else 0):
+                    least[k, i] = wh.mix(own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))).min().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, least)], names=["doc_id", "s0", "s1", "s2"])
+
+
+def without_copies(own: DataFrame) -> DataFrame:
+    """``doc_id`` of the sampled documents, one of those that share a signature: copies would count as many witnesses."""
+    out = own.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, s0 long, s1 long, s2 long")
+    for k in ("s0", "s1", "s2"):
+        out = out.groupBy(k).agg(F.min(F.struct("doc_id", "s0", "s1", "s2")).alias("x")).select("x.*")
+    return out.select("doc_id")
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each task: in how many toxic and other documents each form and stem occurs."""
     seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -143,13 +172,16 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[dict[
     """(lexicon, factors) from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     A form or stem is kept if its toxic documents stand out (the likelihood ratio
-    statistic is at least 18) and hardly any other document has it (0.2 %). Without
+    statistic is at least STANDOUT) and hardly any other document has it (0.2 %). Its
+    weight is shrunk if few documents witness it. Near copies count once. Without
     labelled toxic documents the fixed insults and factors are returned. What reaches
     the driver is bounded by LEXICON.
     """
     fixed = dict.fromkeys(INSULTS, FIXED)
     picked = F.broadcast(sample(labels, size))  # 2 * size rows of two numbers at most
-    own = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic")
+    own = docs.select("doc_id", "text").join(picked, "doc_id")
+    once = durable(without_copies(own).join(picked, "doc_id"))
+    own = docs.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("text", "toxic")
     counts = own.mapInPandas(_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     whole = F.when(F.col("feature") == "", F.struct("a", "b"))
     kept = counts.where("feature = '' or a >= 3 and a > b").orderBy((F.col("feature") != ""), F.col("a").desc(), "b", "feature").limit(LEXICON)
@@ -164,8 +196,9 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[dict[
             continue
         n, both = r.a + r.b, toxic + other
         statistic = 2 * sum(k * log(k * both / (n * t)) for k, t in ((r.a, toxic), (r.b, other)) if k)
-        if statistic >= 18:
-            lexicon[r.feature] = min(LARGEST, log((r.a + 0.5) / (toxic + 1)) - log((r.b + 0.5) / (other + 1)))
+        if statistic >= STANDOUT:
+            weight = log((r.a + 0.5) / (toxic + 1)) - log((r.b + 0.5) / (other + 1))
+            lexicon[r.feature] = min(LARGEST, weight * r.a / (r.a + FEW_WITNESSES))
     return lexicon, _factors(own, lexicon)
 
 
