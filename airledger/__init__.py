@@ -1,0 +1 @@
+"""Source attribution on sensor time series as Spark jobs over long tables."""
