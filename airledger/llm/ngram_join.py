@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, durable, shuffle_width
+from .common import components, durable, release, shuffle_width
 
 #: Ratio of a band's ends.
 BAND_RATIO = 1.6
@@ -338,18 +338,24 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
         .withColumn("spare", F.greatest(F.lit(0), F.col("x.slack") - F.size(F.filter("x.words", lambda w: w == 0))))
         .select("cls", "band", "x.n", "x.words", "x.small", "spare", F.expr("size(filter(x.words, w -> w = 0)) > x.slack").alias("all_words"))
     )
+    release(docs.sparkSession)
     rows = (
         by_class.select("cls", "band", "all_words", F.posexplode("words").alias("at", "word")).where("word <> 0 or all_words")
         .select(F.expr("xxhash64(band, at, word) & 17592186044415").alias("key"), "cls", "band")
     )
     members = durable(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, cls long, band int, met long"))
+    by_class = durable(by_class.select("cls", "band", "n", "small", "spare"))  # the words are done with
+    del rows
+    release(docs.sparkSession)
     rarest = Window.partitionBy("cls", "band").orderBy(F.col("met").desc(), "key")
     kept = (
         members.withColumn("place", F.row_number().over(rarest))
-        .join(by_class.select("cls", "band", "n", "small", "spare"), ["cls", "band"]).where("place > spare")
+        .join(by_class, ["cls", "band"]).where("place > spare")
         .select("key", "band", "cls", "n", "small")
     )
     met = durable(kept.repartition(parts, "key").sortWithinPartitions("key", "band").mapInArrow(_stars(num, den), "a long, b long, key long"))
+    del kept
+    release(docs.sparkSession)
     first = met.where("key is null").select("a", "b").distinct()
     linked, labels = _connect(own, width, first, None, num, den)
 
