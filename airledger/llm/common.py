@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
-
-    Executors may be lost afterwards without recomputing what stands before. A
-    folder of our own is set only where the session names none (tests).
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder; one of our own is set only where the session names none (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The same rows from a table in the checkpoint folder, and a function that deletes it; smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``: executors may be lost afterwards without recomputing what stands before."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

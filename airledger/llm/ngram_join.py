@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import components, durable, release, shuffle_width
+from .common import components, durable, release, shuffle_width, written
 
 #: Ratio of a band's ends.
 BAND_RATIO = 1.6
 #: Words beyond d + 1, as a share of d.
 SLACK = 0.2
 #: Bits of the small sketch for each shingle.
-SMALL_BITS = 0.75
+SMALL_BITS = 0.6
 #: Up to so many members of a key are compared with each other at once; of more a hub is, and then blocks of BLOCK.
 FEW, BLOCK = 64, 256
 #: Members of a key that a task holds at once.
@@ -332,7 +332,7 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
     """
     parts = shuffle_width(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    by_class = durable(
+    by_class, drop_sketches = written(
         own.mapInArrow(_sketched(width, num, den), "cls long, band int, n long, slack int, words array<long>, small array<long>")
         .groupBy("cls", "band").agg(F.any_value(F.struct("n", "slack", "words", "small")).alias("x"))
         .withColumn("spare", F.greatest(F.lit(0), F.col("x.slack") - F.size(F.filter("x.words", lambda w: w == 0))))
@@ -343,9 +343,9 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
         by_class.select("cls", "band", "all_words", F.posexplode("words").alias("at", "word")).where("word <> 0 or all_words")
         .select(F.expr("xxhash64(band, at, word) & 17592186044415").alias("key"), "cls", "band")
     )
-    members = durable(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, cls long, band int, met long"))
-    by_class = durable(by_class.select("cls", "band", "n", "small", "spare"))  # the words are done with
-    del rows
+    members, drop_members = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, cls long, band int, met long"))
+    by_class = durable(by_class.select("cls", "band", "n", "small", "spare"))
+    drop_sketches()  # the words are done with
     release(docs.sparkSession)
     rarest = Window.partitionBy("cls", "band").orderBy(F.col("met").desc(), "key")
     kept = (
@@ -354,7 +354,6 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
         .select("key", "band", "cls", "n", "small")
     )
     met = durable(kept.repartition(parts, "key").sortWithinPartitions("key", "band").mapInArrow(_stars(num, den), "a long, b long, key long"))
-    del kept
     release(docs.sparkSession)
     first = met.where("key is null").select("a", "b").distinct()
     linked, labels = _connect(own, width, first, None, num, den)
@@ -365,6 +364,7 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
     )
     several = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = durable(tagged.join(several, "key"))
+    drop_members()
     if rest.isEmpty():
         return linked, labels.withColumnRenamed("node", "cls")
     dealt = (

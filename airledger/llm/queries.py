@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, ngram_join, packing, quality, secret_scan, topk_search, toxicity, url_filter
+from . import chat_format, fingerprints, mixing, ngram_join, oracles, packing, quality, secret_scan, topk_search, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -86,4 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others learn from text, tokenize, chunk or scan with positions, which SQL can't express: see tests/llm."""
+    return {"op1_ngram_jaccard_join": oracles.OP1, "op5_exact_top_k": oracles.OP5, "op6_source_mixing": oracles.OP6, "op8_url_filters": oracles.OP8}
