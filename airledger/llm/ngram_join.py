@@ -438,13 +438,16 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> Da
     """All columns of one document of each component: the one with the smallest doc_id.
 
     Rows of one doc_id are one document, of which the smallest text is kept. Rows
-    without an id are kept unless a document with an id is reachable by links; texts
+    without an id are told apart by their text and rank behind all others. Texts
     without words are kept.
     """
-    far = near_groups(docs, width, num, den).where("component_id is not null and not doc_id <=> component_id")
+    own_id = (F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))).cast("long")
+    named = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own_id))
+    far = near_groups(named, width, num, den).where("doc_id <> component_id")
     gone = durable(far.select(F.col("doc_id").alias("_gone")).distinct())
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return (
-        docs.withColumn("_first", first).where("doc_id is null or _first = 1").drop("_first")
-        .join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+        named.withColumn("_first", first).where("_first = 1")
+        .join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        .withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).select(*docs.columns)
     )
