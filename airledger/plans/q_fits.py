@@ -14,11 +14,11 @@ HS = ["h1", "h2", "h3", "h4"]
 
 
 def s4(sql: str) -> str:
-    return f"(CASE WHEN round({sql}, 4) = 0 THEN 0.0 ELSE round({sql}, 4) END)"
+    return f"(CASE WHEN round(({sql}) + 1e-8, 4) = 0 THEN 0.0 ELSE round(({sql}) + 1e-8, 4) END)"
 
 
 def r4(c):
-    out = F.round(c, 4)
+    out = F.round(c + 1e-8, 4)
     return F.when(out == 0, F.lit(0.0)).otherwise(out)
 
 

@@ -144,7 +144,7 @@ def m11_observed_study(spark, sf):
 
 @query(with_(DESIGN, GRAM, COH) + f"SELECT window_id, i, j, {s6('coherence')} AS coherence FROM coh WHERE coherence IS NOT NULL AND window_id IN (1, 2)")
 def m12_pair_report(spark, sf):
-    return pairs(spark, sf).where("coherence is not null and window_id in (1, 2)").select("window_id", "i", "j", out.rounded(F.col("coherence")).alias("coherence"))
+    return pairs(spark, sf).where("coherence is not null and window_id in (1, 2)").select("window_id", "i", "j", out.rounded(F.col("coherence") + 1e-9).alias("coherence"))
 
 
 @query(with_(DESIGN) + f"SELECT window_id, {s6('sum(h1) / sum(h1 + h2 + h3)')} AS h1, {s6('sum(h2) / sum(h1 + h2 + h3)')} AS h2, {s6('sum(h3) / sum(h1 + h2 + h3)')} AS h3 FROM design GROUP BY 1")

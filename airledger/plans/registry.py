@@ -22,13 +22,13 @@ def query(sql: str | None = None):
 
 
 def r6(c: Column) -> Column:
-    """Six digits, and no negative zero."""
-    out = F.round(c, 6)
+    """Six digits, and no negative zero. Sums in another order differ in their last bits, so ties are moved off first."""
+    out = F.round(c + 1e-9, 6)
     return F.when(out == 0, F.lit(0.0)).otherwise(out)
 
 
 def s6(sql: str) -> str:
-    return f"(CASE WHEN round({sql}, 6) = 0 THEN 0.0 ELSE round({sql}, 6) END)"
+    return f"(CASE WHEN round(({sql}) + 1e-9, 6) = 0 THEN 0.0 ELSE round(({sql}) + 1e-9, 6) END)"
 
 
 #: SQL views over the base tables, matched by the functions below.

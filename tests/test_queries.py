@@ -1,5 +1,7 @@
 """Every query of the library against its SQL on the same tables."""
 
+import datetime
+
 import duckdb
 import pandas as pd
 import pytest
@@ -21,6 +23,8 @@ def sql(sf):
 def ordered(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if df[c].map(lambda x: isinstance(x, datetime.date)).any():
+            df[c] = pd.to_datetime(df[c])
         if str(df[c].dtype).startswith("datetime"):
             df[c] = df[c].astype("datetime64[ns]")
         if df[c].dtype == object:
