@@ -44,8 +44,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have the driver drop what nothing refers to any more, so that Spark's cleaner removes its shuffle and checkpoint files now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on the Python side is garbage to the driver only then
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

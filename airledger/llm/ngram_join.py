@@ -354,6 +354,7 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
         .select("key", "band", "cls", "n", "small")
     )
     met = durable(kept.repartition(parts, "key").sortWithinPartitions("key", "band").mapInArrow(_stars(num, den), "a long, b long, key long"))
+    del rows, kept
     release(docs.sparkSession)
     first = met.where("key is null").select("a", "b").distinct()
     linked, labels = _connect(own, width, first, None, num, den)
@@ -365,6 +366,7 @@ def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple
     several = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = durable(tagged.join(several, "key"))
     drop_members()
+    release(docs.sparkSession)
     if rest.isEmpty():
         return linked, labels.withColumnRenamed("node", "cls")
     dealt = (
@@ -385,6 +387,7 @@ def _connect(own: DataFrame, width: int, pairs: DataFrame, linked: DataFrame | N
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     found = _verified(pairs, _sets_of(own, durable(ids), width), num, den)
     found = durable(found if linked is None else found.unionByName(linked))
+    release(own.sparkSession)
     return found, components(found)
 
 
@@ -445,6 +448,8 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> Da
     named = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own_id))
     far = near_groups(named, width, num, den).where("doc_id <> component_id")
     gone = durable(far.select(F.col("doc_id").alias("_gone")).distinct())
+    del far
+    release(docs.sparkSession)
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return (
         named.withColumn("_first", first).where("_first = 1")
