@@ -42,7 +42,7 @@ SLACK = 0.2
 #: Bits of the small sketch for each shingle.
 SMALL_BITS = 0.6
 #: Up to so many members of a key are compared with each other at once; of more a hub is, and then blocks of BLOCK.
-FEW, BLOCK = 64, 256
+FEW, BLOCK = 512, 256
 #: Members of a key that a task holds at once.
 HELD = 65_536
 #: A key's members are counted up to this.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 #: Rests are packed whenever so many of their tokens have gathered in a task.
 BLOCK_TOKENS = 8_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 
 class Room:
