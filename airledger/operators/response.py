@@ -8,7 +8,7 @@ same rows serve footprints.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -116,28 +116,39 @@ def aligned(response_: DataFrame, observed: DataFrame, sensors: DataFrame) -> Da
     return response_.select("t_idx", "sensor_idx").distinct().join(named, ["t_idx", "sensor_idx"], "left")
 
 
-def gridded(releases: DataFrame, field: pd.DataFrame, sample: Callable, lag: int, nx: int, ny: int, per_hour: int = 4) -> DataFrame:
+def gridded(releases: DataFrame, field: DataFrame, sample: Callable, lag: int, nx: int, ny: int, per_hour: int = 4, window: int = 168) -> DataFrame:
     """Puffs under a wind that differs in space: ``releases(ix, iy, tau)`` advected in tasks by ``sample(t, x, y)``.
 
-    ``sample`` is any callable on arrays (see :func:`bilinear`); the field of one study window is given to it and travels with the closure.
+    ``sample`` is any callable on arrays (see :func:`bilinear`). Releases and ``field(t_idx,
+    ix, iy, dx, dy)`` are cogrouped by windows of hours; a window's field goes on for
+    ``lag`` hours, so puffs fly on past its end and the rows are those of one window over
+    all hours. Hours between the field's ends that it lacks are calm; beyond its ends the
+    nearest hour's wind holds.
     """
     import numpy as np
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = sample(field, nx, ny)
-        for pdf in batches:
-            x, y, tau = pdf.ix.to_numpy(float), pdf.iy.to_numpy(float), pdf.tau.to_numpy(float)
-            inside, x0, y0, out = np.ones(len(pdf), bool), x.copy(), y.copy(), []
-            for lag_ in range(lag):
-                vx, vy = at(tau + lag_, x, y) if lag_ == 0 else ((x - x0) / lag_, (y - y0) / lag_)
-                out.append(pdf.assign(lag=lag_, x=x, y=y, wx=vx, wy=vy)[inside])
-                for k in range(per_hour):
-                    ux, uy = at(tau + lag_ + k / per_hour, x, y)
-                    x, y = np.where(inside, x + ux / per_hour, x), np.where(inside, y + uy / per_hour, y)
-                    inside &= (x >= -0.5) & (x <= nx - 0.5) & (y >= -0.5) & (y <= ny - 0.5)
-            yield pd.concat(out) if out else pdf.assign(lag=0, x=0.0, y=0.0, wx=0.0, wy=0.0)
-
-    return releases.mapInPandas(run, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double")
+    def run(key: tuple, pdf: pd.DataFrame, wind: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pdf[["ix", "iy", "tau"]].assign(lag=0, x=0.0, y=0.0, wx=0.0, wy=0.0)
+        lo, hi = max(pdf._lo.iloc[0], key[0] * window), min(pdf._hi.iloc[0], (key[0] + 1) * window - 1 + lag)
+        calm = pd.DataFrame({"t_idx": sorted({lo, hi} - set(wind.t_idx)), "ix": 0, "iy": 0, "dx": 0.0, "dy": 0.0})
+        at, pdf = sample(pd.concat([wind.drop(columns="_window"), calm]) if len(calm) else wind.drop(columns="_window"), nx, ny), pdf[["ix", "iy", "tau"]]
+        x, y, tau = pdf.ix.to_numpy(float), pdf.iy.to_numpy(float), pdf.tau.to_numpy(float)
+        inside, x0, y0, out = np.ones(len(pdf), bool), x.copy(), y.copy(), []
+        for lag_ in range(lag):
+            vx, vy = at(tau + lag_, x, y) if lag_ == 0 else ((x - x0) / lag_, (y - y0) / lag_)
+            out.append(pdf.assign(lag=lag_, x=x, y=y, wx=vx, wy=vy)[inside])
+            for k in range(per_hour):
+                ux, uy = at(tau + lag_ + k / per_hour, x, y)
+                x, y = np.where(inside, x + ux / per_hour, x), np.where(inside, y + uy / per_hour, y)
+                inside &= (x >= -0.5) & (x <= nx - 0.5) & (y >= -0.5) & (y <= ny - 0.5)
+        return pd.concat(out)
+
+    ends = field.agg(F.min("t_idx").alias("_lo"), F.max("t_idx").alias("_hi"))
+    of = lambda t: F.floor(t / window)
+    own = releases.join(F.broadcast(ends)).withColumn("_window", of(F.greatest("_lo", F.least("_hi", "tau"))))
+    winds = field.withColumn("_window", F.explode(F.sequence(of(F.col("t_idx") - lag), of(F.col("t_idx")))))
+    return own.groupBy("_window").cogroup(winds.groupBy("_window")).applyInPandas(run, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double")
 
 
 def bilinear(field: pd.DataFrame, nx: int, ny: int) -> Callable:

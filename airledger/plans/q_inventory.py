@@ -70,6 +70,11 @@ def a8_emission_field(spark, sf):
     return inv.emissions(small(spark, sf), activity(spark, sf).where("t_idx < 24")).withColumn("emission", r6(F.col("emission")))
 
 
+@query(with_(READINGS, HOURS, INVENTORY, SMALL, NAMES, ACTIVITY) + f"SELECT t_idx, ix, iy, {s6('sum(theta * mass)')} AS emission FROM activity JOIN small USING (source_idx) GROUP BY 1, 2, 3")
+def a8_emission_field_all_hours(spark, sf):
+    return inv.emissions(small(spark, sf), activity(spark, sf)).withColumn("emission", r6(F.col("emission")))
+
+
 BASIS = "basis AS (SELECT t_idx, 0::BIGINT AS basis_idx, 1.0::DOUBLE AS phi FROM hours UNION ALL SELECT t_idx, 1, 1.0 + sin(2 * pi() * hour(ts) / 24.0) FROM hours)"
 COEF = "coefficients AS (SELECT CAST(s AS BIGINT) AS source_idx, CAST(b AS BIGINT) AS basis_idx, 0.25 * (1 + s) + 0.5 * b AS c FROM range(4) t(s), range(2) u(b))"
 
@@ -149,7 +154,7 @@ def p10_inside_domain(spark, sf):
     return base(spark, sf, "events").where(w.inside(F.col("value") / 10, (F.col("event_id") % 12 - 1).cast("double"), 10, 10)).select("event_id")
 
 
-# The response of four sensors on a 10 x 10 grid, 24 hours, six lags, under the city's wind scaled down.
+# The response of four sensors on a 10 x 10 grid, six lags, under the city's wind scaled down: over the first 24 hours, and over all.
 L, T = 6, 24
 SENSORS = "sensors(sensor_idx, sx, sy) AS (VALUES (0::BIGINT, 2.0::DOUBLE, 2.0::DOUBLE), (1::BIGINT, 7.0, 2.0), (2::BIGINT, 2.0, 7.0), (3::BIGINT, 7.0, 7.0))"
 CITY = f"city AS (SELECT t_idx, coalesce(avg(CASE WHEN ok THEN ux END), 0.0) * 0.2 AS vx, coalesce(avg(CASE WHEN ok THEN vy END), 0.0) * 0.2 AS vy FROM panel WHERE t_idx < {T} GROUP BY t_idx)"
@@ -165,95 +170,116 @@ KERNEL = """rot AS (SELECT p.tau + p.lag AS t_idx, p.tau, p.lag, s.sensor_idx, s
   kern AS (SELECT t_idx, tau, lag, sensor_idx, sx, sy, ix, iy, exp(-0.5 * ((dx * ex + dy * ey) * (dx * ex + dy * ey) / vp + (-dx * ey + dy * ex) * (-dx * ey + dy * ex) / vq)) / (2 * pi() * sqrt(vp * vq)) AS g FROM rot)"""
 H = "resp AS (SELECT k.t_idx, sensor_idx, source_idx, basis_idx, sum(mass * phi * g) AS h FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy AND mass > 1e-6 JOIN basis b ON b.t_idx = k.tau AND phi <> 0 GROUP BY 1, 2, 3, 4)"
 ALL = with_(BASE, INVENTORY, SMALL, SENSORS, CITY, PATHS, KERNEL, BASIS, H)
+WHOLE = ALL.replace(CITY, CITY.replace(f" WHERE t_idx < {T}", ""))
+
+
+def by_hour(sql, whole_sql=True):
+    """Registers a query over the first T hours and, as ``<name>_all_hours``, over every hour of events."""
+    def add(f):
+        for name, own, last in ((f.__name__, ALL + sql, T), (f"{f.__name__}_all_hours", WHOLE + sql if whole_sql else None, None)):
+            def run(spark, sf, last=last):
+                return f(spark, sf, last)
+
+            run.__name__ = name
+            query(own)(run)
+        return f
+
+    return add
 
 
 def sensors(spark):
     return spark.createDataFrame([(0, 2.0, 2.0), (1, 7.0, 2.0), (2, 2.0, 7.0), (3, 7.0, 7.0)], "sensor_idx long, sx double, sy double")
 
 
-def city(spark, sf):
-    return rd.city_mean(panel(spark, sf).where(F.col("t_idx") < T)).select("t_idx", (F.col("vx") * 0.2).alias("vx"), (F.col("vy") * 0.2).alias("vy"))
+def city(spark, sf, last=None):
+    rows = panel(spark, sf) if last is None else panel(spark, sf).where(F.col("t_idx") < last)
+    return rd.city_mean(rows).select("t_idx", (F.col("vx") * 0.2).alias("vx"), (F.col("vy") * 0.2).alias("vy"))
 
 
-def kernel(spark, sf):
-    own = city(spark, sf)
+def kernel(spark, sf, last=None):
+    own = city(spark, sf, last)
     flying, exits = rs.puffs(small(spark, sf).select("ix", "iy").distinct(), own, L, 10, 10)
     return rs.kernel(flying, sensors(spark), own), exits
 
 
-def lagged(spark, sf):
-    return rs.response(kernel(spark, sf)[0], small(spark, sf), basis(spark, sf))
+def lagged(spark, sf, last=None):
+    return rs.response(kernel(spark, sf, last)[0], small(spark, sf), basis(spark, sf))
 
 
-@query(ALL + f"SELECT tau, j, {s6('px')} AS px, {s6('py')} AS py FROM way")
-def j7_puff_paths(spark, sf):
-    return rs.paths(city(spark, sf), L).select("tau", F.col("j").cast("long").alias("j"), r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
+@by_hour(f"SELECT tau, j, {s6('px')} AS px, {s6('py')} AS py FROM way")
+def j7_puff_paths(spark, sf, last):
+    return rs.paths(city(spark, sf, last), L).select("tau", F.col("j").cast("long").alias("j"), r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
 
 
-@query(ALL + "SELECT ix, iy, tau, lag, sensor_idx, t_idx FROM kern")
-def j6_lagged_pairs(spark, sf):
-    return kernel(spark, sf)[0].select("ix", "iy", "tau", "lag", "sensor_idx", "t_idx")
+@by_hour("SELECT ix, iy, tau, lag, sensor_idx, t_idx FROM kern", whole_sql=False)  # a row for each kernel row
+def j6_lagged_pairs(spark, sf, last):
+    return kernel(spark, sf, last)[0].select("ix", "iy", "tau", "lag", "sensor_idx", "t_idx")
 
 
 @query(ALL + f"SELECT ix, iy, tau, lag, sensor_idx, {s6('g')} AS g FROM kern WHERE t_idx = 12")
 def f8_puff_density(spark, sf):
-    return kernel(spark, sf)[0].where("t_idx = 12").select("ix", "iy", "tau", "lag", "sensor_idx", r6(F.col("g")).alias("g"))
+    return kernel(spark, sf, T)[0].where("t_idx = 12").select("ix", "iy", "tau", "lag", "sensor_idx", r6(F.col("g")).alias("g"))
 
 
-@query(ALL + f"SELECT t_idx, sensor_idx, source_idx, basis_idx, {s6('h')} AS h FROM resp")
-def j9_lagged_response(spark, sf):
-    return lagged(spark, sf).withColumn("h", r6(F.col("h")))
+@query()
+def f8_puff_density_all_hours(spark, sf):
+    return kernel(spark, sf)[0].select("t_idx", "ix", "iy", "tau", "lag", "sensor_idx", r6(F.col("g")).alias("g"))
+
+
+@by_hour(f"SELECT t_idx, sensor_idx, source_idx, basis_idx, {s6('h')} AS h FROM resp")
+def j9_lagged_response(spark, sf, last):
+    return lagged(spark, sf, last).withColumn("h", r6(F.col("h")))
 
 
-@query(ALL + f"SELECT t_idx, sensor_idx, source_idx, basis_idx, {s6('h')} AS h FROM resp WHERE t_idx >= {L - 1}")
-def p12_trimmed_response(spark, sf):
-    return rs.response(kernel(spark, sf)[0], small(spark, sf), basis(spark, sf), trim=L - 1).withColumn("h", r6(F.col("h")))
+@by_hour(f"SELECT t_idx, sensor_idx, source_idx, basis_idx, {s6('h')} AS h FROM resp WHERE t_idx >= {L - 1}")
+def p12_trimmed_response(spark, sf, last):
+    return rs.response(kernel(spark, sf, last)[0], small(spark, sf), basis(spark, sf), trim=L - 1).withColumn("h", r6(F.col("h")))
 
 
-@query(ALL + f", p AS (SELECT sensor_idx, ix, iy, b.basis_idx, sum(phi * g) AS pull FROM kern k JOIN basis b ON b.t_idx = k.tau AND phi <> 0 GROUP BY 1, 2, 3, 4), {COEF}, f AS (SELECT sensor_idx, p.ix, p.iy, sum(mass * c * pull) AS fitted FROM p JOIN small s ON s.ix = p.ix AND s.iy = p.iy JOIN coefficients k ON k.source_idx = s.source_idx AND k.basis_idx = p.basis_idx GROUP BY 1, 2, 3), "
+@by_hour(f", p AS (SELECT sensor_idx, ix, iy, b.basis_idx, sum(phi * g) AS pull FROM kern k JOIN basis b ON b.t_idx = k.tau AND phi <> 0 GROUP BY 1, 2, 3, 4), {COEF}, f AS (SELECT sensor_idx, p.ix, p.iy, sum(mass * c * pull) AS fitted FROM p JOIN small s ON s.ix = p.ix AND s.iy = p.iy JOIN coefficients k ON k.source_idx = s.source_idx AND k.basis_idx = p.basis_idx GROUP BY 1, 2, 3), "
   f"g AS (SELECT sensor_idx, ix, iy, sum(pull) AS geometric FROM p GROUP BY 1, 2, 3) SELECT sensor_idx, ix, iy, {s6('geometric')} AS geometric, {s6('coalesce(fitted, 0.0)')} AS fitted FROM g LEFT JOIN f USING (sensor_idx, ix, iy)")
-def a23_footprints(spark, sf):
-    out = rs.footprints(rs.cell_response(kernel(spark, sf)[0], basis(spark, sf)), small(spark, sf), coef(spark))
+def a23_footprints(spark, sf, last):
+    out = rs.footprints(rs.cell_response(kernel(spark, sf, last)[0], basis(spark, sf)), small(spark, sf), coef(spark))
     return out.select("sensor_idx", "ix", "iy", r6(F.col("geometric")).alias("geometric"), r6(F.col("fitted")).alias("fitted"))
 
 
-@query(ALL + f"SELECT source_idx, basis_idx, count(*) AS n_exits, {s6('sum(mass * phi)')} AS mass FROM exits e JOIN small s ON s.ix = e.ix AND s.iy = e.iy AND mass > 0 JOIN basis b ON b.t_idx = e.tau AND phi <> 0 GROUP BY 1, 2")
-def a33_exit_accounting(spark, sf):
-    return rs.exit_accounting(kernel(spark, sf)[1], small(spark, sf), basis(spark, sf)).withColumn("mass", r6(F.col("mass")))
+@by_hour(f"SELECT source_idx, basis_idx, count(*) AS n_exits, {s6('sum(mass * phi)')} AS mass FROM exits e JOIN small s ON s.ix = e.ix AND s.iy = e.iy AND mass > 0 JOIN basis b ON b.t_idx = e.tau AND phi <> 0 GROUP BY 1, 2")
+def a33_exit_accounting(spark, sf, last):
+    return rs.exit_accounting(kernel(spark, sf, last)[1], small(spark, sf), basis(spark, sf)).withColumn("mass", r6(F.col("mass")))
 
 
 TERMS = ", terms AS (SELECT k.t_idx, sensor_idx, source_idx, basis_idx, lag, mass * phi * g AS v FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy JOIN basis b ON b.t_idx = k.tau), "
 DELTAS = "g AS (SELECT t_idx, sensor_idx, source_idx, basis_idx, cut, sum(CASE WHEN lag < cut THEN v ELSE 0.0 END) AS h FROM terms, (SELECT unnest([2, 4, 6])::BIGINT AS cut) GROUP BY 1, 2, 3, 4, 5), n AS (SELECT *, lead(h) OVER (PARTITION BY t_idx, sensor_idx, source_idx, basis_idx ORDER BY cut) AS nx FROM g), d AS (SELECT cut AS lag, sqrt(sum((nx - h) * (nx - h))) / greatest(sqrt(sum(nx * nx)), 1e-12) AS delta FROM n WHERE nx IS NOT NULL GROUP BY 1)"
 
 
-@query(ALL + TERMS + DELTAS + f" SELECT lag, {s6('delta')} AS delta FROM d")
-def a34_lag_convergence(spark, sf):
-    return rs.lag_convergence(kernel(spark, sf)[0], small(spark, sf), basis(spark, sf), [2, 4, 6], 0.3)[0].withColumn("delta", r6(F.col("delta")))
+@by_hour(TERMS + DELTAS + f" SELECT lag, {s6('delta')} AS delta FROM d")
+def a34_lag_convergence(spark, sf, last):
+    return rs.lag_convergence(kernel(spark, sf, last)[0], small(spark, sf), basis(spark, sf), [2, 4, 6], 0.3)[0].withColumn("delta", r6(F.col("delta")))
 
 
-@query(ALL + TERMS + DELTAS + " SELECT coalesce(min(CASE WHEN delta <= 0.3 THEN lag END), 6) AS chosen FROM d")
-def t5_chosen_lag(spark, sf):
-    return rs.lag_convergence(kernel(spark, sf)[0], small(spark, sf), basis(spark, sf), [2, 4, 6], 0.3)[1]
+@by_hour(TERMS + DELTAS + " SELECT coalesce(min(CASE WHEN delta <= 0.3 THEN lag END), 6) AS chosen FROM d")
+def t5_chosen_lag(spark, sf, last):
+    return rs.lag_convergence(kernel(spark, sf, last)[0], small(spark, sf), basis(spark, sf), [2, 4, 6], 0.3)[1]
 
 
-@query(ALL + f", q AS (SELECT t_idx, sx, sy, sum(g) AS v FROM kern GROUP BY 1, 2, 3) SELECT t_idx, {s6('sum(v * sx * sx) / sum(v) - (sum(v * sx) / sum(v)) * (sum(v * sx) / sum(v))')} AS var_x, {s6('sum(v * sy * sy) / sum(v) - (sum(v * sy) / sum(v)) * (sum(v * sy) / sum(v))')} AS var_y FROM q GROUP BY 1")
-def a41_plume_moments(spark, sf):
-    rows = kernel(spark, sf)[0].groupBy("t_idx", "sensor_idx").agg(F.sum("g").alias("v")).join(F.broadcast(sensors(spark)), "sensor_idx")
+@by_hour(f", q AS (SELECT t_idx, sx, sy, sum(g) AS v FROM kern GROUP BY 1, 2, 3) SELECT t_idx, {s6('sum(v * sx * sx) / sum(v) - (sum(v * sx) / sum(v)) * (sum(v * sx) / sum(v))')} AS var_x, {s6('sum(v * sy * sy) / sum(v) - (sum(v * sy) / sum(v)) * (sum(v * sy) / sum(v))')} AS var_y FROM q GROUP BY 1")
+def a41_plume_moments(spark, sf, last):
+    rows = kernel(spark, sf, last)[0].groupBy("t_idx", "sensor_idx").agg(F.sum("g").alias("v")).join(F.broadcast(sensors(spark)), "sensor_idx")
     return rs.moments(rows).select("t_idx", r6(F.col("var_x")).alias("var_x"), r6(F.col("var_y")).alias("var_y"))
 
 
-@query(ALL + "SELECT source_idx, basis_idx, tau, k.ix, k.iy, k.t_idx, sensor_idx FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy AND mass > 1e-6 JOIN basis b ON b.t_idx = k.tau AND phi <> 0 ORDER BY source_idx, basis_idx, tau, ix, iy, t_idx, sensor_idx LIMIT 500")
-def t1_first_kernel_records(spark, sf):
-    rows = kernel(spark, sf)[0].join(F.broadcast(small(spark, sf).where("mass > 1e-6")), ["ix", "iy"]).join(basis(spark, sf).where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
+@by_hour("SELECT source_idx, basis_idx, tau, k.ix, k.iy, k.t_idx, sensor_idx FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy AND mass > 1e-6 JOIN basis b ON b.t_idx = k.tau AND phi <> 0 ORDER BY source_idx, basis_idx, tau, ix, iy, t_idx, sensor_idx LIMIT 500")
+def t1_first_kernel_records(spark, sf, last):
+    rows = kernel(spark, sf, last)[0].join(F.broadcast(small(spark, sf).where("mass > 1e-6")), ["ix", "iy"]).join(basis(spark, sf).where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
     keys = ["source_idx", "basis_idx", "tau", "ix", "iy", "t_idx", "sensor_idx"]
     return rows.orderBy(*keys).limit(500).select(*keys)
 
 
-@query(ALL + f", o AS (SELECT t_idx, CASE WHEN station_id = 1 THEN NULL ELSE station_id END AS idx, 's' || station_id AS sid, pm25 FROM panel WHERE station_id < 4) SELECT r.t_idx, r.sensor_idx, {s6('o.pm25')} AS y FROM (SELECT DISTINCT t_idx, sensor_idx FROM resp) r LEFT JOIN o ON o.t_idx = r.t_idx AND coalesce(o.idx, CAST(substr(o.sid, 2) AS BIGINT)) = r.sensor_idx")
-def j15_aligned_observations(spark, sf):
+@by_hour(f", o AS (SELECT t_idx, CASE WHEN station_id = 1 THEN NULL ELSE station_id END AS idx, 's' || station_id AS sid, pm25 FROM panel WHERE station_id < 4) SELECT r.t_idx, r.sensor_idx, {s6('o.pm25')} AS y FROM (SELECT DISTINCT t_idx, sensor_idx FROM resp) r LEFT JOIN o ON o.t_idx = r.t_idx AND coalesce(o.idx, CAST(substr(o.sid, 2) AS BIGINT)) = r.sensor_idx")
+def j15_aligned_observations(spark, sf, last):
     observed = panel(spark, sf).where("station_id < 4").select("t_idx", F.when(F.col("station_id") != 1, F.col("station_id")).alias("sensor_idx"), F.concat(F.lit("s"), F.col("station_id").cast("string")).alias("sensor_id"), F.col("pm25").alias("y"))
     ids = sensors(spark).select("sensor_idx", F.concat(F.lit("s"), F.col("sensor_idx").cast("string")).alias("sensor_id"))
-    return rs.aligned(lagged(spark, sf), observed, ids).select("t_idx", "sensor_idx", r6(F.col("y")).alias("y"))
+    return rs.aligned(lagged(spark, sf, last), observed, ids).select("t_idx", "sensor_idx", r6(F.col("y")).alias("y"))
 
 
 @query()
@@ -261,11 +287,16 @@ def j8_gridded_advection(spark, sf):
     from ..operators import spatial as sp
     from .q_spatial import placed
 
-    field = sp.wind_field(panel(spark, sf).where("t_idx < 12"), placed(spark, sf), 8, 8, dx_m=20000.0).select("t_idx", "ix", "iy", "dx", "dy").toPandas()  # one window: 12 x 64 rows
-    releases = sp.cells(spark, 8, 8).select("ix", "iy").join(hours(spark, sf).where("t_idx < 8").select(F.col("t_idx").alias("tau")))
+    field = sp.wind_field(panel(spark, sf), placed(spark, sf), 8, 8, dx_m=20000.0).select("t_idx", "ix", "iy", "dx", "dy")
+    releases = hours(spark, sf).select(F.col("t_idx").alias("tau")).join(F.broadcast(sp.cells(spark, 8, 8).select("ix", "iy")))
     return rs.gridded(releases, field, rs.bilinear, 4, 8, 8)
 
 
 @query(with_(BASE) + "SELECT t_idx, station_id AS sensor_idx FROM panel WHERE pm25 IS NOT NULL AND t_idx < 24")
 def p8_observed_rows(spark, sf):
     return panel(spark, sf).where("pm25_valid and t_idx < 24").select("t_idx", F.col("station_id").alias("sensor_idx"))
+
+
+@query(with_(BASE) + "SELECT t_idx, station_id AS sensor_idx FROM panel WHERE pm25 IS NOT NULL")
+def p8_observed_rows_all_hours(spark, sf):
+    return panel(spark, sf).where("pm25_valid").select("t_idx", F.col("station_id").alias("sensor_idx"))

@@ -79,6 +79,14 @@ def j10_space_time_neighbours(spark, sf):
     return sp.neighbours(rows, 2, 5)
 
 
+@query(with_(BASE) + """, rows AS (SELECT station_id, t_idx, ok FROM panel), hi AS (SELECT max(t_idx) AS hi FROM rows), near AS (SELECT DISTINCT r.station_id, r.t_idx, greatest(0, least(hi, r.t_idx + d)) AS n_t FROM rows r, hi, (SELECT unnest(range(-2, 3)) AS d)),
+  p AS (SELECT n.station_id, n.t_idx, s.station_id AS n_station, n.n_t, row_number() OVER (PARTITION BY n.station_id, n.t_idx ORDER BY s.station_id, n.n_t) AS slot FROM near n JOIN rows s ON s.t_idx = n.n_t AND s.ok AND NOT (s.station_id = n.station_id AND s.t_idx = n.t_idx)),
+  g AS (SELECT r.station_id, r.t_idx, CAST(k AS INTEGER) AS slot FROM rows r, range(1, 6) x(k))
+  SELECT g.station_id, g.t_idx, g.slot, coalesce(p.n_station, f.n_station) AS n_station, coalesce(p.n_t, f.n_t) AS n_t FROM g LEFT JOIN p USING (station_id, t_idx, slot) LEFT JOIN p f ON f.station_id = g.station_id AND f.t_idx = g.t_idx AND f.slot = 1""")
+def j10_space_time_neighbours_all_hours(spark, sf):
+    return sp.neighbours(panel(spark, sf).select("station_id", "t_idx", F.col("vector_valid").alias("allowed")), 2, 5)
+
+
 @query(with_(BASE, HELD) + f""", lim AS (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM stations), n AS (SELECT max(t_idx) + 1 AS n FROM panel)
   SELECT p.station_id * n + t_idx AS linear_id, {s6('(lon - x0) / greatest(x1 - x0, 1e-9)')} AS x, {s6('(lat - y0) / greatest(y1 - y0, 1e-9)')} AS y, {s6('t_idx / greatest(n - 1, 1)')} AS t,
   CASE WHEN p.station_id IN (SELECT station_id FROM held) THEN 'validation' ELSE 'train' END AS part FROM panel p JOIN stations USING (station_id), lim, n WHERE ok""")
@@ -89,7 +97,7 @@ def m13_training_table(spark, sf):
 
 @query()
 def t7_wind_ensemble(spark, sf):
-    members = sp.ensemble(panel(spark, sf).where("t_idx < 48"), placed(spark, sf), 4, "bootstrap", "s")
+    members = sp.ensemble(panel(spark, sf), placed(spark, sf), 4, "bootstrap", "s")
     points = members.select("member_id", "t_idx").distinct().join(F.broadcast(sp.cells(spark, 4, 4)))
     return sp.interpolate(points, members.drop("ensemble_kind"), ["member_id", "t_idx"], ["ux", "vy"])
 
