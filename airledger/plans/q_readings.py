@@ -178,6 +178,16 @@ def w6_even_windows(spark, sf):
     return cut.groupBy("window_id", "station_id").agg(r6(F.avg("pm25")).alias("pm25"), F.count("*").alias("n"))
 
 
+def n_hours(spark, sf):
+    return hours(spark, sf).agg(F.max("t_idx") + 1).first()[0] or 0
+
+
+@query(with_(BASE) + f", w AS (SELECT i AS window_id, CAST(round_even(i * (greatest(n, 168) - 168) / 7.0, 0) AS BIGINT) AS start FROM range(8) r(i), (SELECT max(t_idx) + 1 AS n FROM hours)) SELECT w.window_id, station_id, {s6('avg(pm25)')} AS pm25, count(*) AS n FROM panel JOIN w ON t_idx >= start AND t_idx < start + 168 GROUP BY 1, 2")
+def w6_even_windows_all_hours(spark, sf):
+    cut = op.in_windows(panel(spark, sf), op.even_windows(spark, max(168, n_hours(spark, sf)), 168, 8), 168)
+    return cut.groupBy("window_id", "station_id").agg(r6(F.avg("pm25")).alias("pm25"), F.count("*").alias("n"))
+
+
 @query(with_(BASE) + f""", w(start) AS (VALUES (0), (168), (336), (432)), cut AS (SELECT p.*, start FROM panel p JOIN w ON t_idx >= start AND t_idx < start + 168),
   m AS (SELECT station_id, start, avg(pm25) AS m FROM cut GROUP BY 1, 2), a AS (SELECT station_id, t_idx, avg(m) AS p, first(pm25) AS o FROM cut JOIN m USING (station_id, start) GROUP BY 1, 2)
   SELECT station_id, t_idx, {s6('coalesce(o, p)')} AS pm25, o IS NULL AS imputed FROM a""")
@@ -186,6 +196,14 @@ def w7_sliding_imputation(spark, sf):
     return out.withColumn("pm25", r6(F.col("pm25")))
 
 
+@query(with_(BASE) + f""", n AS (SELECT max(t_idx) + 1 AS n FROM hours), w AS (SELECT unnest(range(0, greatest(n - 167, 1), 168)) AS start FROM n UNION SELECT greatest(n - 168, 0) FROM n), cut AS (SELECT p.*, start FROM panel p JOIN w ON t_idx >= start AND t_idx < start + 168),
+  m AS (SELECT station_id, start, avg(pm25) AS m FROM cut GROUP BY 1, 2), a AS (SELECT station_id, t_idx, avg(m) AS p, first(pm25) AS o FROM cut JOIN m USING (station_id, start) GROUP BY 1, 2)
+  SELECT station_id, t_idx, {s6('coalesce(o, p)')} AS pm25, o IS NULL AS imputed FROM a""")
+def w7_sliding_imputation_all_hours(spark, sf):
+    out = op.impute_sliding(panel(spark, sf).select("station_id", "t_idx", "pm25"), op.sliding(spark, n_hours(spark, sf), 168), 168)
+    return out.withColumn("pm25", r6(F.col("pm25")))
+
+
 @query(with_(READINGS, HOURS) + ", s AS (SELECT max(t_idx) + 1 AS n FROM hours) SELECT t_idx, CASE WHEN n - greatest(1, floor(n * 0.8)) < 24 OR greatest(1, floor(n * 0.8)) < 24 THEN 'both' WHEN t_idx < floor(n * 0.8) THEN 'train' ELSE 'validation' END AS part FROM hours, s")
 def w8_chronological_split(spark, sf):
     return op.chronological(hours(spark, sf)).select("t_idx", "part")

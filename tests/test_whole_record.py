@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from airledger.operators import readings as rd
 from airledger.operators import response as rs
 from airledger.plans import queries as library
-from airledger.plans.q_readings import hours
+from airledger.plans.q_readings import hours, panel
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,17 @@ def test_windows_give_the_rows_of_one_window(spark):
     one, cut = (rs.gridded(*frames, rs.bilinear, lag, size, size, window=w).toPandas().sort_values(keys).reset_index(drop=True) for w in (1000, 5))
     assert set(one.tau) == set(range(n + 3)) and len(one) > len(releases)
     pd.testing.assert_frame_equal(one, cut)
+
+
+def test_windows_reach_the_last_hour(spark):
+    """At sf0.01 there are more hours than the 600 of w6's and w7's SQL."""
+    at = "/root/testdata/sf0.01"
+    last, all_rows = (f(spark, at) for f in (lambda *a: hours(*a).count() - 1, lambda *a: panel(*a).count()))
+    assert last > 600
+    filled = library.queries()["w7_sliding_imputation_all_hours"](spark, at)
+    assert filled.count() == all_rows and filled.agg(F.max("t_idx")).first()[0] == last
+    starts = rd.even_windows(spark, last + 1, 168, 8).agg(F.max("start")).first()[0]
+    assert starts + 167 == last
+    days = panel(spark, at).where(F.col("t_idx") > last - 168).groupBy("station_id").agg(F.avg("pm25").alias("m"))
+    ends = library.queries()["w6_even_windows_all_hours"](spark, at).where("window_id = 7").join(days, "station_id")
+    assert ends.count() == 32 and ends.where("abs(pm25 - m) > 1e-5").count() == 0
