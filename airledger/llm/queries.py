@@ -30,8 +30,8 @@ REPLY = {"reply": {"text": ("string", True), "n_chars": ("integer", True), "turn
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return chat_format.link(calls, results, REPLY)
+    calls, results, contexts = chat_format.turns_as_calls(table(spark, sf_dir, "conversations"))
+    return chat_format.link(calls, results, REPLY, contexts)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
