@@ -45,7 +45,7 @@ def factors(spark, sf):
 
 @query()
 def m7_residual_adequacy(spark, sf):
-    return ad.verdicts(ad.replicates(factors(spark, sf), "window_id", 1, 2, noise=0.5, n=200, chunk=50), "window_id")
+    return ad.verdicts(ad.replicates(factors(spark, sf), "window_id", 1, 2, noise=0.5, n=1000, chunk=100), "window_id")
 
 
 @query()
@@ -57,14 +57,18 @@ def m8_sweep(spark, sf):
 
 @query()
 def m9_missing_source(spark, sf):
-    """The target is made of h1 alone (null) or also of h4 (visible); the fit knows h1 and h2."""
+    """The target is made of h1 alone (null), also of h4 (visible), or also of a mix of known columns (in-span); the fit knows h1 and h2.
+
+    ``out_of_span`` is the part of the omitted signal that the known columns don't span; null if nothing is omitted.
+    """
     rows = design(spark, sf).withColumns({"one": F.lit(1.0), "e": F.rand(1) - 0.5})
-    cases = {0: 0.5 * F.col("h1") + F.col("e"), 1: 0.5 * F.col("h1") + F.col("h4") + F.col("e")}
-    both = None
-    for i, y in cases.items():
-        part = rows.select(F.lit(i).cast("long").alias("case_id"), "one", "h1", "h2", y.alias("y"))
-        both = part if both is None else both.unionByName(part)
-    return ad.verdicts(ad.replicates(fa.factor(both, "case_id", ["one", "h1", "h2", "y"]), "case_id", 1, 2, noise=12**-0.5, n=100, chunk=50), "case_id")
+    omitted = [F.lit(0.0), F.col("h4"), 1.0 + 0.3 * F.col("h1") + 0.2 * F.col("h2")]
+    cases = rows.withColumn("miss", F.array(*omitted)).select("*", F.posexplode("miss").alias("case_id", "m")).select(F.col("case_id").cast("long").alias("case_id"), "one", "h1", "h2", "m", (0.5 * F.col("h1") + F.col("m") + F.col("e")).alias("y"))
+    r = lambda i: F.col("r")[4 * i + 3]
+    whole = F.sqrt(r(0) ** 2 + r(1) ** 2 + r(2) ** 2 + r(3) ** 2)
+    span = fa.factor(cases, "case_id", ["one", "h1", "h2", "m"]).select("case_id", F.when(whole > 0, F.abs(r(3)) / whole).alias("out_of_span"))
+    found = ad.verdicts(ad.replicates(fa.factor(cases, "case_id", ["one", "h1", "h2", "y"]), "case_id", 1, 2, noise=12**-0.5, n=1000, chunk=100), "case_id")
+    return found.join(F.broadcast(span), "case_id")
 
 
 @query("SELECT c.noise, s.slope, (row_number() OVER (ORDER BY c.noise, s.slope) - 1)::BIGINT AS config_id FROM (SELECT unnest([0.0, 0.05, 0.2])::DOUBLE AS noise) c, (SELECT unnest([1.0, 0.5])::DOUBLE AS slope) s")

@@ -51,3 +51,11 @@ def test_windows_reach_the_last_hour(spark):
     days = panel(spark, at).where(F.col("t_idx") > last - 168).groupBy("station_id").agg(F.avg("pm25").alias("m"))
     ends = library.queries()["w6_even_windows_all_hours"](spark, at).where("window_id = 7").join(days, "station_id")
     assert ends.count() == 32 and ends.where("abs(pm25 - m) > 1e-5").count() == 0
+
+
+def test_missing_source_has_all_cases(spark, sf):
+    got = {r.case_id: r for r in library.queries()["m9_missing_source"](spark, sf).collect()}
+    assert set(got) == {0, 1, 2} and got[0].out_of_span is None and got[2].out_of_span < 1e-8 and 0.01 < got[1].out_of_span < 1
+    assert got[1].inadequate and got[1].p_value < 0.002  # 1000 replicates can say so, 100 can't
+    own = library.queries()["m9_missing_source"](spark, sf)
+    assert abs(got[2].t0 - got[0].t0) < 1e-6 * got[0].t0 and own.columns[-1] == "out_of_span"
