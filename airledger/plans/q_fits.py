@@ -87,7 +87,8 @@ def a15_per_sensor_identifiability(spark, sf):
 
 @query("SELECT i::BIGINT AS col_idx, CASE WHEN i IN (1, 4) THEN -1 WHEN i < 1 THEN i WHEN i < 4 THEN i - 1 ELSE i - 2 END::BIGINT AS reduced_idx FROM range(7) r(i)")
 def p7_fixed_zero_columns(spark, sf):
-    return fa.fixed_zero_map(spark.range(7).withColumnRenamed("id", "col_idx"), spark.createDataFrame([(1,), (4,)], "col_idx long"))
+    """The columns are the line numbers from 0."""
+    return fa.fixed_zero_map(base(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).cast("long").alias("col_idx")).distinct(), spark.createDataFrame([(1,), (4,)], "col_idx long"))
 
 
 @query(with_(DESIGN, GRAM, COH) + f"SELECT window_id, {s6('max(coherence)')} AS coherence, arg_max(i, coherence) AS i, arg_max(j, coherence) AS j, arg_min(i, sqrt(1 - coherence * coherence)) AS near_i, arg_min(j, sqrt(1 - coherence * coherence)) AS near_j FROM coh GROUP BY 1")

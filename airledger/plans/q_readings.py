@@ -134,6 +134,14 @@ def f2_wind_from_vector(spark, sf):
     return readings(spark, sf).where("wd > 0.5").select("event_id", r6(wind.speed(ux, vy)).alias("ws"), r6(wind.direction(ux, vy)).alias("wd"))
 
 
+@query(with_(READINGS) + ", v AS (SELECT event_id, wd, ws, -ws * sin(radians(wd)) AS ux, -ws * cos(radians(wd)) AS vy FROM readings) "
+  f"SELECT event_id, {s6('sqrt(ux * ux + vy * vy)')} AS ws, {s6('((degrees(atan2(-ux, -vy)) % 360) + 360) % 360')} % 360 AS wd FROM v")
+def f2_wind_from_vector_all_readings(spark, sf):
+    """A direction that rounds to 360 is 0."""
+    ux, vy = wind.transport_x(F.col("wd"), F.col("ws")), wind.transport_y(F.col("wd"), F.col("ws"))
+    return readings(spark, sf).select("event_id", r6(wind.speed(ux, vy)).alias("ws"), (r6(wind.direction(ux, vy)) % 360).alias("wd"))
+
+
 @query(with_(READINGS) + "SELECT event_id, least(abs(hour(ts) - 19.0), 24.0 - abs(hour(ts) - 19.0))::DOUBLE AS d FROM readings")
 def f3_circular_hours(spark, sf):
     return readings(spark, sf).select("event_id", clock.circular_hours(F.hour("ts"), 19).alias("d"))

@@ -151,6 +151,11 @@ def m12_pair_report(spark, sf):
     return pairs(spark, sf).where("coherence is not null and window_id in (1, 2)").select("window_id", "i", "j", out.rounded(F.col("coherence") + 1e-9).alias("coherence"))
 
 
+@query(with_(DESIGN, GRAM, COH) + f"SELECT window_id, i, j, {s6('coherence')} AS coherence FROM coh WHERE coherence IS NOT NULL")
+def m12_pair_report_all_windows(spark, sf):
+    return pairs(spark, sf).where("coherence is not null").select("window_id", "i", "j", out.rounded(F.col("coherence") + 1e-9).alias("coherence"))
+
+
 @query(with_(DESIGN) + f"SELECT window_id, {s6('sum(h1) / sum(h1 + h2 + h3)')} AS h1, {s6('sum(h2) / sum(h1 + h2 + h3)')} AS h2, {s6('sum(h3) / sum(h1 + h2 + h3)')} AS h3 FROM design GROUP BY 1")
 def m12_t4_apportionment(spark, sf):
     own = design(spark, sf).groupBy("window_id").agg(*[F.sum(c).alias(c) for c in ("h1", "h2", "h3")])
@@ -230,8 +235,17 @@ def c4_wind_product(spark, sf):
 
 @query("SELECT o_orderkey AS experiment_row, 'observed_week' AS experiment, 'observed' AS kind FROM orders WHERE o_orderkey < 500")
 def c6_run_results(spark, sf):
+    return run_results(spark, base(spark, sf, "orders").where("o_orderkey < 500"))
+
+
+@query("SELECT o_orderkey AS experiment_row, 'observed_week' AS experiment, 'observed' AS kind FROM orders")
+def c6_run_results_all_orders(spark, sf):
+    return run_results(spark, base(spark, sf, "orders"))
+
+
+def run_results(spark, orders):
     path = scratch(spark)
-    base(spark, sf, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("experiment_row"), F.lit("observed_week").alias("experiment")).write.json(f"{path}/week1")
+    orders.select(F.col("o_orderkey").alias("experiment_row"), F.lit("observed_week").alias("experiment")).write.json(f"{path}/week1")
     reader = spark.read.option("recursiveFileLookup", True).schema("experiment_row long, experiment string").json(path)
     return reader.withColumn("kind", F.when(F.col("experiment").startswith("observed"), "observed").otherwise("controlled")).select("experiment_row", "experiment", "kind")
 
@@ -265,7 +279,7 @@ def f18_zeroed_coefficients(spark, sf):
 def f11_admissible_columns(spark, sf):
     from ..functions.bases import fixed_zeros
 
-    pairs_ = spark.range(4).select(F.col("id").alias("source_idx")).join(spark.range(3).select(F.col("id").alias("basis_idx")))
+    pairs_ = base(spark, sf, "lineitem").select((F.col("l_linenumber") % 4).cast("long").alias("source_idx"), (F.col("l_suppkey") % 3).alias("basis_idx")).distinct()
     zeros = fixed_zeros(pairs_, (F.col("basis_idx") == 0) | ((F.col("source_idx") == 0) & (F.col("basis_idx") < 2)) | ((F.col("source_idx") > 1) & (F.col("basis_idx") == 2)), 3)
     return pairs_.withColumn("col_idx", F.col("source_idx") * 3 + F.col("basis_idx")).join(zeros, "col_idx", "left_anti").select("source_idx", "basis_idx", "col_idx")
 

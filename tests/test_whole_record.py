@@ -59,3 +59,16 @@ def test_missing_source_has_all_cases(spark, sf):
     assert got[1].inadequate and got[1].p_value < 0.002  # 1000 replicates can say so, 100 can't
     own = library.queries()["m9_missing_source"](spark, sf)
     assert abs(got[2].t0 - got[0].t0) < 1e-6 * got[0].t0 and own.columns[-1] == "out_of_span"
+
+
+def test_no_order_window_or_reading_is_left_out(spark, sf):
+    run = lambda name: library.queries()[name](spark, sf)
+    assert run("c6_run_results_all_orders").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert run("m12_pair_report_all_windows").select("window_id").distinct().count() == 12
+    turned = run("f2_wind_from_vector_all_readings")
+    assert turned.count() == spark.read.parquet(f"{sf}/events.parquet").count() and turned.where("wd = 0").count() > 0 and turned.where("wd >= 360").count() == 0
+
+
+@pytest.mark.parametrize("name", ["p7_fixed_zero_columns", "f11_admissible_columns"])
+def test_columns_come_from_a_table(spark, sf, name):
+    assert library.queries()[name](spark, sf).inputFiles()
