@@ -4,8 +4,8 @@ Fixed patterns give the base spans. The method adds spans of kind ``entropy``: i
 every candidate string (a long run of characters that keys are written with) a
 window slides for each character class, its Shannon entropy kept up to date from
 counts as one character enters and one leaves. Runs of windows at or above the
-class's threshold are a span, unless an allow-list pattern suppresses it or a base
-span overlaps it.
+class's threshold are a span, unless an allow-list pattern suppresses it. Base spans
+are cut out of a candidate first, and each part that remains is looked at by itself.
 """
 
 from __future__ import annotations
@@ -83,20 +83,27 @@ class Scanner:
         out = [(m.start(), k, m.end()) for k, p, g, n in self.base for m in p.finditer(text) if m.end(g) - m.start(g) >= n]
         taken = sorted((s, e) for s, _, e in out)
         for m in self.candidate.finditer(text):
-            own = m[0]
-            if any(p.fullmatch(own) for p in self.allow) or any(s < m.end() and e > m.start() for s, e in taken):
+            if any(p.fullmatch(m[0]) for p in self.allow):
                 continue
-            found: list[tuple[int, int]] = []
-            for chars, size, bits in self.classes:
-                for part in chars.finditer(own):
-                    found += [(part.start() + s, part.start() + e) for s, e in window_runs(part[0], size, bits)]
-            joined: list[tuple[int, int]] = []
-            for s, e in sorted(found):
-                if joined and s <= joined[-1][1]:
-                    joined[-1] = joined[-1][0], max(e, joined[-1][1])
-                else:
-                    joined.append((s, e))
-            out += [(m.start() + s, "entropy", m.start() + e) for s, e in joined]
+            parts, at = [], m.start()  # what base spans leave of the candidate
+            for s, e in taken:
+                if s < m.end() and e > m.start():
+                    parts, at = [*parts, (at, s)], max(at, e)
+            for left, right in [*parts, (at, m.end())]:
+                own = text[left:right]
+                if left >= right or any(p.fullmatch(own) for p in self.allow):
+                    continue
+                found: list[tuple[int, int]] = []
+                for chars, size, bits in self.classes:
+                    for part in chars.finditer(own):
+                        found += [(part.start() + s, part.start() + e) for s, e in window_runs(part[0], size, bits)]
+                joined: list[tuple[int, int]] = []
+                for s, e in sorted(found):
+                    if joined and s <= joined[-1][1]:
+                        joined[-1] = joined[-1][0], max(e, joined[-1][1])
+                    else:
+                        joined.append((s, e))
+                out += [(left + s, "entropy", left + e) for s, e in joined]
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
