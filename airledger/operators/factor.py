@@ -24,8 +24,8 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, n_rows, r``: the triangular factor of each key's rows, flattened by rows (null or non-finite rows are left out).
 
     At most one factor of each key leaves a task. The second step stacks as many
-    small factors as there were tasks; it is repeated in a tree by a hash of the task
-    when there are many.
+    small factors as there were tasks; it is done in two steps, dealt by a hash of the
+    factors, so a task that runs again gives the same groups.
     """
     width = len(columns)
 
@@ -51,7 +51,7 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n_rows": [int(pdf.n_rows.sum())], "r": [r.ravel()]})
 
     parts = rows.select(key, *columns).mapInPandas(reduce, kind)
-    half = parts.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(16))).applyInPandas(lambda pdf: merge(pdf), kind)
+    half = parts.groupBy(key, F.pmod(F.xxhash64("n_rows", "r"), F.lit(16))).applyInPandas(lambda pdf: merge(pdf), kind)
     return half.groupBy(key).applyInPandas(merge, kind)
 
 
@@ -67,6 +67,34 @@ def split(r, n_q: int, n_h: int) -> dict[str, np.ndarray]:
     return {"kept": np.array(keep, int), "qq": r[:q, :q], "qh": r[:q, q : q + n_h], "qy": r[:q, -1], "hh": r[q : q + n_h, q : q + n_h], "hy": r[q : q + n_h, -1], "yy": r[q + n_h :, -1]}
 
 
+def background_report(factors: DataFrame, key: str, q: list[str], n_h: int, cap: int = 8, stress: tuple[str, ...] = ()) -> DataFrame:
+    """``key, rank, dependent list, within_cap, orthogonality, idempotence`` of each background.
+
+    A column that depends on those before it is named as dependent (prefix rank). Columns
+    named as stress don't count towards the cap. Orthogonality is the largest inner product
+    of a unit background direction with what is left of a target, idempotence the largest
+    change by projecting again, both relative to the target. Rotations keep both, so the
+    small factor says it.
+    """
+    n, stressed = len(q), [c in stress for c in q]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, flat in zip(pdf[key], pdf.r):
+                r, keep = np.asarray(flat, float).reshape(-1, n + n_h + 1), split(flat, n, n_h)["kept"].tolist()
+                unit = np.linalg.qr(r[:, keep])[0] if keep else np.zeros((len(r), 0))
+                x = r[:, n:]
+                left = x - unit @ (unit.T @ x)
+                again = left - unit @ (unit.T @ left)
+                size = max(float(np.abs(x).max(initial=0.0)), 1e-300)
+                counted = sum(not stressed[j] for j in keep)
+                rows.append((k, len(keep), [q[j] for j in range(n) if j not in keep], counted <= cap, float(np.abs(unit.T @ left).max(initial=0.0)) / size, float(np.abs(again - left).max(initial=0.0)) / size))
+            yield pd.DataFrame(rows, columns=[key, "rank", "dependent", "within_cap", "orthogonality", "idempotence"])
+
+    return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, rank int, dependent array<string>, within_cap boolean, orthogonality double, idempotence double")
+
+
 def projector(factors: DataFrame, key: str, q: list[str], targets: list[str]) -> DataFrame:
     """``key, target, b array``: coefficients of each target on the background columns."""
     n = len(q)
@@ -160,8 +188,14 @@ def fixed_zero_map(columns: DataFrame, zeros: DataFrame) -> DataFrame:
     return columns.join(kept, "col_idx", "left").withColumn("reduced_idx", F.coalesce("reduced_idx", F.lit(-1).cast("long")))
 
 
+def strongest_across(pairs: DataFrame, columns: DataFrame, key: str) -> DataFrame:
+    """What strongest() gives, of pairs of different sources alone; ``columns(col_idx, source_idx)``."""
+    named = lambda side: columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"_s{side}"))
+    return strongest(pairs.join(named("i"), "i").join(named("j"), "j").where("_si <> _sj"), key)
+
+
 def strongest(pairs: DataFrame, key: str) -> DataFrame:
-    """The cross-source pair of highest coherence and the one of smallest ray distance, first on ties."""
+    """The pair of highest coherence and the one of smallest ray distance, first on ties."""
     known = pairs.where("coherence is not null")
     return known.groupBy(key).agg(
         F.max("coherence").alias("coherence"), F.max_by(F.struct("i", "j"), F.struct("coherence", -F.col("i"), -F.col("j"))).alias("most"), F.min_by(F.struct("i", "j"), F.struct("ray_distance", "i", "j")).alias("nearest")
@@ -186,6 +220,15 @@ def background(panel: DataFrame, degree: int = 1, harmonics: int = 1, offsets: b
     return out
 
 
+def trends(panel: DataFrame, sites: DataFrame) -> DataFrame:
+    """Background columns ``x_trend`` and ``y_trend``: coordinates of ``sites(sensor_idx, sx, sy)``, standardized over the rows (a spread below the floor counts as 1)."""
+    own = panel.select("t_idx", "sensor_idx").join(sites, "sensor_idx")
+    stats = own.agg(*[f(c).alias(f"_{n}{c}") for c in ("sx", "sy") for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    z = lambda c: (F.col(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") > 2.220446049250313e-16, F.col(f"_s{c}")).otherwise(1.0)
+    rows = F.array(F.struct(F.lit("x_trend").alias("name"), z("sx").alias("q")), F.struct(F.lit("y_trend").alias("name"), z("sy").alias("q")))
+    return own.join(F.broadcast(stats)).select("t_idx", "sensor_idx", F.explode(rows).alias("x")).select("t_idx", "sensor_idx", "x.*")
+
+
 def with_user_columns(background_: DataFrame, user: DataFrame) -> DataFrame:
     """A user's background columns beside the built ones; names must be new and values finite."""
     if not user.select("name").distinct().join(background_.select("name").distinct(), "name", "left_semi").isEmpty() or not user.where("q is null or isnan(q)").isEmpty():

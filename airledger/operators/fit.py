@@ -49,11 +49,13 @@ def nonnegative(a: np.ndarray, y: np.ndarray, lam: float = 0.0, prior: np.ndarra
     return c, {"converged": done, "iterations": rounds}
 
 
-def fit(factors: DataFrame, key: str, n_q: int, names: list[str], lam: float = 0.0, prior: list[float] | None = None, zeros: list[int] | None = None, raw: bool = False) -> DataFrame:
-    """``key, name, c, std, residual_norm, converged, warning``: one fit for each factor.
+def fit(factors: DataFrame, key: str, n_q: int, names: list[str], lam: float = 0.0, prior: list[float] | None = None, zeros: list[int] | None = None, raw: bool = False, noise: float | None = None) -> DataFrame:
+    """``key, name, c, std, std_naive, residual_norm, converged, warning``: one fit for each factor.
 
     ``zeros`` are columns held at exactly 0. ``raw`` fits without removing the
-    background. ``std`` comes from the active set's covariance.
+    background. ``std`` comes from the active set's covariance and the rows that
+    background and columns leave; ``std_naive`` from the rows less the active columns,
+    or from a given ``noise``, without the penalty.
     """
     n_h, off = len(names), set(zeros or [])
     free = [j for j in range(n_h) if j not in off]
@@ -75,17 +77,19 @@ def fit(factors: DataFrame, key: str, n_q: int, names: list[str], lam: float = 0
                 sigma = np.linalg.svd(a, compute_uv=False)
                 rank = int((sigma > max(n, n_h) * np.finfo(float).eps * sigma.max(initial=0)).sum())
                 on = c > 1e-8
-                std = np.zeros(len(c))
+                std, naive = np.zeros(len(c)), np.zeros(len(c))
                 if on.any():
+                    plain = (noise**2 if noise is not None else res**2 / max(n - int(on.sum()), 1)) * np.linalg.pinv(a[:, on].T @ a[:, on])
+                    naive[on] = np.sqrt(np.maximum(0, np.diag(plain)))
                     cov = res**2 / max(n - used - rank, 1) * np.linalg.pinv(a[:, on].T @ a[:, on] + lam * np.eye(int(on.sum())))
                     std[on] = np.sqrt(np.maximum(0, np.diag(cov)))
                 warn = "rank_deficient" if rank < len(free) else "ill_conditioned" if sigma[-1:].min(initial=1) > 0 and sigma[0] / sigma[-1] > 1e8 else "not_converged" if not how["converged"] else None
-                whole, err = np.zeros(n_h), np.zeros(n_h)
-                whole[free], err[free] = c, std
-                rows += [(k, name, whole[j], err[j], res, bool(how["converged"]), warn) for j, name in enumerate(names)]
-            yield pd.DataFrame(rows, columns=[key, "name", "c", "std", "residual_norm", "converged", "warning"])
+                whole, err, plain_err = np.zeros(n_h), np.zeros(n_h), np.zeros(n_h)
+                whole[free], err[free], plain_err[free] = c, std, naive
+                rows += [(k, name, whole[j], err[j], plain_err[j], res, bool(how["converged"]), warn) for j, name in enumerate(names)]
+            yield pd.DataFrame(rows, columns=[key, "name", "c", "std", "std_naive", "residual_norm", "converged", "warning"])
 
-    return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, name string, c double, std double, residual_norm double, converged boolean, warning string")
+    return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, name string, c double, std double, std_naive double, residual_norm double, converged boolean, warning string")
 
 
 def residual_summary(residuals: DataFrame, *keys: str) -> DataFrame:

@@ -71,3 +71,59 @@ def window_ensemble(summaries: DataFrame, pairs: DataFrame) -> tuple[DataFrame,
     over = summaries.agg(q.alias("q"), F.avg((F.col("rank") == F.col("n_columns")).cast("double")).alias("p_full_rank"), F.count("*").alias("n")).select(F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"), "p_full_rank", "n")
     seen = pairs.where("ambiguous").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count_distinct("window_id").alias("k"))
     return over, seen.join(F.broadcast(n)).select("i", "j", (F.col("k") / F.col("_n")).alias("p_ambiguous"))
+
+
+def resolution(diagnosed: DataFrame, edges: DataFrame, components_: DataFrame, weak: DataFrame, key: str) -> DataFrame:
+    """``key, n_components, n_edges, merged, global_unresolved, weak_sources`` of each window.
+
+    ``diagnosed(key, rank, n_columns)``; ``weak(key, source, all_weak)``. A window is
+    unresolved as a whole if its columns are rank-deficient and yet no pair is an edge, so
+    that no merge can help. Pairs of weak columns have no coherence and make no edge.
+    """
+    n_edges = edges.groupBy(key).agg(F.count("*").alias("n_edges"))
+    sizes = components_.groupBy(key).agg(F.count_distinct("component").alias("n_components"), F.count("*").alias("_nodes"))
+    names = weak.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("all_weak"), F.col("source")))).alias("weak_sources"))
+    out = diagnosed.select(key, "rank", "n_columns").join(sizes, key, "left").join(n_edges, key, "left").join(names, key, "left")
+    count = F.coalesce("n_edges", F.lit(0).cast("long"))
+    return out.select(
+        key, F.coalesce("n_components", F.lit(0).cast("long")).alias("n_components"), count.alias("n_edges"), F.coalesce(F.col("n_components") < F.col("_nodes"), F.lit(False)).alias("merged"),
+        ((F.col("rank") < F.col("n_columns")) & (count == 0)).alias("global_unresolved"), "weak_sources",
+    )
+
+
+def ensemble_report(summaries: DataFrame, pairs: DataFrame, weak: DataFrame, components_: DataFrame, columns: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Four tables over a set of windows: spectra, weak columns, ambiguous pairs, groups.
+
+    ``summaries(key, sigma_j, rank, effective_rank, n_columns)``; ``pairs(key, i, j,
+    ambiguous)``; ``weak(key, name, weak)``; ``components_(key, component, grp)``;
+    ``columns(col_idx, source_idx)``. All windows must have the same number of columns.
+    Pairs are unordered and of different sources, and count once a window.
+    """
+    if summaries.select("n_columns").distinct().count() > 1:
+        raise ValueError("windows of an ensemble must share their columns")
+    n = summaries.agg(F.count("*").alias("_n"))
+    q = F.expr("percentile(sigma_j, array(0.05, 0.5, 0.95))")
+    share = lambda c: F.avg((F.col(c) == F.col("n_columns")).cast("double"))
+    spectra = summaries.agg(q.alias("q"), share("rank").alias("p_full_rank"), share("effective_rank").alias("p_full_effective_rank"), F.count("*").alias("n")).select(
+        *[F.col("q")[i].alias(x) for i, x in enumerate(("q05", "q50", "q95"))], "p_full_rank", "p_full_effective_rank", "n"
+    )
+    of = lambda df, by, count: df.groupBy(*by).agg(count.alias("_k")).join(F.broadcast(n)).select(*by, (F.col("_k") / F.col("_n")).alias("p"))
+    named = lambda side: F.broadcast(columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"_s{side}")))
+    cross = pairs.where("ambiguous").join(named("i"), "i").join(named("j"), "j").where("_si <> _sj").select(key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return spectra, of(weak.where("weak"), ["name"], F.count_distinct(key)), of(cross, ["i", "j"], F.count_distinct(key)), of(components_.select(key, "grp").distinct(), ["grp"], F.count("*"))
+
+
+def group_signals(rows: DataFrame, coefficients: DataFrame, components_: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(shares, contributions) of the groups of each window, from members' fitted signals; never a refit.
+
+    ``rows(key, t_idx, sensor_idx, source_idx, basis_idx, h, h_t)``; ``coefficients(key,
+    source_idx, basis_idx, c)``. Shares ``key, component, l1, share``: L1 of a group's
+    signal over that of all (a total of 0 divides by 1). Contributions ``key, sensor_idx,
+    component, projected, raw``.
+    """
+    own = rows.join(F.broadcast(coefficients), [key, "source_idx", "basis_idx"]).join(F.broadcast(components_.withColumnRenamed("node", "source_idx")), [key, "source_idx"])
+    signal = own.groupBy(key, "t_idx", "sensor_idx", "component").agg(F.sum(F.col("h_t") * F.col("c")).alias("projected"), F.sum(F.col("h") * F.col("c")).alias("raw"))
+    by_sensor = signal.groupBy(key, "sensor_idx", "component").agg(F.sum("projected").alias("projected"), F.sum("raw").alias("raw"), F.sum(F.abs("raw")).alias("_l1"))
+    sums = by_sensor.groupBy(key, "component").agg(F.sum("_l1").alias("l1"))
+    total = F.sum("l1").over(Window.partitionBy(key))
+    return sums.select(key, "component", "l1", (F.col("l1") / F.when(total > 0, total).otherwise(1.0)).alias("share")), by_sensor.drop("_l1")

@@ -133,3 +133,12 @@ def input_checks(inventory: DataFrame, names: DataFrame, sensors: DataFrame, nx:
         .unionByName(rows(names, names_unique=F.count("*") - F.count_distinct("source_name"), names_nonempty=F.count_if(F.coalesce(F.trim("source_name"), F.lit("")) == "")))
         .unionByName(rows(sensors, sensors_inside=F.count_if(~inside(F.col("x"), F.col("y"), nx, ny))))
     )
+
+
+def setting_checks(activity: DataFrame, dt: float, lag: int, dispersion: tuple[float, ...]) -> DataFrame:
+    """``check_name, n_violations``: activities ``theta`` finite and not negative; step, lag and dispersions positive."""
+    theta = F.count_if(F.col("theta").isNull() | F.isnan("theta") | (F.col("theta") < 0))
+    declared = [("dt_positive", int(not dt > 0)), ("lag_positive", int(not lag > 0)), ("dispersion_positive", sum(not d > 0 for d in dispersion))]
+    rows = [F.struct(F.lit("activity_finite_nonnegative").alias("check_name"), F.col("_n").alias("n_violations"))]
+    rows += [F.struct(F.lit(n).alias("check_name"), F.lit(v).cast("long").alias("n_violations")) for n, v in declared]
+    return activity.agg(theta.alias("_n")).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

@@ -161,6 +161,14 @@ def product_checks(product: DataFrame) -> DataFrame:
     return _checks(whole, rows)
 
 
+def declared_checks(product: DataFrame, meta: dict[str, str], required: tuple[str, ...], n_stations: int | None = None) -> DataFrame:
+    """What product_checks() can't see in the rows: time grows for each station, required metadata are there, and as many stations as expected."""
+    before = F.lag("ts").over(Window.partitionBy("station_id").orderBy("t_idx"))
+    whole = product.withColumn("_before", before).agg(F.count_if(F.col("ts") <= F.col("_before")).alias("back"), F.count_distinct("station_id").alias("s"))
+    rows = [("time_grows", F.col("back")), ("metadata", F.lit(sum(not meta.get(k) for k in required)))]
+    return _checks(whole, [*rows, ("station_count", F.abs(F.col("s") - n_stations))] if n_stations is not None else rows)
+
+
 def panel_checks(panel: DataFrame) -> DataFrame:
     """Contract of ``panel(t_idx, sensor_idx, ts)``: same sensors at every hour, contiguous hours, no null, time grows."""
     by_hour = panel.groupBy("t_idx").agg(F.count("*").alias("n"), F.count_distinct("sensor_idx").alias("d"), F.min("ts").alias("ts"), F.sum(F.when(F.col("ts").isNull(), 1).otherwise(0)).alias("nulls"))

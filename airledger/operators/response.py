@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wind as w
@@ -20,10 +20,11 @@ from ..functions import wind as w
 def paths(city: DataFrame, lag: int, per_hour: int = 4) -> DataFrame:
     """``tau, j, px, py``: displacement after substep ``j`` (from 1) of a release at ``tau``; left endpoints, wind linear in time and clamped at the end.
 
-    ``city(t_idx, vx, vy)``. Substeps divide the hour, so prefix sums are exact.
+    ``city(t_idx, vx, vy)`` by hours without gaps. Substeps divide the hour, so prefix sums
+    are exact. Hours of several settings may stand apart in one table (see study.spread()).
     """
-    after = Window.orderBy("t_idx")
-    hours = city.select("t_idx", "vx", "vy", F.coalesce(F.lead("vx").over(after), F.col("vx")).alias("vx1"), F.coalesce(F.lead("vy").over(after), F.col("vy")).alias("vy1"))
+    after = city.select((F.col("t_idx") - 1).alias("t_idx"), F.col("vx").alias("_vx"), F.col("vy").alias("_vy"))
+    hours = city.join(after, "t_idx", "left").select("t_idx", "vx", "vy", F.coalesce("_vx", "vx").alias("vx1"), F.coalesce("_vy", "vy").alias("vy1"))
     part = F.col("k") / per_hour
     steps = hours.select("t_idx", "vx", "vy", "vx1", "vy1", F.explode(F.sequence(F.lit(0), F.lit(per_hour - 1))).alias("k")).select(
         "t_idx", "k", ((F.col("vx") * (1 - part) + F.col("vx1") * part) / per_hour).alias("sx"), ((F.col("vy") * (1 - part) + F.col("vy1") * part) / per_hour).alias("sy")
@@ -47,8 +48,8 @@ def puffs(cells: DataFrame, city: DataFrame, lag: int, nx: int, ny: int, per_hou
     return all_puffs.select("ix", "iy", "tau", "lag", (F.col("ix") + F.col("px")).alias("x"), (F.col("iy") + F.col("py")).alias("y"), "wx", "wy"), exits
 
 
-def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, **dispersion: float) -> DataFrame:
-    """``t_idx, tau, lag, sensor_idx, ix, iy, g`` at hours that exist; ``sensors(sensor_idx, sx, sy)`` are few and broadcast."""
+def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, **dispersion: float | Column) -> DataFrame:
+    """``t_idx, tau, lag, sensor_idx, ix, iy, g`` at hours that exist; ``sensors(sensor_idx, sx, sy)`` are few and broadcast. Dispersion (along, across, least_age) may be columns of the puffs."""
     arrived = puffs_.withColumn("t_idx", F.col("tau") + F.col("lag")).join(hours.select("t_idx"), "t_idx", "left_semi")
     g = w.puff(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("wx"), F.col("wy"), F.col("lag").cast("double"), **dispersion)
     return arrived.join(F.broadcast(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"))

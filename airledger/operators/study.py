@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import factor as fa
 from . import fit as fi
 from . import groups as gr
+from . import response as rs
 
 
 def sweep(spark, **settings: list) -> DataFrame:
@@ -100,6 +103,114 @@ def initial_baseline(observed: DataFrame, sites: DataFrame, cells: DataFrame, le
     return seen.join(F.broadcast(cells)).withColumn("w", weight).groupBy("ix", "iy").agg(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mass"))
 
 
+def released(impulse: DataFrame, kernel_: DataFrame, tau: DataFrame) -> DataFrame:
+    """``t_idx, sensor_idx, baseline``: the impulse ``(ix, iy, mass)`` released at the one hour ``tau(tau)`` and carried by the kernel's rows."""
+    own = kernel_.join(F.broadcast(tau), "tau", "left_semi").join(F.broadcast(impulse), ["ix", "iy"])
+    return own.groupBy("t_idx", "sensor_idx").agg(F.sum(F.col("mass") * F.col("g")).alias("baseline"))
+
+
+def without_baseline(observed: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``observed(t_idx, sensor_idx, y)`` less the baseline, which is 0 where it has no row."""
+    return observed.join(baseline, ["t_idx", "sensor_idx"], "left").withColumn("y", F.col("y") - F.coalesce("baseline", F.lit(0.0))).drop("baseline")
+
+
+#: Hours between the first hours of two settings that stand in one table.
+STRIDE = 10_000_000
+
+
+def spread(hourly: DataFrame, configs: DataFrame, hour: str = "t_idx") -> DataFrame:
+    """Rows of every setting, each at hours of its own: ``hour`` is moved on by STRIDE for each number, so operators keyed by hours treat all settings in one job."""
+    return hourly.join(F.broadcast(configs)).withColumn(hour, F.col(hour) + F.col("config_id") * STRIDE)
+
+
+def config_of(hour: str = "t_idx"):
+    return F.floor(F.col(hour) / STRIDE)
+
+
+def swept_response(city: DataFrame, cells: DataFrame, sensors: DataFrame, inventory: DataFrame, basis: DataFrame, configs: DataFrame, nx: int, ny: int) -> DataFrame:
+    """``config_id, t_idx, sensor_idx, source_idx, basis_idx, h`` under every setting ``configs(config_id, turn, speed, along, across, lag, dx, dy)``.
+
+    The wind is turned by ``turn`` degrees and scaled by ``speed``; puffs spread by
+    ``along`` and ``across`` and count up to ``lag`` hours; the map is moved by (dx, dy)
+    cells, and what leaves the grid is lost. Settings are rows; the response is one job.
+    """
+    most = configs.agg(F.max("lag")).first()[0]
+    a = F.radians("turn")
+    winds = spread(city, configs).select("t_idx", (F.col("speed") * (F.col("vx") * F.cos(a) - F.col("vy") * F.sin(a))).alias("vx"), (F.col("speed") * (F.col("vx") * F.sin(a) + F.col("vy") * F.cos(a))).alias("vy"))
+    flying, _ = rs.puffs(cells, winds, most, nx, ny)
+    own = flying.withColumn("config_id", config_of("tau")).join(F.broadcast(configs.select("config_id", "along", "across", F.col("lag").alias("_lag"))), "config_id").where("lag < _lag")
+    pulls = rs.kernel(own, sensors, winds, along=F.col("along"), across=F.col("across"))
+    moves = configs.select("config_id", "dx", "dy")
+    back = pulls.withColumn("config_id", config_of("tau")).join(F.broadcast(moves), "config_id").withColumns({"ix": F.col("ix") - F.col("dx"), "iy": F.col("iy") - F.col("dy")}).drop("dx", "dy", "config_id")
+    out = rs.response(back, inventory, spread(basis, configs.select("config_id")).drop("config_id"))
+    return out.withColumn("config_id", config_of("t_idx")).withColumn("t_idx", F.col("t_idx") - F.col("config_id") * STRIDE)
+
+
+def sweep_fits(swept: DataFrame, truth: DataFrame, noise: DataFrame, columns: list[tuple[int, int]]) -> DataFrame:
+    """One row for each (setting, column): spectrum and fit where the data come from setting 0 and the columns from the setting.
+
+    ``truth(source_idx, basis_idx, c)``; ``noise(config_id, noise)``: the relative size of
+    the hash-drawn noise. Columns ``h<source>_<basis>``.
+    """
+    names = [f"h{s}_{b}" for s, b in columns]
+    col = F.concat(F.lit("h"), F.col("source_idx").cast("string"), F.lit("_"), F.col("basis_idx").cast("string"))
+    wide = swept.withColumn("col", col).groupBy("config_id", "t_idx", "sensor_idx").pivot("col", names).agg(F.first("h")).na.fill(0.0, names)
+    y = swept.where("config_id = 0").join(F.broadcast(truth), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").agg(F.sum(F.col("h") * F.col("c")).alias("y"))
+    u = F.pmod(F.xxhash64(F.lit("sweep"), "t_idx", "sensor_idx"), F.lit(1 << 20)) / float(1 << 20)
+    rows = wide.join(y, ["t_idx", "sensor_idx"]).join(F.broadcast(noise), "config_id").withColumn("y", F.col("y") * (1 + F.col("noise") * (2 * u - 1))).withColumn("one", F.lit(1.0))
+    factors = gr.durable(fa.factor(rows, "config_id", ["one", *names, "y"]))
+    found = fa.diagnostics(factors, "config_id", 1, len(names)).select("config_id", "n_rows", "rank", "sigma_j", "condition")
+    return fi.fit(factors, "config_id", 1, names).join(found, "config_id")
+
+
+def observed_chain(response_: DataFrame, observed: DataFrame, hours: DataFrame, columns: list[tuple[int, int]], window: int = 168, limit: float = 0.99, weak: float = 1e-9) -> dict[str, DataFrame]:
+    """The observed study of all windows in one job: observed rows, background, spectrum, fit, groups, shares and contributions.
+
+    ``response_(t_idx, sensor_idx, source_idx, basis_idx, h)``; ``observed(t_idx,
+    sensor_idx, y)``, of which null or NaN rows are left out and never imputed;
+    ``hours(t_idx, ts)``. Windows are ``window`` hours long. Background: constant, elapsed
+    time, first daily pair. Nothing is scored against a truth, and the status is
+    ``uncalibrated`` (or ``insufficient_observed_rows``, without a fit).
+    """
+    key, q = "window_id", ["one", "time_1", "sin_1", "cos_1"]
+    names = [f"h{s}_{b}" for s, b in columns]
+    spark = response_.sparkSession
+    index = spark.createDataFrame([(i, s, b, n) for i, ((s, b), n) in enumerate(zip(columns, names))], "col_idx int, source_idx long, basis_idx long, name string")
+    wide = response_.join(F.broadcast(index), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").pivot("name", names).agg(F.first("h")).na.fill(0.0, names)
+    angle = 2 * F.pi() * (F.hour("ts") + F.minute("ts") / 60.0) / 24.0
+    rows = wide.join(observed, ["t_idx", "sensor_idx"], "left").join(F.broadcast(hours.select("t_idx", "ts")), "t_idx").withColumns({
+        key: F.floor(F.col("t_idx") / window), "one": F.lit(1.0), "time_1": (F.col("t_idx") % window) / float(window), "sin_1": F.sin(angle), "cos_1": F.cos(angle),
+    }).drop("ts")
+    rows = gr.durable(rows)
+    summary, coefficients, pairs = observed_study(rows, key, q, names, "y")
+    summary, pairs = gr.durable(summary), gr.durable(pairs.withColumn("ambiguous", F.coalesce(F.col("coherence") > limit, F.lit(False))))
+    coefficients = gr.durable(coefficients.join(F.broadcast(index), "name"))
+    seen = rows.where("y is not null and not isnan(y)").join(summary.where("status = 'uncalibrated'").select(key), key, "left_semi")
+    projected = fa.project(seen, key, q, names)
+    weakness = fa.gram(projected.select(key, *[F.col(f"{n}_t").alias(n) for n in names]), key, names).where("i = j").select(key, "i", (F.sqrt("g") <= weak).alias("weak"))
+    weakness = gr.durable(weakness.join(F.broadcast(index.select(F.col("col_idx").alias("i"), "source_idx", "name")), "i"))
+    faint = weakness.where("weak").select(key, "i")
+    strong = pairs.join(faint, [key, "i"], "left_anti").join(faint.withColumnRenamed("i", "j"), [key, "j"], "left_anti")
+    edges = gr.durable(gr.source_edges(strong, index, key, limit))
+    nodes = summary.select(key).join(F.broadcast(index.select(F.col("source_idx").alias("node")).distinct()))
+    comps = gr.components(nodes, edges, key)
+    diagnosed = summary.where("status = 'uncalibrated'").select(key, "rank", F.lit(len(names)).alias("n_columns"))
+    all_weak = weakness.groupBy(key, F.col("source_idx").alias("source")).agg(F.bool_and("weak").alias("all_weak"))
+    pull = F.array(*[F.struct(F.lit(int(s)).cast("long").alias("source_idx"), F.lit(int(b)).cast("long").alias("basis_idx"), F.col(n).alias("h"), F.col(f"{n}_t").alias("h_t")) for (s, b), n in zip(columns, names)])
+    long = projected.select(key, "t_idx", "sensor_idx", F.explode(pull).alias("x")).select(key, "t_idx", "sensor_idx", "x.*")
+    shares, contributions = gr.group_signals(long, coefficients.select(key, "source_idx", "basis_idx", "c"), comps, key)
+    return {
+        "rows": rows, "summary": summary, "coefficients": coefficients, "pairs": pairs, "edges": edges, "components": comps,
+        "resolution": gr.resolution(diagnosed, edges, comps, all_weak, key), "shares": shares, "contributions": contributions,
+    }
+
+
+def synthetic_coefficients(columns: DataFrame, seed: str, low: float = 0.3, high: float = 1.2, zeroed: float = 0.0) -> DataFrame:
+    """``source_idx, basis_idx, c``: a number in [low, high] for each column from a hash of the seed and the column; a hash-drawn share of the columns is 0."""
+    unit = lambda what: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(what), F.col("source_idx").cast("string"), F.col("basis_idx").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return columns.select("source_idx", "basis_idx", F.when(unit("zero") < zeroed, 0.0).otherwise(low + (high - low) * unit("value")).alias("c"))
+
+
 def observed_study(rows: DataFrame, key: str, background: list[str], columns: list[str], target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, coefficients, pairs) of all windows in one job: observed rows alone, background removed, diagnosed, fitted, paired.
 
@@ -119,8 +230,7 @@ def observed_study(rows: DataFrame, key: str, background: list[str], columns: li
     return summary, fi.fit(factors, key, len(background), columns), pairs
 
 
-def compare_methods(factors: DataFrame, key: str, n_q: int, columns: list[str], truth: DataFrame) -> DataFrame:
-    """One row for each (key, method) with recovery scores: full chain (background removed) and raw."""
-    chain = fi.fit(factors, key, n_q, columns).withColumn("method", F.lit("chain"))
-    raw = fi.fit(factors, key, n_q, columns, raw=True).withColumn("method", F.lit("raw"))
-    return fi.recovery(chain.unionByName(raw).select(key, "method", "name", "c"), truth, key, "method")
+def compare_methods(factors: DataFrame, key: str, n_q: int, columns: list[str], truth: DataFrame, lam: float = 0.0) -> DataFrame:
+    """One row for each (key, method) with recovery scores: the chain (background removed, penalty ``lam``), plain (the same without penalty) and raw (background not removed)."""
+    own = [fi.fit(factors, key, n_q, columns, lam=lam).withColumn("method", F.lit("chain")), fi.fit(factors, key, n_q, columns).withColumn("method", F.lit("plain")), fi.fit(factors, key, n_q, columns, raw=True).withColumn("method", F.lit("raw"))]
+    return fi.recovery(reduce(DataFrame.unionByName, own).select(key, "method", "name", "c"), truth, key, "method")

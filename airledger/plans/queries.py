@@ -1,6 +1,6 @@
 """All queries of the library by name."""
 
-from . import q_fits, q_inventory, q_readings, q_spatial, q_studies  # noqa: F401
+from . import q_chain, q_fits, q_inventory, q_readings, q_spatial, q_studies  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
