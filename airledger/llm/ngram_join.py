@@ -9,27 +9,31 @@ the sets differ in shingles, and at least ``slack + 1`` words have the same cont
 
 Words are joined by key, the rarest first: of the keys that a class shares with any
 other, the ``slack`` most frequent may be left out, as a pair that links shares one
-more (prefix filtering; zero words count as left out). So words that hold nothing but
-common passages seldom meet. Whoever meets is compared inside the task by a second,
-smaller parity sketch, whose Hamming distance is a lower bound of the difference as
-well, and only pairs that pass are emitted and verified on the whole sets. No link is
-lost and none is wrong but for collisions of 64-bit hashes.
-
-Large groups of near copies: of a key with many members a hub is compared with all
-others (as many pairs as members). What this links is one component; keys whose
-members still lie in several components are compared further, in blocks of bounded
-size. Exact copies never multiply, since classes and not documents are joined.
+more (prefix filtering; zero words count as left out, and a class with more zero words
+than that is also joined by its single shingles). So words that hold nothing but common
+passages seldom meet. Whoever meets is compared inside the task by a second, smaller
+parity sketch, whose Hamming distance is a lower bound of the difference as well, and
+only pairs that pass are emitted and verified on the whole sets. No link is lost and
+none is wrong but for collisions of 64-bit hashes.
+
+Near copies meet in most of their keys, so the join goes in rounds. The first looks at
+one key in SAMPLED; of a key with many members a hub is compared with all others there.
+What this links lies in one component, and the second round, over all keys, emits pairs
+of different components only. Keys with more than BLOCK members which then still lie in
+several components are compared last, in blocks of bounded size. Exact copies never
+multiply, since classes and not documents are joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -41,17 +45,25 @@ BAND_RATIO = 1.6
 SLACK = 0.2
 #: Bits of the small sketch for each shingle.
 SMALL_BITS = 0.6
-#: Up to so many members of a key are compared with each other at once; of more a hub is, and then blocks of BLOCK.
-FEW, BLOCK = 64, 256
-#: Members of a key that a task holds at once.
-HELD = 65_536
-#: A key's members are counted up to this.
-MANY = 1 << 20
-#: Up to so many classes are handed to the tasks as an array; more are joined.
-SMALL_IDS = 2_000_000
+#: The first round looks at one key in so many.
+SAMPLED = 8
+#: There up to so many members of a key are all compared with each other; of more, a hub is.
+FEW = 16
+#: Later up to so many are compared at once, more in blocks of this size.
+BLOCK = 256
+#: Members of a large key that a task holds at once.
+HELD = 16_384
+#: Shares of the keys that are dealt one after the other, so that less has to be on disk at once.
+SHARES = 2
+#: Pairs that a task remembers so as not to emit them again, at most.
+REMEMBERED = 200_000
+#: 64-bit words of the largest filter that tells which texts are needed for verification.
+FILTER_WORDS = 1 << 19
+KEY_BITS = (1 << 52) - 1
 U = np.uint64
 
 
+@cache
 def bands(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
     """(band, most differing shingles, slack) of the bands in which a set of this size is sketched."""
     if size < 1:
@@ -79,10 +91,10 @@ def differ(small: int, num: int, den: int) -> int:
     return union * (den - num) // den
 
 
-def sketch(own: np.ndarray, size: int) -> np.ndarray:
-    """Parity words: the top bits of a hash choose the word (own is sorted), six others the bit."""
+def sketch(own: np.ndarray, flips: np.ndarray, size: int) -> np.ndarray:
+    """Parity words: the top bits of a hash choose the word (own is sorted), six bits of another (flips) the bit."""
     place = ((own >> U(32)) * U(size)) >> U(32)
-    flip = U(1) << (wh.mix(own) & U(63))
+    flip = U(1) << (flips & U(63))
     at = np.searchsorted(place, np.arange(size, dtype=U))
     out = np.zeros(size, U)
     full = np.flatnonzero(np.diff(np.append(at, len(own))))
@@ -91,212 +103,261 @@ def sketch(own: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def small_sketch(own: np.ndarray, band: int) -> np.ndarray:
-    """One parity sketch of the whole set, of as many bits as the band asks for, as 64-bit words."""
+def small_sketch(other: np.ndarray, band: int) -> np.ndarray:
+    """One parity sketch of the whole set, of as many bits as the band asks for, as 64-bit words. other: other_hash() of the set."""
     bits = 64 * ceil(SMALL_BITS * band_end(band) / 64)
-    place = ((wh.mix(own ^ U(0x2545F4914F6CDD1D)) >> U(32)) * U(bits)) >> U(32)
+    place = ((other >> U(32)) * U(bits)) >> U(32)
     return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def class_of(own: np.ndarray) -> int:
-    """One 64-bit name for a set (0 for the empty set)."""
-    if not len(own):
-        return 0
-    both = np.array([np.add.reduce(wh.mix(own)), np.bitwise_xor.reduce(own * U(0xD6E8FEB86659FD93))], U)
-    return int(wh.mix(both[:1] ^ wh.mix(both[1:] + U(len(own))))[0].astype(np.int64))
+def other_hash(own: np.ndarray) -> np.ndarray:
+    return wh.mix(own ^ U(0x2545F4914F6CDD1D))
 
 
-SKETCHES = pa.schema([("cls", pa.int64()), ("band", pa.int32()), ("n", pa.int64()), ("slack", pa.int32()), ("words", pa.list_(pa.int64())), ("small", pa.list_(pa.int64()))])
+def words_of(own: np.ndarray, flips: np.ndarray, d: int, slack: int) -> tuple[np.ndarray, int]:
+    """The words of a set's sketch, followed by its shingles if too many words are empty, and how many shared ones may be left out."""
+    words = sketch(own, flips, d + 1 + slack)
+    spare = slack - int((words == 0).sum())
+    return (words if spare >= 0 else np.append(words, own)), max(0, spare)
 
 
-def _sets(width: int, wanted=None):
-    """A mapInArrow function over (doc_id, text): classes, or whole sets of the classes wanted."""
+def classes(flat: np.ndarray, flips: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each of the sets that are joined in flat (0 for the empty set)."""
+    size = np.diff(begin)
+    out = np.zeros(len(size), U)
+    full = size > 0
+    if full.any():
+        at = begin[:-1][full]
+        both = wh.mix(np.bitwise_xor.reduceat(flat * U(0xD6E8FEB86659FD93), at) + size[full].astype(U))
+        out[full] = wh.mix(np.add.reduceat(flips, at) ^ both)
+    return out.view(np.int64)
+
+
+HASHED = pa.schema([
+    ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
+    ("band", pa.int32()), ("size", pa.int32()), ("spare", pa.int32()), ("words", pa.list_(pa.int64())), ("small", pa.list_(pa.int64())),
+])
+
+
+def _lists(parts: list[np.ndarray], nulls: int) -> pa.Array:
+    """So many nulls, and then an array for each part."""
+    ends = np.cumsum([0] * (nulls + 1) + [len(p) for p in parts]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int64), *(p.view(np.int64) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(np.arange(len(ends) - 1) < nulls))
+
+
+def _hashed(width: int, num: int, den: int):
+    """A mapInArrow function over (doc_id, text_hash, text): a row for each text, and one for each band of each set (once in a task)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if wanted is None else wanted.value
+        done: set[int] = set()
         for batch in batches:
-            for lo, hi, data, offsets in wh.chunks(batch.column(1)):
-                hashes, at = wh.words(data, offsets)
-                size, name, more, take = [], [], [], []
-                for i in range(hi - lo):
-                    own = wh.shingles(hashes[at[i] : at[i + 1]], width)
-                    cls = class_of(own)
-                    if only is not None:
-                        j = np.searchsorted(only, cls)
-                        if len(only) and (j == len(only) or only[j] != cls):
-                            continue
-                        more.append(own.view(np.int64))
-                    take.append(lo + i)
-                    size.append(len(own))
-                    name.append(cls)
-                cols = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(size, pa.int64()), pa.array(name, pa.int64())]
-                names = ["doc_id", "n", "cls"]
-                if only is not None:
-                    ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
-                    flat = np.concatenate(more) if more else np.zeros(0, np.int64)
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())))
-                    names.append("items")
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            for lo, hi, data, offsets in wh.chunks(batch.column(2)):
+                flat, begin = wh.shingle_sets(*wh.words(data, offsets), width)
+                flips, other = wh.mix(flat), other_hash(flat)
+                names = classes(flat, flips, begin)
+                size = np.diff(begin)
+                rows, words, small = [], [], []
+                for i, (cls, a, b) in enumerate(zip(names.tolist(), begin[:-1].tolist(), begin[1:].tolist())):
+                    if cls in done:
+                        continue
+                    if len(done) >= REMEMBERED:
+                        done.clear()
+                    done.add(cls)
+                    for band, d, slack in bands(b - a, num, den):
+                        own, spare = words_of(flat[a:b], flips[a:b], d, slack)
+                        rows.append((i, band, d + 1 + slack, spare))
+                        words.append(own)
+                        small.append(small_sketch(other[a:b], band))
+                n = hi - lo
+                of, *others = np.array(rows, np.int64).reshape(-1, 4).T
+                texts = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size), pa.array(names)]
+                none = pa.nulls(n, pa.int32())
+                parts = [
+                    *(pa.concat_arrays([c.cast(pa.int64()), pa.nulls(len(of), pa.int64())]) for c in texts[:2]),
+                    pa.array(np.append(size, size[of])), pa.array(np.append(names, names[of])),
+                    *(pa.concat_arrays([none, pa.array(x.astype(np.int32))]) for x in others),
+                    _lists(words, n), _lists(small, n),
+                ]
+                yield pa.RecordBatch.from_arrays(parts, schema=HASHED)
 
     return run
 
 
-def _sketched(width: int, num: int, den: int):
-    """A mapInArrow function over (doc_id, text): a row for each band of each text's set."""
+def _sets(width: int, wanted):
+    """A mapInArrow function over (row, text): the whole sets of the rows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for batch in batches:
+            row = batch.column(0).to_numpy().view(U)
+            batch = batch.filter(pa.array(_in_filter(bits, row)))
             for lo, hi, data, offsets in wh.chunks(batch.column(1)):
-                hashes, at = wh.words(data, offsets)
-                rows = []
-                for i in range(hi - lo):
-                    own = wh.shingles(hashes[at[i] : at[i + 1]], width)
-                    for band, d, slack in bands(len(own), num, den):
-                        rows.append((class_of(own), band, len(own), slack, sketch(own, d + 1 + slack).view(np.int64), small_sketch(own, band)))
-                cols = list(zip(*rows)) or [()] * len(SKETCHES)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SKETCHES, strict=True)], schema=SKETCHES)
+                flat, begin = wh.shingle_sets(*wh.words(data, offsets), width)
+                items = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(classes(flat, wh.mix(flat), begin)), items], names=["row", "cls", "items"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], same: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
-    """Batches cut where the first ``same`` columns change: (batch, starts of its runs, whether its first run goes on from before)."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(same)]
-        new = np.ones(batch.num_rows, bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        first = tuple(c[0] for c in cols)
-        yield batch, np.flatnonzero(new), first == last
-        last = tuple(c[-1] for c in cols)
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, cls, band) sorted by key, those whose key has company, with how many rows it has (at most MANY)."""
-    held: list[np.ndarray] = []
-    count = 0
-
-    def out(parts: list[np.ndarray], met: np.ndarray) -> pa.RecordBatch:
-        rows = np.concatenate(parts, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(met)], names=["key", "cls", "band", "met"])
-
-    for batch, starts, goes_on in _runs(batches, 1):
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-        ends = np.append(starts[1:], batch.num_rows)
-        if not goes_on:
-            if count > 1 and held:
-                yield out(held, np.full(sum(h.shape[1] for h in held), count))
-            held, count = [], 0
-        else:
-            held.append(rows[:, : ends[0]])
-            count = min(MANY, count + int(ends[0]))
-            if len(starts) > 1 or count == MANY:
-                if count > 1:
-                    yield out(held, np.full(sum(h.shape[1] for h in held), count))
-                held = []
-            starts, ends = starts[1:], ends[1:]
-        if len(starts):
-            sizes = ends - starts
-            met = np.repeat(sizes, sizes)
-            inner = rows[:, starts[0] : starts[-1]]
-            keep = met[: inner.shape[1]] > 1
-            if keep.any():
-                yield out([inner[:, keep]], met[: inner.shape[1]][keep])
-            held, count = [rows[:, starts[-1] :]], min(MANY, int(sizes[-1]))
-    if count > 1 and held:
-        yield out(held, np.full(sum(h.shape[1] for h in held), count))
-
-
-def _passes(num: int, den: int, n: int, small: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of the others may link with a set of n shingles, by the bound of the small sketches."""
-    gap = np.bitwise_count((small ^ others).view(U)).sum(axis=1).astype(np.int64)  # of signed numbers it counts the absolute value's bits
+def _in_filter(bits: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return (bits[(row >> U(6)) & U(len(bits) - 1)] >> (row & U(63))) & U(1) == 1
+
+
+def _passes(num: int, den: int, n: np.ndarray, small: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which pairs of sets, of n and sizes shingles, may link by the bound of their small sketches."""
+    gap = np.bitwise_count((small ^ others).view(U)).sum(axis=-1).astype(np.int64)  # of signed numbers it counts the absolute value's bits
     return (n + sizes - gap) * den >= num * (n + sizes + gap)
 
 
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+class Members:
+    """Rows (key, cls, comp, n, small) of one width of small sketches."""
+
+    def __init__(self, key: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, small: np.ndarray) -> None:
+        self.key, self.cls, self.comp, self.n, self.small = key, cls, comp, n, small
+
+    def __len__(self) -> int:
+        return len(self.cls)
+
+    def take(self, at) -> "Members":
+        return Members(self.key[at], self.cls[at], self.comp[at], self.n[at], self.small[at])
+
+    def pairs(self, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Of the pairs of rows, those of different components that may link, as (smaller class, larger class)."""
+        apart = self.comp[left] != self.comp[right]
+        left, right = left[apart], right[apart]
+        near = _passes(num, den, self.n[left], self.small[left], self.n[right], self.small[right])
+        a, b = self.cls[left[near]], self.cls[right[near]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
 
+def _read(batch: pa.RecordBatch | pa.Table) -> list[Members]:
+    """The rows of a batch by width; the order is kept."""
+    key, cls, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy() for c in ("key", "cls", "comp", "n"))
+    small = batch.column("small")
+    width = np.asarray(pc.list_value_length(small))
+    flat = np.asarray(pc.list_flatten(small))
+    begin = np.cumsum(width) - width
+    out = []
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        out.append(Members(key[at], cls[at], comp[at], n[at], flat[begin[at][:, None] + np.arange(w)]))
+    return out
 
-def _stars(num: int, den: int):
-    """Of rows (key, band, cls, n, small) sorted by key and band: pairs that may link, and the keys that have many members.
 
-    Few members are all compared; of many, a hub is: among 32 of the first ones held,
-    the one that may link with most.
+class Pairs:
+    """What a task has emitted: pairs, each once as far as it remembers, and keys to be looked at again."""
+
+    def __init__(self) -> None:
+        self.seen = np.zeros(0, U)
+        self.parts: list[np.ndarray] = []
+        self.keys: list[int] = []
+        self.waiting = 0
+
+    def add(self, pairs: np.ndarray) -> None:
+        if not len(pairs):
+            return
+        name = wh.mix(pairs[:, 0].view(U)) * U(0x9FB21C651E98DF25) + pairs[:, 1].view(U)
+        name, first = np.unique(name, return_index=True)
+        at = np.searchsorted(self.seen, name)
+        fresh = np.ones(len(name), bool)
+        inside = at < len(self.seen)
+        fresh[inside] = self.seen[at[inside]] != name[inside]
+        if fresh.any():
+            self.parts.append(pairs[first[fresh]])
+            self.waiting += int(fresh.sum())
+            self.seen = np.sort(np.append(self.seen, name[fresh])) if len(self.seen) < REMEMBERED else name[fresh]
+
+    def batch(self) -> pa.RecordBatch:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *self.parts])
+        none = pa.nulls(len(self.keys), pa.int64())
+        out = pa.RecordBatch.from_arrays(
+            [*(pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, i])), none]) for i in (0, 1)), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(self.keys, pa.int64())])],
+            names=["a", "b", "key"],
+        )
+        self.parts, self.keys, self.waiting = [], [], 0
+        return out
+
+
+def _met(num: int, den: int, first: bool):
+    """Of rows (key, cls, comp, n, small) sorted by key: pairs of different components that may link.
+
+    In the first round a hub stands for a key with more than FEW members: among 32 of
+    the first ones held, the one that may link with most. Later a key with more than
+    BLOCK members is only emitted itself, if they lie in several components.
     """
+    limit = FEW if first else BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[int] = []
-        right: list[int] = []
-        keys: list[int | None] = []
-        seen: set[tuple[int, int]] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        hub: tuple[int, int, np.ndarray] | None = None
-        key = 0
-
-        def emit(x: int, others: np.ndarray) -> None:
-            for y in others.tolist():
-                pair = (x, y) if x < y else (y, x)
-                if x != y and pair not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(pair)
-                    left.append(pair[0])
-                    right.append(pair[1])
-                    keys.append(None)
-
-        def against_hub() -> None:
-            for cls, n, small in held:
-                emit(hub[0], cls[_passes(num, den, hub[1], hub[2], n, small)])
-            held.clear()
-
-        def end() -> None:
-            nonlocal hub
-            total = sum(len(h[0]) for h in held)
-            if hub is None and total > FEW:
-                choose()
-            if hub is not None:
-                against_hub()
-                hub = None
-            elif total > 1:
-                cls, n, small = (np.concatenate(x) for x in zip(*held))
-                for i in range(total - 1):
-                    emit(int(cls[i]), cls[i + 1 :][_passes(num, den, int(n[i]), small[i], n[i + 1 :], small[i + 1 :])])
-            held.clear()
-
-        def choose() -> None:
-            nonlocal hub
-            cls, n, small = (np.concatenate(x) for x in zip(*held))
-            best = max(np.argsort(cls, kind="stable")[:: max(1, len(cls) // 32)].tolist(), key=lambda i: (int(_passes(num, den, int(n[i]), small[i], n, small).sum()), int(cls[i])))
-            hub = int(cls[best]), int(n[best]), small[best]
-            left.append(0)
-            right.append(0)
-            keys.append(key)
-
-        def batch_of() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(keys, pa.int64())], schema=PAIRS)
-            left.clear()
-            right.clear()
-            keys.clear()
-            return out
-
-        for batch, starts, goes_on in _runs(batches, 2):
-            names, cls, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            column = batch.column(4)
-            flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            for k, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], batch.num_rows))):
-                if k or not goes_on:
-                    end()
-                key = int(names[lo])
-                held.append((cls[lo:hi], n[lo:hi], flat[at[lo] : at[hi]].reshape(hi - lo, -1)))
-                if sum(len(h[0]) for h in held) > HELD:
-                    if hub is None:
-                        choose()
-                    against_hub()
-            if len(left) > 50_000:
-                yield batch_of()
-        end()
-        yield batch_of()
+        out = Pairs()
+        waiting: dict[int, Members] = {}  # by width: the last key's members so far
+        hubs: dict[int, Members] = {}  # by width: the hub of the last key, which is large
+        spread: dict[int, int] = {}  # by width: the first component of the last key, which is large
+
+        def large(width: int, own: Members, more: bool) -> None:
+            if first:
+                if not more:
+                    some = np.argsort(own.cls, kind="stable")[:: max(1, len(own) // 32)]
+                    most = [int(_passes(num, den, own.n[i], own.small[i], own.n, own.small).sum()) for i in some.tolist()]
+                    hubs[width] = own.take(some[[int(np.argmax(most))]])
+                both = Members(*(np.concatenate([getattr(hubs[width], c), getattr(own, c)]) for c in ("key", "cls", "comp", "n", "small")))
+                out.add(both.pairs(np.zeros(len(own), np.int64), np.arange(1, len(both)), num, den))
+            else:
+                if not more:
+                    spread[width] = int(own.comp[0])
+                if width in spread and (own.comp != spread[width]).any():
+                    out.keys.append(int(own.key[0]))
+                    del spread[width]
+
+        def complete(own: Members) -> None:
+            """Rows of whole keys, none of them large."""
+            ends = np.append(np.flatnonzero(own.key[1:] != own.key[:-1]) + 1, len(own))
+            left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(own)) - 1  # members of the key that follow
+            at, step = np.flatnonzero(left > 0), 1
+            while len(at):
+                for lo in range(0, len(at), 1 << 16):
+                    part = at[lo : lo + (1 << 16)]
+                    out.add(own.pairs(part, part + step, num, den))
+                step += 1
+                at = at[left[at] >= step]
+
+        is_large: dict[int, int] = {}  # by width: the last key, if it is large
+        for batch in batches:
+            for own in _read(batch):
+                width = own.small.shape[1]
+                if width in is_large:
+                    same = int(np.searchsorted(own.key != is_large[width], True))
+                    if same:
+                        large(width, own.take(slice(0, same)), True)
+                    if same == len(own):
+                        continue
+                    del is_large[width]
+                    own = own.take(slice(same, None))
+                elif width in waiting:
+                    held = waiting.pop(width)
+                    own = Members(*(np.concatenate([getattr(held, c), getattr(own, c)]) for c in ("key", "cls", "comp", "n", "small")))
+                starts = np.append(0, np.flatnonzero(own.key[1:] != own.key[:-1]) + 1)
+                ends = np.append(starts[1:], len(own))
+                size = ends - starts
+                many = np.flatnonzero(size > limit)
+                for k in many.tolist():
+                    if k < len(size) - 1 or size[k] > HELD:
+                        large(width, own.take(slice(starts[k], ends[k])), False)
+                keep = np.repeat(size <= limit, size)
+                keep[starts[-1] :] = False
+                complete(own.take(keep))
+                if size[-1] > HELD:
+                    is_large[width] = int(own.key[-1])
+                else:
+                    waiting[width] = own.take(slice(starts[-1], None))
+            if out.waiting > 50_000:
+                yield out.batch()
+        for width, own in waiting.items():
+            if len(own) > limit:
+                large(width, own, False)
+            else:
+                complete(own)
+        yield out.batch()
 
     return run
 
@@ -304,106 +365,134 @@ def _stars(num: int, den: int):
 def _blocks(num: int, den: int):
     """Of one pair of blocks of one key: pairs of different components that may link."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.block == pdf.bi.iloc[0]]
-        right = pdf[pdf.block == pdf.bj.iloc[0]]
-        out: list[np.ndarray] = []
-        if len(left) and len(right):
-            small, sizes, comp, names = np.stack(list(right.small)), right.n.to_numpy(), right.comp.to_numpy(), right.cls.to_numpy()
-            for cls, n, own, part in zip(left.cls, left.n, left.small, left.comp):
-                near = names[_passes(num, den, int(n), own, sizes, small) & (comp != part)]
-                out.append(np.stack([np.minimum(near, cls), np.maximum(near, cls)], axis=1))
-        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+    def run(table: pa.Table) -> pa.Table:
+        inside = [np.asarray(pc.equal(table.column("block"), table.column(c))) for c in ("bi", "bj")]
+        out = Pairs()
+        own = _read(table)
+        for members in own if len(own) == 1 else []:
+            left, right = (np.flatnonzero(x) for x in inside)
+            for lo in range(0, len(left), 64):
+                part = left[lo : lo + 64]
+                out.add(members.pairs(np.repeat(part, len(right)), np.tile(right, len(part)), num, den))
+        return pa.Table.from_batches([out.batch()]).select(["a", "b"])
 
     return run
 
 
-def classes_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls names the set of its shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, n long, cls long")
+def row_id(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(doc_id, text_hash)
 
 
-def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Verified links between classes, ``(a, b)``, enough of them to connect every component.
+def hashed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[], None]]:
+    """Three tables, the last of which the function after them deletes.
 
-    Two sets A and B link when ``den * |A and B| >= num * |A or B|``. Also returns
-    ``(cls, label)`` for classes that have a link.
+    ``doc_id, text_hash, n, cls`` of every row; ``cls, band, n, small`` of every class;
+    and ``key, cls, band, met``: the keys by which classes are joined.
     """
-    parts = shuffle_width(docs.sparkSession)
-    own = docs.select("doc_id", "text")
-    by_class, drop_sketches = written(
-        own.mapInArrow(_sketched(width, num, den), "cls long, band int, n long, slack int, words array<long>, small array<long>")
-        .groupBy("cls", "band").agg(F.any_value(F.struct("n", "slack", "words", "small")).alias("x"))
-        .withColumn("spare", F.greatest(F.lit(0), F.col("x.slack") - F.size(F.filter("x.words", lambda w: w == 0))))
-        .select("cls", "band", "x.n", "x.words", "x.small", "spare", F.expr("size(filter(x.words, w -> w = 0)) > x.slack").alias("all_words"))
-    )
-    release(docs.sparkSession)
-    rows = (
-        by_class.select("cls", "band", "all_words", F.posexplode("words").alias("at", "word")).where("word <> 0 or all_words")
-        .select(F.expr("xxhash64(band, at, word) & 17592186044415").alias("key"), "cls", "band")
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    both, drop_both = written(own.mapInArrow(_hashed(width, num, den), "doc_id long, text_hash long, n long, cls long, band int, size int, spare int, words array<long>, small array<long>"))
+    rows = durable(both.where("band is null").select("doc_id", "text_hash", "n", "cls"))
+    sketches = both.where("band is not null")
+    by_class = durable(sketches.groupBy("cls", "band").agg(F.any_value(F.struct(F.col("n").cast("int").alias("n"), "spare", "small")).alias("x")).select("cls", "band", "x.*"))
+    keys = (
+        sketches.select("cls", "band", "size", F.posexplode("words").alias("at", "word")).where("word <> 0")
+        .select(F.xxhash64("band", F.when(F.col("at") < F.col("size"), F.col("at")).otherwise(-1), "word").bitwiseAND(F.lit(KEY_BITS)).alias("key"), "cls", "band")
     )
-    members, drop_members = written(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_met, "key long, cls long, band int, met long"))
-    by_class = durable(by_class.select("cls", "band", "n", "small", "spare"))
-    drop_sketches()  # the words are done with
-    release(docs.sparkSession)
+    by_key = Window.partitionBy("key")
+    met, drops = [], [drop_both]
+    for i in range(SHARES):
+        table, drop = written(
+            keys.where(F.col("key") % SHARES == i)
+            .select("key", "cls", "band", F.count("*").over(by_key).cast("int").alias("met"), F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi"))
+            .where("lo < hi").drop("lo", "hi")
+        )
+        met.append(table)
+        drops.append(drop)
+        release(spark)
+    drops.pop(0)()  # the words are done with
     rarest = Window.partitionBy("cls", "band").orderBy(F.col("met").desc(), "key")
-    kept = (
-        members.withColumn("place", F.row_number().over(rarest))
-        .join(by_class, ["cls", "band"]).where("place > spare")
-        .select("key", "band", "cls", "n", "small")
+    kept, drop_kept = written(
+        reduce(DataFrame.unionByName, met).withColumn("place", F.dense_rank().over(rarest))
+        .join(by_class.select("cls", "band", "spare"), ["cls", "band"]).where("place > spare").select("key", "cls", "band", "met")
     )
-    met = durable(kept.repartition(parts, "key").sortWithinPartitions("key", "band").mapInArrow(_stars(num, den), "a long, b long, key long"))
-    del rows, kept
-    release(docs.sparkSession)
-    first = met.where("key is null").select("a", "b").distinct()
-    linked, labels = _connect(own, width, first, None, num, den)
+    for drop in drops:
+        drop()
+    release(spark)
+    return rows, by_class.drop("spare"), kept, drop_kept
 
-    many = met.where("key is not null").select("key").distinct()
-    tagged = members.join(many, "key").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "band", "met", "cls", F.coalesce("label", "cls").alias("comp")
-    )
-    several = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = durable(tagged.join(several, "key"))
-    drop_members()
-    release(docs.sparkSession)
-    if rest.isEmpty():
-        return linked, labels.withColumnRenamed("node", "cls")
+
+def links(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, labels): ``doc_id, text_hash, n, cls`` of every row; verified links ``a, b`` between classes, enough of them to connect every component; ``cls, label`` of the classes that have a link.
+
+    Two sets A and B link when ``den * |A and B| >= num * |A or B|``.
+    """
+    spark = docs.sparkSession
+    parts = shuffle_width(spark)
+    rows, by_class, kept, drop_kept = hashed(docs, width, num, den)
+    texts = docs.select(row_id(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row"), "text")
+
+    def met(members: DataFrame, first: bool) -> DataFrame:
+        out = durable(
+            members.select("key", "cls", "comp", "n", "small").repartition(parts, "key").sortWithinPartitions("key")
+            .mapInArrow(_met(num, den, first), "a long, b long, key long")
+        )
+        release(spark)
+        return out
+
+    def connected(pairs: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs that hold on the whole sets, with the links before them, and the components of both."""
+        found = _verified(pairs, _sets_of(texts, rows, pairs, width), num, den)
+        found = durable(found if before is None else found.unionByName(before))
+        release(spark)
+        return found, components(found).withColumnRenamed("node", "cls")
+
+    def with_comp(labels: DataFrame) -> DataFrame:
+        return durable(by_class.join(labels, "cls", "left").select("cls", "band", F.coalesce("label", "cls").alias("comp"), "n", "small"))
+
+    some = kept.where(F.col("key") % SAMPLED == 0).join(by_class, ["cls", "band"]).withColumn("comp", F.col("cls"))
+    found, labels = connected(durable(met(some, True).select("a", "b").distinct()), None)
+    parted = with_comp(labels)
+    shares = [met(kept.where(F.col("key") % SHARES == i).join(parted, ["cls", "band"]), False) for i in range(SHARES)]
+    again = reduce(DataFrame.unionByName, shares)
+    near = durable(again.where("key is null").select("a", "b").distinct())
+    if not near.isEmpty():
+        found, labels = connected(near, found)
+        parted = with_comp(labels)
+    many = again.where("key is not null").select("key").distinct()
+    rest = durable(kept.join(many, "key").join(parted, ["cls", "band"]))
+    drop_kept()
+    release(spark)
+    several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    if several.isEmpty():
+        return rows, found, labels
     dealt = (
-        rest.join(by_class.select("cls", "band", "n", "small"), ["cls", "band"])
+        rest.join(several, "key")
         .withColumn("nb", F.ceil(F.col("met") / BLOCK))
         .withColumn("block", F.pmod(F.xxhash64("cls"), "nb"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
         .select("key", "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "cls", "n", "comp", "small")
     )
-    more = dealt.groupBy("key", "band", "bi", "bj").applyInPandas(_blocks(num, den), "a long, b long").distinct()
-    linked, labels = _connect(own, width, more.join(first, ["a", "b"], "left_anti"), linked, num, den)
-    return linked, labels.withColumnRenamed("node", "cls")
+    near = durable(dealt.groupBy("key", "band", "bi", "bj").applyInArrow(_blocks(num, den), "a long, b long").distinct())
+    return rows, *connected(near, found)
 
 
-def _connect(own: DataFrame, width: int, pairs: DataFrame, linked: DataFrame | None, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs verified on the whole sets, with the links before them, and the components of both."""
-    pairs = durable(pairs)
+def _sets_of(texts: DataFrame, rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(cls, items) once for each class of the pairs. A bit filter, of FILTER_WORDS words at most, spares most other texts the hashing."""
+    spark = texts.sparkSession
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    found = _verified(pairs, _sets_of(own, durable(ids), width), num, den)
-    found = durable(found if linked is None else found.unionByName(linked))
-    release(own.sparkSession)
-    return found, components(found)
-
-
-def _sets_of(own: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(cls, items) once for each class of ``ids``."""
-    kind = "doc_id long, n long, cls long, items array<long>"
-    if (n := ids.count()) <= SMALL_IDS:
-        # n long values, 16 MB at most
-        if not n:
-            return own.sparkSession.createDataFrame([], "cls long, items array<long>")
-        wanted = own.sparkSession.sparkContext.broadcast(np.sort(ids.toPandas()["cls"].to_numpy(np.int64)))
-        found = own.mapInArrow(_sets(width, wanted), kind)
-    else:
-        every = own.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64))
-        found = own.mapInArrow(_sets(width, every), kind).join(ids, "cls", "left_semi")
-    return durable(found.groupBy("cls").agg(F.any_value("items").alias("items")))
+    named = rows.join(ids, "cls", "left_semi").groupBy("cls").agg(F.min(row_id(F.col("doc_id"), F.col("text_hash"))).alias("row"))
+    named = durable(named)
+    n, size = named.count(), 1 << 10
+    while size < FILTER_WORDS and size * 8 < n:
+        size *= 2
+    place = F.shiftrightunsigned("row", 6).bitwiseAND(F.lit(size - 1))
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    set_bits = named.select(place.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    wanted = np.zeros(size, U)
+    wanted[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy().view(U)
+    found = texts.mapInArrow(_sets(width, spark.sparkContext.broadcast(wanted)), "row long, cls long, items array<long>")
+    return durable(found.join(named, ["cls", "row"], "left_semi").groupBy("cls").agg(F.any_value("items").alias("items")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -426,33 +515,39 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     stand alone if nothing with an id is reachable (component_id null). Extra columns
     are ignored. An empty table gives no rows.
     """
-    _, labels = links(docs, width, num, den)
-    named = classes_of(docs, width).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = (
-        named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    )
-    return named.join(least, "label", "left").select(
+    rows, _, labels = links(docs, width, num, den)
+    named = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("lo")).join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "lo")
+    # durable, so that Spark may split a large component's rows in the join
+    least = durable(named.groupBy("label").agg(F.min("lo").alias("component_id")))
+    by_class = durable(named.join(least, "label").select("cls", "component_id"))
+    return rows.join(by_class, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """All columns of one document of each component: the one with the smallest doc_id.
+    """All columns of one row of each component: the one with the smallest doc_id, of these the one with the smallest hash of its text.
 
-    Rows of one doc_id are one document, of which the smallest text is kept. Rows
-    without an id are told apart by their text and rank behind all others. Texts
-    without words are kept.
+    Rows without an id rank behind all others. Only a row whose own text is linked with
+    (or equal to) the one that stays goes, so rows of one doc_id with unlike texts
+    all stay; of rows with the same id and text one stays. Null texts and texts without
+    words are linked with nothing and all stay. Extra columns are kept, whatever their
+    names; an empty table gives no rows.
     """
-    own_id = (F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))).cast("long")
-    named = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), own_id))
-    far = near_groups(named, width, num, den).where("doc_id <> component_id")
-    gone = durable(far.select(F.col("doc_id").alias("_gone")).distinct())
-    del far
+    rows, _, labels = links(docs, width, num, den)
+    # the rows that stay or go are told apart by id and hash of the text, both never null
+    who = [F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("_near_id"), F.col("text_hash").alias("_near_text")]
+    own = rows.where("n > 0").groupBy("cls", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = own.groupBy("cls").agg(F.min(rank).alias("lo")).join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "lo")
+    least = durable(named.groupBy("label").agg(F.min("lo").alias("lo")))
+    by_class = durable(named.drop("lo").join(least, "label").select("cls", "lo"))
+    ranked = own.join(by_class, "cls").withColumn("stays", rank.eqNullSafe(F.col("lo")))
+    marked = durable(ranked.where("not stays or times > 1").select(*who, F.col("stays").alias("_near_stays")))
     release(docs.sparkSession)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return (
-        named.withColumn("_first", first).where("_first = 1")
-        .join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-        .withColumn("doc_id", F.when(~F.col("_no_id"), F.col("doc_id"))).select(*docs.columns)
-    )
+    told = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_near_text": F.xxhash64("text")})
+    kept = told.join(marked.drop("_near_stays"), ["_near_id", "_near_text"], "left_anti")
+    if not (repeated := marked.where("_near_stays").drop("_near_stays")).isEmpty():
+        kept = kept.unionByName(told.join(repeated, ["_near_id", "_near_text"], "left_semi").dropDuplicates(["_near_id", "_near_text"]))
+    return kept.select(*docs.columns)

@@ -8,6 +8,7 @@ loop runs over words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,9 +37,18 @@ def byte_values() -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    if n <= CHUNK_BYTES:
+        return _first_powers(base)[:n]
     out = np.full(n, U(base), dtype=U)
     out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
+    return np.multiply.accumulate(out)
+
+
+@cache
+def _first_powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK_BYTES, U(base), dtype=U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,12 +84,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(hashes + (end - begin).astype(U)), np.searchsorted(begin, offsets)
 
 
-def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a row's ``width``-word shingles; fewer words make one shingle."""
+def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words that follow each other; of fewer words, one of them all."""
     if len(hashes) == 0:
         return hashes
     take = min(width, len(hashes))
     total = np.full(len(hashes) - take + 1, U(take), dtype=U)
     for i in range(take):
         total = mix(total * U(0x9FB21C651E98DF25) + hashes[i : len(hashes) - take + 1 + i])
-    return np.unique(total)
+    return total
+
+
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of a row's ``width``-word shingles; fewer words make one shingle."""
+    return np.unique(windows(hashes, width))
+
+
+def shingle_sets(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What shingles() gives for each row, joined, and where each row's begin (one more at the end)."""
+    whole = windows(hashes, width)
+    parts = [whole[a : b - width + 1] if b - a >= width else windows(hashes[a:b], width) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    begin = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate([np.zeros(0, U), *parts])
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[begin[begin < len(flat)]] = True
+    return flat[new], np.append(0, np.cumsum(new))[begin]

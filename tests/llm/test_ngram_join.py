@@ -96,8 +96,14 @@ def test_linked_sets_share_more_than_slack_words():
                     shared = {k: (d, s) for k, d, s in nj.bands(len(a), num, den)}.items() & {k: (d, s) for k, d, s in nj.bands(len(b), num, den)}.items()
                     assert shared
                     for band, (d, slack) in shared:
-                        assert (nj.sketch(a, d + 1 + slack) == nj.sketch(b, d + 1 + slack)).sum() > slack or min(len(a), len(b)) > nj.band_end(band)
-                        assert nj._passes(num, den, len(a), nj.small_sketch(a, band), np.array([len(b)]), nj.small_sketch(b, band)[None])[0]
+                        (x, spare), (y, other) = (nj.words_of(s, wh.mix(s), d, slack) for s in (a, b))
+                        size = d + 1 + slack
+                        x, y, more, others = x[:size], y[:size], x[size:], y[size:]
+                        assert (x == y).sum() > slack or min(len(a), len(b)) > nj.band_end(band)
+                        shared_keys = ((x == y) & (x != 0)).sum() + len(np.intersect1d(more, others))
+                        assert shared_keys > min(spare, other) or min(len(a), len(b)) > nj.band_end(band)
+                        small = [nj.small_sketch(nj.other_hash(s), band) for s in (a, b)]
+                        assert nj._passes(num, den, len(a), small[0], np.array([len(b)]), small[1][None])[0]
 
 
 def test_a_large_group_of_near_copies(spark):
@@ -110,11 +116,15 @@ def test_a_large_group_of_near_copies(spark):
         for j in rng.choice(60, int(rng.integers(1, 4)), replace=False):
             own[int(j)] = f"z{rng.integers(3)}"
         rows.append((i, " ".join(own)))
-    few, block, nj.FEW, nj.BLOCK = nj.FEW, nj.BLOCK, 8, 16
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows, 3, 9, 10)
+    own = {k: getattr(nj, k) for k in ("FEW", "BLOCK", "HELD", "REMEMBERED", "SAMPLED")}
     try:
-        assert result(nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)) == brute(rows, 3, 9, 10)
+        for few, block, held, remembered, share in ((8, 16, 40, 10, 8), (4, 8, 9, 1000, 1), (2, 4, 1000, 5, 64)):
+            nj.FEW, nj.BLOCK, nj.HELD, nj.REMEMBERED, nj.SAMPLED = few, block, held, remembered, share
+            assert result(nj.near_groups(docs, 3, 9, 10)) == wanted
     finally:
-        nj.FEW, nj.BLOCK = few, block
+        for k, v in own.items():
+            setattr(nj, k, v)
 
 
 def test_sketch_distance_is_a_lower_bound():
@@ -122,7 +132,7 @@ def test_sketch_distance_is_a_lower_bound():
     for _ in range(50):
         a = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
         b = np.unique(np.append(a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, 5, dtype=np.uint64)))
-        gap = int(np.bitwise_count(nj.sketch(a, 9) ^ nj.sketch(b, 9)).sum())
+        gap = int(np.bitwise_count(nj.sketch(a, wh.mix(a), 9) ^ nj.sketch(b, wh.mix(b), 9)).sum())
         assert gap <= len(np.setxor1d(a, b))
 
 
@@ -140,3 +150,37 @@ def test_word_hashes_match_words():
                 assert by_word.setdefault(w, x) == x
             seen.append(lo + i)
     assert seen == list(range(len(texts))) and len(set(by_word.values())) == len(by_word)
+
+
+def test_sets_of_many_rows_are_those_of_each():
+    import pyarrow as pa
+
+    texts = ["a b c d a b c d", "", "one", None, "x y", "a b c d e f g", " ", "b c d"]
+    for lo, hi, data, offsets in wh.chunks(pa.array(texts)):
+        h, at = wh.words(data, offsets)
+        flat, begin = wh.shingle_sets(h, at, 3)
+        for i in range(hi - lo):
+            assert flat[begin[i] : begin[i + 1]].tolist() == wh.shingles(h[at[i] : at[i + 1]], 3).tolist()
+
+
+def test_one_row_of_each_group_stays_and_nothing_else_goes(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    near = long + " w40"
+    alike = "quite another text that has nothing in common with it"
+    rows = [(3, long), (5, near), (5, alike), (7, near), (7, near), (None, near), (None, "free of any id but long enough"), (None, "free of any id but long enough"),
+            (None, None), (None, ""), (None, " "), (9, ""), (9, ""), (11, None), (12, "tiny"), (12, "tiny"), (13, "TINY ")]
+    kept = [(r.doc_id, r.text) for r in nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    wanted = [(3, long), (5, alike), (None, "free of any id but long enough"), (None, None), (None, ""), (None, " "), (9, ""), (9, ""), (11, None), (12, "tiny")]
+    assert sorted(kept, key=str) == sorted(wanted, key=str)
+
+
+def test_tiny_sets_with_empty_words(spark):
+    """Sets of a few shingles leave words of a sketch empty; they meet by single shingles."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        words = [f"t{rng.integers(30)}" for _ in range(int(rng.integers(5, 14)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: len(words) - int(rng.integers(0, 2))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, num, den in ((3, 9, 10), (2, 8, 10), (1, 6, 10)):
+        assert result(nj.near_groups(docs, width, num, den)) == brute(rows, width, num, den)
