@@ -4,17 +4,20 @@ Every document becomes its set of word shingles; equal sets form one class. A cl
 of ``n`` shingles falls into a size band, and a partner at least as large may reach
 past the band, so it is also sketched for the band below. In a band two sets that
 link differ in at most ``d`` shingles. Each shingle flips one bit of a sketch of
-``d + 1 + slack`` words of 64 bits, so sketches differ in at most as many bits as
-the sets differ in shingles, and at least ``slack + 1`` words have the same content.
-
-Words are joined by key, the rarest first: of the keys that a class shares with any
-other, the ``slack`` most frequent may be left out, as a pair that links shares one
-more (prefix filtering; zero words count as left out, and a class with more zero words
-than that is also joined by its single shingles). So words that hold nothing but common
-passages seldom meet. Whoever meets is compared inside the task by a second, smaller
-parity sketch, whose Hamming distance is a lower bound of the difference as well, and
-only pairs that pass are emitted and verified on the whole sets. No link is lost and
-none is wrong but for collisions of 64-bit hashes.
+``2 d + 1`` words of 64 bits, so sketches differ in at most as many bits as the sets
+differ in shingles, and by the pigeonhole principle more than half of the words agree.
+
+Sets are joined by their first PICKED words that are not empty. Small sets have no more
+than that, and a pair that links surely shares one; a small set with more than ``d``
+empty words is also joined by its single shingles. Of large sets' words each is untouched
+by ``d`` differences with a chance of exp(-1/2), so of those picked a linked pair shares
+more than SPARE but for a chance below 1e-13. That many, the most frequent of the keys
+that a class shares, may therefore be left out (prefix filtering), and words that hold
+nothing but common passages seldom meet. Whoever meets is compared inside the task by a
+second, smaller parity sketch of the whole set, whose Hamming distance is a lower bound
+of the difference as well, and only pairs that pass are emitted and verified on the whole
+sets. So no wrong link is given and none is lost, but for collisions of 64-bit hashes and
+the chance above.
 
 Near copies meet in most of their keys, so the join goes in rounds. The first looks at
 one key in SAMPLED; of a key with many members a hub is compared with all others there.
@@ -41,8 +44,8 @@ from .common import components, durable, release, shuffle_width, written
 
 #: Ratio of a band's ends.
 BAND_RATIO = 1.6
-#: Words beyond d + 1, as a share of d.
-SLACK = 0.2
+#: Words of a sketch by which a set is joined, at most, and how many of those shared may be left out.
+PICKED, SPARE = 64, 8
 #: Bits of the small sketch for each shingle.
 SMALL_BITS = 0.6
 #: The first round looks at one key in so many.
@@ -55,6 +58,8 @@ BLOCK = 256
 HELD = 16_384
 #: Shares of the keys that are dealt one after the other, so that less has to be on disk at once.
 SHARES = 2
+#: 64-bit words of small sketches that are compared at once.
+AT_ONCE = 1 << 18
 #: Pairs that a task remembers so as not to emit them again, at most.
 REMEMBERED = 200_000
 #: 64-bit words of the largest filter that tells which texts are needed for verification.
@@ -64,14 +69,14 @@ U = np.uint64
 
 
 @cache
-def bands(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
-    """(band, most differing shingles, slack) of the bands in which a set of this size is sketched."""
+def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(band, most differing shingles) of the bands in which a set of this size is sketched."""
     if size < 1:
         return []
     out = [band_of(size)]
     while out[-1] and band_end(out[-1] - 1) * den // num >= size:  # as the larger partner of a set of the band below
         out.append(out[-1] - 1)
-    return [(k, d, 1 + int(SLACK * d)) for k in out for d in [differ(band_end(k), num, den)] if d > 0]
+    return [(k, d) for k in out for d in [differ(band_end(k), num, den)] if d > 0]
 
 
 def band_end(k: int) -> int:
@@ -91,13 +96,14 @@ def differ(small: int, num: int, den: int) -> int:
     return union * (den - num) // den
 
 
-def sketch(own: np.ndarray, flips: np.ndarray, size: int) -> np.ndarray:
-    """Parity words: the top bits of a hash choose the word (own is sorted), six bits of another (flips) the bit."""
+def sketch(own: np.ndarray, flips: np.ndarray, size: int, first: int | None = None) -> np.ndarray:
+    """Parity words (the first ones only): the top bits of a hash choose the word (own is sorted), six bits of another (flips) the bit."""
+    first = size if first is None else min(first, size)
     place = ((own >> U(32)) * U(size)) >> U(32)
-    flip = U(1) << (flips & U(63))
-    at = np.searchsorted(place, np.arange(size, dtype=U))
-    out = np.zeros(size, U)
-    full = np.flatnonzero(np.diff(np.append(at, len(own))))
+    at = np.searchsorted(place, np.arange(first + 1, dtype=U))
+    flip = U(1) << (flips[: at[-1]] & U(63))
+    out = np.zeros(first, U)
+    full = np.flatnonzero(np.diff(at))
     if len(full):
         out[full] = np.bitwise_xor.reduceat(flip, at[full])
     return out
@@ -114,11 +120,24 @@ def other_hash(own: np.ndarray) -> np.ndarray:
     return wh.mix(own ^ U(0x2545F4914F6CDD1D))
 
 
-def words_of(own: np.ndarray, flips: np.ndarray, d: int, slack: int) -> tuple[np.ndarray, int]:
-    """The words of a set's sketch, followed by its shingles if too many words are empty, and how many shared ones may be left out."""
-    words = sketch(own, flips, d + 1 + slack)
-    spare = slack - int((words == 0).sum())
-    return (words if spare >= 0 else np.append(words, own)), max(0, spare)
+@cache
+def salts(band: int) -> np.ndarray:
+    """A number for each of the first words of a band's sketches."""
+    return wh.mix(np.arange(8 * PICKED, dtype=U) + U((band + 1) << 32))
+
+
+def keys_of(own: np.ndarray, flips: np.ndarray, band: int, d: int) -> tuple[np.ndarray, int]:
+    """The keys by which a set is joined in a band, and how many of the shared ones may be left out."""
+    size = 2 * d + 1
+    words = sketch(own, flips, size, 8 * PICKED)  # at least one in two is full, so these are enough
+    full = np.flatnonzero(words)[:PICKED]
+    keys = wh.mix(words[full] ^ salts(band)[full])
+    if len(full) == PICKED:
+        return keys & U(KEY_BITS), SPARE
+    spare = d - (size - len(full))
+    if spare < 0:
+        keys = np.append(keys, wh.mix(own + U(band)))
+    return keys & U(KEY_BITS), min(SPARE, max(0, spare))
 
 
 def classes(flat: np.ndarray, flips: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -135,7 +154,7 @@ def classes(flat: np.ndarray, flips: np.ndarray, begin: np.ndarray) -> np.ndarra
 
 HASHED = pa.schema([
     ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
-    ("band", pa.int32()), ("size", pa.int32()), ("spare", pa.int32()), ("words", pa.list_(pa.int64())), ("small", pa.list_(pa.int64())),
+    ("band", pa.int32()), ("spare", pa.int32()), ("keys", pa.list_(pa.int64())), ("small", pa.list_(pa.int64())),
 ])
 
 
@@ -157,27 +176,27 @@ def _hashed(width: int, num: int, den: int):
                 flips, other = wh.mix(flat), other_hash(flat)
                 names = classes(flat, flips, begin)
                 size = np.diff(begin)
-                rows, words, small = [], [], []
+                rows, keys, small = [], [], []
                 for i, (cls, a, b) in enumerate(zip(names.tolist(), begin[:-1].tolist(), begin[1:].tolist())):
                     if cls in done:
                         continue
                     if len(done) >= REMEMBERED:
                         done.clear()
                     done.add(cls)
-                    for band, d, slack in bands(b - a, num, den):
-                        own, spare = words_of(flat[a:b], flips[a:b], d, slack)
-                        rows.append((i, band, d + 1 + slack, spare))
-                        words.append(own)
+                    for band, d in bands(b - a, num, den):
+                        own, spare = keys_of(flat[a:b], flips[a:b], band, d)
+                        rows.append((i, band, spare))
+                        keys.append(own)
                         small.append(small_sketch(other[a:b], band))
                 n = hi - lo
-                of, *others = np.array(rows, np.int64).reshape(-1, 4).T
+                of, *others = np.array(rows, np.int64).reshape(-1, 3).T
                 texts = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(size), pa.array(names)]
                 none = pa.nulls(n, pa.int32())
                 parts = [
                     *(pa.concat_arrays([c.cast(pa.int64()), pa.nulls(len(of), pa.int64())]) for c in texts[:2]),
                     pa.array(np.append(size, size[of])), pa.array(np.append(names, names[of])),
                     *(pa.concat_arrays([none, pa.array(x.astype(np.int32))]) for x in others),
-                    _lists(words, n), _lists(small, n),
+                    _lists(keys, n), _lists(small, n),
                 ]
                 yield pa.RecordBatch.from_arrays(parts, schema=HASHED)
 
@@ -224,9 +243,13 @@ class Members:
 
     def pairs(self, left: np.ndarray, right: np.ndarray, num: int, den: int) -> np.ndarray:
         """Of the pairs of rows, those of different components that may link, as (smaller class, larger class)."""
-        apart = self.comp[left] != self.comp[right]
-        left, right = left[apart], right[apart]
-        near = _passes(num, den, self.n[left], self.small[left], self.n[right], self.small[right])
+        apart = np.flatnonzero(self.comp[left] != self.comp[right])
+        step, found = max(1, AT_ONCE // self.small.shape[1]), [np.zeros(0, np.int64)]
+        for lo in range(0, len(apart), step):
+            at = apart[lo : lo + step]
+            i, j = left[at], right[at]
+            found.append(at[_passes(num, den, self.n[i], self.small[i], self.n[j], self.small[j])])
+        near = np.concatenate(found)
         a, b = self.cls[left[near]], self.cls[right[near]]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
@@ -298,7 +321,8 @@ def _met(num: int, den: int, first: bool):
             if first:
                 if not more:
                     some = np.argsort(own.cls, kind="stable")[:: max(1, len(own) // 32)]
-                    most = [int(_passes(num, den, own.n[i], own.small[i], own.n, own.small).sum()) for i in some.tolist()]
+                    all_rows = np.arange(len(own))
+                    most = [len(own.pairs(np.full(len(own), i), all_rows, num, den)) for i in some.tolist()]
                     hubs[width] = own.take(some[[int(np.argmax(most))]])
                 both = Members(*(np.concatenate([getattr(hubs[width], c), getattr(own, c)]) for c in ("key", "cls", "comp", "n", "small")))
                 out.add(both.pairs(np.zeros(len(own), np.int64), np.arange(1, len(both)), num, den))
@@ -315,9 +339,7 @@ def _met(num: int, den: int, first: bool):
             left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(own)) - 1  # members of the key that follow
             at, step = np.flatnonzero(left > 0), 1
             while len(at):
-                for lo in range(0, len(at), 1 << 16):
-                    part = at[lo : lo + (1 << 16)]
-                    out.add(own.pairs(part, part + step, num, den))
+                out.add(own.pairs(at, at + step, num, den))
                 step += 1
                 at = at[left[at] >= step]
 
@@ -391,14 +413,11 @@ def hashed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    both, drop_both = written(own.mapInArrow(_hashed(width, num, den), "doc_id long, text_hash long, n long, cls long, band int, size int, spare int, words array<long>, small array<long>"))
+    both, drop_both = written(own.mapInArrow(_hashed(width, num, den), "doc_id long, text_hash long, n long, cls long, band int, spare int, keys array<long>, small array<long>"))
     rows = durable(both.where("band is null").select("doc_id", "text_hash", "n", "cls"))
     sketches = both.where("band is not null")
     by_class = durable(sketches.groupBy("cls", "band").agg(F.any_value(F.struct(F.col("n").cast("int").alias("n"), "spare", "small")).alias("x")).select("cls", "band", "x.*"))
-    keys = (
-        sketches.select("cls", "band", "size", F.posexplode("words").alias("at", "word")).where("word <> 0")
-        .select(F.xxhash64("band", F.when(F.col("at") < F.col("size"), F.col("at")).otherwise(-1), "word").bitwiseAND(F.lit(KEY_BITS)).alias("key"), "cls", "band")
-    )
+    keys = sketches.select(F.explode("keys").alias("key"), "cls", "band")
     by_key = Window.partitionBy("key")
     met, drops = [], [drop_both]
     for i in range(SHARES):
@@ -410,10 +429,11 @@ def hashed(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
         met.append(table)
         drops.append(drop)
         release(spark)
-    drops.pop(0)()  # the words are done with
+    drops.pop(0)()  # the sketches are done with
     rarest = Window.partitionBy("cls", "band").orderBy(F.col("met").desc(), "key")
     kept, drop_kept = written(
-        reduce(DataFrame.unionByName, met).withColumn("place", F.dense_rank().over(rarest))
+        reduce(DataFrame.unionByName, met).withColumns({"place": F.dense_rank().over(rarest), "again": F.lag("key").over(rarest) == F.col("key")})
+        .where("not coalesce(again, false)")  # tasks repeat the keys of copies that they share
         .join(by_class.select("cls", "band", "spare"), ["cls", "band"]).where("place > spare").select("key", "cls", "band", "met")
     )
     for drop in drops:

@@ -81,11 +81,11 @@ def test_empty_table(spark):
     assert nj.near_groups(docs).count() == 0
 
 
-def test_linked_sets_share_more_than_slack_words():
+def test_linked_sets_share_more_keys_than_may_be_left_out():
     rng = np.random.default_rng(0)
     for num, den in ((9, 10), (8, 10)):
-        for n in [*range(1, 40), 75, 130, 777]:
-            for _ in range(6):
+        for n in [*range(1, 40), 75, 130, 300, 777, 5000]:
+            for _ in range(8):
                 a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
                 most = nj.differ(len(a), num, den)
                 cut = int(rng.integers(0, most + 1))
@@ -93,19 +93,27 @@ def test_linked_sets_share_more_than_slack_words():
                 b = np.unique(np.append(keep, rng.integers(0, 2**64, most - cut, dtype=np.uint64)))
                 both = len(np.intersect1d(a, b))
                 if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    shared = {k: (d, s) for k, d, s in nj.bands(len(a), num, den)}.items() & {k: (d, s) for k, d, s in nj.bands(len(b), num, den)}.items()
+                    shared = dict(nj.bands(len(a), num, den)).items() & dict(nj.bands(len(b), num, den)).items()
                     assert shared
-                    for band, (d, slack) in shared:
-                        (x, spare), (y, other) = (nj.words_of(s, wh.mix(s), d, slack) for s in (a, b))
-                        size = d + 1 + slack
-                        x, y, more, others = x[:size], y[:size], x[size:], y[size:]
-                        assert (x == y).sum() > slack or min(len(a), len(b)) > nj.band_end(band)
-                        shared_keys = ((x == y) & (x != 0)).sum() + len(np.intersect1d(more, others))
-                        assert shared_keys > min(spare, other) or min(len(a), len(b)) > nj.band_end(band)
+                    for band, d in shared:
+                        if min(len(a), len(b)) > nj.band_end(band):
+                            continue
+                        x, y = (nj.sketch(s, wh.mix(s), 2 * d + 1) for s in (a, b))
+                        assert (x == y).sum() > d and (nj.sketch(a, wh.mix(a), 2 * d + 1, 20) == x[:20]).all()
+                        (left, spare), (right, other) = (nj.keys_of(s, wh.mix(s), band, d) for s in (a, b))
+                        assert len(np.intersect1d(left, right)) > max(spare, other)
                         small = [nj.small_sketch(nj.other_hash(s), band) for s in (a, b)]
                         assert nj._passes(num, den, len(a), small[0], np.array([len(b)]), small[1][None])[0]
 
 
+def test_chance_of_losing_a_pair():
+    """Of PICKED words, each untouched with a chance of exp(-1/2), more than SPARE are."""
+    from math import comb, exp
+
+    p = exp(-0.5)
+    assert sum(comb(nj.PICKED, k) * p**k * (1 - p) ** (nj.PICKED - k) for k in range(nj.SPARE + 1)) < 1e-13
+
+
 def test_a_large_group_of_near_copies(spark):
     """One key with more members than FEW, several components among them, over tiny blocks."""
     rng = np.random.default_rng(5)
