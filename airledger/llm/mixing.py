@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable, fresh
+
+#: Up to so many sources their rates are broadcast (their names and cumulative probabilities, a few hundred bytes each); more are joined.
+FEW_SOURCES = 10_000
+
 
 def unit(*parts: Column | str) -> Column:
     """A number in [0, 1) from the first 13 hexadecimal digits of an MD5 of the parts."""
@@ -50,17 +55,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
 
     A null source is a source of its own. Rows of one doc_id and source draw the same
     number; a null doc_id draws by its text. Repeated rows are each repeated. An empty
-    table, or weights that name no present source, give no rows.
+    table, or weights that name no present source, give no rows. If the table has a
+    column ``copy`` it is kept and the number's name gets an underscore more. Texts are
+    shuffled once, unless there are more than FEW_SOURCES sources.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_source = rates(docs, weights, temper, factor).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
+    name = {c: fresh(docs, c) for c in ("copy", "_mix_source", "_mix_cdf", "_mix_drawn", "_mix_times", "_mix_order")}
+    source, cdf, drawn, times, order, copy = (name[c] for c in ("_mix_source", "_mix_cdf", "_mix_drawn", "_mix_times", "_mix_order", "copy"))
+    by_source = durable(rates(docs, weights, temper, factor).select(F.col("source").alias(source), F.col("cdf").alias(cdf)))
+    if by_source.count() <= FEW_SOURCES:
+        by_source = F.broadcast(by_source)
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    drawn = (
-        docs.join(by_source, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_u", unit(F.lit(seed), who, F.coalesce("source", F.lit(""))))
-        .withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-        .where("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), who, F.coalesce("source", F.lit("")), F.col("copy").cast("string")).cast("binary")))
+    out = (
+        docs.join(by_source, F.col("source").eqNullSafe(F.col(source)))
+        .withColumn(drawn, unit(F.lit(seed), who, F.coalesce("source", F.lit(""))))
+        .withColumn(times, F.size(F.filter(cdf, lambda c: c <= F.col(drawn))))
+        .where(F.col(times) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), who, F.coalesce("source", F.lit("")), F.col(copy).cast("string")).cast("binary")))
     )
-    return drawn.repartition(parts, "_order").sortWithinPartitions("_order").select(*docs.columns, "copy")
+    return out.repartition(parts, order).sortWithinPartitions(order).select(*docs.columns, copy)
