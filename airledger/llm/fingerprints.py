@@ -4,21 +4,21 @@ A gear hash (each step doubles the hash and adds a value of the byte) runs over
 UTF-8 bytes; a boundary is where its masked bits are zero. Normalised chunking asks
 for more zero bits before the usual length and for fewer after it, so lengths gather
 there. A fingerprint is the list of chunk digests with their lengths; boundaries move
-with the text, so an insertion changes the chunks around it alone. Containment is the
-length of the chunks that are shared, over the length of all.
+with the text, so an insertion changes the chunks around it alone. A text is contained
+in another by the length of the chunks that are shared, over the length of all its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a chunk: least, usual, most.
@@ -82,20 +82,25 @@ def chunks(text: str) -> Counter:
     """(digest, length) of each chunk, with its count."""
     data, start, out = text.encode("utf-8", "surrogatepass"), 0, []
     for end in boundaries(data):
-        out.append((zlib.crc32(data[start:end]), end - start))
+        out.append((xxhash.xxh3_64_intdigest(data[start:end]), end - start))
         start = end
     return Counter(out)
 
 
 def written(own: Counter) -> str:
     """``digest:length`` or ``digest:length*count``, by digest, comma-joined."""
-    return ",".join(f"{d:08x}:{n}" + (f"*{c}" if c > 1 else "") for (d, n), c in sorted(own.items()))
+    return ",".join(f"{d:016x}:{n}" + (f"*{c}" if c > 1 else "") for (d, n), c in sorted(own.items()))
 
 
 def likeness(a: Counter, b: Counter) -> float:
-    """Shared bytes over those of the longer text: its containment in the shorter one at best. Two empty texts are alike."""
-    most = max(sum(n * c for (_, n), c in x.items()) for x in (a, b))
-    return sum(min(c, b[k]) * k[1] for k, c in a.items() if k in b) / most if most else 1.0
+    """The smaller of the two containments, of a in b and of b in a."""
+    return min(containment(a, b), containment(b, a))
+
+
+def containment(a: Counter, b: Counter) -> float:
+    """The share of a's bytes that lie in chunks which b has as well. An empty text is contained in any."""
+    whole = sum(n * c for (_, n), c in a.items())
+    return sum(min(c, b[k]) * k[1] for k, c in a.items() if k in b) / whole if whole else 1.0
 
 
 def edited(text: str, following: str) -> str:
@@ -115,6 +120,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fingerprint string")
 
 
+def _numbers(values: list[int | None]) -> Column:
+    """A constant array of whole numbers, as one literal whatever its length."""
+    return F.transform(F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ","), lambda x: x.try_cast("long"))
+
+
+def _place(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at or below the value: counted among every step-th one first, and then within the step."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    below = lambda those: F.size(F.filter(those, lambda c: c <= value))
+    heads = below(_numbers(cuts[::step]))
+    inside = F.slice(_numbers(cuts), F.greatest(heads - 1, F.lit(0)) * step + 1, step)
+    return F.when(heads > 0, (heads - 1) * step + below(inside)).otherwise(0)
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """``doc_id, text, part, guest`` dealt so that every row stands before its follower, in one shuffle of the texts.
 
@@ -129,14 +150,12 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     low = ids.agg(F.min("doc_id")).first()[0]
     cuts = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if low is not None and parts > 1 else []
     cuts = sorted({int(c) for c in cuts if c > low})
-    part = F.lit(0)
-    for i, c in enumerate(cuts):
-        part = F.when(F.col("doc_id") >= c, F.lit(i + 1)).otherwise(part)
+    part = F.coalesce(_place(cuts, F.col("doc_id")), F.lit(0))
     firsts = {r.part: r.first for r in ids.groupBy(part.alias("part")).agg(F.when(F.count("*") > F.count("doc_id"), None).otherwise(F.min("doc_id")).alias("first")).collect()}
     used = sorted(firsts)
-    host = F.lit(None).cast("int")
-    for at, p in enumerate(used):
-        host = F.when(F.col("doc_id").eqNullSafe(F.lit(firsts[p]).cast("long")), F.lit(used[at - 1])).otherwise(host)
+    before = {p: used[at - 1] for at, p in enumerate(used)}
+    every = range(len(cuts) + 1)
+    host = F.when(F.col("doc_id").eqNullSafe(F.get(_numbers([firsts.get(p) for p in every]), part)), F.get(_numbers([before.get(p) for p in every]), part)).cast("int")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part.alias("part"), host.alias("host"))
     spread = own.withColumn(
         "to",
@@ -152,6 +171,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
 OUT = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("contained_edited", pa.float64()), ("contained_next", pa.float64()),
 ])
 
 
@@ -177,7 +197,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before, before_chunks = last[2], last[3]
                 changed = edited(before, text)
                 other = chunks(changed)
-                rows.append((last[1], len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), written(before_chunks), written(other), likeness(before_chunks, other), likeness(before_chunks, own)))
+                rows.append((last[1], len(before), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), written(before_chunks), written(other), likeness(before_chunks, other), likeness(before_chunks, own), containment(before_chunks, other), containment(before_chunks, own)))
                 size += len(before)
                 if size > 4_000_000:
                     size = 0
@@ -188,11 +208,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike they are.
+    """Fingerprints of every text and of its edited text, how alike they are, and how much of the text is contained in the edited and in the next one.
 
     The next document is the one with the next doc_id (ties by text; after the last
     one the first). A null text is empty; repeated rows follow each other; a single
     row follows itself; an empty table gives no rows. Other columns are ignored.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
     return with_next(docs, parts).mapInArrow(_compare, schema)
