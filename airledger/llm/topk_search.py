@@ -27,27 +27,37 @@ LEAF, FANOUT, SHRINK = 96, 12, 1.5
 
 
 class Tree:
-    """A batch-built cover tree: each node has a center, a covering radius, and children or points."""
+    """A batch-built cover tree.
+
+    Every node has a pivot, one of its points, and a reach: all its points lie within it.
+    Its children's pivots are picked farthest first, the node's own pivot first, until
+    they cover it within reach / SHRINK or there are FANOUT; what they cover it within is
+    the children's reach. So reaches fall from level to level, siblings' pivots are at
+    least their reach apart, and a pivot stays one below. For pruning, a node also has
+    the center and the radius of the ball of its points, which is tighter.
+    """
 
-    def __init__(self, points: np.ndarray, members: np.ndarray | None = None) -> None:
+    def __init__(self, points: np.ndarray, members: np.ndarray | None = None, pivot: int | None = None, reach: float | None = None) -> None:
         members = np.arange(len(points)) if members is None else members
         own = points[members]
         self.members, self.children = members, []
         self.center = own.mean(axis=0)
         away = np.sqrt(((own - self.center) ** 2).sum(axis=1))
         self.radius, self.norm = float(away.max()), float(np.sqrt((self.center**2).sum()))
+        self.pivot = int(members[away.argmin()]) if pivot is None else pivot
+        nearest = np.sqrt(((own - points[self.pivot]) ** 2).sum(axis=1))
+        self.reach = float(nearest.max()) if reach is None else reach
         if len(members) <= LEAF or self.radius == 0:
             return
-        nearest, part = np.full(len(members), np.inf), np.zeros(len(members), int)
-        pick = int(away.argmax())
-        for i in range(FANOUT):
+        pivots, part = [self.pivot], np.zeros(len(members), int)
+        while len(pivots) < FANOUT and (len(pivots) < 2 or nearest.max() > self.reach / SHRINK):
+            pick = int(nearest.argmax())
             gap = np.sqrt(((own - own[pick]) ** 2).sum(axis=1))
             closer = gap < nearest
-            nearest[closer], part[closer] = gap[closer], i
-            pick = int(nearest.argmax())
-            if nearest[pick] <= self.radius / SHRINK and i:
-                break
-        self.children = [Tree(points, members[part == i]) for i in range(part.max() + 1) if (part == i).any()]
+            nearest[closer], part[closer] = gap[closer], len(pivots)
+            pivots.append(int(members[pick]))
+        below = float(nearest.max())
+        self.children = [Tree(points, members[part == i], p, below) for i, p in enumerate(pivots)]
 
 
 def bound(a: Tree, b: Tree) -> float:
