@@ -11,6 +11,7 @@ so a task that runs again gives the same ids.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from array import array
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 #: Rests are packed whenever so many of their tokens have gathered in a task.
 BLOCK_TOKENS = 8_000_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 
 
 class Room:
@@ -130,6 +131,8 @@ class Words(dict):
     def __init__(self, loaded) -> None:
         super().__init__()
         self.loaded, self.model, self.old = loaded, loaded.model, {}
+        self.special = [t.content.lower() for t in loaded.get_added_tokens_decoder().values()]
+        self.special_start = os.path.commonprefix(self.special)
         self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that stand for themselves
         others = iter(range(256, 512))
@@ -159,20 +162,22 @@ def encoder(path: str):
 
     No pattern of this tokenizer reaches across a space, tab or line end, so ids of
     what stands between them are remembered. It lower-cases, which is done first where
-    that is the same. The memory is kept between the tasks of a worker.
+    that is the same. A text that holds one of the tokenizer's special tokens is encoded
+    as a whole. The memory is kept between the tasks of a worker.
     """
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_airledger", {})
     if path not in kept:
         loaded = tokenizers.Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
         loaded.no_truncation()
         loaded.no_padding()
         kept[path] = Words(loaded)
     words = kept[path]
 
     def encode(text: str) -> bytes:
+        if words.special_start in text and any(t in text.lower() for t in words.special):
+            return array("I", words.loaded.encode(text, add_special_tokens=False).ids).tobytes()
         if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
             text = text.lower()
         return b"".join(map(words.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
