@@ -71,6 +71,17 @@ def window_runs(text: str, size: int, bits: float) -> list[tuple[int, int]]:
     return runs
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of the spans, in order; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
 class Scanner:
     def __init__(self, allow: tuple[str, ...] = ALLOW) -> None:
         self.base = [(k, re.compile(p), g, n) for k, p, g, n in BASE]
@@ -81,14 +92,19 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         """(start, kind, end) in code points, by start and then by kind as listed."""
         out = [(m.start(), k, m.end()) for k, p, g, n in self.base for m in p.finditer(text) if m.end(g) - m.start(g) >= n]
-        taken = sorted((s, e) for s, _, e in out)
+        taken = _joined([(s, e) for s, _, e in out])
+        first = 0  # of the base spans, the first that ends behind the start of the candidate
         for m in self.candidate.finditer(text):
             if any(p.fullmatch(m[0]) for p in self.allow):
                 continue
             parts, at = [], m.start()  # what base spans leave of the candidate
-            for s, e in taken:
-                if s < m.end() and e > m.start():
-                    parts, at = [*parts, (at, s)], max(at, e)
+            while first < len(taken) and taken[first][1] <= m.start():
+                first += 1
+            i = first
+            while i < len(taken) and taken[i][0] < m.end():
+                parts.append((at, taken[i][0]))
+                at = taken[i][1]
+                i += 1
             for left, right in [*parts, (at, m.end())]:
                 own = text[left:right]
                 if left >= right or any(p.fullmatch(own) for p in self.allow):
@@ -97,13 +113,7 @@ class Scanner:
                 for chars, size, bits in self.classes:
                     for part in chars.finditer(own):
                         found += [(part.start() + s, part.start() + e) for s, e in window_runs(part[0], size, bits)]
-                joined: list[tuple[int, int]] = []
-                for s, e in sorted(found):
-                    if joined and s <= joined[-1][1]:
-                        joined[-1] = joined[-1][0], max(e, joined[-1][1])
-                    else:
-                        joined.append((s, e))
-                out += [(left + s, "entropy", left + e) for s, e in joined]
+                out += [(left + s, "entropy", left + e) for s, e in _joined(found)]
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -150,5 +160,9 @@ def _redact(allow: tuple[str, ...], mark: str, at: int, schema: pa.Schema | None
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """The same rows with every secret span of ``text`` replaced by ``mark``; overlapping spans by one mark."""
+    """The same rows with every secret span of ``text`` replaced by ``mark``; overlapping spans by one mark.
+
+    A null or empty text stays as it is; repeated rows are treated alike; all other
+    columns, whatever their names, are kept; an empty table stays empty.
+    """
     return docs.mapInArrow(_redact(allow, mark, docs.columns.index("text")), docs.schema)

@@ -194,3 +194,65 @@ def test_keep_one_odd_rows(spark):
     rows = [(3, text, "a"), (2, text, "b"), (2, text, "b"), (9, None, "c"), (None, text, "d"), (None, "", "e"), (None, "quite another text that stands alone here", "f")]
     out = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
     assert sorted(r.component_id for r in out.collect()) == ["b", "c", "e", "f"]
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "web", 48, 0.9, 7, "x"), (1, text, "en", "web", 48, 0.9, 7, "x"), (2, None, None, None, None, None, None, None), (3, "", "en", "web", 0, 0.1, 8, "y"),
+            (None, "password=hunter22 and more", "en", "book", 25, 0.2, 9, "z"), (4, "word " * 100_000, "en", "book", 500_000, 0.3, 10, "w")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, copy long, _toxicity string"
+    docs = spark.createDataFrame(rows, kind)
+    for data in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES:
+            before = data
+            data = stage(spark, data, SF)
+            if name == "packing":
+                assert data.count() >= (before.count() > 0)
+                break
+            assert data.columns == before.columns
+            data = spark.createDataFrame([tuple(r) for r in data.collect()], kind)
+            if name == "toxicity":
+                assert {(r.score, r.copy, r._toxicity) for r in data.collect()} == {(r.score, r.copy, r._toxicity) for r in before.collect()}
+            if name == "near_copies" and before.count():
+                assert sorted((r.doc_id or -1 for r in data.collect())) == [-1, 1, 2, 3, 4]
+            if name == "secrets" and before.count():
+                assert {r.text for r in data.where("doc_id is null").collect()} == {"[SECRET] and more"}
+            if name == "mixing":
+                assert {r.copy for r in data.collect()} <= {7, 8, 9, 10, None}
+
+
+def test_mixing_broadcasts_rates_and_keeps_a_column_named_copy(spark):
+    from airledger.llm import mixing
+
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 3}", "mine") for i in range(60)], "doc_id long, text string, source string, copy string")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "copy_"] and all(r.copy == "mine" and r.copy_ >= 1 for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    few, mixing.FEW_SOURCES = mixing.FEW_SOURCES, 1
+    try:
+        assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        mixing.FEW_SOURCES = few
+
+
+def test_cover_tree_levels():
+    """All points lie within a node's reach, reaches fall, siblings' pivots stand apart, and a node's pivot is one of its children's."""
+    rng = np.random.default_rng(1)
+    for points in (rng.standard_normal((3000, 6)), np.repeat(rng.integers(0, 3, (400, 4)), 5, axis=0).astype(float), np.ones((500, 3))):
+        left, met = [topk_search.Tree(points)], 0
+        gap = lambda i, j: float(np.sqrt(((points[i] - points[j]) ** 2).sum()))
+        while left:
+            node = left.pop()
+            assert node.pivot in node.members and max(gap(node.pivot, m) for m in node.members) <= node.reach + 1e-9
+            assert np.sqrt(((points[node.members] - node.center) ** 2).sum(axis=1)).max() <= node.radius + 1e-9
+            if node.children:
+                assert sorted(m for c in node.children for m in c.members) == sorted(node.members) and node.pivot == node.children[0].pivot
+                assert len({c.reach for c in node.children}) == 1 and node.children[0].reach <= node.reach
+                pivots = [c.pivot for c in node.children]
+                assert all(gap(a, b) >= node.children[0].reach - 1e-9 for i, a in enumerate(pivots) for b in pivots[:i])
+            left += node.children
+            met += 1
+        assert met > 1 or len(np.unique(points, axis=0)) == 1
