@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, ngram_join, oracles, packing, piece_codec, quality, secret_scan, topk_search, toxicity, url_filter
+from . import chat_format, fingerprints, mixing, ngram_join, oracles, packing, piece_codec, quality, secret_scan, token_align, topk_search, toxicity, url_filter
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -82,12 +83,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.evidence(table(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
 def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_chat_formatting, op4_packing, op5_exact_top_k, op6_source_mixing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans, op12_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_chat_formatting, op4_packing, op5_exact_top_k, op6_source_mixing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans, op11_token_alignment, op12_sentencepiece_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
