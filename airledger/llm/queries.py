@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, mixing, ngram_join, oracles, packing, piece_codec, quality, secret_scan, token_align, topk_search, toxicity, url_filter
+from . import chat_format, fingerprints, mixing, ngram_join, oracles, packing, piece_codec, quality, secret_scan, token_align, topk_search, toxicity, url_filter, whitening
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -91,8 +91,12 @@ def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", wanted=4, scale=256.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_chat_formatting, op4_packing, op5_exact_top_k, op6_source_mixing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans, op11_token_alignment, op12_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_chat_formatting, op4_packing, op5_exact_top_k, op6_source_mixing, op7_fingerprints, op8_url_filters, op9_toxicity, op10_secret_scans, op11_token_alignment, op12_sentencepiece_codec, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
