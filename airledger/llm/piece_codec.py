@@ -2,8 +2,8 @@
 
 A text is normalised first: at each place the longest prefix that the model's compiled
 character map holds is replaced, else one character is kept. For every byte of the
-normalised text the byte of the source it came from is recorded. Merges run on the
-normalised text; every piece is then projected to the bytes of the source it stands for.
+normalised text the byte of the source it came from is recorded. The model's merges run on
+the normalised text; every piece is then projected to the bytes of the source it stands for.
 
 The compiled map is a double-array trie over bytes whose values are places in a block of
 replacements that end with a zero byte.
@@ -12,8 +12,6 @@ replacements that end with a zero byte.
 from __future__ import annotations
 
 import hashlib
-import heapq
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 SPACE = "▁"
-#: Chunks that a worker remembers, and the longest of them.
-REMEMBERED, SHORT = 150_000, 64
 #: The library looks at so many matches of the character map at one place.
 MATCHES = 32
 
@@ -84,16 +80,15 @@ class Codec:
             raise ValueError("models with user-defined or unused pieces are not supported")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.decode: Callable[[list[int]], str] = self.library.decode
-        self.begin, self.end, self.unknown = self.library.bos_id(), self.library.eos_id(), self.library.unk_id()
+        self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.map = CharacterMap(spec.precompiled_charsmap)
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
-        self.scores = {p.piece: -p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if trainer.byte_fallback else None
-        #: Where no piece holds a space mark after another character, no merge passes such a place.
-        apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s:.+)")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.sizes = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
+        #: The same merges on text that is normalised already.
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
+        spec.precompiled_charsmap = b""
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its UTF-8 bytes, and for its end, the byte of the source it came from."""
@@ -144,63 +139,15 @@ class Codec:
             yield met[0], at, at + met[1]
             at += met[1]
 
-    def _merge(self, chunk: str) -> list[str]:
-        """Join neighbours into the best-scored piece, the leftmost first among equals, until no two make a piece."""
-        parts, scores = list(chunk), self.scores
-        if len(parts) <= 24:
-            while len(parts) > 1:
-                best = min((scores[p], i) if (p := parts[i] + parts[i + 1]) in scores else (np.inf, i) for i in range(len(parts) - 1))
-                if best[0] == np.inf:
-                    break
-                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-            return parts
-        n = len(parts)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(scores[p], i, i + 1, p) for i in range(n - 1) if (p := parts[i] + parts[i + 1]) in scores]
-        heapq.heapify(heap)
-        while heap:
-            _, i, j, p = heapq.heappop(heap)
-            if not parts[i] or right[i] != j or parts[i] + parts[j] != p:
-                continue
-            parts[i], parts[j] = p, ""
-            right[i] = k = right[j]
-            if k >= 0:
-                left[k] = i
-                if (q := p + parts[k]) in scores:
-                    heapq.heappush(heap, (scores[q], i, k, q))
-            if (h := left[i]) >= 0 and (q := parts[h] + p) in scores:
-                heapq.heappush(heap, (scores[q], h, i, q))
-        return [p for p in parts if p]
-
-    def _encoded(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids of a chunk, and how many bytes of the normalised text each takes, as little-endian 32-bit numbers."""
-        ids, took = [], []
-        for p in self._merge(chunk):
-            i, b = self.ids.get(p), p.encode()
-            if i is None and self.bytes:
-                ids += [self.bytes[x] for x in b]
-                took += [1] * len(b)
-            elif i is None and ids and ids[-1] == self.unknown:  # a run of unknown characters is one piece
-                took[-1] += len(b)
-            else:
-                ids.append(self.unknown if i is None else i)
-                took.append(len(b))
-        return np.array(ids, "<u4").tobytes(), np.array(took, "<u4").tobytes()
-
     def pieces(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, first bytes and ends in the source; the bytes of a character without a piece have the spans of their own bytes."""
         norm, where = self.normalize(text)
-        known, parts = self.known, self.chunks.findall(norm)
-        if len(known) > REMEMBERED:
-            known.clear()
-        own = {c: self._encoded(c) for c in set(parts) - known.keys()}
-        known.update((c, x) for c, x in own.items() if len(c) <= SHORT)
-        met = [known[c] if c in known else own[c] for c in parts]
-        ids = np.frombuffer(b"".join([x[0] for x in met]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in met]), "<u4"), dtype=np.int64)
-        if self.bytes is None and len(ids) > 1:  # runs of unknown characters also pass the ends of chunks
-            same = np.append((ids[1:] == self.unknown) & (ids[:-1] == self.unknown), False)
-            ids, ends = ids[~same], ends[~same]
+        if self.bytes is None:  # unknown characters have no length of their own
+            own = self.merges.encode(norm, return_type="proto").pieces
+            ids, ends = np.array([p.id for p in own], "<u4"), np.array([p.end for p in own], np.int64)
+        else:
+            ids = np.array(self.merges.encode(norm, num_threads=1), "<u4")
+            ends = np.cumsum(self.sizes[ids])
         cuts = where[np.concatenate([[0], ends])]
         return ids, cuts[:-1], cuts[1:]
 
