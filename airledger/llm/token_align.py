@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, fresh, written
 
-#: A block ends with the row by which it holds so many different chunks, or so many chunks in all.
-CHUNKS, WORDS = 80_000, 3_000_000
+#: Rows are taken so many at a time; a block ends with those by which it holds so many different chunks, or so many chunks in all.
+ROWS, CHUNKS, WORDS = 64, 300_000, 8_000_000
 #: B's ids in a pair take so many bits.
 SHIFT = 20
 
@@ -65,6 +65,7 @@ class Aligner:
         plain_b = spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap and not any(re.search("[^▁]▁", p.piece) for p in proto.pieces if p.type == p.NORMAL)
         plain_a = self.a.normalizer is None and self.a.post_processor is None and "ByteLevel(add_prefix_space=False" in str(self.a.pre_tokenizer) and "use_regex=True" in str(self.a.pre_tokenizer)
         white = r"\s᠎​﻿"
+        self.white = re.compile(f"[{white}]")
         self.parted = re.compile(f" (?<=[^{white}] )(?=[^{white}])").split if plain_a and plain_b else lambda text: [text]
 
     @staticmethod
@@ -80,35 +81,40 @@ class Aligner:
         return np.where(clean, coarse, base + total - passed)
 
     def chunks(self, chunks: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray] | None]:
-        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links, the groups written out, and a pair of ids for each link; None if a side doesn't give its bytes back."""
-        texts = [" " + c for c in chunks]
-        raw = [t.encode() for t in texts]
-        ea = self.a.encode_batch(texts, add_special_tokens=False)
-        eb = self.b.encode(chunks, return_type="proto", num_threads=1)
-        ib = [[p.id for p in e.pieces] for e in eb]
-        good = [b"".join([self.a_bytes[i] for i in x.ids]) == r and b"".join([self.b_bytes[i] for i in y]) == r for x, y, r in zip(ea, ib, raw)]
-        keep = [k for k, g in enumerate(good) if g]
+        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links, the groups written out, and a pair of ids for each link; None if a side doesn't give its bytes back.
+
+        Chunks without white at their ends are tokenized as one text, others apart.
+        """
         out: list = [None] * len(chunks)
-        if not keep:
+        if not chunks:
+            return out
+        plain = [k for k, c in enumerate(chunks) if c and not self.white.search(c[0]) and not self.white.search(c[-1])]
+        runs = ([plain] if plain else []) + [[k] for k in sorted(set(range(len(chunks))) - set(plain))]
+        texts = [" ".join([chunks[k] for k in run]) for run in runs]
+        ea = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        eb = [list(e.pieces) for e in self.b.encode(texts, return_type="proto", num_threads=1)]
+        ia, ib, raw = [e.ids for e in ea], [[p.id for p in e] for e in eb], [(" " + t).encode() for t in texts]
+        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(ia, ib, raw)]
+        for run in (run for run, g in zip(runs, good) if not g and len(run) > 1):  # some chunk there isn't given back
+            for k in run:
+                out[k] = self.chunks([chunks[k]])[0]
+        use = [x for x, g in enumerate(good) if g]
+        if not use:
             return out
-        length = np.array([len(raw[k]) for k in keep], np.int64)
-        start = np.cumsum(length) - length
+        order = [k for x in use for k in runs[x]]
+        start = np.cumsum([0] + [len(raw[x]) for x in use[:-1]])
+        na, nb = (np.array([len(i[x]) for x in use], np.int64) for i in (ia, ib))
+        first_a, first_b = np.repeat(np.cumsum(na) - na, na), np.repeat(np.cumsum(nb) - nb, nb)
+        whole = b"".join([raw[x] for x in use])
         # character offsets to bytes
-        na = np.array([len(ea[k].ids) for k in keep], np.int64)
-        nb = np.array([len(ib[k]) for k in keep], np.int64)
-        chars = np.array([len(texts[k]) for k in keep], np.int64)
-        char0 = np.cumsum(chars) - chars
-        lead = np.frombuffer(b"".join(raw[k] for k in keep), np.uint8) & 0xC0 != 0x80
-        byte_of = np.append(np.flatnonzero(lead), length.sum())
-        ids_a = np.array([i for k in keep for i in ea[k].ids], np.int64)
-        off = np.array([o for k in keep for o in ea[k].offsets], np.int64).reshape(-1, 2) + np.repeat(char0, na)[:, None]
-        first_a = np.repeat(np.cumsum(na) - na, na)
-        coarse = byte_of[off[:, 1]]
+        byte_of = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) & 0xC0 != 0x80), len(whole))
+        char0 = np.cumsum([0] + [len(texts[x]) + 1 for x in use[:-1]])
+        ids_a = np.array([i for x in use for i in ia[x]], np.int64)
+        off = np.array([o for x in use for p in ea[x].offsets for o in p], np.int64).reshape(-1, 2) + np.repeat(char0, na)[:, None]
         clean = np.append(off[1:, 0] >= off[:-1, 1], True)
-        ends_a = self._ends(coarse, clean, self.a_size[ids_a], np.repeat(start, na), first_a)
-        ids_b = np.array([i for k in keep for i in ib[k]], np.int64)
-        coarse = np.array([p.end for k in keep for p in eb[k].pieces], np.int64) + np.repeat(start, nb) + 1
-        first_b = np.repeat(np.cumsum(nb) - nb, nb)
+        ends_a = self._ends(byte_of[off[:, 1]], clean, self.a_size[ids_a], np.repeat(start, na), first_a)
+        ids_b = np.array([i for x in use for i in ib[x]], np.int64)
+        coarse = np.array([p.end for x in use for p in eb[x]], np.int64) + np.repeat(start, nb) + 1
         ends_b = self._ends(coarse, ~self.b_byte[ids_b], self.b_size[ids_b], np.repeat(start, nb), first_b)
         # groups
         shared = np.intersect1d(ends_a, ends_b)
@@ -123,15 +129,16 @@ class Aligner:
         n = high - low + 1
         which = np.repeat(np.arange(len(ids_a)), n)
         pairs = (ids_a[which] << SHIFT) + ids_b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]]
-        stop = start + length
-        groups = np.diff(np.searchsorted(shared, stop, "right"), prepend=0)
-        upto_a, upto_b = np.cumsum(na), np.cumsum(nb)
-        upto_link = np.cumsum(n)[upto_a - 1]
-        links = np.diff(upto_link, prepend=0)
-        texts_out = words.tolist()
-        for x, k in enumerate(keep):
-            a, b = upto_a[x] - na[x] + upto_b[x] - nb[x], upto_a[x] + upto_b[x]
-            out[k] = int(na[x]), int(nb[x]), int(groups[x]), int(links[x]), "".join(texts_out[a:b])[:-1], pairs[upto_link[x] - links[x] : upto_link[x]]
+        # what belongs to each chunk
+        stop = np.cumsum([len(chunks[k].encode()) + 1 for k in order])
+        upto = [np.searchsorted(x, stop, "right") for x in (ends_a, ends_b, shared)]
+        upto.append(np.cumsum(n)[upto[0] - 1])
+        counts = np.stack([np.diff(x, prepend=0) for x in upto], 1).tolist()
+        texts_out, cut, link = words.tolist(), (upto[0] + upto[1]).tolist(), upto[3].tolist()
+        at = done = 0
+        for k, c, to, upto_link in zip(order, counts, cut, link):
+            out[k] = *c, "".join(texts_out[at:to])[:-1], pairs[done:upto_link]
+            at, done = to, upto_link
         return out
 
 
@@ -152,19 +159,19 @@ class Block:
         self.links: list[np.ndarray] = []
         self.seen: list[tuple[np.ndarray, int]] = []
 
-    def document(self, text: str) -> tuple[list[int], list[str]] | None:
-        """The numbers of its chunks; None if its tokens don't give its bytes back."""
-        parts = self.own.parted(text)
-        self.words += len(parts)
-        new = list(dict.fromkeys(c for c in parts if c not in self.number))
-        for at in range(0, len(new), 2048):
-            for c, x in zip(new[at : at + 2048], self.own.chunks(new[at : at + 2048])):
+    def documents(self, texts: list[str | None]) -> list[list[int] | None]:
+        """For each text the numbers of its chunks; None for no text, and if its tokens don't give its bytes back."""
+        parts = [self.own.parted(t) if t else [] for t in texts]
+        self.words += sum(map(len, parts))
+        new = list(dict.fromkeys(c for p in parts for c in p if c not in self.number))
+        for at in range(0, len(new), 8192):
+            for c, x in zip(new[at : at + 8192], self.own.chunks(new[at : at + 8192])):
                 self.number[c] = -1 if x is None else len(self.parts)
                 if x is not None:
                     self.parts.append(x[:5])
                     self.links.append(x[5])
-        numbers = [self.number[c] for c in parts]
-        return None if -1 in numbers else numbers
+        numbers = [[self.number[c] for c in p] for p in parts]
+        return [None if not p or -1 in p else p for p in numbers]
 
     def pairs(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs, how many documents hold each, links of each chunk and the number of each link's pair."""
@@ -195,16 +202,15 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
         block = Block(aligner(a, b))
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text"))
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, ROWS):
                 rows = []
-                for text in texts.slice(at, 256).to_pylist():
-                    numbers = block.document(text) if text else None
+                for numbers in block.documents(texts.slice(at, ROWS).to_pylist()):
                     own = [block.parts[k] for k in numbers or []]
                     rows.append((*(sum(x[i] for x in own) for i in range(4)), ";".join([x[4] for x in own])))
-                    if len(block.number) > CHUNKS:
-                        block = Block(block.own)
+                if len(block.number) > CHUNKS:
+                    block = Block(block.own)
                 new = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(at, 256).columns, *new], names=[*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, ROWS).columns, *new], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(work, out.schema)
 
@@ -230,16 +236,16 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                numbers = block.document(text) if text else None
-                if numbers is None:
-                    rows.append((doc_id.as_py(), 0, 0, 0, 0, "", b"", b""))
-                else:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for doc_id, numbers in zip(part.column(0).to_pylist(), block.documents(part.column(1).to_pylist())):
+                    if numbers is None:
+                        rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
+                        continue
                     own, times = np.unique(np.array(numbers), return_counts=True)
-                    n = times @ np.array([block.parts[k][:4] for k in own])
+                    n = times @ np.array([block.parts[k][:4] for k in own.tolist()])
                     said = hashlib.sha256(";".join([block.parts[k][4] for k in numbers]).encode()).hexdigest()
-                    rows.append((doc_id.as_py(), *n.tolist(), said, own.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
+                    rows.append((doc_id, *n.tolist(), said, own.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
                     held.append(own)
                 if len(block.number) > CHUNKS or block.words > WORDS:
                     yield closed()
