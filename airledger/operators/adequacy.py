@@ -25,7 +25,7 @@ def replicates(factors: DataFrame, key: str, n_q: int, n_h: int, noise: float |
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        s = split(row.r, n_q, n_h)
+        s = split(row.r, n_q, n_h, int(row.n_rows))
         a, y, rest = s["hh"], s["hy"], float((s["yy"] ** 2).sum())
         c, _ = nonnegative(a, y)
         t0 = (((a @ c - y) ** 2).sum() + rest) / noise**2

@@ -55,44 +55,69 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return half.groupBy(key).applyInPandas(merge, kind)
 
 
-def split(r, n_q: int, n_h: int) -> dict[str, np.ndarray]:
-    """Blocks of a factor of ``[Q | H | y]``; dependent background columns are dropped first (prefix rank)."""
-    r = np.asarray(r, float).reshape(-1, n_q + n_h + 1)
-    keep: list[int] = []
-    for j in range(n_q):
-        if np.linalg.matrix_rank(r[:, [*keep, j]]) > len(keep):
+def tolerance(x: np.ndarray, n_rows: int) -> float:
+    """Singular values up to this are rounding: ``n_rows`` rows were reduced to the small ``x``, so their number counts and not that of ``x``."""
+    sigma = np.linalg.svd(x, compute_uv=False)
+    return max(n_rows, x.shape[1]) * np.finfo(float).eps * sigma.max(initial=0.0)
+
+
+def independent(x: np.ndarray, n_rows: int) -> list[int]:
+    """Columns that don't depend on those before them (prefix rank, one tolerance for all prefixes)."""
+    tol, keep = tolerance(x, n_rows), []
+    for j in range(x.shape[1]):
+        if (np.linalg.svd(x[:, [*keep, j]], compute_uv=False) > tol).sum() > len(keep):
             keep.append(j)
+    return keep
+
+
+def split(r, n_q: int, n_h: int, n_rows: int) -> dict[str, np.ndarray]:
+    """Blocks of a factor of ``[Q | H | y]`` of ``n_rows`` rows; dependent background columns are dropped first."""
+    r = np.asarray(r, float).reshape(-1, n_q + n_h + 1)
+    keep = independent(r[:, :n_q], n_rows)
     r = np.linalg.qr(r[:, [*keep, *range(n_q, n_q + n_h + 1)]], mode="r")
     q = len(keep)
     return {"kept": np.array(keep, int), "qq": r[:q, :q], "qh": r[:q, q : q + n_h], "qy": r[:q, -1], "hh": r[q : q + n_h, q : q + n_h], "hy": r[q : q + n_h, -1], "yy": r[q + n_h :, -1]}
 
 
-def background_report(factors: DataFrame, key: str, q: list[str], n_h: int, cap: int = 8, stress: tuple[str, ...] = ()) -> DataFrame:
-    """``key, rank, dependent list, within_cap, orthogonality, idempotence`` of each background.
+def background_report(rows: DataFrame, key: str, q: list[str], targets: list[str], cap: int = 8, stress: tuple[str, ...] = ()) -> DataFrame:
+    """``key, rank, dependent list, within_cap, orthogonality, idempotence`` of each background, measured on the projected rows.
 
     A column that depends on those before it is named as dependent (prefix rank). Columns
-    named as stress don't count towards the cap. Orthogonality is the largest inner product
-    of a unit background direction with what is left of a target, idempotence the largest
-    change by projecting again, both relative to the target. Rotations keep both, so the
-    small factor says it.
+    named as stress don't count towards the cap. One pass over the projected rows sums the
+    products of background and what is left of each target: orthogonality is the largest of
+    them by a unit direction, idempotence the norm of what projecting again would remove,
+    both relative to the target.
     """
-    n, stressed = len(q), [c in stress for c in q]
+    n, m, stressed = len(q), len(targets), [c in stress for c in q]
+    factors = rows.select(key, *q, *targets).transform(lambda df: factor(df, key, [*q, *targets]))
+    kept = project(rows, key, q, targets)
+    ok = finite(q + targets)
+    left = kept.where(ok).groupBy(key).agg(
+        F.array(*[F.sum(F.col(c) * F.col(f"{t}_t")) for t in targets for c in q]).alias("_s"), F.array(*[F.sqrt(F.sum(F.col(t) * F.col(t))) for t in targets]).alias("_n")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, flat in zip(pdf[key], pdf.r):
-                r, keep = np.asarray(flat, float).reshape(-1, n + n_h + 1), split(flat, n, n_h)["kept"].tolist()
-                unit = np.linalg.qr(r[:, keep])[0] if keep else np.zeros((len(r), 0))
-                x = r[:, n:]
-                left = x - unit @ (unit.T @ x)
-                again = left - unit @ (unit.T @ left)
-                size = max(float(np.abs(x).max(initial=0.0)), 1e-300)
+            out = []
+            for k, n_rows, flat, sums, norms in zip(pdf[key], pdf.n_rows, pdf.r, pdf._s, pdf._n):
+                s = split(flat, n, m - 1, n_rows)
+                keep = s["kept"].tolist()
+                z = np.linalg.solve(s["qq"].T, np.asarray(sums, float).reshape(m, n).T[keep]) if keep else np.zeros((0, m))
+                size = np.maximum(np.asarray(norms, float), 1e-300)
                 counted = sum(not stressed[j] for j in keep)
-                rows.append((k, len(keep), [q[j] for j in range(n) if j not in keep], counted <= cap, float(np.abs(unit.T @ left).max(initial=0.0)) / size, float(np.abs(again - left).max(initial=0.0)) / size))
-            yield pd.DataFrame(rows, columns=[key, "rank", "dependent", "within_cap", "orthogonality", "idempotence"])
+                out.append((k, len(keep), [q[j] for j in range(n) if j not in keep], counted <= cap, float((np.abs(z) / size).max(initial=0.0)), float((np.sqrt((z**2).sum(axis=0)) / size).max(initial=0.0))))
+            yield pd.DataFrame(out, columns=[key, "rank", "dependent", "within_cap", "orthogonality", "idempotence"])
 
-    return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, rank int, dependent array<string>, within_cap boolean, orthogonality double, idempotence double")
+    kind = f"{key} {dict(factors.dtypes)[key]}, rank int, dependent array<string>, within_cap boolean, orthogonality double, idempotence double"
+    return factors.join(left, key).mapInPandas(run, kind)
+
+
+def finite(columns: list[str]) -> Column:
+    """Rows that a factor takes: none of the columns null, NaN or infinite."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    return ok
 
 
 def projector(factors: DataFrame, key: str, q: list[str], targets: list[str]) -> DataFrame:
@@ -102,8 +127,8 @@ def projector(factors: DataFrame, key: str, q: list[str], targets: list[str]) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, flat in zip(pdf[key], pdf.r):
-                s = split(flat, n, len(targets) - 1)
+            for k, n_rows, flat in zip(pdf[key], pdf.n_rows, pdf.r):
+                s = split(flat, n, len(targets) - 1, n_rows)
                 right = np.column_stack([s["qh"], s["qy"]])
                 b = np.zeros((n, len(targets)))
                 b[s["kept"]] = np.linalg.solve(s["qq"], right) if len(s["kept"]) else right
@@ -113,12 +138,13 @@ def projector(factors: DataFrame, key: str, q: list[str], targets: list[str]) ->
     return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, target string, b array<double>")
 
 
-def project(rows: DataFrame, key: str, q: list[str], targets: list[str]) -> DataFrame:
+def project(rows: DataFrame, key: str, q: list[str], targets: list[str], factors: DataFrame | None = None) -> DataFrame:
     """Rows with ``<target>_t`` (background removed) and ``<target>_r`` (what was removed).
 
-    The coefficients are a few numbers a window and are joined by it.
+    The coefficients are a few numbers a window and are joined by it. ``factors`` of the same
+    rows ``[q | targets]`` save the pass that makes them.
     """
-    b = projector(factor(rows, key, [*q, *targets]), key, q, targets).groupBy(key).pivot("target", targets).agg(F.first("b"))
+    b = projector(factor(rows, key, [*q, *targets]) if factors is None else factors, key, q, targets).groupBy(key).pivot("target", targets).agg(F.first("b"))
     b = b.select(key, *[F.col(t).alias(f"_{t}") for t in targets])
     out = rows.join(b, key)
     removed = {f"{t}_r": sum((F.col(c) * F.col(f"_{t}")[i] for i, c in enumerate(q)), F.lit(0.0)) for t in targets}
@@ -126,6 +152,18 @@ def project(rows: DataFrame, key: str, q: list[str], targets: list[str]) -> Data
     return out.withColumns({f"{t}_t": F.col(t) - F.col(f"{t}_r") for t in targets}).drop(*[f"_{t}" for t in targets])
 
 
+def projected_gram(factors: DataFrame, key: str, n_q: int, n_h: int) -> DataFrame:
+    """``key, i, j, g`` for i <= j of the columns with the background removed, from the factors alone."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        i, j = np.triu_indices(n_h)
+        for pdf in batches:
+            for k, n_rows, flat in zip(pdf[key], pdf.n_rows, pdf.r):
+                hh = split(flat, n_q, n_h, n_rows)["hh"]
+                yield pd.DataFrame({key: k, "i": i, "j": j, "g": (hh.T @ hh)[i, j]})
+
+    return factors.mapInPandas(run, f"{key} {dict(factors.dtypes)[key]}, i int, j int, g double")
+
+
 def demeaned(rows: DataFrame, key: str, *targets: str) -> DataFrame:
     """The constant background: each window's mean removed."""
     own = Window.partitionBy(key)
@@ -138,7 +176,7 @@ def diagnostics(factors: DataFrame, key: str, n_q: int, n_h: int, tau_sigma: flo
         for pdf in batches:
             rows = []
             for k, n, flat in zip(pdf[key], pdf.n_rows, pdf.r):
-                hh = split(flat, n_q, n_h)["hh"]
+                hh = split(flat, n_q, n_h, n)["hh"]
                 sigma = np.zeros(n_h)
                 found = np.linalg.svd(hh, compute_uv=False)
                 sigma[: len(found)] = found

@@ -41,14 +41,20 @@ def nonnegative(a: np.ndarray, y: np.ndarray, lam: float = 0.0, prior: np.ndarra
         if done:
             break
     on = c > 1e-8
-    if on.any() and np.linalg.matrix_rank(g[np.ix_(on, on)]) == on.sum():
-        exact = np.zeros(n)
-        exact[on] = np.linalg.solve(g[np.ix_(on, on)], b[on])
-        if (exact >= 0).all() and cost(exact) <= cost(c) + 1e-12 * abs(cost(c)):
-            c = exact
+    if on.any():
+        c = polished(a, y, lam, prior, c, on, cost)
     return c, {"converged": done, "iterations": rounds}
 
 
+def polished(a: np.ndarray, y: np.ndarray, lam: float, prior: np.ndarray, c: np.ndarray, on: np.ndarray, cost) -> np.ndarray:
+    """The exact solution on an active set, from the columns themselves (their products would square the condition number); ``c`` if it isn't better."""
+    rows = np.vstack([a[:, on], np.sqrt(lam) * np.eye(int(on.sum()))]) if lam else a[:, on]
+    x, _, rank, _ = np.linalg.lstsq(rows, np.concatenate([y, np.sqrt(lam) * prior[on]]) if lam else y)
+    exact = np.zeros(len(c))
+    exact[on] = x
+    return exact if rank == on.sum() and (exact >= 0).all() and cost(exact) <= cost(c) + 1e-12 * abs(cost(c)) else c
+
+
 def fit(factors: DataFrame, key: str, n_q: int, names: list[str], lam: float = 0.0, prior: list[float] | None = None, zeros: list[int] | None = None, raw: bool = False, noise: float | None = None) -> DataFrame:
     """``key, name, c, std, std_naive, residual_norm, converged, warning``: one fit for each factor.
 
@@ -69,7 +75,7 @@ def fit(factors: DataFrame, key: str, n_q: int, names: list[str], lam: float = 0
                     a, y = own[:, [n_q + j for j in free]], own[:, -1]
                     used = 0
                 else:
-                    s = split(flat, n_q, n_h)
+                    s = split(flat, n_q, n_h, n)
                     a, y, used = np.vstack([s["hh"], np.zeros((len(s["yy"]), n_h))])[:, free], np.concatenate([s["hy"], s["yy"]]), len(s["kept"])
                 p = None if prior is None else np.asarray(prior, float)[free]
                 c, how = nonnegative(a, y, lam, p)

@@ -119,10 +119,11 @@ def c6_nested_run_results(spark, sf):
 def m2_background_report(spark, sf):
     """Of a constant, h3 and twice h3 the last depends on the others; a cap of one direction holds if h3 counts as stress."""
     q = ["one", "h3", "twice"]
-    own = gr.durable(fa.factor(design(spark, sf).withColumns({"one": F.lit(1.0), "twice": 2 * F.col("h3")}), "window_id", [*q, "h1", "h2", "y"]))
-    whole = fa.background_report(own, "window_id", q, 2).select("window_id", "rank", F.concat_ws("+", "dependent").alias("dependent"), "within_cap", (F.col("orthogonality") < 1e-9).alias("orthogonal"), (F.col("idempotence") < 1e-9).alias("idempotent"))
-    one = fa.background_report(own, "window_id", q, 2, 1).select("window_id", F.col("within_cap").alias("within_one"))
-    stress = fa.background_report(own, "window_id", q, 2, 1, ("h3",)).select("window_id", F.col("within_cap").alias("within_one_with_stress"))
+    rows = design(spark, sf).withColumns({"one": F.lit(1.0), "twice": 2 * F.col("h3")})
+    of = lambda *a: fa.background_report(rows, "window_id", q, ["h1", "h2", "y"], *a)
+    whole = of().select("window_id", "rank", F.concat_ws("+", "dependent").alias("dependent"), "within_cap", (F.col("orthogonality") < 1e-9).alias("orthogonal"), (F.col("idempotence") < 1e-9).alias("idempotent"))
+    one = of(1).select("window_id", F.col("within_cap").alias("within_one"))
+    stress = of(1, ("h3",)).select("window_id", F.col("within_cap").alias("within_one_with_stress"))
     return whole.join(one, "window_id").join(stress, "window_id")
 
 

@@ -83,7 +83,7 @@ def test_background_directions_are_orthogonal_and_dependent_ones_named(spark):
     x = rng.standard_normal((50, 5))
     x[:, 2] = x[:, 0] - 3 * x[:, 1]
     df = spark.createDataFrame([(0, *map(float, r)) for r in x], "w long, a double, b double, c double, h double, y double")
-    r = fa.background_report(fa.factor(df, "w", ["a", "b", "c", "h", "y"]), "w", ["a", "b", "c"], 1, 2).first()
+    r = fa.background_report(df, "w", ["a", "b", "c"], ["h", "y"], 2).first()
     assert r["rank"] == 2 and r.dependent == ["c"] and r.within_cap and r.orthogonality < 1e-12 and r.idempotence < 1e-12
 
 
@@ -132,3 +132,34 @@ def test_drawn_winds_lie_within_the_observed_ones(spark, sf):
     own = library.queries()["t7_wind_ensemble"](spark, sf)
     numbers = [c for c, t in own.dtypes if t == "double" and c in ("ux", "vy", "vx")]
     assert numbers and all(own.agg(F.max(F.abs(c))).first()[0] <= most + 1e-6 for c in numbers)
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_rank_of_a_background_does_not_depend_on_how_rows_are_dealt(spark, sf_dir):
+    """A column and its double differ by rounding alone, of as many rows as there are."""
+    rows = q_chain.design(spark, sf_dir).withColumns({"one": F.lit(1.0), "twice": 2 * F.col("h3")}).select("window_id", "one", "h3", "twice", "h1", "y")
+    for n in (1, 4, 200):
+        own = fa.factor(rows.repartition(n), "window_id", ["one", "h3", "twice", "h1", "y"]).collect()
+        assert len(own) == 12 and all(fa.split(r.r, 3, 1, r.n_rows)["kept"].tolist() == [0, 1] for r in own)
+
+
+def test_residuals_of_a_projection_are_measured_on_rows(spark):
+    """A row that the factor leaves out (null) counts nowhere; the figures are those of NumPy on the rest."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((400, 4)) * [1, 1e4, 1, 1e3]
+    rows = [(k % 2, *map(float, r)) for k, r in enumerate(x)] + [(0, 1.0, 1.0, None, 1.0)]
+    df = spark.createDataFrame(rows, "w long, a double, b double, h double, y double").repartition(5)
+    for r in fa.background_report(df, "w", ["a", "b"], ["h", "y"]).collect():
+        own = x[r.w::2]
+        left = own[:, 2:] - own[:, :2] @ np.linalg.lstsq(own[:, :2], own[:, 2:], rcond=None)[0]
+        assert r["rank"] == 2 and r.dependent == [] and r.orthogonality < 1e-12 and r.idempotence >= r.orthogonality
+        assert np.abs(own[:, :2].T @ left).max() < 1e-6
+
+
+def test_gram_of_the_projected_columns_comes_from_the_factor(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, 5))
+    df = spark.createDataFrame([(0, *map(float, r)) for r in x], "w long, a double, b double, h double, k double, y double")
+    h = x[:, 2:4] - x[:, :2] @ np.linalg.lstsq(x[:, :2], x[:, 2:4], rcond=None)[0]
+    for r in fa.projected_gram(fa.factor(df.repartition(4), "w", list("abhky")), "w", 2, 2).collect():
+        assert abs(r.g - (h.T @ h)[r.i, r.j]) < 1e-9
