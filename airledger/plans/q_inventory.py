@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clock
 from ..functions import wind as w
 from ..operators import inventory as inv
 from ..operators import readings as rd
@@ -14,16 +15,19 @@ from .registry import BASE, HOURS, INVENTORY, READINGS, inventory, query, r6, s6
 
 DENSE = "dense AS (SELECT s.source_idx, g.i AS ix, h.j AS iy, coalesce(v.mass, 0.0) AS mass FROM (SELECT DISTINCT source_idx FROM inventory) s CROSS JOIN range(40) g(i) CROSS JOIN range(40) h(j) LEFT JOIN inventory v ON v.source_idx = s.source_idx AND v.ix = g.i AND v.iy = h.j)"
 SMALL = "small AS (SELECT source_idx, ix // 4 AS ix, iy // 4 AS iy, sum(mass) / 16 AS mass FROM inventory GROUP BY 1, 2, 3)"
-NAMES = "names(source_idx, source_name) AS (VALUES (0::BIGINT, 'traffic_06'), (1::BIGINT, 'industry'), (2::BIGINT, 'population'), (3::BIGINT, 'kilns'))"
+NAMES = "names(source_idx, source_name) AS (VALUES (0::BIGINT, 'traffic_06'), (1::BIGINT, 'industries'), (2::BIGINT, 'population_density'), (3::BIGINT, 'brick_kilns'))"
+EVERY = ("brick_kilns", "industries", "population_density", "traffic_00", "traffic_06", "traffic_12", "traffic_18", "fires")
+EVERY_NAME = "names(source_idx, source_name) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(EVERY)) + ")"
 D = "least(abs(hour(ts) - {0}.0), 24.0 - abs(hour(ts) - {0}.0))"
-COOK = " + ".join(f"exp(-0.5 * ({D.format(p)} / 1.25) * ({D.format(p)} / 1.25))" for p in (7, 13, 19))
-ACTIVITY = f"""activity AS (SELECT t_idx, ts, source_idx, source_name, CASE source_name WHEN 'traffic_06' THEN CASE WHEN hour(ts) > 3 AND hour(ts) <= 9 THEN 1.0 ELSE 0.0 END
-  WHEN 'industry' THEN CASE WHEN hour(ts) >= 7 AND hour(ts) < 19 THEN 1.0 ELSE 0.3 END WHEN 'population' THEN least(greatest({COOK}, 0.0), 1.0)
-  WHEN 'kilns' THEN CASE WHEN (t_idx // 12) % 2 = 0 THEN 1.0 ELSE 0.0 END END::DOUBLE AS theta FROM hours CROSS JOIN names)"""
+COOK = " + ".join(f"0.8 * exp(-0.5 * ({D.format(p)} / 1.25) * ({D.format(p)} / 1.25))" for p in (7, 13, 19))
+ACTIVITY = f"""activity AS (SELECT t_idx, ts, source_idx, source_name, CASE source_name WHEN 'traffic_00' THEN (hour(ts) <= 3 OR hour(ts) >= 21)::INTEGER WHEN 'traffic_06' THEN (hour(ts) BETWEEN 4 AND 9)::INTEGER
+  WHEN 'traffic_12' THEN (hour(ts) BETWEEN 10 AND 15)::INTEGER WHEN 'traffic_18' THEN (hour(ts) BETWEEN 16 AND 20)::INTEGER
+  WHEN 'industries' THEN CASE WHEN hour(ts) >= 7 AND hour(ts) <= 19 THEN 1.0 ELSE 0.5125 END WHEN 'population_density' THEN least(0.2 + {COOK}, 1.0)
+  WHEN 'brick_kilns' THEN CASE WHEN ((t_idx + {clock.phase()}) // 12) % 2 = 0 THEN 0.60 ELSE 0.25 END ELSE 0.0 END::DOUBLE AS theta FROM hours CROSS JOIN names)"""
 
 
 def names(spark):
-    return spark.createDataFrame([(0, "traffic_06"), (1, "industry"), (2, "population"), (3, "kilns")], "source_idx long, source_name string")
+    return spark.createDataFrame([(0, "traffic_06"), (1, "industries"), (2, "population_density"), (3, "brick_kilns")], "source_idx long, source_name string")
 
 
 def small(spark, sf):
@@ -96,9 +100,11 @@ def a9_activity_from_basis(spark, sf):
     return inv.activity_from_basis(basis(spark, sf), coef(spark)).withColumn("theta", r6(F.col("theta")))
 
 
-@query(with_(READINGS, HOURS, NAMES, ACTIVITY) + f"SELECT t_idx, source_name, {s6('theta')} AS theta FROM activity")
+@query(with_(READINGS, HOURS, EVERY_NAME, ACTIVITY) + f"SELECT t_idx, source_name, {s6('theta')} AS theta FROM activity")
 def f10_activity_profiles(spark, sf):
-    return activity(spark, sf).select("t_idx", "source_name", r6(F.col("theta")).alias("theta"))
+    """Of every source that has a profile, and of one that has none."""
+    every = spark.createDataFrame(list(enumerate(EVERY)), "source_idx long, source_name string")
+    return inv.profiles(hours(spark, sf), every).select("t_idx", "source_name", r6(F.col("theta")).alias("theta"))
 
 
 @query(with_(READINGS, HOURS, NAMES, ACTIVITY) + f", m AS (SELECT *, max(theta) OVER (PARTITION BY source_idx) AS top FROM activity) SELECT source_idx, {s6('sum(theta)')} AS total, {s6('avg(CASE WHEN top > 0 AND theta > 0.5 * top THEN 1.0 ELSE 0.0 END)')} AS active_fraction FROM m GROUP BY 1")

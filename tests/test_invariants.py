@@ -139,3 +139,18 @@ def test_adequacy_accepts_the_null_and_rejects_a_missing_source(spark):
         v = ad.verdicts(ad.replicates(fa.factor(df, "window_id", ["a", "b", "c", "y"]), "window_id", 0, 3, 0.1, 200, 50), "window_id").first()
         assert v.inadequate == bad
     assert ad.replicates(fa.factor(df, "window_id", ["a", "b", "c", "y"]), "window_id", 0, 3, None).count() == 0
+
+
+def test_activity_levels(spark):
+    from airledger.functions import clock
+
+    df = spark.range(48).select(F.col("id").alias("t"), (F.col("id") % 24).cast("double").alias("h"))
+    names = ["brick_kilns", "industries", "population_density", "traffic_00", "traffic_06", "traffic_12", "traffic_18", "fires", "traffic_", "traffic_x"]
+    rows = df.select("t", *[clock.activity(F.lit(n), F.col("t"), F.col("h")).alias(n) for n in names]).orderBy("t").toPandas()
+    assert set(rows.brick_kilns) == {0.25, 0.60} and (rows.brick_kilns[: 12 - clock.phase()] == 0.60).all() and rows.brick_kilns[12 - clock.phase()] == 0.25
+    assert (rows.industries[7:20] == 1).all() and abs(rows.industries[6] - 0.5125) < 1e-12 and abs(rows.industries[20] - 0.5125) < 1e-12
+    assert rows.population_density[13] == 1 and 0.2 < rows.population_density[3] < 0.22 and rows.population_density.max() <= 1
+    assert (rows[["traffic_00", "traffic_06", "traffic_12", "traffic_18"]].sum(axis=1) == 1).all() and all(rows.loc[int(n[-2:]), n] == 1 for n in names[3:7])
+    assert (rows[["fires", "traffic_", "traffic_x"]] == 0).all().all()
+    with pytest.raises(ValueError):
+        clock.activity(F.lit("industries"), F.col("t"), F.col("h"), industry_24h=1.5)
