@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounded import few
 from .factor import split
 from .fit import nonnegative
 
@@ -39,7 +40,7 @@ def replicates(factors: DataFrame, key: str, n_q: int, n_h: int, noise: float |
             out.append(((a @ b - sim) ** 2).sum() / noise**2 + rng.chisquare(free) if free else ((a @ b - sim) ** 2).sum() / noise**2)
         return pd.DataFrame({key: int(row[key]), "t0": t0, "replicate": np.arange(count) + int(row.chunk) * chunk, "t": out})
 
-    return factors.join(F.broadcast(chunks)).groupBy(key, "chunk").applyInPandas(run, f"{key} long, t0 double, replicate long, t double")
+    return factors.join(few(chunks)).groupBy(key, "chunk").applyInPandas(run, f"{key} long, t0 double, replicate long, t double")
 
 
 def verdicts(replicates_: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:

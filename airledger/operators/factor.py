@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounded import few
+
 
 def _stack(r: np.ndarray | None, x: np.ndarray) -> np.ndarray:
     r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
@@ -207,7 +209,7 @@ def coherence(gram_: DataFrame, key: str, weak: float = 0.0, ambiguous: float =
 
 def weak_columns(gram_: DataFrame, key: str, limit: float, sources: DataFrame) -> DataFrame:
     """``key, source, weak list, all_weak``; ``sources(i, source, name)``."""
-    own = gram_.where("i = j").select(key, "i", (F.sqrt("g") <= limit).alias("weak")).join(F.broadcast(sources), "i")
+    own = gram_.where("i = j").select(key, "i", (F.sqrt("g") <= limit).alias("weak")).join(few(sources), "i")
     return own.groupBy(key, "source").agg(F.array_sort(F.collect_list(F.when(F.col("weak"), F.col("name")))).alias("weak"), F.bool_and("weak").alias("all_weak"))
 
 
@@ -254,7 +256,7 @@ def background(panel: DataFrame, degree: int = 1, harmonics: int = 1, offsets: b
     for on, of, prefix in ((offsets, F.col("sensor_idx"), "sensor_"), (days, F.to_date("ts"), "day_")):
         if on:
             levels = panel.select(of.alias("level")).distinct().withColumn("rank", F.dense_rank().over(Window.orderBy("level"))).where("rank > 1")
-            out = out.unionByName(panel.join(F.broadcast(levels), of == F.col("level")).select("t_idx", "sensor_idx", F.concat(F.lit(prefix), F.col("rank").cast("string")).alias("name"), F.lit(1.0).alias("q")))
+            out = out.unionByName(panel.join(few(levels), of == F.col("level")).select("t_idx", "sensor_idx", F.concat(F.lit(prefix), F.col("rank").cast("string")).alias("name"), F.lit(1.0).alias("q")))
     return out
 
 

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounded import few
+
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder of the session; a folder of our own only on one machine."""
@@ -22,7 +24,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 def source_edges(pairs: DataFrame, columns: DataFrame, key: str, limit: float = 0.99) -> DataFrame:
     """Edges between sources with a column pair above ``limit``: the pair of highest coherence (first on ties), and the least ray distance."""
-    named = lambda side: F.broadcast(columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"s{side}")))
+    named = lambda side: few(columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"s{side}")))
     cross = pairs.where(F.col("coherence") > limit).join(named("i"), "i").join(named("j"), "j").where("si <> sj")
     return cross.groupBy(key, F.least("si", "sj").alias("a"), F.greatest("si", "sj").alias("b")).agg(
         F.max_by(F.struct("i", "j", "coherence"), F.struct("coherence", -F.col("i"), -F.col("j"))).alias("t"), F.min("ray_distance").alias("ray_distance")
@@ -45,7 +47,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 def group_names(components_: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """``key, component, group``: members' names joined by ``+`` in order of their numbers."""
-    own = components_.join(F.broadcast(names.select(F.col("source_idx").alias("node"), "source_name")), "node")
+    own = components_.join(few(names.select(F.col("source_idx").alias("node"), "source_name")), "node")
     return own.groupBy(key, "component").agg(F.concat_ws("+", F.transform(F.array_sort(F.collect_list(F.struct("node", "source_name"))), lambda x: x.source_name)).alias("group"))
 
 
@@ -56,13 +58,13 @@ def group_sums(values: DataFrame, components_: DataFrame, key: str, *by: str) ->
 
 def per_sensor(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     """``sensor_idx, source_idx, projected, raw``: sums of ``h_t`` and ``h`` times coefficients."""
-    own = rows.join(F.broadcast(coefficients), ["source_idx", "basis_idx"])
+    own = rows.join(few(coefficients), ["source_idx", "basis_idx"])
     return own.groupBy("sensor_idx", "source_idx").agg(F.sum(F.col("h_t") * F.col("c")).alias("projected"), F.sum(F.col("h") * F.col("c")).alias("raw"))
 
 
 def signal_shares(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     """L1 of each source's fitted signal over that of all; a total of 0 divides by 1."""
-    signal = rows.join(F.broadcast(coefficients), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx", "source_idx").agg(F.sum(F.col("h") * F.col("c")).alias("s"))
+    signal = rows.join(few(coefficients), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx", "source_idx").agg(F.sum(F.col("h") * F.col("c")).alias("s"))
     sums = signal.groupBy("source_idx").agg(F.sum(F.abs("s")).alias("l1"))
     total = F.sum("l1").over(Window.partitionBy())
     return sums.select("source_idx", "l1", (F.col("l1") / F.when(total > 0, total).otherwise(1.0)).alias("share"))
@@ -112,7 +114,7 @@ def ensemble_report(summaries: DataFrame, pairs: DataFrame, weak: DataFrame, com
         *[F.col("q")[i].alias(x) for i, x in enumerate(("q05", "q50", "q95"))], "p_full_rank", "p_full_effective_rank", "n"
     )
     of = lambda df, by, count: df.groupBy(*by).agg(count.alias("_k")).join(F.broadcast(n)).select(*by, (F.col("_k") / F.col("_n")).alias("p"))
-    named = lambda side: F.broadcast(columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"_s{side}")))
+    named = lambda side: few(columns.select(F.col("col_idx").alias(side), F.col("source_idx").alias(f"_s{side}")))
     cross = pairs.where("ambiguous").join(named("i"), "i").join(named("j"), "j").where("_si <> _sj").select(key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     return spectra, of(weak.where("weak"), ["name"], F.count_distinct(key)), of(cross, ["i", "j"], F.count_distinct(key)), of(components_.select(key, "grp").distinct(), ["grp"], F.count("*"))
 
@@ -125,7 +127,7 @@ def group_signals(rows: DataFrame, coefficients: DataFrame, components_: DataFra
     signal over that of all (a total of 0 divides by 1). Contributions ``key, sensor_idx,
     component, projected, raw``.
     """
-    own = rows.join(F.broadcast(coefficients), [key, "source_idx", "basis_idx"]).join(F.broadcast(components_.withColumnRenamed("node", "source_idx")), [key, "source_idx"])
+    own = rows.join(few(coefficients), [key, "source_idx", "basis_idx"]).join(components_.withColumnRenamed("node", "source_idx"), [key, "source_idx"])
     signal = own.groupBy(key, "t_idx", "sensor_idx", "component").agg(F.sum(F.col("h_t") * F.col("c")).alias("projected"), F.sum(F.col("h") * F.col("c")).alias("raw"))
     by_sensor = signal.groupBy(key, "sensor_idx", "component").agg(F.sum("projected").alias("projected"), F.sum("raw").alias("raw"), F.sum(F.abs("raw")).alias("_l1"))
     sums = by_sensor.groupBy(key, "component").agg(F.sum("_l1").alias("l1"))

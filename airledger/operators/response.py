@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wind as w
+from .bounded import few
 
 
 def paths(city: DataFrame, lag: int, per_hour: int = 4) -> DataFrame:
@@ -34,25 +35,44 @@ def paths(city: DataFrame, lag: int, per_hour: int = 4) -> DataFrame:
     return releases.join(steps, "t_idx").withColumn("j", F.col("later") * per_hour + F.col("k") + 1).select("tau", "j", F.sum("sx").over(so_far).alias("px"), F.sum("sy").over(so_far).alias("py"))
 
 
+def flights(city: DataFrame, lag: int, nx: int, ny: int, per_hour: int = 4) -> DataFrame:
+    """``tau, ends array<lag, px, py, wx, wy>, out_x array, out_y array``: one row for each release hour.
+
+    ``out_x[ix]`` is the first substep at which a release from column ``ix`` has left the domain
+    sideways (null if it never does), ``out_y[iy]`` likewise; a cell's exit is the earlier of the
+    two. So exits cost columns plus rows of the grid for each hour, not cells, and need no join.
+    """
+    way = paths(city, lag, per_hour).groupBy("tau").agg(F.sort_array(F.collect_list(F.struct("j", "px", "py"))).alias("_way"))  # a few substeps a lag
+    none = F.array().cast("array<struct<j: int, px: double, py: double>>")
+    own = city.select(F.col("t_idx").alias("tau"), "vx", "vy").join(way, "tau", "left").withColumn("_way", F.coalesce("_way", none))
+
+    def first_out(n: int, step: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(F.filter("_way", lambda p: ~(i + p[step]).between(-0.5, n - 0.5)), lambda p: p.j)))
+
+    at_hour = lambda p: F.struct((p.j / per_hour).cast("long").alias("lag"), p.px.alias("px"), p.py.alias("py"), (p.px / (p.j / per_hour)).alias("wx"), (p.py / (p.j / per_hour)).alias("wy"))
+    start = F.struct(F.lit(0).cast("long").alias("lag"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
+    later = F.transform(F.filter("_way", lambda p: p.j % per_hour == 0), at_hour)
+    return own.select("tau", F.concat(F.array(start), later).alias("ends"), first_out(nx, "px").alias("out_x"), first_out(ny, "py").alias("out_y"))
+
+
 def puffs(cells: DataFrame, city: DataFrame, lag: int, nx: int, ny: int, per_hour: int = 4) -> tuple[DataFrame, DataFrame]:
     """(puffs, exits): ``ix, iy, tau, lag, x, y, wx, wy`` of puffs still inside, and ``ix, iy, tau, exit_j`` of those that leave.
 
-    A puff ends at its first substep outside the domain. At lag 0 it stands at its cell and the wind is that of its release.
+    A puff ends at its first substep outside the domain. At lag 0 it stands at its cell and the
+    wind is that of its release. Cells are a grid's; their number is checked before they are
+    broadcast (see few()).
     """
-    way = paths(city, lag, per_hour)
-    away = way.join(F.broadcast(cells)).where(~w.inside(F.col("ix") + F.col("px"), F.col("iy") + F.col("py"), nx, ny))
-    exits = away.groupBy("ix", "iy", "tau").agg(F.min("j").alias("exit_j"))
-    ends = way.where(F.col("j") % per_hour == 0).select("tau", (F.col("j") / per_hour).cast("long").alias("lag"), "px", "py", (F.col("px") / (F.col("j") / per_hour)).alias("wx"), (F.col("py") / (F.col("j") / per_hour)).alias("wy"))
-    start = city.select(F.col("t_idx").alias("tau"), F.lit(0).cast("long").alias("lag"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.col("vx").alias("wx"), F.col("vy").alias("wy"))
-    all_puffs = start.unionByName(ends).join(F.broadcast(cells)).join(exits, ["ix", "iy", "tau"], "left").where(F.col("exit_j").isNull() | (F.col("lag") * per_hour < F.col("exit_j")))
-    return all_puffs.select("ix", "iy", "tau", "lag", (F.col("ix") + F.col("px")).alias("x"), (F.col("iy") + F.col("py")).alias("y"), "wx", "wy"), exits
+    each = flights(city, lag, nx, ny, per_hour).join(few(cells, nx * ny)).withColumn("exit_j", F.least(F.get("out_x", F.col("ix")), F.get("out_y", F.col("iy"))))
+    exits = each.where("exit_j is not null").select("ix", "iy", "tau", "exit_j")
+    inside = each.select("ix", "iy", "tau", F.explode(F.filter("ends", lambda e: F.col("exit_j").isNull() | (e.lag * per_hour < F.col("exit_j")))).alias("e"))
+    return inside.select("ix", "iy", "tau", "e.lag", (F.col("ix") + F.col("e.px")).alias("x"), (F.col("iy") + F.col("e.py")).alias("y"), "e.wx", "e.wy"), exits
 
 
 def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, **dispersion: float | Column) -> DataFrame:
     """``t_idx, tau, lag, sensor_idx, ix, iy, g`` at hours that exist; ``sensors(sensor_idx, sx, sy)`` are few and broadcast. Dispersion (along, across, least_age) may be columns of the puffs."""
     arrived = puffs_.withColumn("t_idx", F.col("tau") + F.col("lag")).join(hours.select("t_idx"), "t_idx", "left_semi")
     g = w.puff(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("wx"), F.col("wy"), F.col("lag").cast("double"), **dispersion)
-    return arrived.join(F.broadcast(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"))
+    return arrived.join(few(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"))
 
 
 def response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lag: int | None = None, trim: int = 0, threshold: float = 1e-6) -> DataFrame:
@@ -61,7 +81,7 @@ def response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lag: in
     Cells at or below the threshold and zero basis values are skipped; ``trim`` drops warm-up rows; nothing is renormalized.
     """
     rows = kernel_ if lag is None else kernel_.where(F.col("lag") < lag)
-    rows = rows.where(F.col("t_idx") >= trim).join(F.broadcast(inventory.where(F.col("mass") > threshold)), ["ix", "iy"])
+    rows = rows.where(F.col("t_idx") >= trim).join(few(inventory.where(F.col("mass") > threshold)), ["ix", "iy"])
     rows = rows.join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
     return rows.groupBy("t_idx", "sensor_idx", "source_idx", "basis_idx").agg(F.sum(F.col("mass") * F.col("phi") * F.col("g")).alias("h"))
 
@@ -74,7 +94,7 @@ def cell_response(kernel_: DataFrame, basis: DataFrame) -> DataFrame:
 def footprints(pull: DataFrame, inventory: DataFrame, coefficients: DataFrame) -> DataFrame:
     """``sensor_idx, ix, iy, geometric, fitted``: all basis pulls of a cell, and its part of the fitted signal."""
     geometric = pull.groupBy("sensor_idx", "ix", "iy").agg(F.sum("pull").alias("geometric"))
-    fitted = pull.join(F.broadcast(inventory), ["ix", "iy"]).join(F.broadcast(coefficients), ["source_idx", "basis_idx"]).groupBy("sensor_idx", "ix", "iy").agg(F.sum(F.col("mass") * F.col("c") * F.col("pull")).alias("fitted"))
+    fitted = pull.join(few(inventory), ["ix", "iy"]).join(few(coefficients), ["source_idx", "basis_idx"]).groupBy("sensor_idx", "ix", "iy").agg(F.sum(F.col("mass") * F.col("c") * F.col("pull")).alias("fitted"))
     return geometric.join(fitted, ["sensor_idx", "ix", "iy"], "left").withColumn("fitted", F.coalesce("fitted", F.lit(0.0)))
 
 
@@ -82,21 +102,21 @@ def localization(footprint: DataFrame, truth: DataFrame, radius: float) -> DataF
     """Distance of the mass centroid to the nearest true source, and the mass share within ``radius`` of one, at most 1."""
     own = footprint.where("fitted > 0")
     center = own.groupBy("sensor_idx").agg((F.sum(F.col("fitted") * F.col("ix")) / F.sum("fitted")).alias("cx"), (F.sum(F.col("fitted") * F.col("iy")) / F.sum("fitted")).alias("cy"))
-    gap = center.join(F.broadcast(truth)).groupBy("sensor_idx").agg(F.min(F.hypot(F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy"))).alias("distance"))
-    near = own.join(F.broadcast(truth)).groupBy("sensor_idx", "ix", "iy", "fitted").agg(F.min(F.hypot(F.col("ix") - F.col("sx"), F.col("iy") - F.col("sy"))).alias("d"))
+    gap = center.join(few(truth)).groupBy("sensor_idx").agg(F.min(F.hypot(F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy"))).alias("distance"))
+    near = own.join(few(truth)).groupBy("sensor_idx", "ix", "iy", "fitted").agg(F.min(F.hypot(F.col("ix") - F.col("sx"), F.col("iy") - F.col("sy"))).alias("d"))
     share = near.groupBy("sensor_idx").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("d") <= radius, F.col("fitted")).otherwise(0.0)) / F.sum("fitted")).alias("mass_within"))
     return gap.join(share, "sensor_idx")
 
 
 def exit_accounting(exits: DataFrame, inventory: DataFrame, basis: DataFrame) -> DataFrame:
     """Releases that leave the domain, and their mass, by column."""
-    return exits.join(F.broadcast(inventory.where("mass > 0")), ["ix", "iy"]).join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau").groupBy("source_idx", "basis_idx").agg(F.count("*").alias("n_exits"), F.sum(F.col("mass") * F.col("phi")).alias("mass"))
+    return exits.join(few(inventory.where("mass > 0")), ["ix", "iy"]).join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau").groupBy("source_idx", "basis_idx").agg(F.count("*").alias("n_exits"), F.sum(F.col("mass") * F.col("phi")).alias("mass"))
 
 
 def lag_convergence(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lags: list[int], tolerance: float) -> tuple[DataFrame, DataFrame]:
     """(``lag, delta``, ``chosen``): relative Frobenius change from each lag to the next, and the smallest within tolerance, else the largest."""
     spark = kernel_.sparkSession
-    terms = kernel_.join(F.broadcast(inventory), ["ix", "iy"]).join(basis.withColumnRenamed("t_idx", "tau"), "tau").select("t_idx", "sensor_idx", "source_idx", "basis_idx", "lag", (F.col("mass") * F.col("phi") * F.col("g")).alias("v"))
+    terms = kernel_.join(few(inventory), ["ix", "iy"]).join(basis.withColumnRenamed("t_idx", "tau"), "tau").select("t_idx", "sensor_idx", "source_idx", "basis_idx", "lag", (F.col("mass") * F.col("phi") * F.col("g")).alias("v"))
     grids = terms.join(F.broadcast(spark.createDataFrame([(x,) for x in lags], "cut long"))).groupBy("t_idx", "sensor_idx", "source_idx", "basis_idx", "cut").agg(F.sum(F.when(F.col("lag") < F.col("cut"), F.col("v")).otherwise(0.0)).alias("h"))
     nxt = F.lead("h").over(Window.partitionBy("t_idx", "sensor_idx", "source_idx", "basis_idx").orderBy("cut"))
     deltas = grids.withColumn("next", nxt).where("next is not null").groupBy(F.col("cut").alias("lag")).agg((F.sqrt(F.sum((F.col("next") - F.col("h")) ** 2)) / F.greatest(F.sqrt(F.sum(F.col("next") ** 2)), F.lit(1e-12))).alias("delta"))
@@ -113,7 +133,7 @@ def moments(rows: DataFrame) -> DataFrame:
 
 def aligned(response_: DataFrame, observed: DataFrame, sensors: DataFrame) -> DataFrame:
     """Response keys with their observation, matched by sensor number, else by sensor id."""
-    named = observed.join(F.broadcast(sensors.select("sensor_id", F.col("sensor_idx").alias("_at"))), "sensor_id", "left").withColumn("sensor_idx", F.coalesce("sensor_idx", "_at")).select("t_idx", "sensor_idx", "y")
+    named = observed.join(few(sensors.select("sensor_id", F.col("sensor_idx").alias("_at"))), "sensor_id", "left").withColumn("sensor_idx", F.coalesce("sensor_idx", "_at")).select("t_idx", "sensor_idx", "y")
     return response_.select("t_idx", "sensor_idx").distinct().join(named, ["t_idx", "sensor_idx"], "left")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import wind as w
+from .bounded import few
 
 
 def interpolate(points: DataFrame, observed: DataFrame, keys: list[str], values: list[str], length: float = 4.0, floor: float = 1e-12) -> DataFrame:
@@ -43,11 +44,11 @@ def wind_field(vectors: DataFrame, placed: DataFrame, nx: int, ny: int, length:
     without an active station is an error. The grid of cells is small (nx * ny rows)
     and is broadcast; hours stay where they are and are joined by hour alone.
     """
-    active = vectors.where("vector_valid").join(F.broadcast(placed.select("station_id", "sx", "sy")), "station_id").select("t_idx", "sx", "sy", "ux", "vy")
+    active = vectors.where("vector_valid").join(few(placed.select("station_id", "sx", "sy")), "station_id").select("t_idx", "sx", "sy", "ux", "vy")
     hours = vectors.select("t_idx").distinct()
     if strict and not hours.join(active, "t_idx", "left_anti").isEmpty():
         raise ValueError("an hour has no active station")
-    points = hours.join(F.broadcast(cells(vectors.sparkSession, nx, ny)))
+    points = hours.join(few(cells(vectors.sparkSession, nx, ny)))
     field = interpolate(points, active, ["t_idx"], ["ux", "vy"], length)
     return field.select("t_idx", "ix", "iy", "ux", "vy", w.displacement(F.col("ux"), dt_s, dx_m).alias("dx"), w.displacement(F.col("vy"), dt_s, dx_m).alias("dy"))
 
@@ -59,7 +60,7 @@ def with_imputer(vectors: DataFrame, impute: Callable[[pd.DataFrame], pd.DataFra
 
 def predict_held_out(vectors: DataFrame, placed: DataFrame, held: DataFrame, length: float = 4.0) -> DataFrame:
     """``t_idx, station_id, ux, vy, obs_ux, obs_vy``: held-out stations predicted by the rest alone."""
-    sites = F.broadcast(placed.select("station_id", "sx", "sy"))
+    sites = few(placed.select("station_id", "sx", "sy"))
     valid = vectors.where("vector_valid").join(sites, "station_id")
     inputs = valid.join(held.select("station_id"), "station_id", "left_anti").select("t_idx", "sx", "sy", "ux", "vy")
     targets = valid.join(held.select("station_id"), "station_id", "left_semi").select("t_idx", "station_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("ux").alias("obs_ux"), F.col("vy").alias("obs_vy"))
@@ -91,14 +92,14 @@ def first_per_cell(placed: DataFrame) -> DataFrame:
 def ensemble(vectors: DataFrame, placed: DataFrame, n_members: int, method: str, seed: str, scale: float = 0.1) -> DataFrame:
     """``member_id, t_idx, sx, sy, ux, vy, ensemble_kind``: station bootstrap by hash draws, or perturbed vectors."""
     members = vectors.sparkSession.range(n_members).select(F.col("id").alias("member_id"))
-    valid = vectors.where("vector_valid").join(F.broadcast(placed.select("station_id", "sx", "sy")), "station_id").select("t_idx", "station_id", "sx", "sy", "ux", "vy")
+    valid = vectors.where("vector_valid").join(few(placed.select("station_id", "sx", "sy")), "station_id").select("t_idx", "station_id", "sx", "sy", "ux", "vy")
     kind = F.lit("transport").alias("ensemble_kind")
     if method == "perturb":
         def noise(which: str):
             a, b = (F.pmod(F.xxhash64(F.lit(seed), F.lit(which + k), "member_id", "t_idx", "station_id"), F.lit(1 << 30)) for k in "ab")
             return F.sqrt(-2 * F.log((a + 0.5) / float(1 << 30))) * F.cos(2 * F.pi() * b / float(1 << 30)) * scale
 
-        return valid.join(F.broadcast(members)).select("member_id", "t_idx", "sx", "sy", (F.col("ux") + noise("x")).alias("ux"), (F.col("vy") + noise("y")).alias("vy"), kind)
+        return valid.join(few(members)).select("member_id", "t_idx", "sx", "sy", (F.col("ux") + noise("x")).alias("ux"), (F.col("vy") + noise("y")).alias("vy"), kind)
     numbered = placed.select("station_id", (F.row_number().over(Window.orderBy("station_id")) - 1).alias("place"))
     n = numbered.count()
     draws = members.join(vectors.sparkSession.range(n).select(F.col("id").alias("slot"))).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "member_id", "slot"), F.lit(n)).cast("int"))
@@ -126,7 +127,7 @@ def supervision(panel: DataFrame, placed: DataFrame, held: DataFrame) -> DataFra
     """Training rows: unit (x, y, t), a station-major number and the part by held-out station."""
     lim = placed.agg(F.min("lon").alias("_x0"), F.max("lon").alias("_x1"), F.min("lat").alias("_y0"), F.max("lat").alias("_y1"))
     hours = panel.agg((F.max("t_idx") + 1).alias("_n"))
-    own = panel.where("vector_valid").join(F.broadcast(placed), "station_id").join(F.broadcast(held.select("station_id", "held_out")), "station_id").join(F.broadcast(lim)).join(F.broadcast(hours))
+    own = panel.where("vector_valid").join(few(placed), "station_id").join(few(held.select("station_id", "held_out")), "station_id").join(F.broadcast(lim)).join(F.broadcast(hours))
     return own.select(
         (F.col("station_id") * F.col("_n") + F.col("t_idx")).alias("linear_id"), w.to_unit(F.col("lon"), F.col("_x0"), F.col("_x1")).alias("x"), w.to_unit(F.col("lat"), F.col("_y0"), F.col("_y1")).alias("y"),
         (F.col("t_idx") / F.greatest(F.col("_n") - 1, F.lit(1))).alias("t"), F.when(F.col("held_out"), "validation").otherwise("train").alias("part"), "ux", "vy",

@@ -11,6 +11,7 @@ from . import factor as fa
 from . import fit as fi
 from . import groups as gr
 from . import response as rs
+from .bounded import few
 
 
 def sweep(spark, **settings: list) -> DataFrame:
@@ -24,7 +25,7 @@ def sweep(spark, **settings: list) -> DataFrame:
 def perturbed(rows: DataFrame, configs: DataFrame, target: str, seed: str) -> DataFrame:
     """Rows of every configuration, the target with hash-drawn noise of that configuration's relative size ``noise``."""
     u = F.pmod(F.xxhash64(F.lit(seed), "config_id", "row_id"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(F.broadcast(configs)).withColumn(target, F.col(target) * (1 + F.col("noise") * (2 * u - 1)))
+    return rows.join(few(configs)).withColumn(target, F.col(target) * (1 + F.col("noise") * (2 * u - 1)))
 
 
 def identifiable(scenarios: DataFrame) -> DataFrame:
@@ -98,14 +99,14 @@ def reconstruction_error(matrix: DataFrame, times: DataFrame, sensors: DataFrame
 def initial_baseline(observed: DataFrame, sites: DataFrame, cells: DataFrame, length: float) -> DataFrame:
     """``ix, iy, mass``: the first hour with at least three observed stations, interpolated (weights floored) and clipped at 0: one impulse to release."""
     first = observed.groupBy("t_idx").agg(F.count("*").alias("n")).where("n >= 3").agg(F.min("t_idx").alias("t_idx"))
-    seen = observed.join(F.broadcast(first), "t_idx").join(F.broadcast(sites), "station_id")
+    seen = observed.join(F.broadcast(first), "t_idx").join(few(sites), "station_id")
     weight = F.greatest(F.exp(-0.5 * ((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2) / (length * length)), F.lit(1e-12))
-    return seen.join(F.broadcast(cells)).withColumn("w", weight).groupBy("ix", "iy").agg(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mass"))
+    return seen.join(few(cells)).withColumn("w", weight).groupBy("ix", "iy").agg(F.greatest(F.lit(0.0), F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mass"))
 
 
 def released(impulse: DataFrame, kernel_: DataFrame, tau: DataFrame) -> DataFrame:
     """``t_idx, sensor_idx, baseline``: the impulse ``(ix, iy, mass)`` released at the one hour ``tau(tau)`` and carried by the kernel's rows."""
-    own = kernel_.join(F.broadcast(tau), "tau", "left_semi").join(F.broadcast(impulse), ["ix", "iy"])
+    own = kernel_.join(F.broadcast(tau), "tau", "left_semi").join(few(impulse), ["ix", "iy"])
     return own.groupBy("t_idx", "sensor_idx").agg(F.sum(F.col("mass") * F.col("g")).alias("baseline"))
 
 
@@ -120,7 +121,7 @@ STRIDE = 10_000_000
 
 def spread(hourly: DataFrame, configs: DataFrame, hour: str = "t_idx") -> DataFrame:
     """Rows of every setting, each at hours of its own: ``hour`` is moved on by STRIDE for each number, so operators keyed by hours treat all settings in one job."""
-    return hourly.join(F.broadcast(configs)).withColumn(hour, F.col(hour) + F.col("config_id") * STRIDE)
+    return hourly.join(few(configs)).withColumn(hour, F.col(hour) + F.col("config_id") * STRIDE)
 
 
 def config_of(hour: str = "t_idx"):
@@ -138,10 +139,10 @@ def swept_response(city: DataFrame, cells: DataFrame, sensors: DataFrame, invent
     a = F.radians("turn")
     winds = spread(city, configs).select("t_idx", (F.col("speed") * (F.col("vx") * F.cos(a) - F.col("vy") * F.sin(a))).alias("vx"), (F.col("speed") * (F.col("vx") * F.sin(a) + F.col("vy") * F.cos(a))).alias("vy"))
     flying, _ = rs.puffs(cells, winds, most, nx, ny)
-    own = flying.withColumn("config_id", config_of("tau")).join(F.broadcast(configs.select("config_id", "along", "across", F.col("lag").alias("_lag"))), "config_id").where("lag < _lag")
+    own = flying.withColumn("config_id", config_of("tau")).join(few(configs.select("config_id", "along", "across", F.col("lag").alias("_lag"))), "config_id").where("lag < _lag")
     pulls = rs.kernel(own, sensors, winds, along=F.col("along"), across=F.col("across"))
     moves = configs.select("config_id", "dx", "dy")
-    back = pulls.withColumn("config_id", config_of("tau")).join(F.broadcast(moves), "config_id").withColumns({"ix": F.col("ix") - F.col("dx"), "iy": F.col("iy") - F.col("dy")}).drop("dx", "dy", "config_id")
+    back = pulls.withColumn("config_id", config_of("tau")).join(few(moves), "config_id").withColumns({"ix": F.col("ix") - F.col("dx"), "iy": F.col("iy") - F.col("dy")}).drop("dx", "dy", "config_id")
     out = rs.response(back, inventory, spread(basis, configs.select("config_id")).drop("config_id"))
     return out.withColumn("config_id", config_of("t_idx")).withColumn("t_idx", F.col("t_idx") - F.col("config_id") * STRIDE)
 
@@ -155,9 +156,9 @@ def sweep_fits(swept: DataFrame, truth: DataFrame, noise: DataFrame, columns: li
     names = [f"h{s}_{b}" for s, b in columns]
     col = F.concat(F.lit("h"), F.col("source_idx").cast("string"), F.lit("_"), F.col("basis_idx").cast("string"))
     wide = swept.withColumn("col", col).groupBy("config_id", "t_idx", "sensor_idx").pivot("col", names).agg(F.first("h")).na.fill(0.0, names)
-    y = swept.where("config_id = 0").join(F.broadcast(truth), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").agg(F.sum(F.col("h") * F.col("c")).alias("y"))
+    y = swept.where("config_id = 0").join(few(truth), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").agg(F.sum(F.col("h") * F.col("c")).alias("y"))
     u = F.pmod(F.xxhash64(F.lit("sweep"), "t_idx", "sensor_idx"), F.lit(1 << 20)) / float(1 << 20)
-    rows = wide.join(y, ["t_idx", "sensor_idx"]).join(F.broadcast(noise), "config_id").withColumn("y", F.col("y") * (1 + F.col("noise") * (2 * u - 1))).withColumn("one", F.lit(1.0))
+    rows = wide.join(y, ["t_idx", "sensor_idx"]).join(few(noise), "config_id").withColumn("y", F.col("y") * (1 + F.col("noise") * (2 * u - 1))).withColumn("one", F.lit(1.0))
     factors = gr.durable(fa.factor(rows, "config_id", ["one", *names, "y"]))
     found = fa.diagnostics(factors, "config_id", 1, len(names)).select("config_id", "n_rows", "rank", "sigma_j", "condition")
     return fi.fit(factors, "config_id", 1, names).join(found, "config_id")
@@ -176,23 +177,23 @@ def observed_chain(response_: DataFrame, observed: DataFrame, hours: DataFrame,
     names = [f"h{s}_{b}" for s, b in columns]
     spark = response_.sparkSession
     index = spark.createDataFrame([(i, s, b, n) for i, ((s, b), n) in enumerate(zip(columns, names))], "col_idx int, source_idx long, basis_idx long, name string")
-    wide = response_.join(F.broadcast(index), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").pivot("name", names).agg(F.first("h")).na.fill(0.0, names)
+    wide = response_.join(few(index), ["source_idx", "basis_idx"]).groupBy("t_idx", "sensor_idx").pivot("name", names).agg(F.first("h")).na.fill(0.0, names)
     angle = 2 * F.pi() * (F.hour("ts") + F.minute("ts") / 60.0) / 24.0
-    rows = wide.join(observed, ["t_idx", "sensor_idx"], "left").join(F.broadcast(hours.select("t_idx", "ts")), "t_idx").withColumns({
+    rows = wide.join(observed, ["t_idx", "sensor_idx"], "left").join(hours.select("t_idx", "ts"), "t_idx").withColumns({
         key: F.floor(F.col("t_idx") / window), "one": F.lit(1.0), "time_1": (F.col("t_idx") % window) / float(window), "sin_1": F.sin(angle), "cos_1": F.cos(angle),
     }).drop("ts")
     rows = gr.durable(rows)
     summary, coefficients, pairs = observed_study(rows, key, q, names, "y")
     summary, pairs = gr.durable(summary), gr.durable(pairs.withColumn("ambiguous", F.coalesce(F.col("coherence") > limit, F.lit(False))))
-    coefficients = gr.durable(coefficients.join(F.broadcast(index), "name"))
+    coefficients = gr.durable(coefficients.join(few(index), "name"))
     seen = rows.where("y is not null and not isnan(y)").join(summary.where("status = 'uncalibrated'").select(key), key, "left_semi")
     projected = fa.project(seen, key, q, names)
     weakness = fa.gram(projected.select(key, *[F.col(f"{n}_t").alias(n) for n in names]), key, names).where("i = j").select(key, "i", (F.sqrt("g") <= weak).alias("weak"))
-    weakness = gr.durable(weakness.join(F.broadcast(index.select(F.col("col_idx").alias("i"), "source_idx", "name")), "i"))
+    weakness = gr.durable(weakness.join(few(index.select(F.col("col_idx").alias("i"), "source_idx", "name")), "i"))
     faint = weakness.where("weak").select(key, "i")
     strong = pairs.join(faint, [key, "i"], "left_anti").join(faint.withColumnRenamed("i", "j"), [key, "j"], "left_anti")
     edges = gr.durable(gr.source_edges(strong, index, key, limit))
-    nodes = summary.select(key).join(F.broadcast(index.select(F.col("source_idx").alias("node")).distinct()))
+    nodes = summary.select(key).join(few(index.select(F.col("source_idx").alias("node")).distinct()))
     comps = gr.components(nodes, edges, key)
     diagnosed = summary.where("status = 'uncalibrated'").select(key, "rank", F.lit(len(names)).alias("n_columns"))
     all_weak = weakness.groupBy(key, F.col("source_idx").alias("source")).agg(F.bool_and("weak").alias("all_weak"))

@@ -154,3 +154,38 @@ def test_activity_levels(spark):
     assert (rows[["fires", "traffic_", "traffic_x"]] == 0).all().all()
     with pytest.raises(ValueError):
         clock.activity(F.lit("industries"), F.col("t"), F.col("h"), industry_24h=1.5)
+
+
+def test_a_broadcast_that_grew_is_refused(spark):
+    from airledger.operators.bounded import few
+
+    rows = spark.range(20)
+    assert rows.join(few(spark.range(5), 5), "id").count() == 5
+    with pytest.raises(Exception, match="more than 5 rows"):
+        rows.join(few(spark.range(9), 5), "id").count()
+
+
+def test_exits_are_those_of_walking_every_cell(spark):
+    """First substep outside, cell by cell, against arrays of first exits of columns and rows."""
+    from airledger.operators import response as rs
+
+    rng = np.random.default_rng(8)
+    city = [(t, *map(float, rng.normal(0, 1.5, 2))) for t in range(12)]
+    df = spark.createDataFrame(city, "t_idx long, vx double, vy double")
+    cells = spark.createDataFrame([(i, j) for i in range(5) for j in range(7)], "ix long, iy long")
+    flying, exits = rs.puffs(cells, df, 4, 5, 7)
+    way = {}
+    for r in rs.paths(df, 4).collect():
+        way.setdefault(r.tau, {})[r.j] = (r.px, r.py)
+    out, inside = {}, set()
+    for t in range(12):
+        for i in range(5):
+            for j in range(7):
+                left = [k for k, (x, y) in sorted(way.get(t, {}).items()) if not (-0.5 <= i + x <= 4.5 and -0.5 <= j + y <= 6.5)]
+                if left:
+                    out[i, j, t] = left[0]
+                inside |= {(i, j, t, lag) for lag in range(4) if lag == 0 or (lag * 4 in way.get(t, {}) and not (left and left[0] <= lag * 4))}
+    assert {(r.ix, r.iy, r.tau): r.exit_j for r in exits.collect()} == out and out
+    assert {(r.ix, r.iy, r.tau, r.lag) for r in flying.collect()} == inside
+    plan = exits._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") == 1  # the grid of releases and cells, nothing else
