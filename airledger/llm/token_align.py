@@ -14,10 +14,13 @@ never holds more pairs than its own.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, written
 
 #: Rows are taken so many at a time; a block ends with those by which it holds so many different chunks, or so many chunks in all.
-ROWS, CHUNKS, WORDS = 64, 300_000, 8_000_000
+ROWS, CHUNKS, WORDS = 64, 150_000, 4_000_000
+#: Chunks that a worker remembers from one block to the next.
+KNOWN = 250_000
 #: B's ids in a pair take so many bits.
 SHIFT = 20
 
@@ -48,6 +53,7 @@ class Aligner:
         from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
+        gc.disable()  # a worker keeps many small objects and none that refer to each other in a circle
         self.a = Tokenizer.from_file(a_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
@@ -58,6 +64,7 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
         self.b_byte = np.array([self.b.is_byte(i) for i in range(len(self.b))])
         end = lambda n, sign: np.array([f"{i}{sign}" for i in range(n)], object)
+        self.known: dict[str, tuple | None] = {}
         self.names = [end(len(self.a_bytes), ","), end(len(self.a_bytes), "|"), end(len(self.b_bytes), ","), end(len(self.b_bytes), ";")]
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.b.serialized_model_proto())
@@ -80,8 +87,8 @@ class Aligner:
         passed = np.where(own, before[first], total[np.maximum(last, 0)])
         return np.where(clean, coarse, base + total - passed)
 
-    def chunks(self, chunks: list[str]) -> list[tuple[int, int, int, int, str, np.ndarray] | None]:
-        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links, the groups written out, and a pair of ids for each link; None if a side doesn't give its bytes back.
+    def chunks(self, chunks: list[str]) -> list[tuple[tuple[int, int, int, int], str, bytes] | None]:
+        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links; the groups written out; a pair of ids for each link, as 64-bit numbers. None if a side doesn't give its bytes back.
 
         Chunks without white at their ends are tokenized as one text, others apart.
         """
@@ -94,7 +101,7 @@ class Aligner:
         ea = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
         eb = [list(e.pieces) for e in self.b.encode(texts, return_type="proto", num_threads=1)]
         ia, ib, raw = [e.ids for e in ea], [[p.id for p in e] for e in eb], [(" " + t).encode() for t in texts]
-        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(ia, ib, raw)]
+        good = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(ia, ib, raw)]
         for run in (run for run, g in zip(runs, good) if not g and len(run) > 1):  # some chunk there isn't given back
             for k in run:
                 out[k] = self.chunks([chunks[k]])[0]
@@ -109,15 +116,15 @@ class Aligner:
         # character offsets to bytes
         byte_of = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) & 0xC0 != 0x80), len(whole))
         char0 = np.cumsum([0] + [len(texts[x]) + 1 for x in use[:-1]])
-        ids_a = np.array([i for x in use for i in ia[x]], np.int64)
-        off = np.array([o for x in use for p in ea[x].offsets for o in p], np.int64).reshape(-1, 2) + np.repeat(char0, na)[:, None]
+        ids_a = np.fromiter(chain.from_iterable(ia[x] for x in use), np.int64, int(na.sum()))
+        off = np.fromiter(chain.from_iterable(p for x in use for p in ea[x].offsets), np.int64, 2 * int(na.sum())).reshape(-1, 2) + np.repeat(char0, na)[:, None]
         clean = np.append(off[1:, 0] >= off[:-1, 1], True)
         ends_a = self._ends(byte_of[off[:, 1]], clean, self.a_size[ids_a], np.repeat(start, na), first_a)
-        ids_b = np.array([i for x in use for i in ib[x]], np.int64)
+        ids_b = np.fromiter(chain.from_iterable(ib[x] for x in use), np.int64, int(nb.sum()))
         coarse = np.array([p.end for x in use for p in eb[x]], np.int64) + np.repeat(start, nb) + 1
         ends_b = self._ends(coarse, ~self.b_byte[ids_b], self.b_size[ids_b], np.repeat(start, nb), first_b)
         # groups
-        shared = np.intersect1d(ends_a, ends_b)
+        shared = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]  # both end at the end of the last text
         ga, gb = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         last_a, last_b = np.append(ga[1:] != ga[:-1], True), np.append(gb[1:] != gb[:-1], True)
         words = np.empty(len(ids_a) + len(ids_b), object)
@@ -137,7 +144,7 @@ class Aligner:
         texts_out, cut, link = words.tolist(), (upto[0] + upto[1]).tolist(), upto[3].tolist()
         at = done = 0
         for k, c, to, upto_link in zip(order, counts, cut, link):
-            out[k] = *c, "".join(texts_out[at:to])[:-1], pairs[done:upto_link]
+            out[k] = tuple(c), "".join(texts_out[at:to])[:-1], pairs[done:upto_link].tobytes()
             at, done = to, upto_link
         return out
 
@@ -155,33 +162,47 @@ class Block:
     """Chunks met in a run of documents, and how many of these hold each pair."""
 
     def __init__(self, own: Aligner):
-        self.own, self.number, self.parts, self.words = own, {}, [], 0
-        self.links: list[np.ndarray] = []
-        self.seen: list[tuple[np.ndarray, int]] = []
+        self.own, self.number, self.words = own, {}, 0
+        self.counts: list[tuple[int, int, int, int]] = []
+        self.texts: list[str] = []
+        self.links: list[bytes] = []
 
     def documents(self, texts: list[str | None]) -> list[list[int] | None]:
         """For each text the numbers of its chunks; None for no text, and if its tokens don't give its bytes back."""
         parts = [self.own.parted(t) if t else [] for t in texts]
         self.words += sum(map(len, parts))
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in self.number))
+        known, number = self.own.known, self.number
+        got = [list(map(number.get, p)) for p in parts]
+        here = list(dict.fromkeys(c for p, g in zip(parts, got) if None in g for c, k in zip(p, g) if k is None))
+        new = [c for c in here if c not in known]
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = here
         for at in range(0, len(new), 8192):
-            for c, x in zip(new[at : at + 8192], self.own.chunks(new[at : at + 8192])):
-                self.number[c] = -1 if x is None else len(self.parts)
-                if x is not None:
-                    self.parts.append(x[:5])
-                    self.links.append(x[5])
-        numbers = [[self.number[c] for c in p] for p in parts]
+            known.update(zip(new[at : at + 8192], self.own.chunks(new[at : at + 8192])))
+        for c in here:
+            x = known[c]
+            number[c] = -1 if x is None else len(self.counts)
+            if x is not None:
+                self.counts.append(x[0])
+                self.texts.append(x[1])
+                self.links.append(x[2])
+        numbers = [[number[c] if k is None else k for c, k in zip(p, g)] if None in g else g for p, g in zip(parts, got)]
         return [None if not p or -1 in p else p for p in numbers]
 
+    def said(self, numbers: list[int]) -> str:
+        return ";".join([self.texts[k] for k in numbers])
+
     def pairs(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs, how many documents hold each, links of each chunk and the number of each link's pair."""
-        sizes = np.array([len(x) for x in self.links], np.int64)
-        codes, which = np.unique(np.concatenate([*self.links, np.zeros(0, np.int64)]), return_inverse=True)
-        first, count = np.cumsum(sizes) - sizes, np.zeros(len(codes), np.int64)
+        sizes = np.array([len(x) // 8 for x in self.links], np.int64)
+        codes, which = np.unique(np.frombuffer(b"".join(self.links), np.int64), return_inverse=True)
+        first, count, place = np.cumsum(sizes) - sizes, np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
         for own in documents:
             n = sizes[own]
             met = which[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[own], n)]
-            count[np.unique(met)] += 1
+            place[met] = at = np.arange(len(met))
+            count[met[place[met] == at]] += 1  # each pair once
         return codes, count, sizes, which
 
 
@@ -205,8 +226,8 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 rows = []
                 for numbers in block.documents(texts.slice(at, ROWS).to_pylist()):
-                    own = [block.parts[k] for k in numbers or []]
-                    rows.append((*(sum(x[i] for x in own) for i in range(4)), ";".join([x[4] for x in own])))
+                    own = [block.counts[k] for k in numbers or []]
+                    rows.append((*map(sum, zip(*own)), block.said(numbers)) if own else (0, 0, 0, 0, ""))
                 if len(block.number) > CHUNKS:
                     block = Block(block.own)
                 new = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(5)]
@@ -227,12 +248,15 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, rows, held = TaskContext.get().partitionId() << 24, Block(aligner(a, b)), [], []
+        number, block, rows = TaskContext.get().partitionId() << 24, Block(aligner(a, b)), []
 
         def closed() -> pa.RecordBatch:
-            codes, count, sizes, which = block.pairs(held)
-            last = (number, None, None, None, None, None, None, None, None, codes, count, sizes.astype("<u4").tobytes(), which.astype("<u4").tobytes())
-            every = [*((number, *r, None, None, None, None) for r in rows), last]
+            codes, count, sizes, which = block.pairs([own for _, _, own, _ in rows if own is not None])
+            counts, every = np.array(block.counts, np.int64).reshape(-1, 4), []
+            for doc_id, said, own, times in rows:
+                n = (times @ counts[own]).tolist() if own is not None else [0] * 4
+                every.append((number, doc_id, *n, said, *(b"" if x is None else x.astype("<u4").tobytes() for x in (own, times)), None, None, None, None))
+            every.append((number, None, None, None, None, None, None, None, None, codes, count, sizes.astype("<u4").tobytes(), which.astype("<u4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
@@ -240,16 +264,13 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 for doc_id, numbers in zip(part.column(0).to_pylist(), block.documents(part.column(1).to_pylist())):
                     if numbers is None:
-                        rows.append((doc_id, 0, 0, 0, 0, "", b"", b""))
-                        continue
-                    own, times = np.unique(np.array(numbers), return_counts=True)
-                    n = times @ np.array([block.parts[k][:4] for k in own.tolist()])
-                    said = hashlib.sha256(";".join([block.parts[k][4] for k in numbers]).encode()).hexdigest()
-                    rows.append((doc_id, *n.tolist(), said, own.astype("<u4").tobytes(), times.astype("<u4").tobytes()))
-                    held.append(own)
+                        rows.append((doc_id, "", None, None))
+                    else:
+                        times = Counter(numbers)
+                        rows.append((doc_id, hashlib.sha256(block.said(numbers).encode()).hexdigest(), *(np.fromiter(x, np.int64, len(times)) for x in (times.keys(), times.values()))))
                 if len(block.number) > CHUNKS or block.words > WORDS:
                     yield closed()
-                    number, block, rows, held = number + 1, Block(block.own), [], []
+                    number, block, rows = number + 1, Block(block.own), []
         if rows:
             yield closed()
 
