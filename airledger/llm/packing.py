@@ -152,7 +152,7 @@ class Words(dict):
         if self.plain(chunk):
             own = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
             return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
-        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
+        if len(chunk) > 1 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha() and "\u0130" not in chunk:  # its lower case ends in a mark that joins the sign
             return self[chunk[:-1]] + self[chunk[-1]]
         return array("I", self.loaded.encode(chunk, add_special_tokens=False).ids).tobytes()
 

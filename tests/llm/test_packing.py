@@ -103,3 +103,20 @@ def test_pieces_of_documents(spark, sf, block):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_of_letters_that_grow_in_lower_case():
+    """A dotted capital I becomes a letter and a mark, which joins the sign after it."""
+    import random
+
+    r, t, encode = random.Random(1), plain(), packing.encoder(PATH)
+    signs = ["T\u0130,", "\u0130,", "a\u0130.b\u0130!", "\u0130\u0130;\u0130", "x \u0130: y"]
+    signs += ["".join(r.choices("aT\u0130i\u0307\u0131.,;:!? 'é9", k=r.randint(1, 9))) for _ in range(20_000)]
+    for text, want in zip(signs, t.encode_batch(signs, add_special_tokens=False)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_extra_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "z"), (1, "a b c", 8, "y")], "doc_id long, text string, sequence_id long, ids string")
+    rows = packing.pack(docs, PATH, 2048, 1).collect()
+    assert sum(r.length for r in rows) == 2 * (len(plain().encode("a b c", add_special_tokens=False).ids) + 1)
