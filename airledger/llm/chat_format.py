@@ -98,7 +98,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     items = items.unionByName(results.select(answer.alias("h"), F.lit("n_results").alias("kind"), "call_id", text("name"), text("arguments"), "output", text("context")))
     items = items.unionByName(contexts.select(about.alias("h"), F.lit("n_context").alias("kind"), "call_id", text("name"), text("arguments"), text("output"), "context"))
     taken = called.select("call_id", "c.*").select(call.alias("h")).unionByName(given.withColumnRenamed("result_id", "call_id").select(F.explode(F.array(F.when(F.col("n_results") > 0, answer), F.when(F.col("n_context") > 0, about))).alias("h")))
-    rest = items.groupBy("h").agg(*[F.first(c).alias(c) for c in items.columns[1:]], F.count("*").alias("n")).join(taken, "h", "left_anti")
+    rest = _of_many(items, calls, results, contexts).groupBy("h").agg(*[F.first(c).alias(c) for c in items.columns[1:]], F.count("*").alias("n")).join(taken, "h", "left_anti")
     alone = F.when(F.col("n_calls") > 0, "unanswered").when(F.col("n_results") > 0, "orphan").otherwise("context")
     rest = rest.select(*first.columns[:5], F.lit(None).cast("long").alias("depth"), *[F.when(F.col("kind") == c, F.col("n")).otherwise(0).alias(c) for c in ("n_calls", "n_results", "n_context")])
     out = rest.withColumn("status", F.when(F.col("call_id").isNotNull(), "repeat").otherwise(alone)).unionByName(first.withColumn("status", main))
@@ -112,6 +112,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     return out.withColumn("errors", wrong).select("call_id", "name", "status", "depth", "n_calls", "n_results", "n_context", "errors", "context", line.alias("line"))
 
 
+#: Ids with several rows of a kind that are broadcast, at most; more are joined by a shuffle.
+MANY = 1_000_000
+
+
+def _of_many(items: DataFrame, *kinds: DataFrame) -> DataFrame:
+    """The rows without an id and those of an id that several rows of one kind have; ids alone are shuffled to find them."""
+    ids = kinds[0].select(F.lit(0).alias("kind"), "call_id")
+    for k, df in enumerate(kinds[1:], 1):
+        ids = ids.unionByName(df.select(F.lit(k).alias("kind"), "call_id"))
+    many = durable(ids.where("call_id is not null").groupBy("kind", "call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id").distinct())
+    several = items.join(F.broadcast(many) if many.count() <= MANY else many, "call_id", "left_semi")
+    return items.where("call_id is null").unionByName(several.select(items.columns))
+
+
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and contexts of ``messages(conv_id, turn, role, text)``.
 
