@@ -549,9 +549,10 @@ def near_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """All columns of one row of each component: the one with the smallest doc_id, of these the one with the smallest hash of its text.
 
-    Rows without an id rank behind all others. Only a row whose own text is linked with
-    (or equal to) the one that stays goes, so rows of one doc_id with unlike texts
-    all stay; of rows with the same id and text one stays. Null texts and texts without
+    Rows without an id rank behind all others. A row goes if a chain of links leads from its
+    own text to the one that stays, even where these two are less alike than the limit;
+    rows of one doc_id with unlike texts all stay; of rows with the same id and text one
+    stays. Null texts and texts without
     words are linked with nothing and all stay. Extra columns are kept, whatever their
     names; an empty table gives no rows.
     """

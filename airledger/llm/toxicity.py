@@ -39,10 +39,10 @@ from .common import durable
 
 #: Labelled documents of each class that are read for learning, at most.
 SAMPLE = 4000
-#: Stems and forms kept, at most, and words that a task remembers the reading of.
-LEXICON, KNOWN = 20_000, 100_000
-#: Likelihood ratio statistic that a form or stem must reach, and how many witnesses halve the shrinking of its weight.
-STANDOUT, FEW_WITNESSES = 12.0, 4.0
+#: Words that a task remembers the reading of.
+KNOWN = 100_000
+#: Likelihood ratio statistic that a form or stem must reach, the share of the toxic documents that must have it at least, of the others at most, and how many witnesses halve the shrinking of its weight.
+STANDOUT, TOXIC_SHARE, OTHER_SHARE, FEW_WITNESSES = 12.0, 0.01, 0.002, 4.0
 #: Word lists of the grammar.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 HARM = ("kill", "hurt", "destroy", "beat", "burn", "crush", "töte", "töten", "schlagen", "tuer", "frapper", "matar", "golpear")
@@ -226,40 +226,40 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[dict[
     """(lexicon, factors) from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     A form or stem is kept if its toxic documents stand out (the likelihood ratio
-    statistic is at least STANDOUT) and hardly any other document has it (0.2 %). Its
-    weight is shrunk if few documents witness it. Near copies count once. Without
-    labelled toxic documents the fixed insults and factors are returned. What reaches
-    the driver is bounded by LEXICON: of more forms and stems, those of the most toxic
-    documents (ranked by how they stand out instead, rare words came in and with them 60
-    clean held-out documents of 30,566 on check_l, against 3).
+    statistic is at least STANDOUT), at least TOXIC_SHARE of them have it (and three of them)
+    and hardly any other document (OTHER_SHARE). Its weight is shrunk if few documents
+    witness it. Near copies count once. All of this is decided in Spark; what reaches the
+    driver is bounded by the words of the sample over the least number of witnesses. Without
+    labelled toxic documents the fixed insults and factors are returned, which otherwise
+    serve for nothing.
     Null texts have no words; labels of other values, or without an id or a text, count
     for nothing; of repeated rows one counts; other columns are ignored.
     """
-    fixed = dict.fromkeys(INSULTS, FIXED)
     picked = F.broadcast(sample(labels, size))  # 2 * size rows of two numbers at most
     own = docs.select("doc_id", "text").join(picked, "doc_id")
     once = durable(without_copies(own).join(picked, "doc_id"))
     own = docs.select("doc_id", "text").join(F.broadcast(once), "doc_id").select("text", "toxic")
     counts = own.mapInPandas(_counts, "feature string, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
-    whole = F.when(F.col("feature") == "", F.struct("a", "b"))
-    kept = counts.where("feature = '' or a >= 3 and a > b").orderBy((F.col("feature") != ""), F.col("a").desc(), "b", "feature").limit(LEXICON)
-    rows = kept.withColumn("whole", whole).collect()
-    totals = [(r.a, r.b) for r in rows if r.feature == ""]
-    if not totals or not totals[0][0]:
-        return fixed, dict(FACTORS)
-    toxic, other = totals[0]
-    lexicon = dict(fixed)
+    counts = durable(counts)
+    whole = counts.where("feature = ''").select("a", "b").first()
+    if whole is None or not whole.a:
+        return dict.fromkeys(INSULTS, FIXED), dict(FACTORS)
+    rows = standouts(counts.where("feature <> ''"), whole.a, whole.b).collect()
+    lexicon = {}
     for r in rows:
-        if not r.feature or r.b > 0.002 * other:
-            continue
-        n, both = r.a + r.b, toxic + other
-        statistic = 2 * sum(k * log(k * both / (n * t)) for k, t in ((r.a, toxic), (r.b, other)) if k)
-        if statistic >= STANDOUT:
-            weight = log((r.a + 0.5) / (toxic + 1)) - log((r.b + 0.5) / (other + 1))
-            lexicon[r.feature] = min(LARGEST, weight * r.a / (r.a + FEW_WITNESSES))
+        weight = log((r.a + 0.5) / (whole.a + 1)) - log((r.b + 0.5) / (whole.b + 1))
+        lexicon[r.feature] = min(LARGEST, weight * r.a / (r.a + FEW_WITNESSES))
     return lexicon, _factors(own, lexicon)
 
 
+def standouts(counts: DataFrame, toxic: int, other: int) -> DataFrame:
+    """Of ``counts(feature, a, b)``, documents of either kind that have a feature, those that a lexicon keeps."""
+    a, b, both = F.col("a"), F.col("b"), float(toxic + other)
+    part = lambda k, t: F.when(k > 0, k * F.log(k * both / ((a + b) * float(max(t, 1))))).otherwise(0.0)
+    least = max(3.0, TOXIC_SHARE * toxic)
+    return counts.where((a >= least) & (a > b) & (b <= OTHER_SHARE * other) & (2 * (part(a, toxic) + part(b, other)) >= STANDOUT))
+
+
 def _factors(own: DataFrame, lexicon: dict[str, float]) -> dict[str, float]:
     """For each kind of match, the prior factor moved towards the share of toxic documents among those that have it."""
 
@@ -283,7 +283,7 @@ def score(docs: DataFrame, lexicon: dict[str, float], factors: dict[str, float],
     alike; rows and columns are kept as they are (a column named as ``into`` is
     replaced: see common.fresh() for a name that none has); an empty table stays empty.
     """
-    model = docs.sparkSession.sparkContext.broadcast((lexicon, factors))  # LEXICON entries at most
+    model = docs.sparkSession.sparkContext.broadcast((lexicon, factors))  # as many as learn() takes from a bounded sample
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

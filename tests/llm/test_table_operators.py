@@ -2,11 +2,13 @@
 
 import json
 import math
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from airledger.llm import chat_format, mixing, queries, topk_search, url_filter
 
@@ -166,6 +168,34 @@ def test_reputation_blocks_what_is_surely_bad(spark):
 # ---- the pipeline
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def shingles(text, width):
+    words = WORD.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
+
+
+def plain_components(texts, width, limit):
+    """doc_id -> smallest doc_id reachable by pairs of similarity ``limit`` or more, all pairs compared."""
+    sets = {d: shingles(t, width) for d, t in texts.items()}
+    label = {d: d for d in sets}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {d: root(d) for d in sets}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
@@ -187,6 +217,52 @@ def test_pipeline(spark):
     assert pieces.selectExpr("sum(length)").first()[0] > 0
 
 
+def test_one_of_a_chain_of_near_copies_stays(spark):
+    """A and B are alike, B and C too, A and C are not: the group is one, and A stays."""
+    from airledger.llm import ngram_join
+
+    words = [f"w{i}" for i in range(60)]
+    b = words[:]
+    a, c = [*words[4:], "x1", "x2"], [*words[:-4], "y1", "y2"]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b, c)]
+    like = lambda x, y: len(x & y) / len(x | y)
+    assert like(sets[0], sets[1]) >= 0.8 and like(sets[1], sets[2]) >= 0.8 and like(sets[0], sets[2]) < 0.9
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [1, 4]
+
+
+def test_stages_against_plain_python(spark):
+    """Each stage on what the one before it kept, by loops over all documents."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+    from airledger.llm import secret_scan, toxicity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic, near, secrets, mixed, packed = (f for _, f in cp.STAGES)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    lexicon, factors = toxicity.learn(docs, labels.where(~toxicity.held_out_column(F.col("doc_id"))))
+    grammar = toxicity.Grammar(lexicon, factors)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    clean = {d: t for d, t in texts.items() if grammar.score(t) < 0.7}
+    kept = spark.createDataFrame(toxic(spark, docs, SF).toPandas(), docs.schema)
+    assert {r.doc_id for r in kept.collect()} == set(clean)
+    one = spark.createDataFrame(near(spark, kept, SF).toPandas(), docs.schema)
+    least = plain_components(clean, 5, 0.8)
+    assert {r.doc_id for r in one.collect()} == {d for d in clean if least[d] == d}
+    safe = {r.doc_id: r.text for r in secrets(spark, one, SF).collect()}
+    scanner = secret_scan.Scanner()
+    assert safe.keys() == {r.doc_id for r in one.collect()}
+    assert all((safe[d] == clean[d]) == (not scanner.spans(clean[d] or "")) for d in safe)
+    before = spark.createDataFrame(one.toPandas(), docs.schema)
+    drawn = mixed(spark, before, SF).select("doc_id").collect()
+    assert {r.doc_id for r in drawn} <= set(safe) and abs(len(drawn) - len(safe)) < 6 * len(safe) ** 0.5
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    total = {r.doc_id: r.n for r in packed(spark, before, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert total == {d: len(t.encode(clean[d] or "", add_special_tokens=False).ids) + 1 for d in safe}
+
+
 def test_keep_one_odd_rows(spark):
     from airledger.llm import ngram_join
 

@@ -242,6 +242,51 @@ def test_the_composed_table_is_the_product_of_the_machines():
         assert states[at] == tuple(own) and outputs[at] == toxicity.outputs(tuple(own))
 
 
+def plain_score(text, lexicon, factors):
+    """A document's score by the five machines, each run by itself over every clause."""
+    total, clause = 0.0, []
+    for w in [*toxicity.WORD.findall((text or "").lower()), "."]:
+        if w not in toxicity.STOPS:
+            clause.append(w)
+            continue
+        weights = [max((lexicon.get(f, 0.0) for f in toxicity.features(x)), default=0.0) for x in clause]
+        hits = [i for i, x in enumerate(weights) if x > 0]
+        near = lambda words, i, back: any(x in words for x in clause[max(0, i - toxicity.REACH) : i] if back)
+        if hits:
+            first = hits[0]
+            before = any(x in toxicity.SAYING or x in toxicity.QUOTES for i, x in enumerate(clause[:first]))
+            after = any(x in toxicity.SAYING and i not in hits and 0 < i - max(h for h in hits if h < i) <= toxicity.REACH for i, x in enumerate(clause) if i > first)
+            kind = "insult-negated" if all(near(toxicity.NEGATORS, i, True) for i in hits) else "insult-reported" if before or after else "insult+target" if any(x in toxicity.TARGETS for x in clause) else "insult"
+            total += sum(weights) * factors[kind]
+        if any(x in toxicity.HARM and any(y in toxicity.TARGETS and not any(z in toxicity.HARM for z in clause[i + 1 : j]) for j, y in enumerate(clause[i + 1 : i + 1 + toxicity.REACH], i + 1)) for i, x in enumerate(clause)):
+            total += toxicity.THREAT * factors["threat"]
+        clause = []
+    return 1 / (1 + np.exp(-min(30.0, toxicity.BIAS + toxicity.SLOPE * total)))
+
+
+def test_scores_are_those_of_the_machines_run_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon, factors = toxicity.learn(docs, labels.where("doc_id % 3 <> 1"))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, lexicon, factors).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(found) == len(texts) and sum(x >= 0.7 for x in found.values()) > 20
+    assert all(abs(found[d] - plain_score(t, lexicon, factors)) < 1e-9 for d, t in texts.items())
+    r = np.random.default_rng(2)
+    words = np.array(["you", "idiot", "kill", "not", "said", '"', "them", "a", "house", "moron", "never", ".", "wrote", "lovely"])
+    grammar = toxicity.Grammar({"idiot": 3.0, "moro*": 1.5}, toxicity.FACTORS)
+    for _ in range(2000):
+        text = " ".join(r.choice(words, int(r.integers(1, 12))))
+        assert abs(grammar.score(text) - plain_score(text, grammar.lexicon, grammar.factors)) < 1e-9, text
+
+
+def test_a_lexicon_has_no_largest_size(spark):
+    """30,000 words that stand out are all kept; rare ones and those of other documents are not."""
+    rows = [(f"w{i}", 60, 0) for i in range(30_000)] + [("rare", 39, 0), ("common", 60, 500), ("even", 60, 59)]
+    kept = toxicity.standouts(spark.createDataFrame(rows, "feature string, a long, b long"), 4000, 4000)
+    assert kept.count() == 30_000 and kept.where("feature in ('rare', 'common', 'even')").isEmpty()
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(1, "you idiot. you moron.", 5.0), (1, "you idiot. you moron.", 6.0), (None, "clean text", 7.0), (2, None, 8.0), (3, "", 9.0), (4, "x " * 300_000, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
