@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Operator 1. One document of each group of near copies stays: five-word shingles, similarity 0.8 or more.
 
     The one of the smallest doc_id stays, one without an id only if there is no other;
-    texts without words all stay; of one doc_id's texts only those go that are near
-    copies of one that stays. See ngram_join.keep_one().
+    texts without words all stay; of one doc_id's texts only those go from which a chain of
+    near copies leads to the one that stays. See ngram_join.keep_one().
     """
     return ngram_join.keep_one(docs, width=5, num=8, den=10)
 
