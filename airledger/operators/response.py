@@ -137,23 +137,28 @@ def aligned(response_: DataFrame, observed: DataFrame, sensors: DataFrame) -> Da
     return response_.select("t_idx", "sensor_idx").distinct().join(named, ["t_idx", "sensor_idx"], "left")
 
 
-def gridded(releases: DataFrame, field: DataFrame, sample: Callable, lag: int, nx: int, ny: int, per_hour: int = 4, window: int = 168) -> DataFrame:
+def gridded(releases: DataFrame, field: DataFrame, sample: Callable, lag: int, nx: int, ny: int, per_hour: int = 4, window: int = 168, most: int = 100_000) -> DataFrame:
     """Puffs under a wind that differs in space: ``releases(ix, iy, tau)`` advected in tasks by ``sample(t, x, y)``.
 
     ``sample`` is any callable on arrays (see :func:`bilinear`). Releases and ``field(t_idx,
     ix, iy, dx, dy)`` are cogrouped by windows of hours; a window's field goes on for
     ``lag`` hours, so puffs fly on past its end and the rows are those of one window over
     all hours. Hours between the field's ends that it lacks are calm; beyond its ends the
-    nearest hour's wind holds.
+    nearest hour's wind holds. A window whose grid could hold more than ``most`` releases is
+    split by cells, and each part has the window's field. The rows are what kernel() takes:
+    each puff has an orientation of its own.
     """
     import numpy as np
 
+    parts = -(-nx * ny * window // most)
+
     def run(key: tuple, pdf: pd.DataFrame, wind: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pdf[["ix", "iy", "tau"]].assign(lag=0, x=0.0, y=0.0, wx=0.0, wy=0.0)
+        wind = wind.drop(columns=["_at", "_of"]).rename(columns=lambda c: c[1:])
         lo, hi = max(pdf._lo.iloc[0], key[0] * window), min(pdf._hi.iloc[0], (key[0] + 1) * window - 1 + lag)
         calm = pd.DataFrame({"t_idx": sorted({lo, hi} - set(wind.t_idx)), "ix": 0, "iy": 0, "dx": 0.0, "dy": 0.0})
-        at, pdf = sample(pd.concat([wind.drop(columns="_window"), calm]) if len(calm) else wind.drop(columns="_window"), nx, ny), pdf[["ix", "iy", "tau"]]
+        at, pdf = sample(pd.concat([wind, calm]) if len(calm) else wind, nx, ny), pdf[["ix", "iy", "tau"]]
         x, y, tau = pdf.ix.to_numpy(float), pdf.iy.to_numpy(float), pdf.tau.to_numpy(float)
         inside, x0, y0, out = np.ones(len(pdf), bool), x.copy(), y.copy(), []
         for lag_ in range(lag):
@@ -168,8 +173,10 @@ def gridded(releases: DataFrame, field: DataFrame, sample: Callable, lag: int, n
     ends = field.agg(F.min("t_idx").alias("_lo"), F.max("t_idx").alias("_hi"))
     of = lambda t: F.floor(t / window)
     own = releases.join(F.broadcast(ends)).withColumn("_window", of(F.greatest("_lo", F.least("_hi", "tau"))))
-    winds = field.withColumn("_window", F.explode(F.sequence(of(F.col("t_idx") - lag), of(F.col("t_idx")))))
-    return own.groupBy("_window").cogroup(winds.groupBy("_window")).applyInPandas(run, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double")
+    own = own.withColumn("_part", F.pmod(F.xxhash64("ix", "iy"), F.lit(parts)).cast("int"))
+    winds = field.select(*[F.col(c).alias(f"_{c}") for c in ("t_idx", "ix", "iy", "dx", "dy")], F.explode(F.sequence(of(F.col("t_idx") - lag), of(F.col("t_idx")))).alias("_at"))
+    winds = winds.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return own.groupBy("_window", "_part").cogroup(winds.groupBy("_at", "_of")).applyInPandas(run, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double")
 
 
 def bilinear(field: pd.DataFrame, nx: int, ny: int) -> Callable:

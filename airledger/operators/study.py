@@ -183,12 +183,10 @@ def observed_chain(response_: DataFrame, observed: DataFrame, hours: DataFrame,
         key: F.floor(F.col("t_idx") / window), "one": F.lit(1.0), "time_1": (F.col("t_idx") % window) / float(window), "sin_1": F.sin(angle), "cos_1": F.cos(angle),
     }).drop("ts")
     rows = gr.durable(rows)
-    summary, coefficients, pairs = observed_study(rows, key, q, names, "y")
+    summary, coefficients, pairs, factors = observed_study(rows, key, q, names, "y")
     summary, pairs = gr.durable(summary), gr.durable(pairs.withColumn("ambiguous", F.coalesce(F.col("coherence") > limit, F.lit(False))))
     coefficients = gr.durable(coefficients.join(few(index), "name"))
-    seen = rows.where("y is not null and not isnan(y)").join(summary.where("status = 'uncalibrated'").select(key), key, "left_semi")
-    projected = fa.project(seen, key, q, names)
-    weakness = fa.gram(projected.select(key, *[F.col(f"{n}_t").alias(n) for n in names]), key, names).where("i = j").select(key, "i", (F.sqrt("g") <= weak).alias("weak"))
+    weakness = fa.projected_gram(factors, key, len(q), len(names)).where("i = j").select(key, "i", (F.sqrt("g") <= weak).alias("weak"))
     weakness = gr.durable(weakness.join(few(index.select(F.col("col_idx").alias("i"), "source_idx", "name")), "i"))
     faint = weakness.where("weak").select(key, "i")
     strong = pairs.join(faint, [key, "i"], "left_anti").join(faint.withColumnRenamed("i", "j"), [key, "j"], "left_anti")
@@ -198,6 +196,8 @@ def observed_chain(response_: DataFrame, observed: DataFrame, hours: DataFrame,
     diagnosed = summary.where("status = 'uncalibrated'").select(key, "rank", F.lit(len(names)).alias("n_columns"))
     all_weak = weakness.groupBy(key, F.col("source_idx").alias("source")).agg(F.bool_and("weak").alias("all_weak"))
     pull = F.array(*[F.struct(F.lit(int(s)).cast("long").alias("source_idx"), F.lit(int(b)).cast("long").alias("basis_idx"), F.col(n).alias("h"), F.col(f"{n}_t").alias("h_t")) for (s, b), n in zip(columns, names)])
+    seen = rows.where("y is not null and not isnan(y)").join(summary.where("status = 'uncalibrated'").select(key), key, "left_semi")
+    projected = fa.project(seen, key, q, [*names, "y"], factors)  # the one pass over rows after their factor
     long = projected.select(key, "t_idx", "sensor_idx", F.explode(pull).alias("x")).select(key, "t_idx", "sensor_idx", "x.*")
     shares, contributions = gr.group_signals(long, coefficients.select(key, "source_idx", "basis_idx", "c"), comps, key)
     return {
@@ -212,8 +212,10 @@ def synthetic_coefficients(columns: DataFrame, seed: str, low: float = 0.3, high
     return columns.select("source_idx", "basis_idx", F.when(unit("zero") < zeroed, 0.0).otherwise(low + (high - low) * unit("value")).alias("c"))
 
 
-def observed_study(rows: DataFrame, key: str, background: list[str], columns: list[str], target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary, coefficients, pairs) of all windows in one job: observed rows alone, background removed, diagnosed, fitted, paired.
+def observed_study(rows: DataFrame, key: str, background: list[str], columns: list[str], target: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(summary, coefficients, pairs, factors) of all windows in one job: observed rows alone, background removed, diagnosed, fitted, paired.
+
+    Rows are read twice, to be counted and to be reduced to factors; all else comes from these.
 
     The target is never imputed: rows without it are left out. Windows with too few
     rows have the status ``insufficient_observed_rows`` and no fit; the rest are
@@ -226,9 +228,8 @@ def observed_study(rows: DataFrame, key: str, background: list[str], columns: li
     factors = gr.durable(fa.factor(enough, key, [*background, *columns, target]))
     found = fa.diagnostics(factors, key, len(background), len(columns))
     summary = status.join(found.drop("n_rows"), key, "left")
-    projected = fa.project(enough, key, background, columns)
-    pairs = fa.coherence(fa.gram(projected.select(key, *[F.col(f"{c}_t").alias(c) for c in columns]), key, columns), key)
-    return summary, fi.fit(factors, key, len(background), columns), pairs
+    pairs = fa.coherence(fa.projected_gram(factors, key, len(background), len(columns)), key)
+    return summary, fi.fit(factors, key, len(background), columns), pairs, factors
 
 
 def compare_methods(factors: DataFrame, key: str, n_q: int, columns: list[str], truth: DataFrame, lam: float = 0.0) -> DataFrame:

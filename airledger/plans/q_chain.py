@@ -174,14 +174,14 @@ IMPULSE = """tau0 AS (SELECT min(t_idx) AS tau FROM (SELECT t_idx FROM panel WHE
 CORRECTED = f"{WHOLE}, {GRID_STATIONS}, {CELLS}, {IMPULSE} "
 
 
-def corrected(spark, sf):
+def corrected(spark, sf, carried=None):
     """Readings of the four sensors, which stand for the stations of their numbers, less the released first field."""
     seen = panel(spark, sf).where("pm25_valid").select("t_idx", "station_id", F.col("pm25").alias("v"))
     sites = placed(spark, sf).select("station_id", (F.col("sx") * 9 / 7).alias("sx"), (F.col("sy") * 9 / 7).alias("sy"))
     impulse = st.initial_baseline(seen, sites, sp.cells(spark, 10, 10), 2.0)
     first = seen.groupBy("t_idx").agg(F.count("*").alias("n")).where("n >= 3").agg(F.min("t_idx").alias("tau"))
     observed = seen.join(F.broadcast(sensors(spark).select(F.col("sensor_idx").alias("station_id"))), "station_id").select("t_idx", F.col("station_id").alias("sensor_idx"), F.col("v").alias("y"))
-    return st.without_baseline(observed, st.released(impulse, kernel(spark, sf)[0], first))
+    return st.without_baseline(observed, st.released(impulse, kernel(spark, sf)[0] if carried is None else carried, first))
 
 
 @query(CORRECTED + f"SELECT t_idx, sensor_idx, {s6('y')} AS y FROM corrected")
@@ -218,6 +218,41 @@ def m11_chain_contributions(spark, sf):
     return chain(spark, sf)["contributions"]
 
 
+def gridded_kernel(spark, sf):
+    """Kernel rows under the wind field interpolated from all stations: 18 km to a cell, so a tenth of a metre a second is 0.02 cells an hour."""
+    sites = placed(spark, sf).select("station_id", (F.col("sx") * 9 / 7).alias("sx"), (F.col("sy") * 9 / 7).alias("sy"))
+    field = sp.wind_field(panel(spark, sf), sites, 10, 10, dx_m=18000.0).select("t_idx", "ix", "iy", "dx", "dy")
+    own = hours(spark, sf)
+    releases = own.select(F.col("t_idx").alias("tau")).join(F.broadcast(sp.cells(spark, 10, 10).select("ix", "iy")))
+    return rs.kernel(rs.gridded(releases, field, rs.bilinear, L, 10, 10), sensors(spark), own)
+
+
+def gridded_chain(spark, sf):
+    own = gridded_kernel(spark, sf)
+    return st.observed_chain(rs.response(own, small(spark, sf), basis(spark, sf)), corrected(spark, sf, own), hours(spark, sf), COLUMNS, 168, 0.97)
+
+
+@query(CORRECTED + ", keys AS (SELECT DISTINCT t_idx, sensor_idx FROM resp), n AS (SELECT t_idx // 168 AS window_id, count(*) AS n_total, count(y) AS n_observed FROM keys LEFT JOIN corrected USING (t_idx, sensor_idx) GROUP BY 1) SELECT *, CASE WHEN n_observed < 9 THEN 'insufficient_observed_rows' ELSE 'uncalibrated' END AS status FROM n")
+def m11_gridded_status(spark, sf):
+    """Which rows are seen doesn't depend on the wind, so the SQL is that of the city's."""
+    return gridded_chain(spark, sf)["summary"].select("window_id", "n_total", "n_observed", "status")
+
+
+@query()
+def m11_gridded_report(spark, sf):
+    """Each column's coefficient with its window's spectrum, its group, the group's share and the resolution, under the gridded wind."""
+    own = gridded_chain(spark, sf)
+    found = own["summary"].select("window_id", "status", "rank", "sigma_j", "condition")
+    grouped = own["coefficients"].join(own["components"].withColumnRenamed("node", "source_idx"), ["window_id", "source_idx"])
+    named = grouped.join(own["shares"].select("window_id", "component", "share"), ["window_id", "component"], "left")
+    return found.join(named.select("window_id", "source_idx", "basis_idx", "c", "std", "residual_norm", "warning", "component", "share"), "window_id", "left").join(own["resolution"], "window_id", "left")
+
+
+@query()
+def m11_gridded_contributions(spark, sf):
+    return gridded_chain(spark, sf)["contributions"]
+
+
 # Settings of a sweep: as it is, turned, faster, wider, shorter, and with the map moved.
 SETTINGS = [(0, 0.0, 1.0, 0.7, 0.25, 6, 0, 0, 0.0), (1, 20.0, 1.0, 0.7, 0.25, 6, 0, 0, 0.0), (2, 0.0, 1.5, 0.7, 0.25, 6, 0, 0, 0.05), (3, 0.0, 1.0, 1.0, 0.5, 6, 0, 0, 0.0), (4, 0.0, 1.0, 0.7, 0.25, 3, 0, 0, 0.0), (5, 0.0, 1.0, 0.7, 0.25, 6, 2, -1, 0.2)]
 SETTING_COLUMNS = ("config_id", "turn", "speed", "along", "across", "lag", "dx", "dy", "noise")

@@ -143,7 +143,7 @@ def m11_study_status(spark, sf):
 
 @query()
 def m11_observed_study(spark, sf):
-    summary, fitted, _ = study(spark, sf)
+    summary, fitted, *_ = study(spark, sf)
     return summary.join(fitted, "window_id").select("window_id", "status", "sigma_j", "rank", "name", "c", "std", "residual_norm")
 
 

@@ -11,9 +11,9 @@ from airledger.plans import q_chain
 from airledger.plans import queries as library
 
 
-@pytest.fixture(scope="module")
-def chain(spark, sf):
-    return q_chain.chain(spark, sf)
+@pytest.fixture(scope="module", params=["city", "gridded"])
+def chain(spark, sf, request):
+    return {"city": q_chain.chain, "gridded": q_chain.gridded_chain}[request.param](spark, sf)
 
 
 def test_observed_chain_against_numpy(chain):
@@ -163,3 +163,59 @@ def test_gram_of_the_projected_columns_comes_from_the_factor(spark):
     h = x[:, 2:4] - x[:, :2] @ np.linalg.lstsq(x[:, :2], x[:, 2:4], rcond=None)[0]
     for r in fa.projected_gram(fa.factor(df.repartition(4), "w", list("abhky")), "w", 2, 2).collect():
         assert abs(r.g - (h.T @ h)[r.i, r.j]) < 1e-9
+
+
+def test_a_field_without_space_is_the_city_wind(spark):
+    """Puffs, kernel and response under a field that is the same everywhere are those of the city's wind, however a window is split."""
+    from airledger.operators import response as rs
+    from airledger.operators import spatial as sp
+
+    rng = np.random.default_rng(6)
+    city = spark.createDataFrame([(t, *map(float, rng.normal(0, 1, 2))) for t in range(30)], "t_idx long, vx double, vy double")
+    cells = sp.cells(spark, 5, 6).select("ix", "iy")
+    field = city.join(F.broadcast(cells)).select("t_idx", "ix", "iy", F.col("vx").alias("dx"), F.col("vy").alias("dy"))
+    sensors = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0)], "sensor_idx long, sx double, sy double")
+    releases = city.select(F.col("t_idx").alias("tau")).join(F.broadcast(cells))
+    keys = ["t_idx", "tau", "lag", "sensor_idx", "ix", "iy"]
+    want = rs.kernel(rs.puffs(cells, city, 4, 5, 6)[0], sensors, city).toPandas().sort_values(keys).reset_index(drop=True)
+    for window, most in ((168, 100_000), (7, 50)):
+        own = rs.kernel(rs.gridded(releases, field, rs.bilinear, 4, 5, 6, window=window, most=most), sensors, city)
+        got = own.toPandas().sort_values(keys).reset_index(drop=True)
+        assert (got[keys] == want[keys]).all().all() and np.abs(got.g - want.g).max() < 1e-9
+
+
+def test_kernel_of_a_gridded_wind_against_plain_steps(spark):
+    """Every puff walked by itself, its axis the mean way from where it was released."""
+    from airledger.operators import response as rs
+
+    rng = np.random.default_rng(7)
+    n, size, lag = 9, 4, 3
+    wind = rng.normal(0, 0.7, (n, size, size, 2))
+    field = spark.createDataFrame([(t, i, j, *map(float, wind[t, i, j])) for t in range(n) for i in range(size) for j in range(size)], "t_idx long, ix long, iy long, dx double, dy double")
+    releases = spark.createDataFrame([(i, j, t) for t in range(n) for i in range(size) for j in range(size)], "ix long, iy long, tau long")
+    hours = spark.range(n).withColumnRenamed("id", "t_idx")
+    sensors = spark.createDataFrame([(0, 1.5, 2.0)], "sensor_idx long, sx double, sy double")
+    got = {(r.ix, r.iy, r.tau, r.lag): r.g for r in rs.kernel(rs.gridded(releases, field, rs.bilinear, lag, size, size, window=4, most=20), sensors, hours).collect()}
+
+    def at(t, x, y):
+        t, x, y = min(max(t, 0), n - 1), min(max(x, 0), size - 1), min(max(y, 0), size - 1)
+        a, i, j = min(int(t), n - 2), min(int(x), size - 2), min(int(y), size - 2)
+        return sum(((t - a) if da else 1 - t + a) * ((x - i) if di else 1 - x + i) * ((y - j) if dj else 1 - y + j) * wind[a + da, i + di, j + dj] for da in (0, 1) for di in (0, 1) for dj in (0, 1))
+
+    want = {}
+    for t in range(n):
+        for i in range(size):
+            for j in range(size):
+                p, alive = np.array([i, j], float), True
+                for k in range(lag):
+                    if alive and t + k < n:
+                        v = at(t, *p) if k == 0 else (p - [i, j]) / k
+                        e = v / np.hypot(*v) if np.hypot(*v) > 1e-8 else np.array([1.0, 0.0])
+                        d, age = np.array([1.5, 2.0]) - p, max(k, 0.25)
+                        a, b = d @ e, -d[0] * e[1] + d[1] * e[0]
+                        want[i, j, t, k] = np.exp(-0.5 * (a * a / (0.49 * age) + b * b / (0.0625 * age))) / (2 * np.pi * np.sqrt(0.49 * age * 0.0625 * age))
+                    for sub in range(4):
+                        if alive:
+                            p = p + at(t + k + sub / 4, *p) / 4
+                            alive = bool((p >= -0.5).all() and (p <= size - 0.5).all())
+    assert got.keys() == want.keys() and all(abs(got[k] - g) < 1e-9 for k, g in want.items())
