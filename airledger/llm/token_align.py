@@ -34,8 +34,8 @@ from .common import durable, fresh, written
 
 #: Rows are taken so many at a time; a block ends with those by which it holds so many different chunks, or so many chunks in all.
 ROWS, CHUNKS, WORDS = 64, 150_000, 4_000_000
-#: Chunks that a worker remembers from one block to the next.
-KNOWN = 250_000
+#: A worker remembers so many chunks met last, and as many met before them.
+KNOWN = 200_000
 #: B's ids in a pair take so many bits.
 SHIFT = 20
 
@@ -65,7 +65,8 @@ class Aligner:
         self.b_byte = np.array([self.b.is_byte(i) for i in range(len(self.b))])
         end = lambda n, sign: np.array([f"{i}{sign}" for i in range(n)], object)
         self.known: dict[str, tuple | None] = {}
-        self.names = [end(len(self.a_bytes), ","), end(len(self.a_bytes), "|"), end(len(self.b_bytes), ","), end(len(self.b_bytes), ";")]
+        self.old: dict[str, tuple | None] = {}
+        self.a_names, self.b_names = (np.concatenate([end(len(y), ","), end(len(y), last)]) for y, last in ((self.a_bytes, "|"), (self.b_bytes, ";")))
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(self.b.serialized_model_proto())
         spec = proto.normalizer_spec
@@ -87,8 +88,8 @@ class Aligner:
         passed = np.where(own, before[first], total[np.maximum(last, 0)])
         return np.where(clean, coarse, base + total - passed)
 
-    def chunks(self, chunks: list[str]) -> list[tuple[tuple[int, int, int, int], str, bytes] | None]:
-        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links; the groups written out; a pair of ids for each link, as 64-bit numbers. None if a side doesn't give its bytes back.
+    def chunks(self, chunks: list[str]) -> list[tuple[list[int], str, bytes] | None]:
+        """For each chunk (its leading space left out): numbers of A and B tokens, groups and links; the groups written out, each with a ``;``; a pair of ids for each link, as 64-bit numbers. None if a side doesn't give its bytes back.
 
         Chunks without white at their ends are tokenized as one text, others apart.
         """
@@ -128,8 +129,8 @@ class Aligner:
         ga, gb = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         last_a, last_b = np.append(ga[1:] != ga[:-1], True), np.append(gb[1:] != gb[:-1], True)
         words = np.empty(len(ids_a) + len(ids_b), object)
-        words[np.arange(len(ids_a)) + np.searchsorted(gb, ga, "left")] = np.where(last_a, self.names[1][ids_a], self.names[0][ids_a])
-        words[np.arange(len(ids_b)) + np.searchsorted(ga, gb, "right")] = np.where(last_b, self.names[3][ids_b], self.names[2][ids_b])
+        words[np.arange(len(ids_a)) + np.searchsorted(gb, ga, "left")] = self.a_names[ids_a + last_a * len(self.a_bytes)]
+        words[np.arange(len(ids_b)) + np.searchsorted(ga, gb, "right")] = self.b_names[ids_b + last_b * len(self.b_bytes)]
         # links
         begin_a = np.concatenate([[0], ends_a[:-1]])
         low, high = np.searchsorted(ends_b, begin_a, "right"), np.searchsorted(ends_b, ends_a, "left")
@@ -144,7 +145,7 @@ class Aligner:
         texts_out, cut, link = words.tolist(), (upto[0] + upto[1]).tolist(), upto[3].tolist()
         at = done = 0
         for k, c, to, upto_link in zip(order, counts, cut, link):
-            out[k] = tuple(c), "".join(texts_out[at:to])[:-1], pairs[done:upto_link].tobytes()
+            out[k] = c, "".join(texts_out[at:to]), pairs[done:upto_link].tobytes()
             at, done = to, upto_link
         return out
 
@@ -163,7 +164,7 @@ class Block:
 
     def __init__(self, own: Aligner):
         self.own, self.number, self.words = own, {}, 0
-        self.counts: list[tuple[int, int, int, int]] = []
+        self.counts: list[list[int]] = []
         self.texts: list[str] = []
         self.links: list[bytes] = []
 
@@ -171,15 +172,16 @@ class Block:
         """For each text the numbers of its chunks; None for no text, and if its tokens don't give its bytes back."""
         parts = [self.own.parted(t) if t else [] for t in texts]
         self.words += sum(map(len, parts))
-        known, number = self.own.known, self.number
+        number, own = self.number, self.own
         got = [list(map(number.get, p)) for p in parts]
         here = list(dict.fromkeys(c for p, g in zip(parts, got) if None in g for c, k in zip(p, g) if k is None))
+        if len(own.known) > KNOWN:
+            own.old, own.known = own.known, {}
+        known, old = own.known, own.old
+        known.update((c, old[c]) for c in here if c not in known and c in old)
         new = [c for c in here if c not in known]
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = here
         for at in range(0, len(new), 8192):
-            known.update(zip(new[at : at + 8192], self.own.chunks(new[at : at + 8192])))
+            known.update(zip(new[at : at + 8192], own.chunks(new[at : at + 8192])))
         for c in here:
             x = known[c]
             number[c] = -1 if x is None else len(self.counts)
@@ -191,7 +193,7 @@ class Block:
         return [None if not p or -1 in p else p for p in numbers]
 
     def said(self, numbers: list[int]) -> str:
-        return ";".join([self.texts[k] for k in numbers])
+        return "".join([self.texts[k] for k in numbers])[:-1]
 
     def pairs(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs, how many documents hold each, links of each chunk and the number of each link's pair."""
