@@ -54,14 +54,14 @@ def gaussian(d2: Column, length: float) -> Column:
 
 
 def puff(dx: Column, dy: Column, wx: Column, wy: Column, age: Column, along: float = 0.7, across: float = 0.25, least_age: float = 0.25, angle: float = 0.0) -> Column:
-    """Oriented Gaussian density at (dx, dy); the axis is the mean wind (wx, wy), or ``angle`` degrees when it is still."""
-    from math import cos, radians, sin
+    """Oriented Gaussian density at (dx, dy); the axis is the mean wind (wx, wy), or ``angle`` radians when it is still."""
+    from math import cos, sin
 
     norm = F.hypot(wx, wy)
     still = norm <= 1e-8
-    ex = F.when(still, cos(radians(angle))).otherwise(wx / norm)
-    ey = F.when(still, sin(radians(angle))).otherwise(wy / norm)
-    old = F.greatest(age, F.lit(least_age))
+    ex = F.when(still, cos(angle)).otherwise(wx / norm)
+    ey = F.when(still, sin(angle)).otherwise(wy / norm)
+    old = F.greatest(age, least_age if isinstance(least_age, Column) else F.lit(least_age))
     vp, vq = along * along * old, across * across * old
     a, b = dx * ex + dy * ey, -dx * ey + dy * ex
     return F.exp(-0.5 * (a * a / vp + b * b / vq)) / (2 * F.pi() * F.sqrt(vp * vq))

@@ -68,11 +68,11 @@ def puffs(cells: DataFrame, city: DataFrame, lag: int, nx: int, ny: int, per_hou
     return inside.select("ix", "iy", "tau", "e.lag", (F.col("ix") + F.col("e.px")).alias("x"), (F.col("iy") + F.col("e.py")).alias("y"), "e.wx", "e.wy"), exits
 
 
-def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, **dispersion: float | Column) -> DataFrame:
-    """``t_idx, tau, lag, sensor_idx, ix, iy, g`` at hours that exist; ``sensors(sensor_idx, sx, sy)`` are few and broadcast. Dispersion (along, across, least_age) may be columns of the puffs."""
+def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, keep: list[str] | None = None, **dispersion: float | Column) -> DataFrame:
+    """``t_idx, tau, lag, sensor_idx, ix, iy, g`` (and columns of the puffs named in ``keep``) at hours that exist; ``sensors(sensor_idx, sx, sy)`` are few and broadcast. Dispersion (along, across, least_age) may be columns of the puffs."""
     arrived = puffs_.withColumn("t_idx", F.col("tau") + F.col("lag")).join(hours.select("t_idx"), "t_idx", "left_semi")
     g = w.puff(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"), F.col("wx"), F.col("wy"), F.col("lag").cast("double"), **dispersion)
-    return arrived.join(few(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"))
+    return arrived.join(few(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"), *(keep or []))
 
 
 def response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lag: int | None = None, trim: int = 0, threshold: float = 1e-6) -> DataFrame:

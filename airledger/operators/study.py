@@ -51,24 +51,105 @@ def gate(candidates: DataFrame, eta: float = 0.05, rho: float = 0.99, eps: float
     return candidates.withColumn("reasons", F.concat_ws(",", reasons)).withColumn("accepted", F.size(reasons) == 0)
 
 
-def refine(start: DataFrame, score, step: float = 0.05, shrink: float = 0.5, rounds: int = 40, floor: float = 1e-3) -> DataFrame:
+def refine(start: DataFrame, score, step: float = 0.05, shrink: float = 0.5, rounds: int = 40, floor: float = 1e-3, moved: list[str] | None = None, carried: list[str] | None = None, gain: float = 0.0) -> DataFrame:
     """Coordinate search over rows ``(key, p0, p1, ...)``: each round scores all ± candidates of all keys in one job and keeps each key's best; a key that doesn't gain shortens its step.
 
-    ``score`` maps candidates to the same rows with ``value`` (less is better). Ends when every step is below ``floor``.
+    ``score`` maps candidates to the same rows with ``value`` (less is better) and may move them
+    into what is feasible; ``carried`` names further columns of its own that are kept. Only
+    ``moved`` parameters (all by default) are searched. Ends when every step is below ``floor``.
     """
-    names = [c for c in start.columns if c != "key"]
-    best = gr.durable(score(start).withColumn("step", F.lit(step)))
+    names, extra = [c for c in start.columns if c != "key"], carried or []
+    best = gr.durable(score(start).select("key", *names, *extra, "value").withColumn("step", F.lit(step)))
     for _ in range(rounds):
-        moves = [F.struct(*[(F.col(n) + (F.col("step") * s if n == m else 0.0)).alias(n) for n in names]) for m in names for s in (1.0, -1.0)]
-        tried = score(best.select("key", "step", F.explode(F.array(*moves)).alias("c")).select("key", "step", "c.*"))
-        found = tried.groupBy("key").agg(F.min_by(F.struct(*names, "value"), F.struct("value", *names)).alias("b"))
-        gain = F.col("b.value") < F.col("value")
-        best = gr.durable(best.join(found, "key").select("key", *[F.when(gain, F.col(f"b.{n}")).otherwise(F.col(n)).alias(n) for n in names], F.least("value", "b.value").alias("value"), F.when(gain, F.col("step")).otherwise(F.col("step") * shrink).alias("step")))
+        moves = [F.struct(*[(F.col(n) + (F.col("step") * s if n == m else 0.0)).alias(n) for n in names]) for m in moved or names for s in (1.0, -1.0)]
+        tried = score(best.where(F.col("step") >= floor).select("key", F.explode(F.array(*moves)).alias("c")).select("key", "c.*"))
+        found = tried.groupBy("key").agg(F.min_by(F.struct(*names, *extra, "value"), F.struct("value", *names)).alias("b"))
+        better = F.coalesce(F.col("b.value") < F.col("value") - gain, F.lit(False))
+        kept = [F.when(better, F.col(f"b.{n}")).otherwise(F.col(n)).alias(n) for n in [*names, *extra, "value"]]
+        best = gr.durable(best.join(found, "key", "left").select("key", *kept, F.when(better, F.col("step")).otherwise(F.col("step") * shrink).alias("step")))
         if best.where(F.col("step") >= floor).isEmpty():
             break
     return best
 
 
+#: Corrections of a wind that a window may have: names of the parameters of its time basis (constant, then linear over the window), each for x and y.
+CORRECTIONS = {"constant": ("ax0", "ay0"), "constant_linear": ("ax0", "ay0", "ax1", "ay1")}
+#: Dispersion parameters: along, across, least age.
+PSI = ("along", "across", "least_age")
+
+
+def refined(
+    city: DataFrame, cells: DataFrame, sensors: DataFrame, inventory: DataFrame, basis: DataFrame, rows: DataFrame, background: list[str], columns: list[tuple[int, int]], nx: int, ny: int, lag: int, *,
+    window: int = 168, correction: str = "constant", dispersion: bool = True, psi0: tuple[float, float, float] = (0.7, 0.25, 0.25), lower: tuple = (0.1, 0.05, 0.05), upper: tuple = (3.0, 2.0, 5.0),
+    eps: float = 0.25, eta: float = 0.05, rho: float = 0.99, needs_fit: bool = False, weight: float = 1.0, weight_psi: float = 1.0, smooth: float = 0.0, lam: float = 0.0, step: float = 0.05, rounds: int = 40, floor: float = 1e-4,
+) -> DataFrame:
+    """Constrained refinement of wind and dispersion around the fixed response, for every window at once.
+
+    ``rows(t_idx, sensor_idx, y, background...)`` are observed rows; a window is a study of its
+    own, of ``window`` hours. Each round's candidates (one step up or down in one parameter) of
+    all windows are rows of one job: their winds are moved, puffs fly once for each different
+    wind, the response is projected and fitted, and each window keeps its best candidate by
+    data + penalties. Corrections are scaled back into ``eps`` and dispersion is held in its
+    box before a candidate is tried, so all are feasible. The result is accepted if the
+    smallest singular value keeps 1 - ``eta`` of its own and no pair's coherence exceeds
+    ``rho`` (and, where asked or with a smoothness penalty, the data fit isn't worse); the
+    fixed response stays the answer otherwise. Nothing is drawn, so runs agree.
+
+    ``window_id``, the parameters, ``data, total, data0, total0, sigma_j, sigma_j0, coherence,
+    largest, accepted, reasons``.
+    """
+    wind = CORRECTIONS[correction]
+    names, moved = [*CORRECTIONS["constant_linear"], *PSI], [*wind, *(PSI if dispersion else ())]
+    spans = city.groupBy(F.floor(F.col("t_idx") / window).alias("key")).agg(F.min("t_idx").alias("_lo"), F.count("*").alias("_T"))
+    spans = gr.durable(spans)
+    hours = gr.durable(city.withColumn("key", F.floor(F.col("t_idx") / window)).join(F.broadcast(spans), "key").withColumn("lin", F.when(F.col("_T") > 1, (F.col("t_idx") - F.col("_lo")) / (F.col("_T") - 1) - 0.5).otherwise(0.0)))
+    peak = lambda a: F.greatest(F.abs(F.col(f"{a}0") - 0.5 * F.col(f"{a}1")), F.abs(F.col(f"{a}0") + 0.5 * F.col(f"{a}1")))  # noqa: E731  a correction linear in time is largest at an end
+    seen = gr.durable(rows.withColumn("key", F.floor(F.col("t_idx") / window)))
+    labels = [f"h{s}_{b}" for s, b in columns]
+    ids = ["key", *names]
+
+    def feasible(df: DataFrame) -> DataFrame:
+        largest = F.greatest(peak("ax"), peak("ay"))
+        df = df.withColumn("_f", F.when(largest > eps, eps / largest).otherwise(1.0)).withColumns({c: F.col(c) * F.col("_f") for c in CORRECTIONS["constant_linear"]}).drop("_f")
+        return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(float(lo))), F.lit(float(hi))) for c, lo, hi in zip(PSI, lower, upper)})
+
+    def score(candidates: DataFrame) -> DataFrame:
+        tried = feasible(candidates).select(*ids, *[c for c in candidates.columns if c not in ids]).dropDuplicates(ids)
+        number = Window.partitionBy("key").orderBy(*names)
+        tried = gr.durable(tried.withColumns({"config_id": F.col("key") * 64 + F.row_number().over(number), "wind_id": F.col("key") * 64 + F.dense_rank().over(Window.partitionBy("key").orderBy(*CORRECTIONS["constant_linear"]))}))
+        winds = tried.select("key", "wind_id", *CORRECTIONS["constant_linear"]).distinct().join(hours, "key")
+        d = {"dx": F.col("ax0") + F.col("ax1") * F.col("lin"), "dy": F.col("ay0") + F.col("ay1") * F.col("lin")}
+        winds = winds.withColumns(d).select("key", "wind_id", F.col("t_idx").alias("hour"), (F.col("wind_id") * STRIDE + F.col("t_idx")).alias("t_idx"), (F.col("vx") + F.col("dx")).alias("vx"), (F.col("vy") + F.col("dy")).alias("vy"), "dx", "dy")
+        flying, _ = rs.puffs(cells, winds.select("t_idx", "vx", "vy"), lag, nx, ny)
+        each = flying.withColumn("wind_id", config_of("tau")).join(few(tried.select("wind_id", "config_id", *PSI)), "wind_id")
+        pulls = rs.kernel(each, sensors, winds, keep=["config_id"], **{c: F.col(c) for c in PSI})
+        mass = pulls.join(few(inventory.where("mass > 1e-6")), ["ix", "iy"]).withColumns({"tau": F.col("tau") % STRIDE, "t_idx": F.col("t_idx") % STRIDE})
+        terms = mass.join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
+        col = F.concat(F.lit("h"), F.col("source_idx").cast("string"), F.lit("_"), F.col("basis_idx").cast("string"))
+        wide = terms.withColumn("_col", col).groupBy("config_id", "t_idx", "sensor_idx").pivot("_col", labels).agg(F.sum(F.col("mass") * F.col("phi") * F.col("g")))
+        factors = gr.durable(fa.factor(wide.na.fill(0.0, labels).join(seen, ["t_idx", "sensor_idx"]), "config_id", [*background, *labels, "y"]))
+        n_q, n_h = len(background), len(labels)
+        fitted = fi.fit(factors, "config_id", n_q, labels, lam=lam).groupBy("config_id").agg((F.first("residual_norm") ** 2).alias("data"), (lam * F.sum(F.col("c") ** 2)).alias("ridge"))
+        spectra = fa.diagnostics(factors, "config_id", n_q, n_h).select("config_id", "sigma_j")
+        pairs = fa.coherence(fa.projected_gram(factors, "config_id", n_q, n_h), "config_id").groupBy("config_id").agg(F.max("coherence").alias("coherence"))
+        after = Window.partitionBy("wind_id").orderBy("hour")
+        jump = (F.col("vx") - F.lag("vx").over(after)) ** 2 + (F.col("vy") - F.lag("vy").over(after)) ** 2
+        costs = winds.withColumn("_jump", jump).groupBy("wind_id").agg((weight * F.sum(F.col("dx") ** 2 + F.col("dy") ** 2) + smooth * F.coalesce(F.sum("_jump"), F.lit(0.0))).alias("_w"), F.max(F.greatest(F.abs("dx"), F.abs("dy"))).alias("largest"))
+        psi = sum(((F.col(c) - p) ** 2 for c, p in zip(PSI, psi0)), F.lit(0.0)) * weight_psi
+        out = tried.join(fitted, "config_id").join(spectra, "config_id").join(pairs, "config_id", "left").join(costs, "wind_id")
+        return out.withColumn("value", F.col("data") + F.col("ridge") + F.col("_w") + psi).drop("config_id", "wind_id", "ridge", "_w")
+
+    zero = [F.lit(0.0).alias(c) for c in CORRECTIONS["constant_linear"]]
+    start = seen.select("key").distinct().select("key", *zero, *[F.lit(float(p)).alias(c) for c, p in zip(PSI, psi0)])
+    extra = ["data", "sigma_j", "coherence", "largest"]
+    first = gr.durable(score(start).select("key", F.col("data").alias("data0"), F.col("value").alias("total0"), F.col("sigma_j").alias("sigma_j0")))
+    best = refine(start, score, step, 0.5, rounds, floor, moved=moved, carried=extra, gain=1e-10)
+    needed = needs_fit or smooth > 0
+    found = best.join(first, "key").withColumns({"psi": F.lit(0.0), "needs_fit": F.lit(needed), "data0": F.col("data0") + 1e-9})
+    gated = gate(found.withColumn("largest", F.greatest(F.col("largest") - 1e-9, F.lit(0.0))), eta, rho, eps)
+    return gated.select(F.col("key").alias("window_id"), *names, "data", F.col("value").alias("total"), (F.col("data0") - 1e-9).alias("data0"), "total0", "sigma_j", "sigma_j0", "coherence", "largest", "accepted", "reasons")
+
+
 def best_assignment(correlations: DataFrame) -> DataFrame:
     """``factor, grp`` of the one-to-one assignment with the largest total (ties to the first), for few factors, by joins of partial assignments."""
     factors = [r.factor for r in correlations.select("factor").distinct().orderBy("factor").collect()]  # seven at most

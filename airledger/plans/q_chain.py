@@ -284,3 +284,20 @@ def m8_swept_fits(spark, sf):
     configs, own = swept(spark, sf)
     truth = st.synthetic_coefficients(own.select("source_idx", "basis_idx").distinct(), "truth")
     return st.sweep_fits(gr.durable(own), truth, configs.select("config_id", "noise"), COLUMNS).join(F.broadcast(configs.drop("noise")), "config_id")
+
+
+def background_hours(spark, sf, window=168):
+    """``t_idx, one, time_1, sin_1, cos_1`` of each hour: the primary background of a window."""
+    angle = 2 * F.pi() * (F.hour("ts") + F.minute("ts") / 60.0) / 24.0
+    return hours(spark, sf).select("t_idx", F.lit(1.0).alias("one"), ((F.col("t_idx") % window) / float(window)).alias("time_1"), F.sin(angle).alias("sin_1"), F.cos(angle).alias("cos_1"))
+
+
+@query()
+def m10_refined_response(spark, sf):
+    """Each week's wind and dispersion, moved by at most two rounds of steps under the gate."""
+    own = small(spark, sf)
+    rows = corrected(spark, sf).join(background_hours(spark, sf), "t_idx")
+    return st.refined(
+        city(spark, sf), own.select("ix", "iy").distinct(), sensors(spark), own, basis(spark, sf), rows, ["one", "time_1", "sin_1", "cos_1"], COLUMNS, 10, 10, 4,
+        eps=0.4, weight=0.01, weight_psi=0.01, rho=0.999, rounds=2,
+    )

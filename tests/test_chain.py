@@ -219,3 +219,41 @@ def test_kernel_of_a_gridded_wind_against_plain_steps(spark):
                             p = p + at(t + k + sub / 4, *p) / 4
                             alive = bool((p >= -0.5).all() and (p <= size - 0.5).all())
     assert got.keys() == want.keys() and all(abs(got[k] - g) < 1e-9 for k, g in want.items())
+
+
+def small_study(spark, vx, vy, windows=2, T=24):
+    """A made-up study of two sources and four sensors; data are made under the wind (vx, vy), the study assumes (1, 0)."""
+    from airledger.operators import response as rs
+    from airledger.operators import spatial as sp
+
+    n = windows * T
+    wind = lambda x, y: spark.range(n).select(F.col("id").alias("t_idx"), F.lit(float(x)).alias("vx"), F.lit(float(y)).alias("vy"))
+    cells, hours = sp.cells(spark, 8, 8).select("ix", "iy"), spark.range(n).withColumnRenamed("id", "t_idx")
+    sensors = spark.createDataFrame([(0, 3.0, 2.0), (1, 5.0, 3.0), (2, 4.0, 5.0), (3, 6.0, 6.0)], "sensor_idx long, sx double, sy double")
+    inventory = spark.createDataFrame([(0, 1, 2, 5.0), (0, 2, 2, 3.0), (1, 2, 5, 4.0), (1, 3, 6, 2.0)], "source_idx long, ix long, iy long, mass double")
+    basis = hours.select("t_idx", F.lit(0).cast("long").alias("basis_idx"), (1.0 + 0.5 * F.sin(F.col("t_idx") * 0.7)).alias("phi"))
+    h = rs.response(rs.kernel(rs.puffs(cells, wind(vx, vy), 4, 8, 8)[0], sensors, hours), inventory, basis)
+    y = h.groupBy("t_idx", "sensor_idx").agg((F.sum(F.when(F.col("source_idx") == 0, 1.2).otherwise(0.7) * F.col("h")) + 0.5).alias("y"))
+    rows = gr.durable(y.where(F.col("t_idx") % T >= 3).withColumn("one", F.lit(1.0)))
+    return lambda **more: st.refined(wind(1.0, 0.0), cells, sensors, inventory, basis, rows, ["one"], [(0, 0), (1, 0)], 8, 8, 4, window=T, **more)
+
+
+def test_refinement_improves_the_fit_under_a_turned_wind(spark):
+    run = small_study(spark, 1.0, 0.2)
+    more = dict(correction="constant", dispersion=False, eps=0.4, weight=0.001, step=0.1, rounds=2)
+    rows, more_rows = (sorted(run(**more).collect()) for _ in range(2))
+    first, again = [tuple(r) for r in rows], [tuple(r) for r in more_rows]
+    assert len(first) == 2 and np.allclose([r[1:12] for r in first], [r[1:12] for r in again], atol=1e-9)
+    for r in rows:
+        assert r.data < 0.5 * r.data0 and r.total < r.total0 and r.ay0 > 0.05 and abs(r.ax0) <= 0.4 and r.largest <= 0.4 + 1e-9
+        assert (r.along, r.across, r.least_age) == (0.7, 0.25, 0.25) and (r.accepted or "sigma_fell" in r.reasons)
+
+
+def test_refinement_is_bounded_and_gated(spark):
+    run = small_study(spark, 1.0, 0.3, windows=1)
+    tight = run(correction="constant_linear", dispersion=True, eps=0.03, upper=(0.72, 2.0, 5.0), weight=0.001, weight_psi=0.001, rounds=2).first()
+    assert tight.largest <= 0.03 + 1e-9 and tight.along <= 0.72 and tight.data <= tight.data0 + 1e-9
+    refused = run(correction="constant", dispersion=False, eps=0.5, weight=0.001, rho=0.0, rounds=1).first()
+    assert not refused.accepted and "coherent" in refused.reasons
+    held = run(correction="constant", dispersion=True, eps=0.3, weight=1e9, weight_psi=1e9, rounds=1).first()
+    assert held.ax0 == held.ay0 == 0 and held.data == held.data0 and held.accepted
