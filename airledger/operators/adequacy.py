@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,19 +11,46 @@ from pyspark.sql import functions as F
 
 from .bounded import few
 from .factor import split
-from .fit import nonnegative
+from .fit import nonnegative, nonnegative_many
+
+
+@dataclass(frozen=True)
+class Noise:
+    """A declared model of the noise: its deviation, where it comes from, and whether it was calibrated outside of the fit.
+
+    A covariance is declared by whitening the rows with it (see factor.whitened()); the
+    deviation is then 1. Only a calibrated model with a source that wasn't estimated from the
+    fit's own residuals allows a verdict.
+    """
+
+    deviation: float = 1.0
+    calibrated: bool = False
+    source: str = ""
+    estimated: bool = False
 
+    def allows(self) -> bool:
+        if not self.deviation > 0:
+            raise ValueError("the deviation must be positive")
+        return self.calibrated and bool(self.source.strip()) and not self.estimated
 
-def replicates(factors: DataFrame, key: str, n_q: int, n_h: int, noise: float | None, n: int = 1000, chunk: int = 100, seed: int = 0) -> DataFrame:
+
+def _sums(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((a @ nonnegative_many(a, y) - y) ** 2).sum(axis=0)
+
+
+def replicates(factors: DataFrame, key: str, n_q: int, n_h: int, noise: float | Noise | None, n: int = 1000, chunk: int = 100, seed: int = 0) -> DataFrame:
     """``key, t0, replicate, t``: the weighted residual sum of squares of the fit and of refits to simulated data.
 
-    Replicates are dealt out in chunks, each a task group of its own; a factor is a
-    few numbers and travels with each chunk. ``noise`` is the declared deviation of an
-    external noise model; without one there is no verdict and no row. The part of
-    simulated noise that no column sees is drawn as one chi-square.
+    Replicates are dealt out in chunks, each a task group of its own that fits all of them at
+    once; a factor is a few numbers and travels with each chunk. ``noise`` is the declared
+    model (a number is the deviation of a calibrated one); without one that allows it there is
+    no verdict and no row. The part of simulated noise that no column sees is drawn as one
+    chi-square.
     """
-    if noise is None:
-        return factors.sparkSession.createDataFrame([], f"{key} long, t0 double, replicate long, t double")
+    kind = f"{key} long, t0 double, replicate long, t double"
+    if noise is None or isinstance(noise, Noise) and not noise.allows():
+        return factors.sparkSession.createDataFrame([], kind)
+    sigma = noise.deviation if isinstance(noise, Noise) else noise
     chunks = factors.sparkSession.range(-(-n // chunk)).withColumnRenamed("id", "chunk")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -29,18 +58,46 @@ def replicates(factors: DataFrame, key: str, n_q: int, n_h: int, noise: float |
         s = split(row.r, n_q, n_h, int(row.n_rows))
         a, y, rest = s["hh"], s["hy"], float((s["yy"] ** 2).sum())
         c, _ = nonnegative(a, y)
-        t0 = (((a @ c - y) ** 2).sum() + rest) / noise**2
+        t0 = (((a @ c - y) ** 2).sum() + rest) / sigma**2
         free = max(0, int(row.n_rows) - len(s["kept"]) - a.shape[0])
         rng = np.random.default_rng([seed, int(row.chunk), abs(hash(int(row[key]))) % 2**31])
         count = min(chunk, n - int(row.chunk) * chunk)
-        out = []
-        for _ in range(count):
-            sim = a @ c + noise * rng.standard_normal(a.shape[0])
-            b, _ = nonnegative(a, sim)
-            out.append(((a @ b - sim) ** 2).sum() / noise**2 + rng.chisquare(free) if free else ((a @ b - sim) ** 2).sum() / noise**2)
-        return pd.DataFrame({key: int(row[key]), "t0": t0, "replicate": np.arange(count) + int(row.chunk) * chunk, "t": out})
-
-    return factors.join(few(chunks)).groupBy(key, "chunk").applyInPandas(run, f"{key} long, t0 double, replicate long, t double")
+        sim = (a @ c)[:, None] + sigma * rng.standard_normal((a.shape[0], count))
+        t = _sums(a, sim) / sigma**2 + (rng.chisquare(free, count) if free else 0.0)
+        return pd.DataFrame({key: int(row[key]), "t0": t0, "replicate": np.arange(count) + int(row.chunk) * chunk, "t": t})
+
+    return factors.join(few(chunks)).groupBy(key, "chunk").applyInPandas(run, kind)
+
+
+def trials(factors: DataFrame, key: str, n_q: int, n_h: int, sigma: float, n_trials: int = 100, n: int = 1000, alpha: float = 0.05, chunk: int = 5, seed: int = 0) -> DataFrame:
+    """``key, trial, t0, p, inadequate``: the adequacy test repeated on ``n_trials`` data sets of each key's mean.
+
+    ``factors`` are of ``[Q | H | mean]``. A trial draws noise of deviation ``sigma`` around the
+    mean and is fitted; its ``n`` replicates are drawn around its own fit and refitted. Trials
+    are dealt in chunks, and all replicates of a chunk are refitted at once. In the space of
+    the factor the mean has the parts seen by the columns (which get noise of their own) and
+    one number for the rest, whose noise is a noncentral chi-square.
+    """
+    chunks = factors.sparkSession.range(-(-n_trials // chunk)).withColumnRenamed("id", "chunk")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        s = split(row.r, n_q, n_h, int(row.n_rows))
+        a, y, rest = s["hh"], s["hy"], float((s["yy"] ** 2).sum())
+        m, free = a.shape[0], max(0, int(row.n_rows) - len(s["kept"]) - a.shape[0])
+        rng = np.random.default_rng([seed, int(row.chunk), abs(hash(int(row[key]))) % 2**31])
+        first = int(row.chunk) * chunk
+        count = min(chunk, n_trials - first)
+        data = y[:, None] + sigma * rng.standard_normal((m, count))
+        c = nonnegative_many(a, data)
+        beyond = rng.noncentral_chisquare(free, rest / sigma**2, count) if free else np.zeros(count)
+        t0 = ((a @ c - data) ** 2).sum(axis=0) / sigma**2 + beyond
+        sim = np.repeat(a @ c, n, axis=1) + sigma * rng.standard_normal((m, count * n))
+        t = (_sums(a, sim) / sigma**2 + (rng.chisquare(free, count * n) if free else 0.0)).reshape(count, n)
+        p = (1 + (t >= t0[:, None]).sum(axis=1)) / (n + 1)
+        return pd.DataFrame({key: int(row[key]), "trial": np.arange(count) + first, "t0": t0, "p": p, "inadequate": t0 > np.quantile(t, 1 - alpha, axis=1)})
+
+    return factors.join(few(chunks)).groupBy(key, "chunk").applyInPandas(run, f"{key} long, trial long, t0 double, p double, inadequate boolean")
 
 
 def verdicts(replicates_: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:

@@ -57,6 +57,40 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return half.groupBy(key).applyInPandas(merge, kind)
 
 
+def whitened(rows: DataFrame, keys: list[str], place: str, columns: list[str], covariance: DataFrame) -> DataFrame:
+    """``keys, place, columns``: the rows of each block (``keys``) with unit covariance, where theirs is ``covariance(i, j, v)`` at their places.
+
+    A block is what noise ties together, such as an hour's sensors or a sensor's hours in a
+    window; its observed rows take their own part of the matrix. Columns are multiplied by the
+    inverse of the lower triangular factor, so factors of the result are those of the weighted
+    problem. The matrix is a few numbers and goes to every task; it must be symmetric and
+    positive definite at the places of every block, and hold all of them, else the job fails.
+    Rows with a null or non-finite column are left out first; two rows at one place are an error.
+    """
+    table = covariance.select("i", "j", "v").limit(4_000_001).toPandas()
+    if len(table) > 4_000_000:
+        raise ValueError("a covariance of more than 4,000,000 entries")
+    whole = table.pivot(index="i", columns="j", values="v").fillna(0.0)
+    if list(whole.index) != list(whole.columns) or not np.allclose(whole, whole.T, rtol=1e-10, atol=0):
+        raise ValueError("the covariance is not symmetric")
+    shared = rows.sparkSession.sparkContext.broadcast((whole.index.to_numpy(), whole.to_numpy(float)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        places, full = shared.value
+        pdf = pdf.sort_values(place)
+        at = np.searchsorted(places, pdf[place].to_numpy())
+        if pdf[place].duplicated().any() or (at >= len(places)).any() or (places[np.minimum(at, len(places) - 1)] != pdf[place].to_numpy()).any():
+            raise ValueError("a block has a place twice, or one that the covariance lacks")
+        try:
+            low = np.linalg.cholesky(full[np.ix_(at, at)])
+        except np.linalg.LinAlgError:
+            raise ValueError("the covariance is not positive definite") from None
+        return pdf.assign(**dict(zip(columns, np.linalg.solve(low, pdf[columns].to_numpy(float)).T)))
+
+    own = rows.where(finite(columns)).select(*keys, place, *[F.col(c).cast("double").alias(c) for c in columns])
+    return own.groupBy(*keys).applyInPandas(run, own.schema)
+
+
 def tolerance(x: np.ndarray, n_rows: int) -> float:
     """Singular values up to this are rounding: ``n_rows`` rows were reduced to the small ``x``, so their number counts and not that of ``x``."""
     sigma = np.linalg.svd(x, compute_uv=False)

@@ -46,6 +46,43 @@ def nonnegative(a: np.ndarray, y: np.ndarray, lam: float = 0.0, prior: np.ndarra
     return c, {"converged": done, "iterations": rounds}
 
 
+def nonnegative_many(a: np.ndarray, y: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Columns c >= 0 that minimise |a c - y|^2 for each column of ``y``: exchanges of active sets, one least-squares solve for all columns with the same set.
+
+    A column whose exchanges don't settle (they can circle where columns of ``a`` depend on each other) is fitted by nonnegative().
+    """
+    n, k = a.shape[1], y.shape[1]
+    on, c, grad = np.zeros((n, k), bool), np.zeros((n, k)), -a.T @ y
+    tol = 1e-10 * max(1.0, np.abs(grad).max(initial=0.0))
+    fewest, spare, open_ = np.full(k, n + 1), np.full(k, 3), np.ones(k, bool)
+    for _ in range(rounds):
+        bad = ((c < -1e-12) & on | (grad < -tol) & ~on) & open_
+        many = bad.sum(axis=0)
+        open_ = many > 0
+        if not open_.any():
+            break
+        better = open_ & (many < fewest)
+        fewest[better], spare[better] = many[better], 3
+        tired = open_ & ~better & (spare <= 0)
+        spare[open_ & ~better] -= 1
+        for j in np.flatnonzero(tired):  # one exchange at a time ends surely
+            last = np.flatnonzero(bad[:, j])[-1]
+            bad[:, j] = False
+            bad[last, j] = True
+        on ^= bad
+        sets, which = np.unique(on[:, open_], axis=1, return_inverse=True)
+        for s in range(sets.shape[1]):
+            at = np.flatnonzero(open_)[which.ravel() == s]
+            own = np.flatnonzero(sets[:, s])
+            c[:, at] = 0.0
+            if len(own):
+                c[np.ix_(own, at)] = np.linalg.lstsq(a[:, own], y[:, at])[0]
+            grad[:, at] = a.T @ (a @ c[:, at] - y[:, at])
+    for j in np.flatnonzero(open_):
+        c[:, j] = nonnegative(a, y[:, j])[0]
+    return np.maximum(c, 0.0)
+
+
 def polished(a: np.ndarray, y: np.ndarray, lam: float, prior: np.ndarray, c: np.ndarray, on: np.ndarray, cost) -> np.ndarray:
     """The exact solution on an active set, from the columns themselves (their products would square the condition number); ``c`` if it isn't better."""
     rows = np.vstack([a[:, on], np.sqrt(lam) * np.eye(int(on.sum()))]) if lam else a[:, on]

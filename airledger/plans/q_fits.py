@@ -265,9 +265,3 @@ def a27_signal_shares(spark, sf):
 def a16_window_ensemble(spark, sf):
     d = fa.diagnostics(fa.factor(design(spark, sf), "window_id", ["h1", "h2", "y"]), "window_id", 0, 2).withColumn("n_columns", F.lit(2))
     return gr.window_ensemble(d, pairs(spark, sf))[0].select(*[r4(F.col(x)).alias(x) for x in ("q05", "q50", "q95")], "p_full_rank", "n")
-
-
-@query(with_(DESIGN, GRAM, COH) + f"SELECT i, j, {s6('count(DISTINCT window_id) / (SELECT count(DISTINCT window_id) FROM design)')} AS p_ambiguous FROM coh WHERE coherence > 0.8 GROUP BY 1, 2")
-def a16_pair_ambiguity(spark, sf):
-    d = design(spark, sf).select("window_id").distinct().withColumns({"sigma_j": F.lit(1.0), "rank": F.lit(1), "n_columns": F.lit(1)})
-    return gr.window_ensemble(d, pairs(spark, sf))[1].withColumn("p_ambiguous", r6(F.col("p_ambiguous")))

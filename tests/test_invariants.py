@@ -189,3 +189,66 @@ def test_exits_are_those_of_walking_every_cell(spark):
     assert {(r.ix, r.iy, r.tau, r.lag) for r in flying.collect()} == inside
     plan = exits._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") == 1  # the grid of releases and cells, nothing else
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_fits_are_those_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((12, 5))
+    if seed == 3:
+        a[:, 4] = a[:, 0] + a[:, 1]  # a column that depends on others
+    y = rng.standard_normal((12, 200))
+    c = fi.nonnegative_many(a, y)
+    res = ((a @ c - y) ** 2).sum(axis=0)
+    grad = a.T @ (a @ c - y)
+    assert (c >= 0).all() and (grad > -1e-7).all() and np.abs(grad * (c > 1e-9)).max() < 1e-7
+    for j in range(0, 200, 20):
+        one, _ = fi.nonnegative(a, y[:, j])
+        assert abs(((a @ one - y[:, j]) ** 2).sum() - res[j]) < 1e-5
+
+
+def test_whitened_rows_give_the_weighted_problem(spark):
+    """A unit matrix times s squared is the scalar case; an AR(1) matrix over the hours of each sensor is NumPy's weighted residual."""
+
+    def weighted(rows, cov):
+        x = np.array([r[3:] for r in rows])
+        sigma = np.array([[cov[p[2], q[2]] if p[1] == q[1] else 0.0 for q in rows] for p in rows])
+        w = np.linalg.inv(np.linalg.cholesky(sigma))
+        q, _ = np.linalg.qr(w @ x[:, :1])
+        left = w @ x[:, 1:] - q @ (q.T @ (w @ x[:, 1:]))
+        c, _ = fi.nonnegative(left[:, :2], left[:, 2])
+        return ((left[:, :2] @ c - left[:, 2]) ** 2).sum()
+
+    rng = np.random.default_rng(9)
+    n_t, n_s = 12, 3
+    h, y = rng.random((n_t * n_s, 2)), rng.random(n_t * n_s)
+    rows = [(0, k % n_s, k // n_s, 1.0, *map(float, h[k]), float(y[k])) for k in range(n_t * n_s) if k != 7]
+    df = spark.createDataFrame(rows, "w long, sensor long, t long, one double, a double, b double, y double").repartition(3)
+    for rho in (0.0, 0.7):
+        cov = 0.09 * rho ** np.abs(np.subtract.outer(np.arange(n_t), np.arange(n_t))) if rho else 0.09 * np.eye(n_t)
+        table = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(n_t) for j in range(n_t) if cov[i, j]], "i long, j long, v double")
+        white = fa.whitened(df, ["w", "sensor"], "t", ["one", "a", "b", "y"], table)
+        from airledger.operators import adequacy as ad
+
+        noise = ad.Noise(1.0, True, "test")
+        t0 = ad.replicates(fa.factor(white, "w", ["one", "a", "b", "y"]), "w", 1, 2, noise, 10, 5).first().t0
+        assert abs(t0 - weighted(rows, cov)) < 1e-6
+        if not rho:
+            plain = ad.replicates(fa.factor(df, "w", ["one", "a", "b", "y"]), "w", 1, 2, 0.3, 10, 5).first().t0
+            assert abs(t0 - plain) < 1e-6
+    for refused in (ad.Noise(1.0, False, "test"), ad.Noise(1.0, True, " "), ad.Noise(1.0, True, "test", True)):
+        assert ad.replicates(fa.factor(df, "w", ["one", "a", "b", "y"]), "w", 1, 2, refused, 10, 5).count() == 0
+    bad = spark.createDataFrame([(i, j, 1.0) for i in range(n_t) for j in range(n_t)], "i long, j long, v double")
+    with pytest.raises(Exception, match="positive definite"):
+        fa.whitened(df, ["w", "sensor"], "t", ["one", "a", "b", "y"], bad).count()
+    with pytest.raises(ValueError, match="symmetric"):
+        fa.whitened(df, ["w", "sensor"], "t", ["one"], spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 0, 0.2), (1, 1, 1.0)], "i long, j long, v double"))
+
+
+def test_rejection_rates_of_the_three_cases(spark, sf):
+    from airledger.plans import queries as library
+
+    got = {r.case_id: r for r in library.queries()["m9_rejection_rates"](spark, sf).collect()}
+    bound = 0.05 + 3 * (0.05 * 0.95 / 100) ** 0.5
+    assert {r.n_trials for r in got.values()} == {100} and got[0].rate <= bound and got[2].rate <= bound and got[1].rate == 1.0
+    assert got[0].out_of_span is None and got[2].out_of_span < 1e-8 and got[1].out_of_span > 0.05
