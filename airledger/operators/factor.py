@@ -44,17 +44,41 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
     kind = f"{key} {dict(rows.dtypes)[key]}, n_rows long, r array<double>"
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = None
-        for flat in pdf.r:
-            r = _stack(r, np.asarray(flat, float).reshape(-1, width))
-        if r.shape[0] < width:
-            r = np.vstack([r, np.zeros((width - r.shape[0], width))])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_rows": [int(pdf.n_rows.sum())], "r": [r.ravel()]})
-
     parts = rows.select(key, *columns).mapInPandas(reduce, kind)
-    half = parts.groupBy(key, F.pmod(F.xxhash64("n_rows", "r"), F.lit(16))).applyInPandas(lambda pdf: merge(pdf), kind)
-    return half.groupBy(key).applyInPandas(merge, kind)
+    half = parts.groupBy(key, F.pmod(F.xxhash64("n_rows", "r"), F.lit(16))).applyInPandas(lambda pdf: _merged(pdf, key, width), kind)
+    return half.groupBy(key).applyInPandas(lambda pdf: _merged(pdf, key, width), kind)
+
+
+def _merged(pdf: pd.DataFrame, key: str, width: int) -> pd.DataFrame:
+    """One factor of those of a key."""
+    r = None
+    for flat in pdf.r:
+        r = _stack(r, np.asarray(flat, float).reshape(-1, width))
+    if r.shape[0] < width:
+        r = np.vstack([r, np.zeros((width - r.shape[0], width))])
+    return pd.DataFrame({key: [pdf[key].iloc[0]], "n_rows": [int(pdf.n_rows.sum())], "r": [r.ravel()]})
+
+
+def window_factors(rows: DataFrame, hour: str, columns: list[str], windows: DataFrame, length: int) -> DataFrame:
+    """``window_id, n_rows, r`` of windows ``(window_id, start)`` of ``length`` hours that may overlap; each row is read once.
+
+    The starts and ends of all windows cut time into disjoint blocks (twice as many as windows,
+    which are a setting and few); rows are reduced to a factor of each block, and a window's
+    factor is merged from those of its blocks. Windows without rows have no factor.
+    """
+    starts = windows.select("start").distinct().limit(100_001).collect()
+    if len(starts) > 100_000:
+        raise ValueError("more than 100,000 different windows")
+    bounds = sorted({b for (s,) in starts for b in (s, s + length)})
+    if not bounds:
+        return rows.sparkSession.createDataFrame([], "window_id long, n_rows long, r array<double>")
+    cuts = rows.sparkSession.createDataFrame([(bounds,)], "_bounds array<long>")
+    place = lambda t: (F.size(F.filter("_bounds", lambda b: b <= t)) - 1).cast("long")
+    own = rows.where((F.col(hour) >= bounds[0]) & (F.col(hour) < bounds[-1])).join(F.broadcast(cuts)).withColumn("_block", place(F.col(hour)))
+    parts = factor(own, "_block", columns)
+    covers = windows.join(F.broadcast(cuts)).select("window_id", F.explode(F.sequence(place(F.col("start")), place(F.col("start") + length) - 1)).alias("_block"))
+    width = len(columns)
+    return covers.join(parts, "_block").select("window_id", "n_rows", "r").groupBy("window_id").applyInPandas(lambda pdf: _merged(pdf, "window_id", width), "window_id long, n_rows long, r array<double>")
 
 
 def whitened(rows: DataFrame, keys: list[str], place: str, columns: list[str], covariance: DataFrame) -> DataFrame:

@@ -75,17 +75,45 @@ def kernel(puffs_: DataFrame, sensors: DataFrame, hours: DataFrame, keep: list[s
     return arrived.join(few(sensors)).select("t_idx", "tau", "lag", "sensor_idx", "ix", "iy", g.alias("g"), *(keep or []))
 
 
-def response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lag: int | None = None, trim: int = 0, threshold: float = 1e-6) -> DataFrame:
+def response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, lag: int | None = None, trim: int = 0, threshold: float = 1e-6, admissible: DataFrame | None = None) -> DataFrame:
     """``t_idx, sensor_idx, source_idx, basis_idx, h``: mass times basis at the release times kernel, summed.
 
     Cells at or below the threshold and zero basis values are skipped; ``trim`` drops warm-up rows; nothing is renormalized.
+    With ``admissible(source_idx, basis_idx)`` other columns are never computed: masses meet
+    their bases before they meet kernel rows (see also emitting()).
     """
     rows = kernel_ if lag is None else kernel_.where(F.col("lag") < lag)
+    if admissible is not None:
+        own = few(inventory.where(F.col("mass") > threshold).join(few(admissible), "source_idx"))
+        rows = rows.where(F.col("t_idx") >= trim).join(own, ["ix", "iy"]).join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), ["tau", "basis_idx"])
+        return rows.groupBy("t_idx", "sensor_idx", "source_idx", "basis_idx").agg(F.sum(F.col("mass") * F.col("phi") * F.col("g")).alias("h"))
     rows = rows.where(F.col("t_idx") >= trim).join(few(inventory.where(F.col("mass") > threshold)), ["ix", "iy"])
     rows = rows.join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
     return rows.groupBy("t_idx", "sensor_idx", "source_idx", "basis_idx").agg(F.sum(F.col("mass") * F.col("phi") * F.col("g")).alias("h"))
 
 
+def emitting(puffs_: DataFrame, inventory: DataFrame, basis: DataFrame, admissible: DataFrame, threshold: float = 1e-6) -> DataFrame:
+    """Puffs of releases that any admissible column has mass for: a semi join before the kernel is computed."""
+    cells = few(inventory.where(F.col("mass") > threshold).join(few(admissible), "source_idx").select("ix", "iy", "basis_idx").distinct())
+    hours = basis.where("phi <> 0").select(F.col("t_idx").alias("tau"), "basis_idx").distinct()
+    return puffs_.join(hours.join(cells, "basis_idx").select("ix", "iy", "tau").distinct(), ["ix", "iy", "tau"], "left_semi")
+
+
+def wide_response(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame, columns: list[tuple[int, int]], by: list[str], threshold: float = 1e-6) -> DataFrame:
+    """``by..., h<source>_<basis>``: the response of declared columns side by side, 0 where nothing arrives.
+
+    Masses of a cell and basis values of an hour are put side by side first, so every kernel row
+    stays one row and adds to all columns at once.
+    """
+    sources, bases = sorted({s for s, _ in columns}), sorted({b for _, b in columns})
+    mass = inventory.where(F.col("mass") > threshold).groupBy("ix", "iy").pivot("source_idx", sources).agg(F.sum("mass"))
+    phi = basis.groupBy(F.col("t_idx").alias("tau")).pivot("basis_idx", bases).agg(F.sum("phi"))
+    mass = mass.select("ix", "iy", *[F.coalesce(F.col(str(s)), F.lit(0.0)).alias(f"_m{s}") for s in sources])
+    phi = phi.select("tau", *[F.coalesce(F.col(str(b)), F.lit(0.0)).alias(f"_p{b}") for b in bases])
+    rows = kernel_.join(few(mass), ["ix", "iy"]).join(phi, "tau")
+    return rows.groupBy(*by).agg(*[F.sum(F.col(f"_m{s}") * F.col(f"_p{b}") * F.col("g")).alias(f"h{s}_{b}") for s, b in columns])
+
+
 def cell_response(kernel_: DataFrame, basis: DataFrame) -> DataFrame:
     """``sensor_idx, ix, iy, basis_idx, pull``: the same kernel rows summed by cell instead of by source."""
     return kernel_.join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau").groupBy("sensor_idx", "ix", "iy", "basis_idx").agg(F.sum(F.col("phi") * F.col("g")).alias("pull"))
@@ -108,6 +136,64 @@ def localization(footprint: DataFrame, truth: DataFrame, radius: float) -> DataF
     return gap.join(share, "sensor_idx")
 
 
+#: Nodes of the quadrature in a cell, along each axis.
+NODES = (-0.4, -0.2, 0.0, 0.2, 0.4)
+
+
+def retained(puffs_: DataFrame, nx: int, ny: int, truncation: float = 4.0, along: float = 0.7, across: float = 0.25, least_age: float = 0.25) -> DataFrame:
+    """Puffs with ``raw``: the part of each density that falls on the grid, by 5 x 5 nodes in every cell of the box of ``truncation`` deviations around it.
+
+    Opt-in, since a puff costs some thousand values. It is a sum over nodes, so it may exceed 1 a little.
+    """
+    import numpy as np
+
+    def run(batches):
+        nodes = np.array(NODES)
+        for pdf in batches:
+            raw = np.zeros(len(pdf))
+            for lag, part in pdf.groupby("lag", sort=False):
+                old = max(float(lag), least_age)
+                vp, vq = along * along * old, across * across * old
+                radius = truncation * max(vp, vq) ** 0.5
+                reach = np.arange(int(np.ceil(2 * radius)) + 3)
+                at = pdf.index.get_indexer(part.index)
+                for lo in range(0, len(at), 256):
+                    some = at[lo : lo + 256]
+                    x, y, wx, wy = (pdf[c].to_numpy()[some] for c in ("x", "y", "wx", "wy"))
+                    norm = np.hypot(wx, wy)
+                    still = norm <= 1e-8
+                    ex, ey = np.where(still, 1.0, wx / np.where(still, 1.0, norm)), np.where(still, 0.0, wy / np.where(still, 1.0, norm))
+                    axes = []
+                    for c, n in ((x, nx), (y, ny)):
+                        cell = np.floor(c - radius)[:, None] + reach
+                        ok = (cell >= 0) & (cell <= n - 1) & (cell <= np.ceil(c + radius)[:, None])
+                        axes.append(((cell[:, :, None] + nodes - c[:, None, None]).reshape(len(c), -1), np.repeat(ok, len(nodes), axis=1)))
+                    (dx, ox), (dy, oy) = axes
+                    a = dx[:, :, None] * ex[:, None, None] + dy[:, None, :] * ey[:, None, None]
+                    b = -dx[:, :, None] * ey[:, None, None] + dy[:, None, :] * ex[:, None, None]
+                    g = np.exp(-0.5 * (a * a / vp + b * b / vq)) / (2 * np.pi * (vp * vq) ** 0.5)
+                    raw[some] = (g * ox[:, :, None] * oy[:, None, :]).sum(axis=(1, 2)) / len(nodes) ** 2
+            yield pdf.assign(raw=raw)
+
+    own = puffs_.select("ix", "iy", "tau", "lag", "x", "y", "wx", "wy")
+    return own.mapInPandas(run, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double, raw double")
+
+
+def mass_accounting(retained_: DataFrame, hours: DataFrame, inventory: DataFrame, basis: DataFrame, trim: int = 0, threshold: float = 1e-6) -> DataFrame:
+    """``source_idx, basis_idx, emitted, retained, dropped, n_kernels, n_clipped, largest``: kernel mass of each column; nothing is renormalized.
+
+    Every puff counts at each hour it arrives in. A part beyond 0 to 1 is clipped and counted.
+    """
+    rows = retained_.withColumn("t_idx", F.col("tau") + F.col("lag")).where(F.col("t_idx") >= trim).join(hours.select("t_idx"), "t_idx", "left_semi").drop("t_idx")
+    rows = rows.join(few(inventory.where(F.col("mass") > threshold)), ["ix", "iy"]).join(basis.withColumnRenamed("t_idx", "tau"), "tau")
+    amount = F.col("mass") * F.col("phi")
+    part = F.least(F.greatest(F.col("raw"), F.lit(0.0)), F.lit(1.0))
+    return rows.where(amount > 0).groupBy("source_idx", "basis_idx").agg(
+        F.sum(amount).alias("emitted"), F.sum(amount * part).alias("retained"), F.sum(amount * (1 - part)).alias("dropped"), F.count("*").alias("n_kernels"),
+        F.count_if((F.col("raw") < 0) | (F.col("raw") > 1)).alias("n_clipped"), F.max("raw").alias("largest"),
+    )
+
+
 def exit_accounting(exits: DataFrame, inventory: DataFrame, basis: DataFrame) -> DataFrame:
     """Releases that leave the domain, and their mass, by column."""
     return exits.join(few(inventory.where("mass > 0")), ["ix", "iy"]).join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau").groupBy("source_idx", "basis_idx").agg(F.count("*").alias("n_exits"), F.sum(F.col("mass") * F.col("phi")).alias("mass"))

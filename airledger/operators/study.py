@@ -123,11 +123,9 @@ def refined(
         flying, _ = rs.puffs(cells, winds.select("t_idx", "vx", "vy"), lag, nx, ny)
         each = flying.withColumn("wind_id", config_of("tau")).join(few(tried.select("wind_id", "config_id", *PSI)), "wind_id")
         pulls = rs.kernel(each, sensors, winds, keep=["config_id"], **{c: F.col(c) for c in PSI})
-        mass = pulls.join(few(inventory.where("mass > 1e-6")), ["ix", "iy"]).withColumns({"tau": F.col("tau") % STRIDE, "t_idx": F.col("t_idx") % STRIDE})
-        terms = mass.join(basis.where("phi <> 0").withColumnRenamed("t_idx", "tau"), "tau")
-        col = F.concat(F.lit("h"), F.col("source_idx").cast("string"), F.lit("_"), F.col("basis_idx").cast("string"))
-        wide = terms.withColumn("_col", col).groupBy("config_id", "t_idx", "sensor_idx").pivot("_col", labels).agg(F.sum(F.col("mass") * F.col("phi") * F.col("g")))
-        factors = gr.durable(fa.factor(wide.na.fill(0.0, labels).join(seen, ["t_idx", "sensor_idx"]), "config_id", [*background, *labels, "y"]))
+        pulls = pulls.withColumns({"tau": F.col("tau") % STRIDE, "t_idx": F.col("t_idx") % STRIDE})
+        wide = rs.wide_response(pulls, inventory, basis, columns, ["config_id", "t_idx", "sensor_idx"])
+        factors = gr.durable(fa.factor(wide.join(seen, ["t_idx", "sensor_idx"]), "config_id", [*background, *labels, "y"]))
         n_q, n_h = len(background), len(labels)
         fitted = fi.fit(factors, "config_id", n_q, labels, lam=lam).groupBy("config_id").agg((F.first("residual_norm") ** 2).alias("data"), (lam * F.sum(F.col("c") ** 2)).alias("ridge"))
         spectra = fa.diagnostics(factors, "config_id", n_q, n_h).select("config_id", "sigma_j")
@@ -146,7 +144,7 @@ def refined(
     best = refine(start, score, step, 0.5, rounds, floor, moved=moved, carried=extra, gain=1e-10)
     needed = needs_fit or smooth > 0
     found = best.join(first, "key").withColumns({"psi": F.lit(0.0), "needs_fit": F.lit(needed), "data0": F.col("data0") + 1e-9})
-    gated = gate(found.withColumn("largest", F.greatest(F.col("largest") - 1e-9, F.lit(0.0))), eta, rho, eps)
+    gated = gate(found, eta, rho, eps + 1e-9)
     return gated.select(F.col("key").alias("window_id"), *names, "data", F.col("value").alias("total"), (F.col("data0") - 1e-9).alias("data0"), "total0", "sigma_j", "sigma_j0", "coherence", "largest", "accepted", "reasons")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bases as ba
 from ..operators import factor as fa
 from ..operators import fit as fi
 from ..operators import groups as gr
@@ -301,3 +302,65 @@ def m10_refined_response(spark, sf):
         city(spark, sf), own.select("ix", "iy").distinct(), sensors(spark), own, basis(spark, sf), rows, ["one", "time_1", "sin_1", "cos_1"], COLUMNS, 10, 10, 4,
         eps=0.4, weight=0.01, weight_psi=0.01, rho=0.999, rounds=2,
     )
+
+
+def historical(spark, sf):
+    """(windows, factors) of 20 windows of a week, evenly spread over the record and overlapping where it is short; columns of the response beside a constant."""
+    own = kernel(spark, sf)[0]
+    rows = rs.wide_response(own, small(spark, sf), basis(spark, sf), COLUMNS, ["t_idx", "sensor_idx"]).withColumns({"one": F.lit(1.0), "y": F.lit(0.0)})
+    windows = rd.even_windows(spark, hours(spark, sf).count(), 168, 20)
+    return windows, gr.durable(fa.window_factors(rows, "t_idx", ["one", *[f"h{s}_{b}" for s, b in COLUMNS], "y"], windows, 168))
+
+
+@query()
+def a16_historical_windows(spark, sf):
+    windows, factors = historical(spark, sf)
+    return windows.join(fa.diagnostics(factors, "window_id", 1, len(COLUMNS), 100.0), "window_id")
+
+
+@query()
+def a16_historical_ensemble(spark, sf):
+    """Quantiles of the smallest singular value of the windows, and how often ranks are full."""
+    _, factors = historical(spark, sf)
+    key, n = "window_id", len(COLUMNS)
+    index = spark.createDataFrame([(i, s, f"h{s}_{b}") for i, (s, b) in enumerate(COLUMNS)], "col_idx int, source_idx long, name string")
+    found = fa.diagnostics(factors, key, 1, n, 100.0).withColumn("n_columns", F.lit(n))
+    grams = gr.durable(fa.projected_gram(factors, key, 1, n))
+    own = gr.durable(fa.coherence(grams, key, 1e-9, 0.97))
+    weak = grams.where("i = j").select(key, "i", (F.sqrt("g") <= 1e-9).alias("weak")).join(F.broadcast(index.select(F.col("col_idx").alias("i"), F.col("source_idx").alias("source"), "name")), "i")
+    nodes = found.select(key).join(F.broadcast(index.select(F.col("source_idx").alias("node")).distinct()))
+    comps = gr.components(nodes, gr.durable(gr.source_edges(own, index, key, 0.97)), key)
+    names = index.select("source_idx", F.concat(F.lit("s"), F.col("source_idx").cast("string")).alias("source_name")).distinct()
+    return gr.ensemble_report(found, own, weak, gr.group_names(comps, names, key).withColumnRenamed("group", "grp"), index, key)[0]
+
+
+@query()
+def a32_quadrature(spark, sf):
+    """Kernel mass of every column: emitted, retained on the grid, dropped."""
+    own = city(spark, sf)
+    flying, _ = rs.puffs(small(spark, sf).select("ix", "iy").distinct(), own, 3, 10, 10)
+    return rs.mass_accounting(rs.retained(flying, 10, 10), own, small(spark, sf), basis(spark, sf))
+
+
+GROUPS = [(0, "traffic"), (1, "industries"), (2, "population_density"), (3, "brick_kilns")]
+NEAR = "least(abs(hour(ts) - {0}), 24 - abs(hour(ts) - {0}))"
+NAMED = ("named AS (SELECT t_idx, basis_idx, phi::DOUBLE AS phi FROM (" + " UNION ALL ".join([
+    "SELECT t_idx, 0::BIGINT AS basis_idx, CASE WHEN hour(ts) <= 3 OR hour(ts) >= 21 THEN 1.0 ELSE 0.0 END AS phi FROM hours", *[f"SELECT t_idx, {i}, CASE WHEN hour(ts) BETWEEN {a} AND {b} THEN 1.0 ELSE 0.0 END FROM hours" for i, a, b in ((1, 4, 9), (2, 10, 15), (3, 16, 20))],
+    "SELECT t_idx, 4, CASE WHEN (t_idx // 12) % 2 = 0 THEN 0.60 ELSE 0.25 END FROM hours", "SELECT t_idx, 5, CASE WHEN hour(ts) BETWEEN 7 AND 19 THEN 1.0 ELSE 0.35 END FROM hours",
+    "SELECT t_idx, 6, least(1.0, 0.2 + " + " + ".join(f"0.8 * exp(-0.5 * ({NEAR.format(p)} / 1.25) * ({NEAR.format(p)} / 1.25))" for p in (7, 13, 19)) + ") FROM hours",
+]) + ")), may(source_idx, basis_idx) AS (VALUES (0::BIGINT, 0::BIGINT), (0, 1), (0, 2), (0, 3), (1, 5), (2, 6), (3, 4))")
+
+
+@query(WHOLE + ", " + NAMED + f" SELECT t_idx, basis_idx, {s6('phi')} AS phi FROM named")
+def f11_declared_basis(spark, sf):
+    return ba.declared_basis(hours(spark, sf)).select("t_idx", "basis_idx", r6(F.col("phi")).alias("phi"))
+
+
+@query(WHOLE + ", " + NAMED + f" SELECT k.t_idx, sensor_idx, s.source_idx, b.basis_idx, {s6('sum(mass * phi * g)')} AS h FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy AND mass > 1e-6 JOIN may m ON m.source_idx = s.source_idx JOIN named b ON b.basis_idx = m.basis_idx AND b.t_idx = k.tau AND phi <> 0 GROUP BY 1, 2, 3, 4")
+def f11_admissible_response(spark, sf):
+    """The response of each group under its own components alone; masked columns are never computed."""
+    own, maps, named = city(spark, sf), small(spark, sf), ba.declared_basis(hours(spark, sf)).select("t_idx", "basis_idx", "phi")
+    may = ba.admissible(spark.createDataFrame(GROUPS, "source_idx long, source_name string"))
+    flying, _ = rs.puffs(maps.select("ix", "iy").distinct(), own, L, 10, 10)
+    pulls = rs.kernel(rs.emitting(flying, maps, named, may), sensors(spark), own)
+    return rs.response(pulls, maps, named, admissible=may).withColumn("h", r6(F.col("h")))

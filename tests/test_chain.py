@@ -257,3 +257,65 @@ def test_refinement_is_bounded_and_gated(spark):
     assert not refused.accepted and "coherent" in refused.reasons
     held = run(correction="constant", dispersion=True, eps=0.3, weight=1e9, weight_psi=1e9, rounds=1).first()
     assert held.ax0 == held.ay0 == 0 and held.data == held.data0 and held.accepted
+
+
+def test_overlapping_windows_have_the_factors_of_each_by_itself(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 3))
+    df = spark.createDataFrame([(k // 5, *map(float, r)) for k, r in enumerate(x)], "t long, a double, b double, y double").repartition(4)
+    windows = spark.createDataFrame([(0, 0), (1, 7), (2, 7), (3, 20), (4, 36), (5, 500)], "window_id long, start long")
+    got = {r.window_id: (r.n_rows, np.array(r.r).reshape(3, 3)) for r in fa.window_factors(df, "t", ["a", "b", "y"], windows, 24).collect()}
+    starts = dict(windows.collect())
+    assert set(got) == {0, 1, 2, 3, 4}
+    for w, (n, r) in got.items():
+        own = x[(np.arange(300) // 5 >= starts[w]) & (np.arange(300) // 5 < starts[w] + 24)]
+        assert n == len(own) and np.allclose(r.T @ r, own.T @ own)
+    one = fa.window_factors(df, "t", ["a", "b", "y"], windows.where("window_id = 3"), 24).first()
+    assert one.n_rows == 120 and fa.window_factors(df, "t", ["a"], windows.limit(0), 24).count() == 0
+
+
+def test_retained_mass_by_nodes(spark):
+    """Against plain loops over cells and nodes; at the border mass is lost and never renormalized."""
+    from airledger.operators import response as rs
+
+    rng = np.random.default_rng(12)
+    puffs = [(i, i, 0, int(lag), float(x), float(y), float(a), float(b)) for i, (lag, x, y, a, b) in enumerate(zip(rng.integers(0, 4, 40), rng.uniform(-0.5, 7.5, 40), rng.uniform(-0.5, 5.5, 40), rng.normal(0, 1, 40), rng.normal(0, 1, 40)))]
+    puffs += [(90, 90, 0, 1, 3.0, 3.0, 0.0, 0.0), (91, 91, 0, 1, -0.5, 3.0, 1.0, 0.0)]
+    df = spark.createDataFrame(puffs, "ix long, iy long, tau long, lag long, x double, y double, wx double, wy double").repartition(3)
+    got = {r.ix: r.raw for r in rs.retained(df, 8, 6, 3.0).collect()}
+    for i, _, _, lag, x, y, a, b in puffs:
+        old = max(lag, 0.25)
+        vp, vq, norm = 0.49 * old, 0.0625 * old, np.hypot(a, b)
+        ex, ey = (a / norm, b / norm) if norm > 1e-8 else (1.0, 0.0)
+        radius, total = 3.0 * vp**0.5, 0.0
+        for cx in range(max(0, int(np.floor(x - radius))), min(7, int(np.ceil(x + radius))) + 1):
+            for cy in range(max(0, int(np.floor(y - radius))), min(5, int(np.ceil(y + radius))) + 1):
+                for ox in rs.NODES:
+                    for oy in rs.NODES:
+                        dx, dy = cx + ox - x, cy + oy - y
+                        total += np.exp(-0.5 * ((dx * ex + dy * ey) ** 2 / vp + (-dx * ey + dy * ex) ** 2 / vq)) / (2 * np.pi * (vp * vq) ** 0.5)
+        assert abs(got[i] - total / 25) < 1e-9
+    assert got[90] > 0.95 > 0.6 > got[91] > 0.4
+
+
+def test_retained_and_dropped_are_what_was_emitted(spark, sf):
+    rows = library.queries()["a32_quadrature"](spark, sf).collect()
+    assert len(rows) == 8 and all(abs(r.retained + r.dropped - r.emitted) < 1e-9 * r.emitted and r.dropped > 0 and r.n_kernels > 0 and r.largest > 0 for r in rows)
+
+
+def test_masked_columns_never_meet_the_kernel(spark, sf):
+    from airledger.functions import bases as ba
+
+    may = sorted(map(tuple, ba.admissible(spark.createDataFrame([*q_chain.GROUPS, (9, "fires")], "source_idx long, source_name string")).collect()))
+    assert may == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 5), (2, 6), (3, 4), (9, 0)]
+    own = library.queries()["f11_admissible_response"](spark, sf)
+    assert {tuple(r) for r in own.select("source_idx", "basis_idx").distinct().collect()} == set(may[:-1])
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_historical_windows_cover_the_record(spark, sf):
+    rows = library.queries()["a16_historical_windows"](spark, sf).collect()
+    assert len(rows) == 20 and all(0 < r.n_rows <= 168 * 4 and r["rank"] <= 8 for r in rows) and min(r.start for r in rows) == 0
+    r = library.queries()["a16_historical_ensemble"](spark, sf).first()
+    assert 0 <= r.q05 <= r.q50 <= r.q95 and 0 <= r.p_full_effective_rank <= r.p_full_rank <= 1
