@@ -260,7 +260,7 @@ SETTING_COLUMNS = ("config_id", "turn", "speed", "along", "across", "lag", "dx",
 CONFIGS = "cfg(config_id, turn, speed, along, across, most, dx, dy) AS (VALUES " + ", ".join("({}::BIGINT, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::DOUBLE, {}::BIGINT, {}::BIGINT, {}::BIGINT)".format(*row[:8]) for row in SETTINGS) + ")"
 STRIDE = st.STRIDE
 SWEPT = with_(
-    BASE, INVENTORY, SMALL, SENSORS, CONFIGS, CITY.replace(" WHERE t_idx < 24", "").replace("city AS", "city0 AS"),
+    BASE, INVENTORY, SMALL, SENSORS, CONFIGS, CITY.replace("city AS", "city0 AS"),
     f"city AS (SELECT config_id * {STRIDE} + t_idx AS t_idx, speed * (vx * cos(radians(turn)) - vy * sin(radians(turn))) AS vx, speed * (vx * sin(radians(turn)) + vy * cos(radians(turn))) AS vy FROM city0, cfg)",
     PATHS.replace("OVER (ORDER BY t_idx)", f"OVER (PARTITION BY t_idx // {STRIDE} ORDER BY t_idx)"),
     KERNEL.replace("FROM puffs p CROSS JOIN sensors s", f"FROM puffs p JOIN cfg ON cfg.config_id = p.tau // {STRIDE} AND p.lag < cfg.most CROSS JOIN sensors s").replace("0.49 *", "along * along *").replace("0.0625 *", "across * across *").replace("p.ix, p.iy,", "p.ix - cfg.dx AS ix, p.iy - cfg.dy AS iy,"),

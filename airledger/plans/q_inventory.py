@@ -69,13 +69,8 @@ def a7_category_groups(spark, sf):
     return inv.grouped(inventory(spark, sf), groups).select("group_idx", "ix", "iy", r6(F.col("mass")).alias("mass"))
 
 
-@query(with_(READINGS, HOURS, INVENTORY, SMALL, NAMES, ACTIVITY) + f"SELECT t_idx, ix, iy, {s6('sum(theta * mass)')} AS emission FROM activity JOIN small USING (source_idx) WHERE t_idx < 24 GROUP BY 1, 2, 3")
-def a8_emission_field(spark, sf):
-    return inv.emissions(small(spark, sf), activity(spark, sf).where("t_idx < 24")).withColumn("emission", r6(F.col("emission")))
-
-
 @query(with_(READINGS, HOURS, INVENTORY, SMALL, NAMES, ACTIVITY) + f"SELECT t_idx, ix, iy, {s6('sum(theta * mass)')} AS emission FROM activity JOIN small USING (source_idx) GROUP BY 1, 2, 3")
-def a8_emission_field_all_hours(spark, sf):
+def a8_emission_field(spark, sf):
     return inv.emissions(small(spark, sf), activity(spark, sf)).withColumn("emission", r6(F.col("emission")))
 
 
@@ -160,10 +155,10 @@ def p10_inside_domain(spark, sf):
     return base(spark, sf, "events").where(w.inside(F.col("value") / 10, (F.col("event_id") % 12 - 1).cast("double"), 10, 10)).select("event_id")
 
 
-# The response of four sensors on a 10 x 10 grid, six lags, under the city's wind scaled down: over the first 24 hours, and over all.
-L, T = 6, 24
+# The response of four sensors on a 10 x 10 grid, six lags, under the city's wind scaled down.
+L = 6
 SENSORS = "sensors(sensor_idx, sx, sy) AS (VALUES (0::BIGINT, 2.0::DOUBLE, 2.0::DOUBLE), (1::BIGINT, 7.0, 2.0), (2::BIGINT, 2.0, 7.0), (3::BIGINT, 7.0, 7.0))"
-CITY = f"city AS (SELECT t_idx, coalesce(avg(CASE WHEN ok THEN ux END), 0.0) * 0.2 AS vx, coalesce(avg(CASE WHEN ok THEN vy END), 0.0) * 0.2 AS vy FROM panel WHERE t_idx < {T} GROUP BY t_idx)"
+CITY = f"city AS (SELECT t_idx, coalesce(avg(CASE WHEN ok THEN ux END), 0.0) * 0.2 AS vx, coalesce(avg(CASE WHEN ok THEN vy END), 0.0) * 0.2 AS vy FROM panel GROUP BY t_idx)"
 PATHS = f"""nxt AS (SELECT t_idx, vx, vy, coalesce(lead(vx) OVER (ORDER BY t_idx), vx) AS vx1, coalesce(lead(vy) OVER (ORDER BY t_idx), vy) AS vy1 FROM city),
   steps AS (SELECT t_idx, k, (vx * (1 - k / 4.0) + vx1 * (k / 4.0)) / 4 AS sx, (vy * (1 - k / 4.0) + vy1 * (k / 4.0)) / 4 AS sy FROM nxt, range(4) r(k)),
   way AS (SELECT c.t_idx AS tau, l * 4 + k + 1 AS j, sum(s.sx) OVER w AS px, sum(s.sy) OVER w AS py FROM city c CROSS JOIN range({L - 1}) q(l) JOIN steps s ON s.t_idx = c.t_idx + l WINDOW w AS (PARTITION BY c.t_idx ORDER BY l * 4 + k ROWS UNBOUNDED PRECEDING)),
@@ -175,19 +170,17 @@ KERNEL = """rot AS (SELECT p.tau + p.lag AS t_idx, p.tau, p.lag, s.sensor_idx, s
   CASE WHEN sqrt(wx * wx + wy * wy) <= 1e-8 THEN 0.0 ELSE wy / sqrt(wx * wx + wy * wy) END AS ey, 0.49 * greatest(p.lag, 0.25) AS vp, 0.0625 * greatest(p.lag, 0.25) AS vq FROM puffs p CROSS JOIN sensors s WHERE p.tau + p.lag IN (SELECT t_idx FROM city)),
   kern AS (SELECT t_idx, tau, lag, sensor_idx, sx, sy, ix, iy, exp(-0.5 * ((dx * ex + dy * ey) * (dx * ex + dy * ey) / vp + (-dx * ey + dy * ex) * (-dx * ey + dy * ex) / vq)) / (2 * pi() * sqrt(vp * vq)) AS g FROM rot)"""
 H = "resp AS (SELECT k.t_idx, sensor_idx, source_idx, basis_idx, sum(mass * phi * g) AS h FROM kern k JOIN small s ON s.ix = k.ix AND s.iy = k.iy AND mass > 1e-6 JOIN basis b ON b.t_idx = k.tau AND phi <> 0 GROUP BY 1, 2, 3, 4)"
-ALL = with_(BASE, INVENTORY, SMALL, SENSORS, CITY, PATHS, KERNEL, BASIS, H)
-WHOLE = ALL.replace(CITY, CITY.replace(f" WHERE t_idx < {T}", ""))
+WHOLE = with_(BASE, INVENTORY, SMALL, SENSORS, CITY, PATHS, KERNEL, BASIS, H)
 
 
 def by_hour(sql, whole_sql=True):
-    """Registers a query over the first T hours and, as ``<name>_all_hours``, over every hour of events."""
+    """Registers a query over every hour of events."""
     def add(f):
-        for name, own, last in ((f.__name__, ALL + sql, T), (f"{f.__name__}_all_hours", WHOLE + sql if whole_sql else None, None)):
-            def run(spark, sf, last=last):
-                return f(spark, sf, last)
+        def run(spark, sf):
+            return f(spark, sf, None)
 
-            run.__name__ = name
-            query(own)(run)
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        query(WHOLE + sql if whole_sql else None)(run)
         return f
 
     return add
@@ -222,13 +215,8 @@ def j6_lagged_pairs(spark, sf, last):
     return kernel(spark, sf, last)[0].select("ix", "iy", "tau", "lag", "sensor_idx", "t_idx")
 
 
-@query(ALL + f"SELECT ix, iy, tau, lag, sensor_idx, {s6('g')} AS g FROM kern WHERE t_idx = 12")
-def f8_puff_density(spark, sf):
-    return kernel(spark, sf, T)[0].where("t_idx = 12").select("ix", "iy", "tau", "lag", "sensor_idx", r6(F.col("g")).alias("g"))
-
-
 @query()
-def f8_puff_density_all_hours(spark, sf):
+def f8_puff_density(spark, sf):
     return kernel(spark, sf)[0].select("t_idx", "ix", "iy", "tau", "lag", "sensor_idx", r6(F.col("g")).alias("g"))
 
 
@@ -298,11 +286,6 @@ def j8_gridded_advection(spark, sf):
     return rs.gridded(releases, field, rs.bilinear, 4, 8, 8)
 
 
-@query(with_(BASE) + "SELECT t_idx, station_id AS sensor_idx FROM panel WHERE pm25 IS NOT NULL AND t_idx < 24")
-def p8_observed_rows(spark, sf):
-    return panel(spark, sf).where("pm25_valid and t_idx < 24").select("t_idx", F.col("station_id").alias("sensor_idx"))
-
-
 @query(with_(BASE) + "SELECT t_idx, station_id AS sensor_idx FROM panel WHERE pm25 IS NOT NULL")
-def p8_observed_rows_all_hours(spark, sf):
+def p8_observed_rows(spark, sf):
     return panel(spark, sf).where("pm25_valid").select("t_idx", F.col("station_id").alias("sensor_idx"))

@@ -70,20 +70,11 @@ def u4_imputer_comparison(spark, sf):
     return sp.adopted(sp.scores(both, "method"), "kernel").select(r6(F.col("candidate")).alias("candidate"), r6(F.col("best_baseline")).alias("best_baseline"), "adopted")
 
 
-@query(with_(BASE) + """, rows AS (SELECT station_id, t_idx, ok FROM panel WHERE t_idx < 60), near AS (SELECT DISTINCT r.station_id, r.t_idx, greatest(0, least(59, r.t_idx + d)) AS n_t FROM rows r, (SELECT unnest(range(-2, 3)) AS d)),
-  p AS (SELECT n.station_id, n.t_idx, s.station_id AS n_station, n.n_t, row_number() OVER (PARTITION BY n.station_id, n.t_idx ORDER BY s.station_id, n.n_t) AS slot FROM near n JOIN rows s ON s.t_idx = n.n_t AND s.ok AND NOT (s.station_id = n.station_id AND s.t_idx = n.t_idx)),
+@query(with_(BASE) + """, rows AS MATERIALIZED (SELECT station_id, t_idx, ok FROM panel), hi AS MATERIALIZED (SELECT max(t_idx) AS hi FROM rows), near AS MATERIALIZED (SELECT DISTINCT r.station_id, r.t_idx, greatest(0, least(hi, r.t_idx + d)) AS n_t FROM rows r, hi, (SELECT unnest(range(-2, 3)) AS d)),
+  p AS MATERIALIZED (SELECT n.station_id, n.t_idx, s.station_id AS n_station, n.n_t, row_number() OVER (PARTITION BY n.station_id, n.t_idx ORDER BY s.station_id, n.n_t) AS slot FROM near n JOIN rows s ON s.t_idx = n.n_t AND s.ok AND NOT (s.station_id = n.station_id AND s.t_idx = n.t_idx)),
   g AS (SELECT r.station_id, r.t_idx, CAST(k AS INTEGER) AS slot FROM rows r, range(1, 6) x(k))
   SELECT g.station_id, g.t_idx, g.slot, coalesce(p.n_station, f.n_station) AS n_station, coalesce(p.n_t, f.n_t) AS n_t FROM g LEFT JOIN p USING (station_id, t_idx, slot) LEFT JOIN p f ON f.station_id = g.station_id AND f.t_idx = g.t_idx AND f.slot = 1""")
 def j10_space_time_neighbours(spark, sf):
-    rows = panel(spark, sf).where("t_idx < 60").select("station_id", "t_idx", F.col("vector_valid").alias("allowed"))
-    return sp.neighbours(rows, 2, 5)
-
-
-@query(with_(BASE) + """, rows AS (SELECT station_id, t_idx, ok FROM panel), hi AS (SELECT max(t_idx) AS hi FROM rows), near AS (SELECT DISTINCT r.station_id, r.t_idx, greatest(0, least(hi, r.t_idx + d)) AS n_t FROM rows r, hi, (SELECT unnest(range(-2, 3)) AS d)),
-  p AS (SELECT n.station_id, n.t_idx, s.station_id AS n_station, n.n_t, row_number() OVER (PARTITION BY n.station_id, n.t_idx ORDER BY s.station_id, n.n_t) AS slot FROM near n JOIN rows s ON s.t_idx = n.n_t AND s.ok AND NOT (s.station_id = n.station_id AND s.t_idx = n.t_idx)),
-  g AS (SELECT r.station_id, r.t_idx, CAST(k AS INTEGER) AS slot FROM rows r, range(1, 6) x(k))
-  SELECT g.station_id, g.t_idx, g.slot, coalesce(p.n_station, f.n_station) AS n_station, coalesce(p.n_t, f.n_t) AS n_t FROM g LEFT JOIN p USING (station_id, t_idx, slot) LEFT JOIN p f ON f.station_id = g.station_id AND f.t_idx = g.t_idx AND f.slot = 1""")
-def j10_space_time_neighbours_all_hours(spark, sf):
     return sp.neighbours(panel(spark, sf).select("station_id", "t_idx", F.col("vector_valid").alias("allowed")), 2, 5)
 
 

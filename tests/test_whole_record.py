@@ -17,13 +17,13 @@ def n_hours(spark, sf):
 
 
 @pytest.mark.parametrize("name, column", [
-    ("j6_lagged_pairs_all_hours", "t_idx"), ("j7_puff_paths_all_hours", "tau"), ("j9_lagged_response_all_hours", "t_idx"), ("f8_puff_density_all_hours", "t_idx"), ("a32_kernel_mass", "tau"),
-    ("a8_emission_field_all_hours", "t_idx"), ("a41_plume_moments_all_hours", "t_idx"), ("j10_space_time_neighbours_all_hours", "t_idx"), ("j8_gridded_advection", "tau"), ("t7_wind_ensemble", "t_idx"),
+    ("j6_lagged_pairs", "t_idx"), ("j7_puff_paths", "tau"), ("j9_lagged_response", "t_idx"), ("f8_puff_density", "t_idx"), ("a32_kernel_mass", "tau"),
+    ("a8_emission_field", "t_idx"), ("a41_plume_moments", "t_idx"), ("j10_space_time_neighbours", "t_idx"), ("j8_gridded_advection", "tau"), ("t7_wind_ensemble", "t_idx"),
 ])
 def test_every_hour_has_rows(spark, sf, n_hours, name, column):
     found = library.queries()[name](spark, sf).agg(F.count_distinct(column), F.max(column)).first()
     # a release needs wind an hour later, and a drawn ensemble misses hours whose stations were not drawn
-    least = {"j7_puff_paths_all_hours": n_hours - 1, "t7_wind_ensemble": 0.9 * n_hours}.get(name, n_hours)
+    least = {"j7_puff_paths": n_hours - 1, "t7_wind_ensemble": 0.9 * n_hours}.get(name, n_hours)
     assert found[0] >= least and found[1] >= least - 1
 
 
@@ -44,12 +44,12 @@ def test_windows_reach_the_last_hour(spark):
     at = "/root/testdata/sf0.01"
     last, all_rows = (f(spark, at) for f in (lambda *a: hours(*a).count() - 1, lambda *a: panel(*a).count()))
     assert last > 600
-    filled = library.queries()["w7_sliding_imputation_all_hours"](spark, at)
+    filled = library.queries()["w7_sliding_imputation"](spark, at)
     assert filled.count() == all_rows and filled.agg(F.max("t_idx")).first()[0] == last
     starts = rd.even_windows(spark, last + 1, 168, 8).agg(F.max("start")).first()[0]
     assert starts + 167 == last
     days = panel(spark, at).where(F.col("t_idx") > last - 168).groupBy("station_id").agg(F.avg("pm25").alias("m"))
-    ends = library.queries()["w6_even_windows_all_hours"](spark, at).where("window_id = 7").join(days, "station_id")
+    ends = library.queries()["w6_even_windows"](spark, at).where("window_id = 7").join(days, "station_id")
     assert ends.count() == 32 and ends.where("abs(pm25 - m) > 1e-5").count() == 0
 
 
@@ -63,9 +63,9 @@ def test_missing_source_has_all_cases(spark, sf):
 
 def test_no_order_window_or_reading_is_left_out(spark, sf):
     run = lambda name: library.queries()[name](spark, sf)
-    assert run("c6_run_results_all_orders").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
-    assert run("m12_pair_report_all_windows").select("window_id").distinct().count() == 12
-    turned = run("f2_wind_from_vector_all_readings")
+    assert run("c6_run_results").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert run("m12_pair_report").select("window_id").distinct().count() == 12
+    turned = run("f2_wind_from_vector")
     assert turned.count() == spark.read.parquet(f"{sf}/events.parquet").count() and turned.where("wd = 0").count() > 0 and turned.where("wd >= 360").count() == 0
 
 
