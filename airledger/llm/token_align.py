@@ -34,6 +34,8 @@ from .common import durable, fresh, written
 
 #: Rows are taken so many at a time; a block ends with those by which it holds so many different chunks, or so many chunks in all.
 ROWS, CHUNKS, WORDS = 64, 150_000, 4_000_000
+#: New chunks that are tokenized as one text.
+TOGETHER = 128
 #: A worker remembers so many chunks met last, and as many met before them.
 KNOWN = 200_000
 #: B's ids in a pair take so many bits.
@@ -91,13 +93,13 @@ class Aligner:
     def chunks(self, chunks: list[str]) -> list[tuple[list[int], str, bytes] | None]:
         """For each chunk (its leading space left out): numbers of A and B tokens, groups and links; the groups written out, each with a ``;``; a pair of ids for each link, as 64-bit numbers. None if a side doesn't give its bytes back.
 
-        Chunks without white at their ends are tokenized as one text, others apart.
+        Chunks without white at their ends are tokenized together as one text, others apart.
         """
         out: list = [None] * len(chunks)
         if not chunks:
             return out
         plain = [k for k, c in enumerate(chunks) if c and not self.white.search(c[0]) and not self.white.search(c[-1])]
-        runs = ([plain] if plain else []) + [[k] for k in sorted(set(range(len(chunks))) - set(plain))]
+        runs = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)] + [[k] for k in sorted(set(range(len(chunks))) - set(plain))]
         texts = [" ".join([chunks[k] for k in run]) for run in runs]
         ea = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
         eb = [list(e.pieces) for e in self.b.encode(texts, return_type="proto", num_threads=1)]
@@ -159,6 +161,16 @@ def aligner(a: str, b: str) -> Aligner:
     return _aligners[a, b]
 
 
+def _places(numbers: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            out.append(at := numbers.index(None, at + 1))
+    except ValueError:
+        return out
+
+
 class Block:
     """Chunks met in a run of documents, and how many of these hold each pair."""
 
@@ -174,7 +186,8 @@ class Block:
         self.words += sum(map(len, parts))
         number, own = self.number, self.own
         got = [list(map(number.get, p)) for p in parts]
-        here = list(dict.fromkeys(c for p, g in zip(parts, got) if None in g for c, k in zip(p, g) if k is None))
+        missing = [_places(g) for g in got]
+        here = list(dict.fromkeys(p[i] for p, places in zip(parts, missing) for i in places))
         if len(own.known) > KNOWN:
             own.old, own.known = own.known, {}
         known, old = own.known, own.old
@@ -189,11 +202,13 @@ class Block:
                 self.counts.append(x[0])
                 self.texts.append(x[1])
                 self.links.append(x[2])
-        numbers = [[number[c] if k is None else k for c, k in zip(p, g)] if None in g else g for p, g in zip(parts, got)]
-        return [None if not p or -1 in p else p for p in numbers]
+        for p, g, places in zip(parts, got, missing):
+            for i in places:
+                g[i] = number[p[i]]
+        return [None if not g or -1 in g else g for g in got]
 
     def said(self, numbers: list[int]) -> str:
-        return "".join([self.texts[k] for k in numbers])[:-1]
+        return "".join(map(self.texts.__getitem__, numbers))[:-1]
 
     def pairs(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Different pairs, how many documents hold each, links of each chunk and the number of each link's pair."""
