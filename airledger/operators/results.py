@@ -57,3 +57,35 @@ def apportionment(shares: DataFrame, groups: list[str]) -> DataFrame:
 
 def run_index(runs: DataFrame) -> DataFrame:
     return runs.groupBy("experiment").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.count("*").alias("n"))
+
+
+def residual_tables(residuals: DataFrame) -> DataFrame:
+    """``table, window_id, sensor_idx, t_idx, rms, n`` of ``residuals(window_id, t_idx, sensor_idx, r)``: by window, by monitor and by hour of a window, in one pass."""
+    sets = [[F.col("window_id")], [F.col("window_id"), F.col("sensor_idx")], [F.col("window_id"), F.col("t_idx")]]
+    keys = [F.col(c) for c in ("window_id", "sensor_idx", "t_idx")]
+    which = F.when(F.grouping("sensor_idx") == 0, "monitor").when(F.grouping("t_idx") == 0, "hour").otherwise("window")
+    return residuals.groupingSets(sets, *keys).agg(which.alias("table"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.count(F.lit(1)).alias("n")).select("table", "window_id", "sensor_idx", "t_idx", "rms", "n")
+
+
+def metric_rows(scores: DataFrame, *metrics: str) -> DataFrame:
+    """``metric, value``: one row of scores as a table; a row ``status`` without a value where there is none."""
+    rows = scores.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
+    none = scores.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("status").alias("metric"), F.lit(None).cast("double").alias("value"))
+    return rows.unionByName(none)
+
+
+def monitors(contributions: DataFrame, groups: list[str]) -> DataFrame:
+    """One row for each window and monitor, a column of projected contributions for each group; ``contributions(window_id, sensor_idx, grp, projected)``."""
+    return contributions.groupBy("window_id", "sensor_idx").pivot("grp", groups).agg(F.sum("projected"))
+
+
+def identifiability(summary: DataFrame, pairs: DataFrame, weakness: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """One row for each window: spectrum, largest coherence, weak columns, ambiguous pairs and report groups as sorted lists.
+
+    ``pairs(key, i, j, coherence, ambiguous)``, ``weakness(key, name, weak)``, ``named(key, component, grp)``.
+    """
+    most = pairs.groupBy(key).agg(F.max("coherence").alias("max_coherence"), F.array_sort(F.collect_list(F.when(F.col("ambiguous"), F.concat_ws("-", "i", "j")))).alias("ambiguous_pairs"))
+    weak = weakness.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("weak"), F.col("name")))).alias("weak_set"))
+    groups = named.groupBy(key).agg(F.array_sort(F.collect_list("grp")).alias("report_components"))
+    sigma = summary.withColumn("sigma_1", F.get("spectrum", F.lit(0)))
+    return sigma.select(key, "status", "n_observed", "n_total", "sigma_1", "sigma_j", "rank", "effective_rank", "condition", "visibility").join(most, key, "left").join(weak, key, "left").join(groups, key, "left")

@@ -148,6 +148,31 @@ def refined(
     return gated.select(F.col("key").alias("window_id"), *names, "data", F.col("value").alias("total"), (F.col("data0") - 1e-9).alias("data0"), "total0", "sigma_j", "sigma_j0", "coherence", "largest", "accepted", "reasons")
 
 
+def transport_ensemble(
+    members: DataFrame, hours: DataFrame, cells: DataFrame, sensors: DataFrame, inventory: DataFrame, basis: DataFrame, rows: DataFrame, background: list[str], columns: list[tuple[int, int]], nx: int, ny: int, lag: int, scale: float = 1.0,
+) -> DataFrame:
+    """``member_id, ensemble_kind, name, c, std, residual_norm``: every drawn wind's own response and fit, all members in one job.
+
+    ``members(member_id, t_idx, ux, vy, ensemble_kind)`` are drawn stations (spatial.ensemble());
+    a member's wind is their mean of the hour times ``scale``, calm where none was drawn.
+    ``rows(t_idx, sensor_idx, y, background...)``. Members of another kind than transport are an
+    error, since their spread means something else.
+    """
+    kinds = [r.ensemble_kind for r in members.select("ensemble_kind").distinct().limit(2).collect()]
+    if kinds and kinds != ["transport"]:
+        raise ValueError("the members of a transport ensemble are all of that kind")
+    drawn = members.groupBy("member_id", "t_idx").agg((F.avg("ux") * scale).alias("vx"), (F.avg("vy") * scale).alias("vy"))
+    every = few(members.select("member_id").distinct()).join(hours.select("t_idx"))
+    winds = every.join(drawn, ["member_id", "t_idx"], "left").na.fill(0.0, ["vx", "vy"]).select((F.col("member_id") * STRIDE + F.col("t_idx")).alias("t_idx"), "vx", "vy")
+    winds = gr.durable(winds)
+    flying, _ = rs.puffs(cells, winds, lag, nx, ny)
+    pulls = rs.kernel(flying, sensors, winds).withColumn("member_id", config_of("tau")).withColumns({"tau": F.col("tau") % STRIDE, "t_idx": F.col("t_idx") % STRIDE})
+    wide = rs.wide_response(pulls, inventory, basis, columns, ["member_id", "t_idx", "sensor_idx"]).join(rows, ["t_idx", "sensor_idx"])
+    labels = [f"h{s}_{b}" for s, b in columns]
+    fitted = fi.fit(fa.factor(wide, "member_id", [*background, *labels, "y"]), "member_id", len(background), labels)
+    return fitted.select("member_id", F.lit("transport").alias("ensemble_kind"), "name", "c", "std", "residual_norm")
+
+
 def best_assignment(correlations: DataFrame) -> DataFrame:
     """``factor, grp`` of the one-to-one assignment with the largest total (ties to the first), for few factors, by joins of partial assignments."""
     factors = [r.factor for r in correlations.select("factor").distinct().orderBy("factor").collect()]  # seven at most
@@ -280,7 +305,7 @@ def observed_chain(response_: DataFrame, observed: DataFrame, hours: DataFrame,
     long = projected.select(key, "t_idx", "sensor_idx", F.explode(pull).alias("x")).select(key, "t_idx", "sensor_idx", "x.*")
     shares, contributions = gr.group_signals(long, coefficients.select(key, "source_idx", "basis_idx", "c"), comps, key)
     return {
-        "rows": rows, "summary": summary, "coefficients": coefficients, "pairs": pairs, "edges": edges, "components": comps,
+        "rows": rows, "summary": summary, "coefficients": coefficients, "pairs": pairs, "edges": edges, "components": comps, "weakness": weakness,
         "resolution": gr.resolution(diagnosed, edges, comps, all_weak, key), "shares": shares, "contributions": contributions,
     }
 

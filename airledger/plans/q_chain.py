@@ -11,13 +11,14 @@ from ..operators import groups as gr
 from ..operators import inventory as inv
 from ..operators import readings as rd
 from ..operators import response as rs
+from ..operators import results as out
 from ..operators import spatial as sp
 from ..operators import study as st
 from ..sources import tables as tb
-from .q_fits import COH, DEM, GRAM, HS, TWO, columns, pairs, r4, s4
+from .q_fits import COH, DEM, GRAM, HS, RES, TWO, columns, pairs, r4, residuals, s4
 from .q_inventory import BASIS, CITY, H, KERNEL, PATHS, SENSORS, SMALL, WHOLE, L, basis, city, hours, kernel, lagged, sensors, small
 from .q_readings import panel
-from .q_spatial import placed
+from .q_spatial import GRID, HELD, PREDICTED, SCORES, held, placed
 from .q_studies import scratch
 from .registry import BASE, DESIGN, GRID_STATIONS, INVENTORY, base, design, query, r6, s6, with_
 
@@ -364,3 +365,57 @@ def f11_admissible_response(spark, sf):
     flying, _ = rs.puffs(maps.select("ix", "iy").distinct(), own, L, 10, 10)
     pulls = rs.kernel(rs.emitting(flying, maps, named, may), sensors(spark), own)
     return rs.response(pulls, maps, named, admissible=may).withColumn("h", r6(F.col("h")))
+
+
+@query(with_(DESIGN, RES) + f"SELECT CASE WHEN grouping(sensor_idx) = 0 THEN 'monitor' WHEN grouping(t_idx) = 0 THEN 'hour' ELSE 'window' END AS \"table\", window_id, sensor_idx, t_idx, {s6('sqrt(avg(r * r))')} AS rms, count(*) AS n FROM res GROUP BY GROUPING SETS ((window_id), (window_id, sensor_idx), (window_id, t_idx))")
+def m12_residual_tables(spark, sf):
+    return out.residual_tables(residuals(spark, sf)).withColumn("rms", r6(F.col("rms")))
+
+
+@query(with_(GRID, HELD, PREDICTED) + f", s AS (SELECT {SCORES} FROM predicted) SELECT metric, value FROM (SELECT unnest(['vector_rmse', 'direction_mae', 'speed_mae', 'n']) AS metric, unnest([{s6('vector_rmse')}, {s6('direction_mae')}, {s6('speed_mae')}, n::DOUBLE]) AS value FROM s)")
+def m12_wind_validation(spark, sf):
+    scores = sp.scores(sp.predict_held_out(panel(spark, sf), placed(spark, sf), held(spark, sf).where("held_out")))
+    return out.metric_rows(scores.select(*[r6(F.col(c)).alias(c) for c in ("vector_rmse", "direction_mae", "speed_mae")], "n"), "vector_rmse", "direction_mae", "speed_mae", "n")
+
+
+def group_of(own, spark):
+    names = spark.createDataFrame([(s, f"s{s}") for s in range(4)], "source_idx long, source_name string")
+    return gr.group_names(own["components"], names, "window_id").withColumnRenamed("group", "grp")
+
+
+@query()
+def m12_identifiability_table(spark, sf):
+    own = chain(spark, sf)
+    return out.identifiability(own["summary"], own["pairs"], own["weakness"], group_of(own, spark), "window_id")
+
+
+@query()
+def m12_monitor_table(spark, sf):
+    """Projected contributions of each source's group to each monitor; a group stands under the number of its first source."""
+    own = chain(spark, sf)
+    named = own["contributions"].withColumn("grp", F.concat(F.lit("g"), F.col("component").cast("string")))
+    return out.monitors(named, [f"g{s}" for s in range(4)])
+
+
+def drawn_fits(spark, sf, method, n=5, scale=0.3):
+    """Fits of every drawn wind to what the city's wind carries of known coefficients, so that their spread is that of the wind alone."""
+    members = sp.ensemble(panel(spark, sf), placed(spark, sf), n, method, "a29", scale)
+    own, wind = small(spark, sf), city(spark, sf)
+    cells = own.select("ix", "iy").distinct()
+    truth = {f"h{r.source_idx}_{r.basis_idx}": r.c for r in st.synthetic_coefficients(spark.createDataFrame(COLUMNS, "source_idx long, basis_idx long"), "truth").collect()}
+    carried = rs.wide_response(rs.kernel(rs.puffs(cells, wind, 3, 10, 10)[0], sensors(spark), wind), own, basis(spark, sf), COLUMNS, ["t_idx", "sensor_idx"])
+    made = carried.select("t_idx", "sensor_idx", sum((F.col(c) * v for c, v in truth.items()), F.lit(0.0)).alias("y"))
+    rows = gr.durable(made.join(background_hours(spark, sf), "t_idx"))
+    return st.transport_ensemble(members, hours(spark, sf), cells, sensors(spark), own, basis(spark, sf), rows, ["one", "time_1", "sin_1", "cos_1"], COLUMNS, 10, 10, 3, 0.2)
+
+
+@query()
+def t7_a29_bootstrap_intervals(spark, sf):
+    """Quantiles of every coefficient over winds of stations drawn with replacement."""
+    return fi.ensemble_intervals(drawn_fits(spark, sf, "bootstrap"), "name")
+
+
+@query()
+def t7_a29_perturbed_intervals(spark, sf):
+    """The same over winds with Gaussian errors at every station and hour."""
+    return fi.ensemble_intervals(drawn_fits(spark, sf, "perturb"), "name")

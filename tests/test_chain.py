@@ -319,3 +319,29 @@ def test_historical_windows_cover_the_record(spark, sf):
     assert len(rows) == 20 and all(0 < r.n_rows <= 168 * 4 and r["rank"] <= 8 for r in rows) and min(r.start for r in rows) == 0
     r = library.queries()["a16_historical_ensemble"](spark, sf).first()
     assert 0 <= r.q05 <= r.q50 <= r.q95 and 0 <= r.p_full_effective_rank <= r.p_full_rank <= 1
+
+
+def test_members_of_a_wind_ensemble_are_fitted_apart(spark, sf):
+    """Without an error all members agree with the city's own fit; with one they spread; other kinds are refused."""
+    from airledger.operators import fit as fi
+
+    still = q_chain.drawn_fits(spark, sf, "perturb", 2, 0.0).collect()
+    c = {(r.member_id, r.name): r.c for r in still}
+    columns = spark.createDataFrame(q_chain.COLUMNS, "source_idx long, basis_idx long")
+    truth = {f"h{r.source_idx}_{r.basis_idx}": r.c for r in st.synthetic_coefficients(columns, "truth").collect()}
+    assert len(c) == 16 and all(abs(c[m, n] - truth[n]) < 1e-4 for m, n in c)
+    moved = {r.name: r.q95 - r.q05 for r in fi.ensemble_intervals(q_chain.drawn_fits(spark, sf, "bootstrap", 3), "name").collect()}
+    assert len(moved) == 8 and max(moved.values()) > 1e-6
+    wrong = spark.createDataFrame([(0, 0, 1.0, 1.0, "inventory")], "member_id long, t_idx long, ux double, vy double, ensemble_kind string")
+    with pytest.raises(ValueError):
+        st.transport_ensemble(wrong, None, None, None, None, None, None, [], [], 1, 1, 1)
+
+
+def test_report_tables_of_the_chain(spark, sf):
+    tables = library.queries()["m12_identifiability_table"](spark, sf).collect()
+    assert tables and all(r.status in ("uncalibrated", "insufficient_observed_rows") for r in tables)
+    for r in tables:
+        if r.status == "uncalibrated":
+            assert r.sigma_1 >= r.sigma_j >= 0 and len(r.visibility) == 8 and "+".join(sorted(r.report_components)).count("s") == 4
+    seen = library.queries()["m12_monitor_table"](spark, sf)
+    assert seen.columns == ["window_id", "sensor_idx", "g0", "g1", "g2", "g3"] and seen.select("sensor_idx").distinct().count() == 4
