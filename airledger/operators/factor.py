@@ -7,7 +7,7 @@ of the projected H, the removed parts and the projected y.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +49,24 @@ def factor(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return half.groupBy(key).applyInPandas(lambda pdf: _merged(pdf, key, width), kind)
 
 
+def recombined(factors: DataFrame, key: str, settings: DataFrame, columns: Callable[[pd.Series], np.ndarray]) -> DataFrame:
+    """``config_id, n_rows, r`` for every setting: a factor's columns times the matrix ``columns(setting)``.
+
+    A setting that scales, adds or drops columns needs no rows again: the factor of ``X M`` is
+    that of ``R M``. ``settings(config_id, ...)`` are rows; ``key`` names the one factor's key.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for _, row in pdf.iterrows():
+                m = columns(row)
+                r = np.linalg.qr(np.asarray(row.r, float).reshape(-1, m.shape[0]) @ m, mode="r")
+                rows.append((row.config_id, row.n_rows, np.vstack([r, np.zeros((m.shape[1] - r.shape[0], m.shape[1]))]).ravel()))
+            yield pd.DataFrame(rows, columns=["config_id", "n_rows", "r"])
+
+    return factors.drop(key).join(few(settings)).mapInPandas(run, "config_id long, n_rows long, r array<double>")
+
+
 def _merged(pdf: pd.DataFrame, key: str, width: int) -> pd.DataFrame:
     """One factor of those of a key."""
     r = None

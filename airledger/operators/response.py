@@ -211,10 +211,11 @@ def lag_convergence(kernel_: DataFrame, inventory: DataFrame, basis: DataFrame,
 
 
 def moments(rows: DataFrame) -> DataFrame:
-    """``t_idx, var_x, var_y``: second central moments of ``rows(t_idx, sx, sy, v)`` over sensor positions."""
+    """``t_idx, var_x, var_y``: second central moments of ``rows(t_idx, sx, sy, v)`` over sensor positions; an hour without mass is an error."""
     m = F.sum("v")
-    out = rows.groupBy("t_idx").agg(*[(F.sum(F.col("v") * F.col(c) ** 2) / m - (F.sum(F.col("v") * F.col(c)) / m) ** 2).alias(f"var_{c[1]}") for c in ("sx", "sy")], m.alias("mass"))
-    return out.where("mass > 0").drop("mass")
+    out = rows.groupBy("t_idx").agg(*[(F.sum(F.col("v") * F.col(c) ** 2) / F.nullif(m, F.lit(0.0)) - (F.sum(F.col("v") * F.col(c)) / F.nullif(m, F.lit(0.0))) ** 2).alias(f"var_{c[1]}") for c in ("sx", "sy")], m.alias("mass"))
+    none = F.raise_error(F.concat(F.lit("no plume mass at hour "), F.col("t_idx").cast("string"))).cast("double")
+    return out.select("t_idx", *[F.when(F.col("mass") > 0, F.col(c)).otherwise(none).alias(c) for c in ("var_x", "var_y")])
 
 
 def aligned(response_: DataFrame, observed: DataFrame, sensors: DataFrame) -> DataFrame:

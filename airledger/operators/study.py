@@ -22,12 +22,6 @@ def sweep(spark, **settings: list) -> DataFrame:
     return out.drop("_").withColumn("config_id", F.row_number().over(Window.orderBy(*settings)).cast("long") - 1)
 
 
-def perturbed(rows: DataFrame, configs: DataFrame, target: str, seed: str) -> DataFrame:
-    """Rows of every configuration, the target with hash-drawn noise of that configuration's relative size ``noise``."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "config_id", "row_id"), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(few(configs)).withColumn(target, F.col(target) * (1 + F.col("noise") * (2 * u - 1)))
-
-
 def identifiable(scenarios: DataFrame) -> DataFrame:
     """Adds ``unidentifiable``: merged, a weak column, low visibility, absorbed, a vanishing singular value or coherent columns."""
     bad = F.col("merged") | F.col("weak") | (F.col("visibility") <= 0.1) | (F.col("absorption") >= 0.9) | (F.col("sigma_j") <= 1e-6) | (F.col("coherence") >= 0.99)

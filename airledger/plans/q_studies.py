@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import adequacy as ad
@@ -50,9 +51,19 @@ def m7_residual_adequacy(spark, sf):
 
 @query()
 def m8_sweep(spark, sf):
+    """Every setting draws the same noise, of its own size; all come from one factor of the rows."""
     configs = st.sweep(spark, noise=[0.0, 0.05, 0.2], slope=[1.0, 0.5])
-    rows = st.perturbed(design(spark, sf), configs, "y", "sweep").withColumn("h2", F.col("h2") * F.col("slope")).withColumn("one", F.lit(1.0))
-    return fi.fit(fa.factor(rows, "config_id", ["one", "h1", "h2", "y"]), "config_id", 1, ["h1", "h2"]).join(F.broadcast(configs), "config_id")
+    u = F.pmod(F.xxhash64(F.lit("sweep"), "row_id"), F.lit(1 << 20)) / float(1 << 20)
+    rows = design(spark, sf).withColumns({"all_rows": F.lit(0), "one": F.lit(1.0), "z": F.col("y") * (2 * u - 1)})
+
+    def columns_of(setting):
+        m = np.zeros((5, 4))  # from one, h1, h2, y, z to one, h1, h2, y
+        m[0, 0] = m[1, 1] = m[3, 3] = 1.0
+        m[2, 2], m[4, 3] = setting.slope, setting.noise
+        return m
+
+    own = fa.recombined(fa.factor(rows, "all_rows", ["one", "h1", "h2", "y", "z"]), "all_rows", configs, columns_of)
+    return fi.fit(own, "config_id", 1, ["h1", "h2"]).join(F.broadcast(configs), "config_id")
 
 
 @query()

@@ -252,3 +252,23 @@ def test_rejection_rates_of_the_three_cases(spark, sf):
     bound = 0.05 + 3 * (0.05 * 0.95 / 100) ** 0.5
     assert {r.n_trials for r in got.values()} == {100} and got[0].rate <= bound and got[2].rate <= bound and got[1].rate == 1.0
     assert got[0].out_of_span is None and got[2].out_of_span < 1e-8 and got[1].out_of_span > 0.05
+
+
+def test_an_hour_without_plume_mass_is_an_error(spark):
+    from airledger.operators import response as rs
+
+    rows = "t_idx long, sx double, sy double, v double"
+    assert rs.moments(spark.createDataFrame([(0, 0.0, 1.0, 1.0), (0, 2.0, 1.0, 1.0)], rows)).first().var_x == 1.0
+    with pytest.raises(Exception, match="no plume mass at hour 1"):
+        rs.moments(spark.createDataFrame([(1, 0.0, 1.0, 0.0)], rows)).collect()
+
+
+def test_a_factor_recombined_is_that_of_the_recombined_rows(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((60, 3))
+    own = fa.factor(matrix(spark, x, "aby"), "window_id", ["a", "b", "y"])
+    settings = spark.createDataFrame([(0, 2.0), (1, -0.5)], "config_id long, k double")
+    m = lambda k: np.array([[1.0, 0.0], [k, 0.0], [0.0, 1.0]])
+    for r in fa.recombined(own, "window_id", settings, lambda s: m(s.k)).collect():
+        z, got = x @ m({0: 2.0, 1: -0.5}[r.config_id]), np.array(r.r).reshape(2, 2)
+        assert r.n_rows == 60 and np.allclose(got.T @ got, z.T @ z)
