@@ -35,7 +35,7 @@ from .common import durable, fresh, written
 #: Rows are taken so many at a time; a block ends with those by which it holds so many different chunks, or so many chunks in all.
 ROWS, CHUNKS, WORDS = 64, 150_000, 4_000_000
 #: New chunks that are tokenized as one text.
-TOGETHER = 128
+TOGETHER = 64
 #: A worker remembers so many chunks met last, and as many met before them.
 KNOWN = 200_000
 #: B's ids in a pair take so many bits.
