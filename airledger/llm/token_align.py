@@ -18,7 +18,6 @@ import gc
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -120,7 +119,7 @@ class Aligner:
         byte_of = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) & 0xC0 != 0x80), len(whole))
         char0 = np.cumsum([0] + [len(texts[x]) + 1 for x in use[:-1]])
         ids_a = np.fromiter(chain.from_iterable(ia[x] for x in use), np.int64, int(na.sum()))
-        off = np.fromiter(chain.from_iterable(p for x in use for p in ea[x].offsets), np.int64, 2 * int(na.sum())).reshape(-1, 2) + np.repeat(char0, na)[:, None]
+        off = np.fromiter(chain.from_iterable(chain.from_iterable(ea[x].offsets for x in use)), np.int64, 2 * int(na.sum())).reshape(-1, 2) + np.repeat(char0, na)[:, None]
         clean = np.append(off[1:, 0] >= off[:-1, 1], True)
         ends_a = self._ends(byte_of[off[:, 1]], clean, self.a_size[ids_a], np.repeat(start, na), first_a)
         ids_b = np.fromiter(chain.from_iterable(ib[x] for x in use), np.int64, int(nb.sum()))
@@ -253,14 +252,14 @@ def align(docs: DataFrame, a: str, b: str) -> DataFrame:
     return docs.mapInArrow(work, out.schema)
 
 
-KEPT = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary, times binary, pairs array<long>, held array<long>, sizes binary, links binary"
+KEPT = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, chunks binary, pairs array<long>, held array<long>, sizes binary, links binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
     """A row for each document (numbers of its chunks) and one for each block (``pairs`` and how many documents have them ``held``; links of chunks)."""
     schema = pa.schema([
-        *[(c, pa.int64()) for c in ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("chunks", pa.binary()), ("times", pa.binary()),
+        *[(c, pa.int64()) for c in ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("chunks", pa.binary()),
         ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("sizes", pa.binary()), ("links", pa.binary()),
     ])
 
@@ -268,12 +267,12 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
         number, block, rows = TaskContext.get().partitionId() << 24, Block(aligner(a, b)), []
 
         def closed() -> pa.RecordBatch:
-            codes, count, sizes, which = block.pairs([own for _, _, own, _ in rows if own is not None])
+            codes, count, sizes, which = block.pairs([own for _, _, own in rows if own is not None])
             counts, every = np.array(block.counts, np.int64).reshape(-1, 4), []
-            for doc_id, said, own, times in rows:
-                n = (times @ counts[own]).tolist() if own is not None else [0] * 4
-                every.append((number, doc_id, *n, said, *(b"" if x is None else x.astype("<u4").tobytes() for x in (own, times)), None, None, None, None))
-            every.append((number, None, None, None, None, None, None, None, None, codes, count, sizes.astype("<u4").tobytes(), which.astype("<u4").tobytes()))
+            for doc_id, said, own in rows:
+                n = counts[own].sum(axis=0).tolist() if own is not None else [0] * 4
+                every.append((number, doc_id, *n, said, b"" if own is None else own.astype("<u4").tobytes(), None, None, None, None))
+            every.append((number, None, None, None, None, None, None, None, codes, count, sizes.astype("<u4").tobytes(), which.astype("<u4").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], f.type) for i, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
@@ -281,10 +280,9 @@ def _blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 for doc_id, numbers in zip(part.column(0).to_pylist(), block.documents(part.column(1).to_pylist())):
                     if numbers is None:
-                        rows.append((doc_id, "", None, None))
+                        rows.append((doc_id, "", None))
                     else:
-                        times = Counter(numbers)
-                        rows.append((doc_id, hashlib.sha256(block.said(numbers).encode()).hexdigest(), *(np.fromiter(x, np.int64, len(times)) for x in (times.keys(), times.values()))))
+                        rows.append((doc_id, hashlib.sha256(block.said(numbers).encode()).hexdigest(), np.array(numbers, np.int64)))
                 if len(block.number) > CHUNKS or block.words > WORDS:
                     yield closed()
                     number, block, rows = number + 1, Block(block.own), []
@@ -333,7 +331,7 @@ def _sums(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     sizes, links = (np.frombuffer(block[c], "<u4").astype(np.int64) for c in ("sizes", "links"))
     ends = np.cumsum(sizes)
     per = [np.diff(np.concatenate([[0], np.cumsum(x[links])])[np.concatenate([[0], ends])]) for x in (best, count)]
-    of = [(np.frombuffer(c, "<u4"), np.frombuffer(t, "<u4").astype(np.int64)) for c, t in zip(docs["chunks"], docs["times"])]
+    of = [np.frombuffer(c, "<u4") for c in docs["chunks"]]
     out = docs[["doc_id", "n_a", "n_b", "n_groups", "n_links"]].astype("Int64")
-    out["n_best"], out["count_sum"] = ([int(t @ x[c]) for c, t in of] for x in per)
+    out["n_best"], out["count_sum"] = ([int(x[c].sum()) for c in of] for x in per)
     return out.assign(groups_sha256=docs["groups_sha256"])
