@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,8 @@ def whitened(rows: DataFrame, keys: list[str], place: str, columns: list[str], c
     problem. The matrix is a few numbers and goes to every task; it must be symmetric and
     positive definite at the places of every block, and hold all of them, else the job fails.
     Rows with a null or non-finite column are left out first; two rows at one place are an error.
+    Blocks are sorted in their partitions and pass by in batches of many; rows that are already
+    dealt by some of ``keys`` are not shuffled again.
     """
     table = covariance.select("i", "j", "v").limit(4_000_001).toPandas()
     if len(table) > 4_000_000:
@@ -117,20 +120,46 @@ def whitened(rows: DataFrame, keys: list[str], place: str, columns: list[str], c
         raise ValueError("the covariance is not symmetric")
     shared = rows.sparkSession.sparkContext.broadcast((whole.index.to_numpy(), whole.to_numpy(float)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def white(part: pa.Table) -> pa.RecordBatch:
         places, full = shared.value
-        pdf = pdf.sort_values(place)
-        at = np.searchsorted(places, pdf[place].to_numpy())
-        if pdf[place].duplicated().any() or (at >= len(places)).any() or (places[np.minimum(at, len(places) - 1)] != pdf[place].to_numpy()).any():
+        own, nth = part[place].to_numpy(), part["_nth"].to_numpy()
+        at = np.searchsorted(places, own)
+        again = (at[1:] == at[:-1]) & (nth[1:] > 1)
+        if again.any() or (at >= len(places)).any() or (places[np.minimum(at, len(places) - 1)] != own).any():
             raise ValueError("a block has a place twice, or one that the covariance lacks")
-        try:
-            low = np.linalg.cholesky(full[np.ix_(at, at)])
-        except np.linalg.LinAlgError:
-            raise ValueError("the covariance is not positive definite") from None
-        return pdf.assign(**dict(zip(columns, np.linalg.solve(low, pdf[columns].to_numpy(float)).T)))
+        x = np.column_stack([part[c].to_numpy() for c in columns])
+        starts = np.flatnonzero(nth == 1)
+        sizes = np.diff(starts, append=len(nth))
+        for m in np.unique(sizes):  # blocks at the same places have one matrix, and are solved at once
+            rows = starts[sizes == m][:, None] + np.arange(m)
+            sets, which = np.unique(at[rows], axis=0, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            for held, blocks in zip(sets, np.split(rows[order], np.cumsum(np.bincount(which.ravel()))[:-1])):
+                try:
+                    low = np.linalg.cholesky(full[np.ix_(held, held)])
+                except np.linalg.LinAlgError:
+                    raise ValueError("the covariance is not positive definite") from None
+                x[blocks] = np.linalg.solve(low, x[blocks].transpose(1, 0, 2).reshape(m, -1)).reshape(m, len(blocks), -1).transpose(1, 0, 2)
+        kept = [part[c] for c in part.column_names if c not in (*columns, "_nth")]
+        return pa.Table.from_arrays([*kept, *map(pa.array, x.T)], names=[*keys, place, *columns]).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, parts, held = len(shared.value[0]), [], 0  # of the last block, which may go on in the next batch
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_nth").to_numpy() == 1)
+            if len(starts):
+                if held or starts[-1]:
+                    yield white(pa.Table.from_batches([*parts, batch.slice(0, starts[-1])]))
+                parts, held, batch = [], 0, batch.slice(starts[-1])
+            parts, held = [*parts, batch], held + batch.num_rows
+            if held > most:
+                raise ValueError("a block has a place twice, or one that the covariance lacks")
+        if held:
+            yield white(pa.Table.from_batches(parts))
 
     own = rows.where(finite(columns)).select(*keys, place, *[F.col(c).cast("double").alias(c) for c in columns])
-    return own.groupBy(*keys).applyInPandas(run, own.schema)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(place))
+    return own.withColumn("_nth", nth).mapInArrow(run, own.schema)
 
 
 def tolerance(x: np.ndarray, n_rows: int) -> float:

@@ -15,6 +15,7 @@ from ..operators import results as out
 from ..operators import response as rs
 from ..operators import spatial as sp
 from ..operators import study as st
+from ..operators.bounded import spread
 from ..sources import tables as tb
 from .q_fits import COH, GRAM, coefficients, pairs, r4, residuals
 from .q_inventory import basis, kernel, small
@@ -108,7 +109,7 @@ def m7_covariance_adequacy(spark, sf):
     """Each month's rows under noise that ties the lines of an order together (0.6 from line to line), whitened before they are reduced."""
     own = design(spark, sf).withColumns({"line": F.col("row_id") % 10, "order": F.floor(F.col("row_id") / 10), "one": F.lit(1.0)})
     lines = spark.range(1, 8).select(F.col("id").alias("i")).join(spark.range(1, 8).select(F.col("id").alias("j"))).withColumn("v", 0.25 * F.pow(F.lit(0.6), F.abs(F.col("i") - F.col("j"))))
-    once = own.groupBy("window_id", "order", "line").agg(*[F.avg(c).alias(c) for c in ("one", "h1", "h2", "y")])
+    once = spread(own, "window_id", "order").groupBy("window_id", "order", "line").agg(*[F.avg(c).alias(c) for c in ("one", "h1", "h2", "y")])
     white = fa.whitened(once, ["window_id", "order"], "line", ["one", "h1", "h2", "y"], lines)
     noise = ad.Noise(1.0, calibrated=True, source="declared with the query")
     return ad.verdicts(ad.replicates(fa.factor(white, "window_id", ["one", "h1", "h2", "y"]), "window_id", 1, 2, noise, n=1000, chunk=250), "window_id")

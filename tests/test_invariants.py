@@ -1,5 +1,7 @@
 """Tiny matrices with known answers, algebraic invariants, contracts with bad inputs."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +247,34 @@ def test_whitened_rows_give_the_weighted_problem(spark):
         fa.whitened(df, ["w", "sensor"], "t", ["one"], spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.5), (1, 0, 0.2), (1, 1, 1.0)], "i long, j long, v double"))
 
 
+def test_many_blocks_are_whitened_as_each_alone(spark):
+    """60,000 blocks of one to five places, in batches that cut through blocks; one task a block took minutes."""
+    rng, columns = np.random.default_rng(4), ["a", "y"]
+    cov = 0.25 * 0.6 ** np.abs(np.subtract.outer(np.arange(5), np.arange(5)))
+    table = spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(5) for j in range(5)], "i long, j long, v double")
+    value = lambda s: F.pmod(F.xxhash64(F.lit(s), "k", "t"), F.lit(1000)) / 100.0
+    rows = spark.range(300_000).select(F.when(F.col("id") >= 5, (F.col("id") / 5).cast("long")).alias("k"), (F.col("id") % 5).alias("t")).where(F.pmod(F.xxhash64("k", "t"), F.lit(3)) > 0)
+    rows = rows.select("k", "t", value("a").alias("a"), value("y").alias("y"))
+    began = time.time()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "101")
+    try:
+        got = fa.whitened(rows, ["k"], "t", columns, table).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert time.time() - began < 60
+    own = rows.toPandas()
+    assert len(got) == len(own) and got.k.isna().sum() == own.k.isna().sum() > 0
+    both = own.merge(got, on=["k", "t"], suffixes=("", "_w"))
+    assert len(both) == len(own)
+    for k in rng.choice(59_999, 300) + 1:
+        part = both[both.k == k].sort_values("t")
+        w = np.linalg.inv(np.linalg.cholesky(cov[np.ix_(part.t, part.t)]))
+        np.testing.assert_allclose(part[["a_w", "y_w"]].to_numpy(), w @ part[columns].to_numpy(), rtol=0, atol=1e-9)
+    for bad in ([(1, 0, 1.0), (1, 0, 2.0)], [(1, 5, 1.0)], [(1, None, 1.0)], [(1, 0, 1.0)] * 6):
+        with pytest.raises(Exception, match="place twice"):
+            fa.whitened(spark.createDataFrame(bad, "k long, t long, a double"), ["k"], "t", ["a"], table).count()
+
+
 def test_rejection_rates_of_the_three_cases(spark, sf):
     from airledger.plans import queries as library
 
