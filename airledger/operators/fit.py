@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bounded import few
 from .factor import split
 
 
@@ -147,8 +148,11 @@ def autocorrelation(residuals: DataFrame, key: str) -> DataFrame:
 
 
 def objective(rows: DataFrame, key: str, coefficients: DataFrame, lam: float, prior: float) -> DataFrame:
-    """``key, data, penalty, total`` of ``rows(key, row_id, name, h, y)`` and ``coefficients(key, name, c)``."""
-    fitted = rows.join(coefficients, [key, "name"]).groupBy(key, "row_id").agg((F.sum(F.col("h") * F.col("c")) - F.first("y")).alias("r"))
+    """``key, data, penalty, total`` of ``rows(key, row_id, name, h, y)`` and ``coefficients(key, name, c)``.
+
+    Coefficients are few and go to the rows, of which a key and name may have very many.
+    """
+    fitted = rows.join(few(coefficients), [key, "name"]).groupBy(key, "row_id").agg((F.sum(F.col("h") * F.col("c")) - F.first("y")).alias("r"))
     data = fitted.groupBy(key).agg(F.sum(F.col("r") * F.col("r")).alias("data"))
     penalty = coefficients.groupBy(key).agg((lam * F.sum((F.col("c") - prior) ** 2)).alias("penalty"))
     return data.join(penalty, key).withColumn("total", F.col("data") + F.col("penalty"))

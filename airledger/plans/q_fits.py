@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import factor as fa
 from ..operators import fit as fi
 from ..operators import groups as gr
+from ..operators.bounded import spread
 from .registry import DESIGN, RESPONSE, base, coefficients, design, query, r6, response, s6, with_
 
 HS = ["h1", "h2", "h3", "h4"]
@@ -143,13 +144,14 @@ def m4_raw_fit(spark, sf):
 RES = "res AS (SELECT window_id, row_id, row_id // 10 AS t_idx, row_id % 10 AS sensor_idx, 0.4 * avg(h1) + 0.2 * avg(h2) - avg(y) AS r FROM design GROUP BY window_id, row_id)"
 
 
-def rows_once(spark, sf):
-    """Rows of the design by their number, repeated numbers averaged."""
-    return design(spark, sf).groupBy("window_id", "row_id").agg(*[F.avg(c).alias(c) for c in ("h1", "h2", "y")])
+def rows_once(spark, sf, *place):
+    """Rows of the design, repeated ones averaged; ``place`` tells a window's rows apart, and its first column's rows stay in one partition."""
+    own = design(spark, sf).withColumns({"t_idx": F.floor(F.col("row_id") / 10), "sensor_idx": F.col("row_id") % 10}).select("window_id", *place, "h1", "h2", "y")
+    return spread(own, "window_id", place[0]).groupBy("window_id", *place).agg(*[F.avg(c).alias(c) for c in ("h1", "h2", "y")])
 
 
 def residuals(spark, sf):
-    return rows_once(spark, sf).select("window_id", F.floor(F.col("row_id") / 10).alias("t_idx"), (F.col("row_id") % 10).alias("sensor_idx"), (0.4 * F.col("h1") + 0.2 * F.col("h2") - F.col("y")).alias("r"))
+    return rows_once(spark, sf, "t_idx", "sensor_idx").select("window_id", "t_idx", "sensor_idx", (0.4 * F.col("h1") + 0.2 * F.col("h2") - F.col("y")).alias("r"))
 
 
 @query(with_(DESIGN, RES) + f"SELECT window_id, sensor_idx, {s6('sqrt(avg(r * r))')} AS rms, count(*) AS n FROM res GROUP BY 1, 2")
@@ -164,8 +166,8 @@ def w2_residual_autocorrelation(spark, sf):
 
 @query(with_(DESIGN, RES) + f"SELECT window_id, {s4('sum(r * r)')} AS data, 0.1::DOUBLE AS penalty, {s4('sum(r * r) + 0.1')} AS total FROM res GROUP BY 1")
 def a26_objective(spark, sf):
-    own = rows_once(spark, sf).select("window_id", "row_id", "y", F.explode(F.create_map(F.lit("h1"), F.col("h1"), F.lit("h2"), F.col("h2"))).alias("name", "h"))
-    c = own.select("window_id").distinct().join(spark.createDataFrame([("h1", 0.4), ("h2", 0.2)], "name string, c double"))
+    own = rows_once(spark, sf, "row_id").select("window_id", "row_id", "y", F.explode(F.create_map(F.lit("h1"), F.col("h1"), F.lit("h2"), F.col("h2"))).alias("name", "h"))
+    c = design(spark, sf).select("window_id").distinct().join(spark.createDataFrame([("h1", 0.4), ("h2", 0.2)], "name string, c double"))
     return fi.objective(own, "window_id", c, 0.5, 0.0).select("window_id", *[r4(F.col(x)).alias(x) for x in ("data", "penalty", "total")])
 
 

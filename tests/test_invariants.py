@@ -11,6 +11,7 @@ from airledger.operators import factor as fa
 from airledger.operators import fit as fi
 from airledger.operators import groups as gr
 from airledger.operators import readings as rd
+from airledger.operators.bounded import spread
 from airledger.sources import tables as tb
 
 
@@ -275,6 +276,33 @@ def test_many_blocks_are_whitened_as_each_alone(spark):
             fa.whitened(spark.createDataFrame(bad, "k long, t long, a double"), ["k"], "t", ["a"], table).count()
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_spread_once_for_what_is_grouped_later(spark):
+    own = spread(spark.range(20_000).select((F.col("id") % 3).alias("w"), (F.col("id") % 5_000).alias("t"), "id"), "w", "t", rows=500)
+    sizes = own.groupBy(F.spark_partition_id()).count().collect()
+    assert own.rdd.getNumPartitions() == 40 and max(r["count"] for r in sizes) < 1_000
+    grouped = own.groupBy("w", "t", "id").agg(F.count("*").alias("n")).groupBy("w", "t").agg(F.sum("n").alias("n"))
+    assert plan_of(grouped).count("Exchange") == 1
+    assert grouped.count() == 15_000 and grouped.agg(F.sum("n")).first()[0] == 20_000
+
+
+def test_objective_keeps_rows_where_they_are(spark, sf):
+    """Coefficients go to the rows: joined by window and name, all rows of a name of a window met in one task; nor are rows held by number where they are read."""
+    from airledger.plans import queries as library
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(library.queries()["a26_objective"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 1 and "name#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    assert sum("Exchange hashpartitioning" in x and "row_id" in x for x in plan.splitlines()) == 1 and "REPARTITION_BY_NUM" in plan
+    assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):].split("FileScan")[0]
+
+
 def test_rejection_rates_of_the_three_cases(spark, sf):
     from airledger.plans import queries as library
 
