@@ -60,11 +60,19 @@ def run_index(runs: DataFrame) -> DataFrame:
 
 
 def residual_tables(residuals: DataFrame) -> DataFrame:
-    """``table, window_id, sensor_idx, t_idx, rms, n`` of ``residuals(window_id, t_idx, sensor_idx, r)``: by window, by monitor and by hour of a window, in one pass."""
-    sets = [[F.col("window_id")], [F.col("window_id"), F.col("sensor_idx")], [F.col("window_id"), F.col("t_idx")]]
-    keys = [F.col(c) for c in ("window_id", "sensor_idx", "t_idx")]
-    which = F.when(F.grouping("sensor_idx") == 0, "monitor").when(F.grouping("t_idx") == 0, "hour").otherwise("window")
-    return residuals.groupingSets(sets, *keys).agg(which.alias("table"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.count(F.lit(1)).alias("n")).select("table", "window_id", "sensor_idx", "t_idx", "rms", "n")
+    """``table, window_id, sensor_idx, t_idx, rms, n`` of ``residuals(window_id, t_idx, sensor_idx, r)``: by window, by monitor and by hour of a window.
+
+    Hours are nearly as many as rows, so rows dealt by window and hour (bounded.spread()) are
+    grouped where they are; windows and monitors are few and summed from the same shuffle.
+    """
+    own = [F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.count(F.lit(1)).alias("n")]
+    columns = ["table", "window_id", "sensor_idx", "t_idx", "rms", "n"]
+    none = lambda c: F.lit(None).cast(residuals.schema[c].dataType)
+    sets = [[F.col("window_id")], [F.col("window_id"), F.col("sensor_idx")]]
+    which = F.when(F.grouping("sensor_idx") == 0, "monitor").otherwise("window")
+    few = residuals.groupingSets(sets, F.col("window_id"), F.col("sensor_idx")).agg(which.alias("table"), *own).withColumn("t_idx", none("t_idx"))
+    hours = residuals.groupBy("window_id", "t_idx").agg(*own).withColumns({"table": F.lit("hour"), "sensor_idx": none("sensor_idx")})
+    return few.select(columns).unionByName(hours.select(columns))
 
 
 def metric_rows(scores: DataFrame, *metrics: str) -> DataFrame:

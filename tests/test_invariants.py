@@ -303,6 +303,23 @@ def test_objective_keeps_rows_where_they_are(spark, sf):
     assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):].split("FileScan")[0]
 
 
+def test_residual_tables_group_hours_where_they_are(spark, sf):
+    """No row is multiplied by the tables it is in, and hours, which are nearly as many as rows, are not shuffled again."""
+    from airledger.operators import results as out
+    from airledger.plans import queries as library
+
+    plan = plan_of(library.queries()["m12_residual_tables"](spark, sf))
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "t_idx" in x]
+    assert shuffles and all("REPARTITION_BY_NUM" in x for x in shuffles)
+    assert all("t_idx" not in x for x in plan.splitlines() if " Expand " in x)
+    rows = [(0, 1, 0, 3.0), (0, 1, 1, None), (0, 2, 0, 1.0), (1, None, None, 2.0)]
+    got = out.residual_tables(spark.createDataFrame(rows, "window_id long, t_idx long, sensor_idx long, r double"))
+    assert {tuple(r) for r in got.collect()} == {
+        ("window", 0, None, None, 5**0.5, 3), ("monitor", 0, 0, None, 5**0.5, 2), ("monitor", 0, 1, None, None, 1), ("hour", 0, None, 1, 3.0, 2), ("hour", 0, None, 2, 1.0, 1),
+        ("window", 1, None, None, 2.0, 1), ("monitor", 1, None, None, 2.0, 1), ("hour", 1, None, None, 2.0, 1),
+    }
+
+
 def test_rejection_rates_of_the_three_cases(spark, sf):
     from airledger.plans import queries as library
 
